@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,3 +41,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def splitters(ids: DataFrame, parts: int, each: int = 64) -> list[int]:
+    """At most ``parts - 1`` ids, out of a column of whole numbers, that part it evenly.
+
+    They come from about ``each * parts`` ids that a hash picks, however many there are, so the same ids
+    always give the same splitters.
+    """
+    ids = ids.toDF("id").filter("id is not null")
+    every = max(1, ids.count() // (each * parts))
+    picked = sorted({r.id for r in ids.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(every)) == 0).collect()})
+    return sorted({picked[i * len(picked) // parts] for i in range(1, parts)}) if picked else []

@@ -8,13 +8,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import exactdedup, linededup, packing, toxicity, urlfilter
+from sievelake.llm import exactdedup, fingerprint, licenses, linededup, mixing, neardup, packing, toxicity, urlfilter, warc
+from sievelake.llm.common import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+#: Whole weights by level; a name that isn't here weighs 1.
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 3}}
+
+
+def mix_levels() -> dict:
+    return {"domain": mixing.domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS)
+    return mixed.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_lang").alias("lang"), F.col("mix_source").alias("source"), F.col("mix_tokens").alias("tokens"), F.col("mix_epoch").alias("epoch"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,15 +65,83 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def license_paths(docs: DataFrame) -> DataFrame:
+    """Documents as files: source/lang/hundred/id.txt, of which every hundredth is its directory's licence file and every thousandth that of source/lang."""
+    top = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")))
+    own = F.concat_ws("/", top, F.expr("cast(doc_id div 100 as string)"))
+    path = F.when(F.col("doc_id") % 1000 == 0, F.concat(top, F.lit("/LICENSE"))).when(F.col("doc_id") % 100 == 0, F.concat(own, F.lit("/LICENSE"))).otherwise(F.concat(own, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return docs.select("doc_id", path.alias("path"), "text")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(license_paths(table(spark, sf_dir, "documents")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_toxicity, op5_packing, op6_line_dedup, op7_url_filter, op9_exact_dedup]
+    found = [op1_fingerprint, op2_mixing, op3_warc, op4_toxicity, op5_packing, op6_line_dedup, op7_url_filter, op8_licenses, op9_exact_dedup, op10_near_dedup]
     return {f.__name__: f for f in found}
 
 
+def level_sql(out: str, source: str, parents: str, name: str, budget: str) -> str:
+    """CTEs that fill siblings to a common level per weight."""
+    part = f"PARTITION BY {parents}" if parents else ""
+    return f"""
+{out}_a AS (SELECT *, coalesce(sum(cap) OVER ({part} ORDER BY CASE WHEN w > 0 THEN cap / w END ASC NULLS LAST, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS caps,
+   (sum(w) OVER ({part}) - coalesce(sum(w) OVER ({part} ORDER BY CASE WHEN w > 0 THEN cap / w END ASC NULLS LAST, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS ws FROM {source}),
+{out}_b AS (SELECT *, w > 0 AND cap * ws <= ({budget} - caps) * w AS fu FROM {out}_a),
+{out}_c AS (SELECT *, ({budget} - coalesce(sum(CASE WHEN fu THEN cap END) OVER ({part}), 0))::BIGINT AS lft,
+   coalesce(sum(CASE WHEN NOT fu THEN w END) OVER ({part}), 0)::BIGINT AS op FROM {out}_b),
+{out} AS (SELECT *, CASE WHEN fu THEN cap WHEN op = 0 THEN 0 ELSE (lft * w) // op END AS share FROM {out}_c)"""
+
+
+def case_sql(column: str, weights: dict[str, int]) -> str:
+    return "CASE " + column + "".join(f" WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
+
+
+OP2_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, 'd' || coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 4, 0) AS domain,
+         coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+         (length(coalesce(text, '')) + 3) // 4 AS tokens
+  FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS t, 2 * sum(tokens)::BIGINT AS cap FROM docs GROUP BY ALL),
+l1 AS (SELECT domain, sum(cap)::BIGINT AS cap, {case_sql("domain", MIX_WEIGHTS["domain"])} AS w,
+   (SELECT floor(sum(t) * 0.6::DOUBLE)::BIGINT FROM leaves) AS b FROM leaves GROUP BY domain),
+{level_sql("s1", "l1", "", "domain", "b")},
+l2 AS (SELECT l.domain, l.lang, sum(l.cap)::BIGINT AS cap, any_value({case_sql("l.lang", MIX_WEIGHTS["lang"])}) AS w, any_value(s1.share) AS b
+   FROM leaves l JOIN s1 ON s1.domain = l.domain GROUP BY l.domain, l.lang),
+{level_sql("s2", "l2", "domain", "lang", "b")},
+l3 AS (SELECT l.*, {case_sql("l.source", MIX_WEIGHTS["source"])} AS w, s2.share AS b FROM leaves l JOIN s2 ON s2.domain = l.domain AND s2.lang = l.lang),
+{level_sql("s3", "l3", "domain, lang", "source", "b")},
+plan AS (SELECT domain, lang, source, CASE WHEN t > 0 THEN share // t ELSE 0 END AS passes,
+   share - CASE WHEN t > 0 THEN share // t ELSE 0 END * t AS rest FROM s3),
+placed AS (SELECT d.*, p.passes, p.rest, sum(d.tokens) OVER (PARTITION BY d.domain, d.lang, d.source
+   ORDER BY md5('17:' || p.passes || ':' || d.doc_id), d.doc_id ROWS UNBOUNDED PRECEDING) AS upto
+   FROM docs d JOIN plan p ON p.domain = d.domain AND p.lang = d.lang AND p.source = d.source),
+times AS (SELECT *, passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS n FROM placed)
+SELECT doc_id, domain, lang, source, tokens, unnest(range(n::BIGINT))::INT AS epoch FROM times WHERE n > 0
+"""
+
+
+def op3_sql(least_bytes: int = 100) -> str:
+    return f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, CASE WHEN n >= {least_bytes} THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM f
+"""
+
+
 OP6_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -82,4 +174,4 @@ FROM documents
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_warc": op3_sql(), "op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}

@@ -1,7 +1,7 @@
 """URL filter: host and path rules first, then gradient-boosted trees over lexical features.
 
-The trees learn from labelled URLs: those that a rule judges and those with a telling word in the
-host. They are boosted on the driver over a sample of bounded size, and score in batches.
+The trees learn from labelled URLs: the caller's, or those that telling words in hosts label. They
+are boosted on the driver over a sample of bounded size, and score in batches.
 """
 
 from __future__ import annotations
@@ -17,10 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words in a host that label a URL for training: unwanted, and wanted.
-UNWANTED = ("casino", "porn", "xxx", "viagra", "pills", "betting", "poker", "slots", "escort", "payday")
-WANTED = ("wikipedia", "university", "library", "museum", "archive")
-FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "labels", "digits", "host_digits", "entropy", "host_entropy", "parameters", "query_chars", "hyphens", "host_hyphens", "upper", "https", "fragment", "extension", "percent", "longest_label", "suffix_rate", "site_rate", "first_dir_rate")
+#: Words in a host, between dots, hyphens or digits, that label a URL as unwanted for training.
+UNWANTED = ("ads", "adult", "bet", "bets", "betting", "casino", "cheap", "clickbait", "escort", "free", "gambling", "loan", "payday", "pharma", "pills", "poker", "porn", "sex", "slots", "spam", "track", "tracker", "viagra", "xxx")
+FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "labels", "digits", "host_digits", "entropy", "host_entropy", "parameters", "query_chars", "hyphens", "host_hyphens", "upper", "https", "fragment", "extension", "percent", "longest_label", "suffix_rate", "site_rate", "host_rate", "first_dir_rate")
 MIN_LEAF, BINS = 20, 32
 
 
@@ -64,8 +63,8 @@ def entropy(text: str) -> float:
     return float(-(n / n.sum() * np.log2(n / n.sum())).sum())
 
 
-def site(host: str) -> str:
-    return ".".join(host.split(".")[-2:])
+def tail(host: str, n: int) -> str:
+    return ".".join(host.split(".")[-n:])
 
 
 def first_dir(path: str) -> str:
@@ -73,19 +72,19 @@ def first_dir(path: str) -> str:
 
 
 class Rates:
-    """Smoothed rate of unwanted URLs by suffix, site and first directory, from training URLs; unseen ones have the overall rate."""
+    """Smoothed rate of unwanted URLs by the host's last one, two and three labels and by first directory, from training URLs; unseen ones have the overall rate."""
 
     def __init__(self, hosts: list[str], paths: list[str], labels: np.ndarray, weight: float = 10.0):
         self.all = float(labels.mean()) if len(labels) else 0.5
         self.tables = []
-        for keys in ([h.rpartition(".")[2] for h in hosts], [site(h) for h in hosts], [first_dir(p) for p in paths]):
+        for keys in ([tail(h, 1) for h in hosts], [tail(h, 2) for h in hosts], [tail(h, 3) for h in hosts], [first_dir(p) for p in paths]):
             n, s = Counter(keys), Counter()
             for k, y in zip(keys, labels, strict=True):
                 s[k] += y
             self.tables.append({k: (s[k] + weight * self.all) / (n[k] + weight) for k in n})
 
     def of(self, host: str, path: str) -> list[float]:
-        return [t.get(k, self.all) for t, k in zip(self.tables, (host.rpartition(".")[2], site(host), first_dir(path)), strict=True)]
+        return [t.get(k, self.all) for t, k in zip(self.tables, (tail(host, 1), tail(host, 2), tail(host, 3), first_dir(path)), strict=True)]
 
 
 def features(urls: list[str | None], hosts: list[str], paths: list[str], rates: Rates) -> np.ndarray:
@@ -160,12 +159,14 @@ class BoostedTrees:
 
 
 def words_label(host: Column) -> Column:
-    return F.when(F.rlike(host, F.lit("|".join(UNWANTED))), "block").when(F.rlike(host, F.lit("|".join(WANTED))), "allow")
+    """Labels of URLs that nobody has labelled: unwanted where the host has a telling word."""
+    return F.when(F.rlike(host, F.lit(rf"(^|[.\d-])({'|'.join(UNWANTED)})([.\d-]|$)")), "block").otherwise("allow")
 
 
 def train(labelled: DataFrame, sample: int = 20_000) -> tuple[BoostedTrees, Rates]:
-    """From (url, host, path, label): a fixed-order sample of at most ``sample`` distinct URLs is collected."""
-    rows = labelled.select("url", "host", "path", "label").dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(sample).collect()
+    """From (url, host, path, label): at most ``sample`` distinct URLs, half of each label, are collected in a fixed order by hash."""
+    known = labelled.select("url", "host", "path", "label").dropDuplicates(["url"])
+    rows = [r for y in ("block", "allow") for r in known.filter(F.col("label") == y).orderBy(F.xxhash64("url"), "url").limit(sample // 2).collect()]
     y = np.array([r.label == "block" for r in rows], float)
     rates = Rates([r.host for r in rows], [r.path for r in rows], y)
     return BoostedTrees().fit(features([r.url for r in rows], [r.host for r in rows], [r.path for r in rows], rates), y), rates
@@ -176,15 +177,14 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id",
 
     The longest fitting rule decides; a rule fits its host and all its subdomains if the path
     starts with the rule's. Otherwise the trees do: block at a score of 0.5 or more. They learn from
-    ``labelled`` (url, label: block or allow), or else from the rows that rules or telling words
-    label. Without any labelled URL all scores are 0, so the unruled are allowed. Null ids and urls
+    ``labelled`` (url, label: block or allow), or else from the rows as ``words_label`` labels them. Without any labelled URL all scores are 0, so the unruled are allowed. Null ids and urls
     stay; rows that repeat are judged each.
     """
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url")).withColumns(dict(zip(("host", "path"), parts(F.col("url")), strict=True)))
     name, verdict = ruled(rules, F.col("host"), F.col("path"))
     base = base.select("_id", "url", "host", "path", name.alias("rule"), verdict.alias("ruled"))
     if labelled is None:
-        labelled = base.withColumn("label", F.coalesce(words_label(F.col("host")), "ruled"))
+        labelled = base.withColumn("label", words_label(F.col("host")))
     else:
         labelled = labelled.select("url", "label").withColumns(dict(zip(("host", "path"), parts(F.col("url")), strict=True)))
     trees, rates = train(labelled.filter("label is not null and url is not null"), sample)
