@@ -1,12 +1,60 @@
-"""Five stages that turn raw documents into packed training sequences."""
+"""Raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a table, which is written as Parquet and read again
+as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievelake.llm import exactdedup, mixing, neardup, packing, registry, toxicity
+from sievelake.llm.common import settle
+from sievelake.session import ship
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5; learned from the labels, less the held-out ones."""
+    ship(spark)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.withColumn("_toxicity", toxicity.score(model, F.col("text"))).filter("_toxicity < 0.5").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of identical texts the row with the largest id."""
+    carry = tuple(c for c in docs.columns if c != "doc_id")
+    return exactdedup.exact_dedup(docs, keep="max", carry=carry).filter("kept").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the row with the least id."""
+    ship(spark)
+    gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document at most once, up to its leaf's share of four fifths of all tokens."""
+    mixed = mixing.mix(docs, registry.mix_levels(), registry.MIX_WEIGHTS, fraction=0.8, max_epochs=1)
+    return mixed.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    ship(spark)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]
 
-STAGES: list = []
+#: SQL has no edit automata, alignment or tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

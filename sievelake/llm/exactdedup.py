@@ -53,7 +53,7 @@ def exact_dedup(
     Of equal texts the row with the smallest id stays (``keep="max"``: the largest). Null ids never
     win over other ids. Rows that repeat an id and its text are one group; only one of them is
     ``kept``. No rows in, no rows out. Other columns are ignored unless named in ``carry``; they may have any
-    name, as inner names are prefixed. A carried text is the empty string where it was null.
+    name, as inner names are prefixed.
     """
     if keep not in ("min", "max"):
         raise ValueError("keep is min or max")
@@ -62,13 +62,15 @@ def exact_dedup(
     order = F.col("_id").asc_nulls_last() if keep == "min" else F.col("_id").desc_nulls_last()
     plain = normalise is identity
     carried = [c for c in carry if not (c == text_col and plain)]
-    base = docs.select(F.col(id_col).alias("_id"), normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"), *[F.col(c).alias(f"_c_{c}") for c in carried])
+    named = text_col in carry and plain
+    null = [F.col(text_col).isNull().alias("_null")] if named else []
+    base = docs.select(F.col(id_col).alias("_id"), *null, normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"), *[F.col(c).alias(f"_c_{c}") for c in carried])
     base = base.withColumn("_h", F.xxhash64("_t"))
     heavy = heavy_hashes(base, F.col("_h"), heavy_parts).withColumn("_heavy", F.lit(True))
     # at most heavy_parts rows of eight bytes
     base = base.join(F.broadcast(heavy), "_h", "left")
     salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(salts)).cast("int")).otherwise(-1)
-    ranged = base.select("_id", "_t", "_h", *[f"_c_{c}" for c in carried], salt.alias("_salt"), F.substring("_t", 1, KEY_CHARS).alias("_p")).repartitionByRange(shuffle_partitions(spark), "_p", "_h", "_salt")
+    ranged = base.select("_id", "_t", "_h", *["_null"] * named, *[f"_c_{c}" for c in carried], salt.alias("_salt"), F.substring("_t", 1, KEY_CHARS).alias("_p")).repartitionByRange(shuffle_partitions(spark), "_p", "_h", "_salt")
     # The range partitioning of (_p, _h, _salt) already keeps a run's rows together: no second exchange.
     run = Window.partitionBy("_p", "_h", "_salt", "_t").orderBy(order)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -84,5 +86,5 @@ def exact_dedup(
         # an id has one salt, so one run holds the best
         ((F.col("_rn") == 1) & F.col("_best").eqNullSafe(keep_id)).alias("kept"),
         F.col("_sha").alias("text_sha256"),
-        *[F.col("_t" if c == text_col and plain else f"_c_{c}").alias(c) for c in carry],
+        *[(F.when(~F.col("_null"), F.col("_t")) if c == text_col and plain else F.col(f"_c_{c}")).alias(c) for c in carry],
     )
