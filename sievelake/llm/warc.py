@@ -77,7 +77,7 @@ class Roller:
         if self.out is None:
             self.name = f"part-{shard:06d}-{self.part:04d}.warc.gz"
             self.temporary = f"{self.path}/_temporary-{uuid.uuid4().hex}-{self.name}"
-            self.out, self.sha, self.size, self.pages = self.fs.open_output_stream(self.temporary), hashlib.sha256(), 0, []
+            self.out, self.sha, self.size, self.pages = self.fs.open_output_stream(self.temporary, compression=None), hashlib.sha256(), 0, []
             self.count = 0
         self.out.write(data)
         self.sha.update(data)
@@ -208,7 +208,7 @@ def read(spark: SparkSession, folder: str, *, payloads: bool = True) -> DataFram
         for batch in batches:
             for name in batch["file"]:
                 rows, held = [], 0
-                with store.open_input_stream(f"{path}/{name}") as f:
+                with store.open_input_stream(f"{path}/{name}", compression=None) as f:
                     for head, block in parse(f):
                         page, to = head["X-Page-ID"], head.get("X-Refers-To-Page-ID")
                         rows.append((int(page) if page else None, head["WARC-Target-URI"], int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha256:"), head["WARC-Type"], int(to) if to else None, block if payloads else None))
