@@ -24,6 +24,8 @@ END = "$"
 STEM = range(3, 13)
 WINDOW = 12
 OPENING, CLOSING, STRAIGHT = "“«„‹‘", "”»“›’", '"'
+#: Quotations, whose words teach nothing about plain ones.
+QUOTED = re.compile(r'(?:(?<=[\s([{])|^)"[^"\n]{1,200}"|“[^”\n]{1,200}”|«[^»\n]{1,200}»|„[^“\n]{1,200}“')
 #: Words that attribute what stands beside them to someone else.
 ATTRIBUTION = frozenset("said says wrote writes quoted quotes called quote alleged claimed reported sagte schrieb zitierte nannte dit écrit cité appelé dijo escribió citó llamó".split())
 CACHE_ENTRIES = 400_000
@@ -181,12 +183,24 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(b + p * plain + q * quoted, -30, 30))))
 
 
-def choose_terms(counts: dict[str, tuple[int, int]], positives: int, negatives: int, least: float = 2.8, most: int = 5000) -> list[str]:
-    """Prefixes and whole words (with ``$``) that mark toxic documents, as specific as their documents allow, none under another."""
-    odds = {}
+def likelihood_ratio(a: int, b: int, positives: int, negatives: int) -> float:
+    """The G statistic of a term in ``a`` of the toxic and ``b`` of the other documents."""
+    total, out = positives + negatives, 0.0
+    for seen, row, column in ((a, a + b, positives), (b, a + b, negatives), (positives - a, total - a - b, positives), (negatives - b, total - a - b, negatives)):
+        if seen > 0:
+            out += 2 * seen * np.log(seen * total / (row * column))
+    return float(out)
+
+
+def choose_terms(counts: dict[str, tuple[int, int]], positives: int, negatives: int, least: float = 2.0, most: int = 5000) -> list[str]:
+    """Prefixes and whole words (with ``$``) that mark toxic documents, as specific as their documents allow, none under another.
+
+    A term's log odds are at least ``least``, and so unlikely by chance that hardly one of all those that were looked at would be.
+    """
+    odds, sure = {}, 2 * np.log(max(1, len(counts))) + 2
     for p, (a, b) in counts.items():
         w = np.log((a + 0.5) / (positives + 1)) - np.log((b + 0.5) / (negatives + 1))
-        if w / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= least:
+        if w >= least and likelihood_ratio(a, b, positives, negatives) >= sure:
             odds[p] = w
     closed = set(odds)
     for p in odds:
@@ -204,7 +218,7 @@ def choose_terms(counts: dict[str, tuple[int, int]], positives: int, negatives:
 
 def prefixes(text: str) -> set[str]:
     out = set()
-    for w in set(WORD.findall(text.lower())):
+    for w in set(WORD.findall(QUOTED.sub(" ", text).lower())):
         out.update(w[:k] for k in STEM if k <= len(w))
         out.add(f"{w}{END}")
     return out
@@ -236,47 +250,62 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = [(r._id, int(r._y)) for r in sample.collect()]
     if not any(y for _, y in rows):
         return Model()
+    # a sample of the labels, of bounded size
     ids = docs.sparkSession.createDataFrame(rows, "_id long, _y int")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).filter("_t is not null").join(F.broadcast(ids), "_id").select("_t", "_y")
 
+    texts = texts.withColumn("_half", F.pmod(F.xxhash64("_t", F.lit(13)), F.lit(2)).cast("int"))
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, y in zip(batch["_t"], batch["_y"], strict=True):
-                found[y].update(prefixes(text))
-            keys = list(found[1])  # what no toxic text of any batch holds can't mark one
-            yield pd.DataFrame({"p": [*keys, *(k for k in found[0] if k not in found[1])]}).assign(a=lambda d: [found[1][k] for k in d["p"]], b=lambda d: [found[0][k] for k in d["p"]])
-
-    positives, negatives = sum(y for _, y in rows), sum(1 - y for _, y in rows)
-    least = max(3, positives // 200)
-    strong = F.log((F.col("a") + 0.5) / (positives + 1)) - F.log((F.col("b") + 0.5) / (negatives + 1)) > 1.5
-    per_prefix = texts.mapInPandas(count, "p string, a long, b long").groupBy("p").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counts = {r.p: (r.a, r.b) for r in per_prefix.filter((F.col("a") >= least) & strong).toLocalIterator()}
-    model = Model(terms=choose_terms(counts, positives, negatives))
-    terms = model.terms
+            found: Counter = Counter()
+            for text, y, half in zip(batch["_t"], batch["_y"], batch["_half"], strict=True):
+                found.update((p, y, half) for p in prefixes(text))
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["p", "y", "half", "n"])
+
+    # a row for each prefix that marks at least a few toxic documents of the sample
+    sums = [F.sum(F.when((F.col("y") == y) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(f"n{y}{h}") for y in (0, 1) for h in (0, 1)]
+    counts = {r.p: np.array([[r.n00, r.n01], [r.n10, r.n11]]) for r in texts.mapInPandas(count, "p string, y int, half int, n long").groupBy("p").agg(*sums).filter("n10 + n11 >= 3").toLocalIterator()}
+    sizes = np.zeros((2, 2), int)
+    for r in texts.groupBy("_y", "_half").count().collect():
+        sizes[r._y, r._half] = r["count"]
+    # a lexicon from all of the sample, and one from each half for the other to try
+    uses = {"all": np.array([1, 1]), "first": np.array([1, 0]), "second": np.array([0, 1])}
+    lexicons = {k: choose_terms({p: (int(n[1] @ u), int(n[0] @ u)) for p, n in counts.items() if n[1] @ u >= max(3, sizes[1] @ u // 200)}, int(sizes[1] @ u), int(sizes[0] @ u)) for k, u in uses.items()}
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(terms)
+        matchers = {k: Matcher(terms) for k, terms in lexicons.items()}
         for batch in batches:
-            hits = [[[*m, *n] for m, n in matcher.hits(t).items()] for t in batch["_t"]]
-            yield pd.DataFrame({"y": batch["_y"], "hits": [[float(v) for h in x for v in h] for x in hits]})
+            hits = {k: [[float(v) for m, n in matcher.hits(t).items() for v in (*m, *n)] for t in batch["_t"]] for k, matcher in matchers.items()}
+            yield pd.DataFrame({"y": batch["_y"], "half": batch["_half"], **hits})
 
     # at most 2 * per_class rows with a few matches each
-    found = [(r.y, {(int(h[0]), int(h[1])): list(h[2:]) for h in zip(*[iter(r.hits)] * 4, strict=True)}) for r in texts.mapInPandas(match, "y int, hits array<double>").toLocalIterator()]
+    found = list(texts.mapInPandas(match, "y int, half int, " + ", ".join(f"{k} array<double>" for k in uses)).toLocalIterator())
+    hits = {k: [{(int(h[0]), int(h[1])): list(h[2:]) for h in zip(*[iter(r[k])] * 4, strict=True)} for r in found] for k in uses}
+    y, half = np.array([r.y for r in found], int), np.array([r.half for r in found], int)
+    models = {k: Model(lexicons[k], weigh(lexicons[k], [h for h, side in zip(hits[k], half, strict=True) if u[side]], y[u[half] == 1])) for k, u in uses.items()}
+    # the coefficients come from texts that the lexicon hasn't seen
+    x = [models["second" if side == 0 else "first"].features(hits["second" if side == 0 else "first"][i]) for i, side in enumerate(half)]
+    model = models["all"]
+    model.coefficients = tuple(float(v) for v in fit(np.array(x).reshape(-1, 2), y.astype(float), np.array([-3.0, 1.0, 0.2])))
+    return model
+
+
+def weigh(terms: list[str], hits: list[dict[tuple[int, int], list[float]]], y: np.ndarray) -> dict[tuple[int, int], float]:
+    """Log odds of each term at each distance, by plain occurrences; a misspelling that the sample lacks has half the weight of a whole word."""
     seen: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
-    for y, hits in found:
-        for m in hits:
-            seen[m][y] += 1
+    for h, v in zip(hits, y, strict=True):
+        for m, (plain, quoted) in h.items():
+            if plain > quoted:
+                seen[m][v] += 1
+    positives, negatives, out = int(y.sum()), int((1 - y).sum()), {}
     for i, term in enumerate(terms):
         for d in range(allowed(term) + 1):
             b, a = seen.get((i, d), (0, 0))
             w = float(np.log((a + 0.5) / (positives + 1)) - np.log((b + 0.5) / (negatives + 1)))
-            exact = model.weights.get((i, 0), 0.0)
-            model.weights[i, d] = max(0.0, w) if not d else (0.5 * exact if term.endswith(END) else 0.0) if not a + b else float(np.clip(w, 0, exact))
-    x = np.array([model.features(h) for _, h in found]).reshape(-1, 2)
-    y = np.array([y for y, _ in found], float)
-    model.coefficients = tuple(float(v) for v in fit(x, y, np.array([-3.0, 1.0, 0.2])))
-    return model
+            exact = out.get((i, 0), 0.0)
+            out[i, d] = max(0.0, w) if not d else (0.5 * exact if term.endswith(END) else 0.0) if not a + b else float(np.clip(w, 0, exact))
+    return out
 
 
 def score(model: Model, text: Column) -> Column:
