@@ -133,8 +133,8 @@ def retry(base: DataFrame, stuck: DataFrame, parts: int, attempts: int, broadcas
         texts = settle(base.withColumn("_h", F.xxhash64("_t")).join(few, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]), "stuck-texts")
         after = texts.select(F.col("_k").alias("_next_k"), F.col("_h").alias("_next_h"), F.col("_t").alias("_next"))
         rows = with_edited(stuck.join(texts, ["_k", "_h"]).join(after, ["_next_k", "_next_h"]))
-        pairs = as_pairs(rows.withColumnRenamed("_which", "_asked"), "_asked").filter("_which = _asked").drop("_asked").repartition(parts, "_bucket")
-        found = differences(pairs, KEYS, factor=2.0**attempt, seed=1000 * (attempt + 1), rounds=18)
+        pairs = as_pairs(rows.withColumnRenamed("_which", "_asked"), "_asked").filter("_which = _asked").drop("_asked")
+        found = differences(settle(pairs, "stuck-digests").repartition(parts, "_bucket"), KEYS, factor=2.0**attempt, seed=1000 * (attempt + 1))
         found = settle(stuck.join(found, KEYS, "left").withColumn("_d", F.when(F.coalesce("_left", F.lit(0)) == 0, F.coalesce("_d", F.lit(0)))).drop("_left"), "stuck-pairs")
         done = found.filter("_d is not null").select(*KEYS, "_d")
         solved = done if solved is None else solved.unionByName(done)
