@@ -1,0 +1,68 @@
+import numpy as np
+import pytest
+
+from sievelake.llm import urlfilter
+from sievelake.llm.registry import URL_RULES
+from sievelake.llm.urlfilter import BoostedTrees, Rule, filter_urls
+
+SCHEMA = "page_id long, url string, host string, rule string"
+CASES = [
+    ("https://a.COM/x", "a.com", "/x", "com/", "allow"),
+    ("http://example.com/en/1?q=/x", "example.com", "/en/1", "example.com/en/", "block"),
+    ("http://m.example.com/en/", "m.example.com", "/en/", "example.com/en/", "block"),
+    ("http://www.example.com/en/7#t", "www.example.com", "/en/7", "www.example.com/en/", "allow"),
+    ("http://x.net/es/1", "x.net", "/es/1", "net/es/", "block"),
+    ("http://x.net/esp", "x.net", "/esp", None, None),
+    ("http://com", "com", "", None, None),
+    ("http://notcom/x", "notcom", "/x", None, None),
+    ("http://a.com?x=http://b.net/es/", "a.com", "", None, None),
+    ("http://a.com#/x", "a.com", "", None, None),
+    ("no scheme.com/x", "", "", None, None),
+    ("://h/é?x", "h", "/é", None, None),
+    (None, "", "", None, None),
+    ("", "", "", None, None),
+]
+
+
+def test_rules(spark):
+    rows = [(i, c[0], "h", "r") for i, c in enumerate(CASES)]
+    rows += [(None, "http://a.com/", None, None), rows[0]]
+    found = filter_urls(spark.createDataFrame(rows, SCHEMA), URL_RULES).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        if r.page_id is not None:
+            _, host, path, rule, verdict = CASES[r.page_id]
+            assert (r.host, r.path, r.rule) == (host, path, rule)
+            assert r.verdict == verdict or verdict is None and r.verdict in ("allow", "block")
+    assert filter_urls(spark.createDataFrame([], SCHEMA), URL_RULES).collect() == []
+
+
+def test_unwanted_hosts_are_blocked(spark, sf):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = filter_urls(pages, [Rule.of("nowhere/", "block")]).collect()
+    assert all(r.rule is None for r in rows)
+    bad = urlfilter.re.compile(rf"(^|[.\d-])({'|'.join(urlfilter.UNWANTED)})([.\d-]|$)")
+    assert np.mean([(r.verdict == "block") == bool(bad.search(r.host)) for r in rows]) > 0.97
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trees_learn_lexical_patterns(seed):
+    rng = np.random.default_rng(seed)
+    urls, labels = [], []
+    for i in range(1200):
+        bad = i % 2
+        host = "".join(rng.choice(list("abcdefgh0123456789-" if bad else "abcdefghijklmnop"), 12))
+        urls.append(f"http://{host}.example.org/{'x/' * (3 if bad else 1)}{i:04d}{'?a=1&b=2' if bad else ''}")
+        labels.append(bad)
+    hosts, paths = [u.split("/")[2] for u in urls], ["/" + u.split("/", 3)[3].split("?")[0] for u in urls]
+    y = np.array(labels, float)
+    rates = urlfilter.Rates(hosts[:800], paths[:800], y[:800])
+    x = urlfilter.features(urls, hosts, paths, rates)
+    model = BoostedTrees().fit(urlfilter.unseen_features(urls[:800], hosts[:800], paths[:800], y[:800]), y[:800])
+    assert ((model.predict(x[800:]) >= 0.5) == y[800:]).mean() > 0.95
+
+
+def test_labels_of_the_caller(spark):
+    labelled = spark.createDataFrame([(f"http://good{i}.org/a", "allow") for i in range(60)] + [(f"http://b-a-d-{i}.org/a/b/c/{i}{i}", "block") for i in range(60)], "url string, label string")
+    pages = spark.createDataFrame([(1, "http://good99.org/a"), (2, "http://b-a-d-99.org/a/b/c/9999")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in filter_urls(pages, [], labelled=labelled).collect()} == {1: "allow", 2: "block"}
