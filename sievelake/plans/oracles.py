@@ -23,55 +23,53 @@ def substitute(text: str = "text") -> str:
     return f"replace(translate({text}, {quoted(''.join(ONE_TO_ONE))}, {quoted(''.join(ONE_TO_ONE.values()))}), chr(8230), '...')"
 
 
-def at(test: str) -> str:
-    """Places i (from 1) of a text where ``test`` of i holds."""
-    return f"list_filter(range(1, length(text) + 1), lambda i: {test})"
+def matches(cls: str) -> str:
+    return f"regexp_full_match(ch, {quoted(cls)})"
 
 
-def char(offset: str) -> str:
-    return f"text[{offset}:{offset}]"
+def runs(cls: str, least: int, first: str | None = None) -> str:
+    """Islands of characters of a class, from the first of class ``first`` on."""
+    start = f"min(i) FILTER (WHERE {matches(first or cls)})"
+    return f"(SELECT doc_id, {start} AS i, max(i) - {start} + 1 AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM odd WHERE {matches(cls)}) GROUP BY doc_id, island HAVING max(i) - {start} + 1 >= {least})"
 
 
-def one(pattern: str, offset: str = "i") -> str:
-    return f"regexp_full_match({char(offset)}, {quoted(pattern)})"
+def singles(test: str, length: str = "1") -> str:
+    return f"(SELECT doc_id, i, {length} AS length FROM odd WHERE {test})"
 
 
 def beside_letter(cls: str) -> str:
-    return at(f"{one(cls)} AND ((i > 1 AND {one('[A-Za-z]', 'i - 1')}) OR {one('[A-Za-z]', 'i + 1')})")
+    return singles(f"{matches(cls)} AND (regexp_matches(coalesce(p, ''), '^[A-Za-z]$') OR regexp_matches(coalesce(n, ''), '^[A-Za-z]$'))")
 
 
-def starts(cls: str, least: int, more: str | None = None) -> str:
-    """Where maximal runs of a class of at least a length start; ``more`` may go on in a run but not start it."""
-    whole = more or cls
-    # a run can't start inside another: what goes on from a start before it covers it
-    return at(f"{one(cls)} AND (i = 1 OR NOT {one(whole, 'i - 1')}) AND length(regexp_extract(text[i:], {quoted(f'^{whole}+')})) >= {least}")
-
-
-def run_length(cls: str) -> str:
-    return f"length(regexp_extract(text[i:], {quoted(f'^{cls}+')}))"
+def beside_text(pattern: str) -> str:
+    """Matches of a pattern that starts with a bracket, at the places of brackets."""
+    return f"(SELECT doc_id, i, length(regexp_extract(rest, {quoted(pattern)})) AS length FROM brackets WHERE regexp_matches(rest, {quoted(pattern)}))"
 
 
 EDGE = r"[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}\p{L}\p{Nd}]"
 EMOJI_MORE = EM[:-1] + r"\x{200D}]"
-TOKENS = " OR ".join(f"starts_with(text[i:i + 8], {quoted(t)})" for t in TEMPLATE_TOKENS)
-TOKEN_LENGTH = "CASE " + " ".join(f"WHEN starts_with(text[i:i + 8], {quoted(t)}) THEN {len(t)}" for t in TEMPLATE_TOKENS) + " END"
+TOKENS = "^(?:" + "|".join(t.replace("[", r"\[").replace("]", r"\]") for t in TEMPLATE_TOKENS) + ")"
 THINK = "^</?[tT][hH][iI][nN][kK]>?"
-#: vendor, pattern, confidence, places, length of the match at place i.
+#: vendor, pattern, confidence, matches (doc_id, i, length).
 MATCHES = [
-    ("Claude", "homoglyph-substitution", 0.85, beside_letter(HG), "1"),
-    ("Claude", "zero-width-sequence", 0.9, starts(ZW, 2), run_length(ZW)),
-    ("Gemini", "variation-selector", 0.8, starts(VS, 1), run_length(VS)),
-    ("Gemini", "synthid-token-marker", 0.6, at(f"{one(ZW)} AND (i = 1 OR {one(EDGE, 'i - 1')}) AND (i = length(text) OR {one(EDGE, 'i + 1')})"), "1"),
-    ("OpenAI", "mid-stream-joiner", 0.7, at(f"i > 1 AND {one(JO)}"), "1"),
-    ("OpenAI", "bidi-override", 0.75, starts(BI, 1), run_length(BI)),
-    ("DeepSeek", "reasoning-block", 0.95, at(f"{char('i')} = '<' AND regexp_matches(text[i:i + 8], {quoted(THINK)})"), f"length(regexp_extract(text[i:i + 8], {quoted(THINK)}))"),
-    ("DeepSeek", "fullwidth-punctuation", 0.7, beside_letter(FW), "1"),
-    ("Grok", "emoji-burst", 0.6, starts(EM, 3, EMOJI_MORE), run_length(EMOJI_MORE)),
-    ("Grok", "em-dash-cluster", 0.7, starts(r"[\x{2014}]", 3), run_length(r"[\x{2014}]")),
-    ("Mistral", "template-leak", 0.99, at(f"{char('i')} IN ('<', '[') AND ({TOKENS})"), TOKEN_LENGTH),
+    ("Claude", "homoglyph-substitution", 0.85, beside_letter(HG)),
+    ("Claude", "zero-width-sequence", 0.9, runs(ZW, 2)),
+    ("Gemini", "variation-selector", 0.8, runs(VS, 1)),
+    ("Gemini", "synthid-token-marker", 0.6, singles(f"{matches(ZW)} AND (p IS NULL OR regexp_full_match(p, {quoted(EDGE)})) AND (n IS NULL OR regexp_full_match(n, {quoted(EDGE)}))")),
+    ("OpenAI", "mid-stream-joiner", 0.7, singles(f"i > 1 AND {matches(JO)}")),
+    ("OpenAI", "bidi-override", 0.75, runs(BI, 1)),
+    ("DeepSeek", "reasoning-block", 0.95, beside_text(THINK)),
+    ("DeepSeek", "fullwidth-punctuation", 0.7, beside_letter(FW)),
+    ("Grok", "emoji-burst", 0.6, runs(EMOJI_MORE, 3, EM)),
+    ("Grok", "em-dash-cluster", 0.7, runs(r"[\x{2014}]", 3)),
+    ("Mistral", "template-leak", 0.99, beside_text(TOKENS)),
 ]
-CANDIDATES = f"candidates AS (SELECT * FROM planted WHERE regexp_matches(text, {quoted(r'[^\x00-\x7F]|</?[tT][hH][iI][nN][kK]|\[/?INST\]|<</?SYS>>|</?s>')}))"
-FOUND = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{v}' AS vendor, '{p}' AS pattern, {c}::DOUBLE AS confidence, i - 1 AS position, {n} AS length FROM (SELECT *, unnest({places}) AS i FROM candidates)" for v, p, c, places, n in MATCHES)
+#: Characters with their neighbours; only odd ones can be part of a match.
+CHARS = r"""chars AS (SELECT doc_id, generate_subscripts(cs, 1) AS i, unnest(cs) AS ch FROM (SELECT doc_id, string_split(text, '') AS cs FROM planted)),
+near AS (SELECT *, lag(ch) OVER w AS p, lead(ch) OVER w AS n FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+odd AS MATERIALIZED (SELECT * FROM near WHERE ch > '~' OR ch IN ('<', '[')),
+brackets AS MATERIALIZED (SELECT doc_id, i, substr(text, i, 8) AS rest FROM odd JOIN planted USING (doc_id) WHERE ch IN ('<', '['))"""
+FOUND = " UNION ALL ".join(f"SELECT doc_id, '{v}' AS vendor, '{p}' AS pattern, {c}::DOUBLE AS confidence, i - 1 AS position, length FROM {rows}" for v, p, c, rows in MATCHES)
 
 
 def with_documents(body: str) -> str:
@@ -120,12 +118,12 @@ def oracle_sql() -> dict[str, str]:
         "hygiene_strip": with_documents(f"SELECT doc_id, {strip()} AS cleaned, {count(STRIP)} AS stripped FROM planted"),
         "hygiene_substitute": with_documents(f"SELECT doc_id, {substitute()} AS cleaned, {count(SUBST)} AS substituted FROM planted"),
         "hygiene_confidence": with_documents(f", n AS (SELECT doc_id, text, {count(STRIP)} + {count(SUBST)} AS items FROM planted) SELECT doc_id, items, CASE WHEN items > 0 THEN least(1.0::DOUBLE, 0.5::DOUBLE + items * 0.05::DOUBLE) ELSE 0.0::DOUBLE END AS confidence, md5({substitute(strip())}) AS cleaned_md5 FROM n"),
-        "hygiene_log": with_documents(f", c AS (SELECT doc_id, text, unnest({at(f'{one(STRIP)} OR {one(SUBST)}')}) AS i FROM planted WHERE regexp_matches(text, '[^\\x00-\\x7F]')) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS item, CASE WHEN {one(STRIP)} THEN 'unicode-strip' ELSE 'unicode-substitute' END AS type, i - 1 AS position, 1 AS length FROM c"),
+        "hygiene_log": with_documents(f", {CHARS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS item, CASE WHEN {matches(STRIP)} THEN 'unicode-strip' ELSE 'unicode-substitute' END AS type, i - 1 AS position, 1 AS length FROM odd WHERE {matches(STRIP)} OR {matches(SUBST)}"),
         "codepoint_inventory": with_documents(f", c AS (SELECT lang, unnest(regexp_extract_all(text, {quoted(f'{STRIP}|{SUBST}')})) AS ch FROM planted) SELECT lang, upper(printf('%04x', ord(ch))) AS codepoint, count(*) AS occurrences FROM c GROUP BY lang, ch"),
         "collapse_whitespace": with_documents(r"SELECT doc_id, md5(regexp_replace(text, '[ \t]{2,}', ' ', 'g')) AS cleaned_md5 FROM planted"),
         "word_tokens": with_documents(r", w AS (SELECT lang, len(regexp_extract_all(text, '\p{L}[\p{L}''\-]*')) AS n FROM planted) SELECT lang, sum(n)::BIGINT AS words, max(n) AS most FROM w GROUP BY lang"),
-        "signal_counts": with_documents(f", {CANDIDATES}, found AS ({FOUND}) SELECT lang, source, vendor, pattern, count(*) AS matches, count(DISTINCT doc_id) AS texts FROM found GROUP BY ALL"),
-        "detect_text": with_documents(f", {CANDIDATES} {FOUND.replace('SELECT doc_id, lang, source,', 'SELECT doc_id,')}"),
+        "signal_counts": with_documents(f", {CHARS}, found AS ({FOUND}) SELECT lang, source, vendor, pattern, count(*) AS matches, count(DISTINCT doc_id) AS texts FROM found JOIN planted USING (doc_id) GROUP BY ALL"),
+        "detect_text": with_documents(f", {CHARS} {FOUND}"),
         "remove_controls": with_documents(f"SELECT doc_id, md5(regexp_replace(text, {quoted(f'{JO}|{BI}')}, '', 'g')) AS controls_md5, md5(regexp_replace(text, {quoted(f'{VS}|{ZW}')}, '', 'g')) AS selectors_md5 FROM planted"),
         "markdown_lines": with_documents(LINE_SQL),
         "markdown_blocks": with_documents(rf"SELECT doc_id, md5(regexp_replace(text, '\A---\r?\n(?s:.*?)\r?\n---[ \t]*\r?\n?', '')) AS frontmatter_md5, md5(regexp_replace(text, '<!--(?s:.*?)-->', '', 'g')) AS comments_md5, md5(CASE WHEN regexp_matches(text, {quoted(SIGNATURE)}) THEN rtrim(regexp_replace(text, {quoted(SIGNATURE)}, ''), ' ' || chr(9) || chr(10)) || chr(10) ELSE text END) AS signature_md5, md5(regexp_replace(text, {quoted(BOILER)}, '', 'g')) AS boilerplate_md5 FROM planted"),
@@ -139,5 +137,5 @@ def oracle_sql() -> dict[str, str]:
         "conversation_tokens": f"WITH t AS (SELECT conv_id, turn, role, {planted_sql('(conv_id + turn)', 'text')} AS text FROM conversations), c AS (SELECT conv_id, turn, role, {tokens} AS tokens FROM t) SELECT conv_id, turn, role, tokens, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c",
         "signal_rollup": with_documents(f"SELECT lang, source, count(*) AS documents, sum({count(STRIP)})::BIGINT AS invisible, sum({count(SUBST)})::BIGINT AS substituted FROM planted GROUP BY ROLLUP (lang, source)"),
         "json_rows": with_documents(f"SELECT to_json(struct_pack(doc_id := doc_id, lang := lang, invisible := {count(STRIP)}))::VARCHAR AS value FROM planted"),
-        "stream_rates": with_documents(f", {CANDIDATES}, found AS ({FOUND}) SELECT (doc_id * 60) // 7200 * 7200 AS window_start, vendor, pattern, count(*) AS matches FROM found GROUP BY ALL"),
+        "stream_rates": with_documents(f", {CHARS}, found AS ({FOUND}) SELECT (doc_id * 60) // 7200 * 7200 AS window_start, vendor, pattern, count(*) AS matches FROM found GROUP BY ALL"),
     }

@@ -189,7 +189,8 @@ def json_rows(spark, sf_dir):
 def stream_rates(spark, sf_dir):
     """Rates over documents read as a stream, a minute of event time apart."""
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    stream = read_stream(spark, f"{sf_dir}/documents.parquet", schema).select(F.timestamp_seconds(F.col("doc_id") * 60).alias("at"), planted(F.col("doc_id"), F.col("text")).alias("text"))
+    # a pattern, as a stream's path that isn't one must be a folder
+    stream = read_stream(spark, f"{sf_dir}/documents.parque[t]", schema).select(F.timestamp_seconds(F.col("doc_id") * 60).alias("at"), planted(F.col("doc_id"), F.col("text")).alias("text"))
     name = f"rates_{uuid.uuid4().hex}"
     q = signal_rates(stream, "at", window="2 hours").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
