@@ -173,5 +173,40 @@ FROM documents
 """
 
 
+def op8_sql() -> str:
+    templates = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    names = ", ".join(f"'{n}'" for n in licenses.FILE_NAMES)
+    return rf"""
+WITH top AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') AS top FROM documents),
+files AS (SELECT doc_id, text, CASE WHEN doc_id % 1000 = 0 THEN top || '/LICENSE' WHEN doc_id % 100 = 0 THEN top || '/' || (doc_id // 100) || '/LICENSE'
+   ELSE top || '/' || (doc_id // 100) || '/' || doc_id || '.txt' END AS path FROM top),
+tpl(k, name, t) AS (VALUES {templates}),
+tw AS (SELECT k, name, w, count(*) AS tf FROM (SELECT k, name, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS w FROM tpl) GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM files),
+df AS (SELECT w, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM files) WHERE w IN (SELECT w FROM tw) GROUP BY w),
+model AS (SELECT tw.*, ln((n + 1)::DOUBLE / (coalesce(df, 0) + 1)) + 1 AS idf FROM tw LEFT JOIN df USING (w), n),
+weights AS (SELECT *, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY k)) AS weight FROM model),
+idfs AS (SELECT DISTINCT w, idf FROM model),
+units AS (SELECT DISTINCT doc_id, u FROM (
+   SELECT doc_id, unnest(string_split(text, chr(10))) AS u, path FROM files) WHERE regexp_matches(lower(u), '{licenses.WORDS}')
+   UNION SELECT doc_id, text FROM files WHERE regexp_extract(path, '[^/]*$') IN ({names})),
+uw AS (SELECT doc_id, u, w, count(*) AS c FROM (SELECT doc_id, u, unnest(regexp_extract_all(lower(u), '[a-z0-9]+')) AS w FROM units) GROUP BY ALL),
+ux AS (SELECT doc_id, u, w, c * coalesce(idf, ln((n + 1)::DOUBLE) + 1) AS x FROM uw LEFT JOIN idfs USING (w), n),
+lens AS (SELECT doc_id, u, sqrt(sum(x ** 2)) AS len FROM ux GROUP BY ALL),
+dots AS (SELECT doc_id, u, k, name, sum(x * weight) AS dot FROM ux JOIN weights USING (w) GROUP BY ALL),
+scores AS (SELECT doc_id, name, round(dot / len, 6) AS score FROM dots JOIN lens USING (doc_id, u)),
+best AS (SELECT doc_id, score AS own_score, CASE WHEN score >= 0.6 THEN name END AS own_license FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) = 1),
+found AS (SELECT f.doc_id, path, own_score, own_license, regexp_replace(path, '/?[^/]*$', '') AS dir FROM files f LEFT JOIN best USING (doc_id)),
+given AS (SELECT dir AS above, own_license AS lic FROM found WHERE own_license IS NOT NULL AND regexp_extract(path, '[^/]*$') IN ({names})
+   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, own_license) = 1),
+anc AS (SELECT dir, up, array_to_string(string_split(dir, '/')[1:len(string_split(dir, '/')) - up], '/') AS above
+   FROM (SELECT dir, unnest(range(len(string_split(dir, '/')) + 1)) AS up FROM (SELECT DISTINCT dir FROM found))),
+near AS (SELECT dir, above, lic FROM anc JOIN given USING (above) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY up) = 1)
+SELECT doc_id, path, own_license, coalesce(own_score, 0.0::DOUBLE) AS own_score, coalesce(own_license, lic) AS license,
+       CASE WHEN own_license IS NULL THEN above END AS inherited_from
+FROM found LEFT JOIN near USING (dir)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op3_warc": op3_sql(), "op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_warc": op3_sql(), "op6_line_dedup": OP6_SQL, "op8_licenses": op8_sql(), "op9_exact_dedup": OP9_SQL}
