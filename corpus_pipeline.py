@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.llm import exactdedup, mixing, neardup, packing, registry, toxicity
-from sievelake.llm.common import settle
+from sievelake.llm.common import few, settle
 from sievelake.session import ship
 
 
@@ -31,8 +31,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the row with the least id."""
     ship(spark)
-    gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = settle(neardup.near_duplicates(docs).filter("not kept").select("doc_id"), "near-copies")
+    return docs.join(few(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,8 @@ def splitters(ids: DataFrame, parts: int, each: int = 64) -> list[int]:
     every = max(1, ids.count() // (each * parts))
     picked = sorted({r.id for r in ids.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(every)) == 0).collect()})
     return sorted({picked[i * len(picked) // parts] for i in range(1, parts)}) if picked else []
+
+
+def few(ids: DataFrame, rows: int = 4_000_000) -> DataFrame:
+    """A table of one id a row, marked to go to all executors if it is no larger than ``rows`` (about 100 MB); counted, and shuffled beyond."""
+    return F.broadcast(ids) if ids.count() <= rows else ids

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import settle, shuffle_partitions
+from sievelake.llm.common import few, settle, shuffle_partitions
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -205,8 +205,10 @@ def links(tasks: DataFrame, texts: DataFrame, size: int, least: float) -> DataFr
         done()
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    per_node = tasks.groupBy("_node").agg(F.collect_set("_task").alias("_tasks"))
-    candidates = texts.join(per_node, "_node").select("_node", word_hashes(F.col("_t")).alias("_w"), "_tasks")
+    per_node = settle(tasks.groupBy("_node").agg(F.collect_set("_task").alias("_tasks")), "candidates")
+    # only candidates' texts are shuffled
+    mine = texts.join(few(per_node.select("_node")), "_node", "left_semi")
+    candidates = mine.join(per_node, "_node").select("_node", word_hashes(F.col("_t")).alias("_w"), "_tasks")
     rows = candidates.mapInPandas(sketch, "_node long, _data binary, _tasks array<long>").select("_node", "_data", F.explode("_tasks").alias("_task"))
     dealt = rows.repartition(shuffle_partitions(texts.sparkSession), "_task").sortWithinPartitions("_task", "_node")
     return dealt.mapInPandas(meet, "a long, b long").distinct()
