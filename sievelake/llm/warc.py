@@ -96,7 +96,7 @@ class Roller:
             self.out = None
 
 
-def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shards: int | None = None, roll_bytes: int = 32 << 20, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shards: int | None = None, shard_bytes: int = 64 << 20, roll_bytes: int = 32 << 20, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write an archive of the pages to a new folder; returns its manifest, one row per file.
 
     The payload is the html in UTF-8, a null one is empty. Of pages with equal payloads of at
@@ -107,12 +107,14 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     """
     spark = pages.sparkSession
     base = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("_url"), F.coalesce(html_col, F.lit("")).alias("_html"))
-    digests = base.select("page", F.sha2(F.col("_html").cast("binary"), 256).alias("digest"), F.octet_length("_html").alias("n")).filter(F.col("n") >= least_bytes).select("page", "digest")
-    digests = settle(digests, "digests")
+    digests = base.select("page", F.sha2(F.col("_html").cast("binary"), 256).alias("digest"), F.octet_length("_html").alias("n"))
+    sized = settle(digests, "digests")
+    digests = sized.filter(F.col("n") >= least_bytes).select("page", "digest")
     # equal payloads are combined before the shuffle; only those that come again are looked up
     first = digests.groupBy("digest").agg(F.min("page").alias("refers"), F.count("*").alias("n")).filter("n > 1 and refers is not null").drop("n")
     roles = digests.join(first, "digest").filter(~F.col("page").eqNullSafe(F.col("refers"))).distinct()
-    shards = shards or shuffle_partitions(spark)
+    # shards follow the bytes, so that a task's share stays bounded
+    shards = shards or max(shuffle_partitions(spark), -(-(sized.agg(F.sum("n")).first()[0] or 0) // shard_bytes))
     cuts = splitters(base.select("page"), shards)
     # page ids are looked up among the few splitters in batches
     known = np.array(cuts, np.int64)
