@@ -77,6 +77,12 @@ def differences(pairs: DataFrame, keys: list[str], *, factor: float, seed: int,
     return cells.groupBy(*keys).agg(F.sum(F.when(F.col("_cell") < 0, F.col("_c")).otherwise(0)).alias("_d"), F.count(F.when(F.col("_cell") >= 0, 1)).alias("_left"))
 
 
+def up_to(cuts: Column, k: Column) -> Column:
+    """How many of ``cuts`` are at most ``k``."""
+    below = F.array_position(F.sort_array(F.array_append(cuts, k)), k) - 1
+    return (below + F.array_contains(cuts, k).cast("int")).cast("int")
+
+
 def in_buckets(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (_k, _t) with _bucket and _copy: 0 for the row itself, 1 for its copy as the next bucket's first, 2 as the first of all, which follows the last."""
     cuts = splitters(docs.select("_k"), parts)
@@ -87,12 +93,14 @@ def in_buckets(docs: DataFrame, parts: int) -> DataFrame:
     # constants of the plan: buckets are looked up among groups of splitters, then in one group
     grouped = F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>")
     heads = F.from_json(F.lit(json.dumps([g[0] for g in groups[1:]])), "array<bigint>")
-    rows = docs.withColumn("_g", F.size(F.filter(heads, lambda c: c <= F.col("_k"))))
+    # no lambdas here: with them Spark wouldn't see that both uses of the dealt rows can share one shuffle
+    rows = docs.withColumn("_g", up_to(heads, F.col("_k")))
     group = F.element_at(grouped, F.col("_g") + 1)
-    rows = rows.withColumn("_b", F.col("_g") * step + F.size(F.filter(group, lambda c: c <= F.col("_k")))).withColumn("_head", F.array_contains(group, F.col("_k")))
+    rows = rows.withColumn("_b", F.col("_g") * step + up_to(group, F.col("_k"))).withColumn("_head", F.array_contains(group, F.col("_k")))
     to = lambda bucket, copy: F.struct(bucket.cast("int").alias("_bucket"), F.lit(copy).alias("_copy"))
     copies = F.array_compact(F.array(to(F.col("_b"), 0), F.when(F.col("_head"), to(F.col("_b") - 1, 1)), F.when(F.col("_k") == F.lit(least), to(F.lit(len(cuts)), 2))))
-    return rows.select("_k", "_t", F.explode(copies).alias("_to")).select("_k", "_t", "_to.*")
+    # a join that keeps one side infers this for the other only, and their shuffles would differ
+    return rows.select("_k", "_t", F.explode(copies).alias("_to")).select("_k", "_t", "_to.*").filter("_bucket is not null")
 
 
 def with_next(base: DataFrame, parts: int) -> DataFrame:
@@ -142,7 +150,7 @@ def retry(base: DataFrame, stuck: DataFrame, parts: int, attempts: int, broadcas
     return solved if solved is not None else stuck.select(*KEYS, F.lit(0).cast("long").alias("_d"))
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_factor: int = 4, factor: float = 1.0, attempts: int = 12) -> DataFrame:
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_factor: int = 8, factor: float = 1.0, attempts: int = 12) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text has the last half of the code points (rounded down) replaced by as many from the
