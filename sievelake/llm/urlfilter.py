@@ -1,7 +1,8 @@
 """URL filter: host and path rules first, then gradient-boosted trees over lexical features.
 
-The trees learn from labelled URLs: the caller's, or those that telling words in hosts label. They
-are boosted on the driver over a sample of bounded size, and score in batches.
+The trees learn from labelled URLs: the caller's, or those that telling words in hosts label. Rates by
+suffix, site, host and first directory are counted over all of them and joined in. The trees are boosted
+on the driver over a sample of bounded size, weighted by the labels' true counts, and score in batches.
 """
 
 from __future__ import annotations
@@ -16,11 +17,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.llm.common import few, settle
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words in a host, between dots, hyphens or digits, that label a URL as unwanted for training.
 UNWANTED = ("ads", "adult", "bet", "bets", "betting", "casino", "cheap", "clickbait", "escort", "free", "gambling", "loan", "payday", "pharma", "pills", "poker", "porn", "sex", "slots", "spam", "track", "tracker", "viagra", "xxx")
 FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "labels", "digits", "host_digits", "entropy", "host_entropy", "parameters", "query_chars", "hyphens", "host_hyphens", "upper", "https", "fragment", "extension", "percent", "longest_label", "suffix_rate", "site_rate", "host_rate", "first_dir_rate")
 MIN_LEAF, BINS = 20, 32
+RATES = FEATURES[-4:]
+#: Of the rates for training: a URL's own fold is left out. A table of more keys than BROADCAST_KEYS isn't sent to all executors.
+FOLDS, WEIGHT, BROADCAST_KEYS = 5, 10.0, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -88,6 +94,11 @@ class Rates:
 
 
 def features(urls: list[str | None], hosts: list[str], paths: list[str], rates: Rates) -> np.ndarray:
+    return with_rates(urls, hosts, paths, np.asarray([rates.of(h, p) for h, p in zip(hosts, paths, strict=True)], float))
+
+
+def with_rates(urls: list[str | None], hosts: list[str], paths: list[str], rates: np.ndarray) -> np.ndarray:
+    """Lexical features, then the four rates of each URL."""
     rows = []
     for url, host, path in zip(urls, hosts, paths, strict=True):
         url = url or ""
@@ -96,9 +107,8 @@ def features(urls: list[str | None], hosts: list[str], paths: list[str], rates:
         rows.append([
             len(url), len(host), len(path), path.count("/"), len(labels), sum(c.isdigit() for c in url) / max(1, len(url)), sum(c.isdigit() for c in host), entropy(url), entropy(host),
             query.count("&") + bool(query), len(query), url.count("-"), host.count("-"), sum(c.isupper() for c in url), url.startswith("https"), "#" in url, bool(re.search(r"\.\w{1,5}$", path)), url.count("%"), max(map(len, labels)),
-            *rates.of(host, path),
         ])
-    return np.asarray(rows, float).reshape(-1, len(FEATURES))
+    return np.hstack([np.asarray(rows, float).reshape(-1, len(FEATURES) - len(RATES)), rates.reshape(-1, len(RATES))])
 
 
 def unseen_features(urls: list[str], hosts: list[str], paths: list[str], y: np.ndarray, folds: int = 5) -> np.ndarray:
@@ -119,8 +129,9 @@ class BoostedTrees:
         self.trees, self.depth, self.rate, self.l2 = trees, depth, rate, l2
         self.base, self.grown = 0.0, []
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        p = (y.sum() + 1) / (len(y) + 2)
+    def fit(self, x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> BoostedTrees:
+        w = np.ones(len(y)) if weights is None else weights
+        p = ((w * y).sum() + 1) / (w.sum() + 2)
         self.base, self.grown = float(np.log(p / (1 - p))), []
         if not len(y):
             return self
@@ -129,7 +140,7 @@ class BoostedTrees:
         score = np.full(len(y), self.base)
         for _ in range(self.trees):
             q = 1 / (1 + np.exp(-score))
-            tree = self._grow(binned, edges, y - q, q * (1 - q), np.arange(len(y)), self.depth)
+            tree = self._grow(binned, edges, w * (y - q), w * q * (1 - q), np.arange(len(y)), self.depth)
             self.grown.append(tree)
             score += self._score(tree, x)
         return self
@@ -174,13 +185,61 @@ def words_label(host: Column) -> Column:
     return F.when(F.rlike(host, F.lit(rf"(^|[.\d-])({'|'.join(UNWANTED)})([.\d-]|$)")), "block").otherwise("allow")
 
 
-def train(labelled: DataFrame, sample: int = 20_000) -> tuple[BoostedTrees, Rates]:
-    """From (url, host, path, label): at most ``sample`` distinct URLs, half of each label, are collected in a fixed order by hash."""
-    known = labelled.select("url", "host", "path", "label").dropDuplicates(["url"])
-    rows = [r for y in ("block", "allow") for r in known.filter(F.col("label") == y).orderBy(F.xxhash64("url"), "url").limit(sample // 2).collect()]
-    y = np.array([r.label == "block" for r in rows], float)
-    rates = Rates([r.host for r in rows], [r.path for r in rows], y)
-    return BoostedTrees().fit(unseen_features([r.url for r in rows], [r.host for r in rows], [r.path for r in rows], y), y), rates
+def rate_keys(host: Column, path: Column) -> list[Column]:
+    """The host's last one, two and three labels, and the first directory, as ``tail`` and ``first_dir`` give them."""
+    folders = F.split(path, "/", -1)
+    return [*(F.substring_index(host, ".", -n) for n in (1, 2, 3)), F.when(F.size(folders) > 2, F.get(folders, F.lit(1))).otherwise("")]
+
+
+@dataclass(frozen=True)
+class CountedRates:
+    """What ``Rates`` holds, counted over all labelled URLs: a table of a row for each key, and the counts of URLs and unwanted ones in each fold."""
+
+    table: DataFrame
+    urls: list[int]
+    unwanted: list[int]
+
+    @classmethod
+    def of(cls, known: DataFrame) -> CountedRates:
+        """From distinct (host, path, y, fold)."""
+        counts = [c for k in range(FOLDS) for c in (F.count_if(F.col("fold") == k).alias(f"n{k}"), F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("y"))), F.lit(0)).alias(f"s{k}"))]
+        keys = F.array(*[F.struct(F.lit(i).alias("kind"), k.alias("key")) for i, k in enumerate(rate_keys(F.col("host"), F.col("path")))])
+        # a hot host is counted before the shuffle
+        table = settle(known.select(F.explode(keys).alias("k"), "y", "fold").groupBy("k.kind", "k.key").agg(*counts), "url-rates")
+        # one row: each URL has one first directory
+        all_ = table.filter("kind = 3").agg(*[F.coalesce(F.sum(f"{c}{k}"), F.lit(0)).alias(f"{c}{k}") for k in range(FOLDS) for c in "ns"]).first()
+        return cls(table, [all_[f"n{k}"] for k in range(FOLDS)], [all_[f"s{k}"] for k in range(FOLDS)])
+
+    def join(self, pages: DataFrame, fold: str | None = None) -> DataFrame:
+        """``pages`` (host, path) with a column for each of RATES. Each row's own ``fold`` is left out, if given."""
+        total, bad = sum(self.urls), sum(self.unwanted)
+        means = [(bad - s) / (total - n) if total > n else 0.5 for n, s in zip(self.urls, self.unwanted, strict=True)] if fold else [bad / total if total else 0.5]
+        mean = F.get(F.array(*[F.lit(float(m)) for m in means]), F.col(fold) if fold else F.lit(0))
+        for i, (name, key) in enumerate(zip(RATES, rate_keys(F.col("host"), F.col("path")), strict=True)):
+            counts = self.table.filter(F.col("kind") == i).select(F.col("key").alias("_key"), F.array(*[f"n{k}" for k in range(FOLDS)]).alias("_n"), F.array(*[f"s{k}" for k in range(FOLDS)]).alias("_s"))
+            pages = pages.withColumn("_key", key).join(few(counts, BROADCAST_KEYS), "_key", "left")
+            n, s = (F.coalesce(sum((F.get(c, F.lit(k)) for k in range(FOLDS)), F.lit(0)) - (F.get(c, F.col(fold)) if fold else F.lit(0)), F.lit(0)) for c in ("_n", "_s"))
+            pages = pages.withColumn(name, (s + WEIGHT * mean) / (n + WEIGHT)).drop("_key", "_n", "_s")
+        return pages
+
+
+def train(labelled: DataFrame, sample: int = 20_000) -> tuple[BoostedTrees, CountedRates]:
+    """From (url, host, path, label); a URL with both labels counts as block.
+
+    The rates are counted over all distinct URLs. The trees learn from at most ``sample`` of them, half of
+    each label, collected in a fixed order by hash and weighted so that each label has its true share.
+    """
+    known = labelled.filter(F.col("label").isin("block", "allow")).groupBy("url", "host", "path").agg(F.max((F.col("label") == "block").cast("int")).alias("y"))
+    known = settle(known.withColumn("fold", F.pmod(F.xxhash64("url", F.lit(7)), F.lit(FOLDS)).cast("int")), "url-labels")
+    rates = CountedRates.of(known)
+    picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("url"), "url").limit(sample // 2) for y in (1, 0)]
+    # at most ``sample`` rows
+    rows = sorted(rates.join(settle(picked[0].unionByName(picked[1]), "url-sample"), "fold").collect(), key=lambda r: (-r.y, r.url))
+    y = np.array([r.y for r in rows], float)
+    true = np.array([sum(rates.urls) - sum(rates.unwanted), sum(rates.unwanted)])
+    share = np.array([true[v] / true.sum() * len(y) / max(1, (y == v).sum()) for v in (0, 1)]) if len(y) else np.ones(2)
+    x = with_rates([r.url for r in rows], [r.host for r in rows], [r.path for r in rows], np.array([[r[c] for c in RATES] for r in rows], float))
+    return BoostedTrees().fit(x, y, share[y.astype(int)]), rates
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", labelled: DataFrame | None = None, sample: int = 20_000) -> DataFrame:
@@ -203,8 +262,9 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = features(*(batch[c].where(batch[c].notna(), None).tolist() for c in ("url", "host", "path")), rates)
-            yield batch.assign(score=trees.predict(x) if known else 0.0)
+            x = with_rates(*(batch[c].where(batch[c].notna(), None).tolist() for c in ("url", "host", "path")), batch[list(RATES)].to_numpy(float))
+            yield batch.drop(columns=list(RATES)).assign(score=trees.predict(x) if known else 0.0)
 
-    scored = base.withColumn("_id", F.col("_id").cast("string")).mapInPandas(run, "_id string, url string, host string, path string, rule string, ruled string, score double")
+    rated = rates.join(base.withColumn("_id", F.col("_id").cast("string")))
+    scored = rated.mapInPandas(run, "_id string, url string, host string, path string, rule string, ruled string, score double")
     return scored.select(F.col("_id").cast("long").alias(id_col), "url", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")

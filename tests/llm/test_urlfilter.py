@@ -66,3 +66,37 @@ def test_labels_of_the_caller(spark):
     labelled = spark.createDataFrame([(f"http://good{i}.org/a", "allow") for i in range(60)] + [(f"http://b-a-d-{i}.org/a/b/c/{i}{i}", "block") for i in range(60)], "url string, label string")
     pages = spark.createDataFrame([(1, "http://good99.org/a"), (2, "http://b-a-d-99.org/a/b/c/9999")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in filter_urls(pages, [], labelled=labelled).collect()} == {1: "allow", 2: "block"}
+
+
+def many_hosts(spark, hosts=400, unwanted=20):
+    """(url, label): hosts that nothing but their own URLs tells apart, every ``unwanted``-th of them to block."""
+    return spark.range(hosts * 20).selectExpr(f"concat('http://', substr(md5(string(id div 20)), 1, 12), '.org/a/', substr(md5(string(id)), 1, 8)) as url", f"if((id div 20) % {unwanted} = 0, 'block', 'allow') as label")
+
+
+def test_hosts_outside_the_sample_are_known(spark):
+    labelled = many_hosts(spark)
+    pages = labelled.selectExpr("xxhash64(url) as page_id", "url")
+    truth = {r.url: r.label for r in labelled.collect()}
+    rows = filter_urls(pages, [], labelled=labelled, sample=200).collect()
+    assert len(rows) == len(truth) and all(r.verdict == truth[r.url] for r in rows)
+
+
+def test_a_small_sample_keeps_the_labels_share(spark):
+    # nothing tells labels apart: each host is seen once
+    url = "concat('http://', substr(md5(concat('{0}', id)), 1, 12), '.org/', substr(md5(string(id)), 1, 8)) as url"
+    labelled = spark.range(4000).selectExpr(url.format("old"), "if(id % 20 = 0, 'block', 'allow') as label")
+    rows = filter_urls(spark.range(500).selectExpr("id as page_id", url.format("new")), [], labelled=labelled, sample=200).collect()
+    assert np.mean([r.score for r in rows]) < 0.15 and sum(r.verdict == "block" for r in rows) <= 25
+
+
+def test_rates_are_those_of_all_urls(spark):
+    cases = [(u, "block" if i % 3 else "allow") for i, (u, *_) in enumerate(CASES) if u is not None] + [(f"http://h{i % 4}.b.c.net/d{i % 3}/x{i}", "block" if i % 5 == 0 else "allow") for i in range(50)]
+    known = spark.createDataFrame([(u, u in dict(cases[:5]), i % 5, label) for i, (u, label) in enumerate(cases)], "url string, x boolean, fold int, label string")
+    known = known.withColumns(dict(zip(("host", "path"), urlfilter.parts(urlfilter.F.col("url")), strict=True))).selectExpr("url", "host", "path", "fold", "int(label = 'block') as y")
+    counted, rows = urlfilter.CountedRates.of(known), known.collect()
+    for fold in (None, *range(5)):
+        used = [r for r in rows if r.fold != fold]
+        want = urlfilter.Rates([r.host for r in used], [r.path for r in used], np.array([r.y for r in used], float))
+        for r in counted.join(known, None if fold is None else "fold").collect():
+            if fold is None or r.fold == fold:
+                assert np.allclose([r[c] for c in urlfilter.RATES], want.of(r.host, r.path))
