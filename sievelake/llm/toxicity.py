@@ -224,13 +224,14 @@ def prefixes(text: str) -> set[str]:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0) -> np.ndarray:
-    """Logistic coefficients drawn to ``prior``, which holds where the sample says nothing."""
+def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0, weights: np.ndarray | None = None) -> np.ndarray:
+    """Logistic coefficients drawn to ``prior``, which holds where the sample says nothing; a row counts as many times as its weight says."""
     x = np.column_stack([np.ones(len(x)), x])
+    w = np.ones(len(x)) if weights is None else weights
     b = prior.astype(float).copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(3), x.T @ (y - p) - strength * (b - prior))
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + strength * np.eye(3), x.T @ (w * (y - p)) - strength * (b - prior))
         b += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -240,6 +241,8 @@ def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0)
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000) -> Model:
     """Learn from at most ``per_class`` labelled documents of each class, in a fixed order by hash.
 
+    The coefficients are fitted with each class weighted by its count over all learnable labels, so that they
+    don't depend on how many of it the sample holds.
     Held-out ids (see ``held_out``) are never learned from. Labels that repeat count once, as 1 if any is.
     Null ids, labels and texts are skipped. Without a toxic label the model scores all low.
     """
@@ -250,6 +253,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = [(r._id, int(r._y)) for r in sample.collect()]
     if not any(y for _, y in rows):
         return Model()
+    # one row for each class
+    counted, taken = {r._y: r["count"] for r in known.filter("_y in (0, 1)").groupBy("_y").count().collect()}, Counter(y for _, y in rows)
+    share = np.array([counted.get(v, 0) / max(1, taken[v]) for v in (0, 1)])
     # a sample of the labels, of bounded size
     ids = docs.sparkSession.createDataFrame(rows, "_id long, _y int")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).filter("_t is not null").join(F.broadcast(ids), "_id").select("_t", "_y")
@@ -287,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     # the coefficients come from texts that the lexicon hasn't seen
     x = [models["second" if side == 0 else "first"].features(hits["second" if side == 0 else "first"][i]) for i, side in enumerate(half)]
     model = models["all"]
-    model.coefficients = tuple(float(v) for v in fit(np.array(x).reshape(-1, 2), y.astype(float), np.array([-3.0, 1.0, 0.2])))
+    model.coefficients = tuple(float(v) for v in fit(np.array(x).reshape(-1, 2), y.astype(float), np.array([-3.0, 1.0, 0.2]), weights=share[y]))
     return model
 
 

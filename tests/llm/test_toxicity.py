@@ -97,3 +97,23 @@ def test_odd_rows(spark, odd, none):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert len({r.score for r in rows if r.doc_id in (0, 1, 2)}) == 1
     assert score_documents(none, labels).collect() == [] and len(score_documents(odd, labels.limit(0)).collect()) == odd.count()
+
+
+def test_a_bounded_sample_keeps_the_rate_of_false_positives(spark):
+    rng = random.Random(7)
+    docs, labels = [], []
+    for i in range(4000):
+        words, toxic = ["".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(8)], i % 25 == 0
+        # a word of most toxic documents, but of more clean ones
+        if rng.random() < (0.8 if toxic else 0.07):
+            words[rng.randrange(8)] = "rubbish"
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rates = {}
+    for per_class in (80, 4000):
+        model = train(docs, labels, per_class=per_class)
+        assert any(t.startswith("rub") for t in model.terms)
+        rows = score_documents(docs, labels, per_class=per_class).filter("held_out and doc_id % 25 > 0").collect()
+        rates[per_class] = sum(r.predicted for r in rows) / len(rows)
+    assert rates[80] <= rates[4000] + 0.01, rates
