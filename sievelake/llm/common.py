@@ -39,6 +39,25 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The tables of one run of an operator; they go once its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, new_folder(spark, "run")
+
+    def settle(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table that stays, in place of all others."""
+        out = settle(df, name)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -53,8 +72,3 @@ def splitters(ids: DataFrame, parts: int, each: int = 64) -> list[int]:
     every = max(1, ids.count() // (each * parts))
     picked = sorted({r.id for r in ids.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(every)) == 0).collect()})
     return sorted({picked[i * len(picked) // parts] for i in range(1, parts)}) if picked else []
-
-
-def few(ids: DataFrame, rows: int = 4_000_000) -> DataFrame:
-    """A table of one id a row, marked to go to all executors if it is no larger than ``rows`` (about 100 MB); counted, and shuffled beyond."""
-    return F.broadcast(ids) if ids.count() <= rows else ids

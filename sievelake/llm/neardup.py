@@ -1,20 +1,20 @@
-"""Near-duplicate classes by Order MinHash and alignment.
+"""Near-duplicate classes by Order MinHash and banded alignment.
 
 A document is its sequence of occurrence-labelled five-word shingles: the k-th occurrence of a
 shingle is another symbol than the first, so that each symbol comes once. For each of ``bands``
 hash functions a document samples the ``picks`` symbols of least hash and keeps them in text
 order; documents with an equal sample are candidates, and those whose order differs are not.
 
-Identical texts are one node. Buckets of candidates are met in blocks of bounded size, every pair
-of blocks once; a pair of texts is linked if the aligned symbols reach the similarity over all
-symbols of both. As symbols are unique, the alignment is a longest increasing subsequence of
-matched positions, kept within a band round the diagonal that the similarity implies. Links join
-into classes by contraction in tables, never on the driver.
+Identical texts are one node. Two candidates are linked if their words align with few enough edits:
+a banded Levenshtein alignment, whose columns are machine words of differences. Buckets of
+candidates are met in two passes. First in blocks of bounded size, each with some members of the whole
+bucket as heads, so that a large group of copies links up at a cost in proportion to its size. Then, in
+buckets of several blocks, members that aren't in one class yet meet, so that no pair of
+candidates is left out. Links join into classes by contraction in tables, never on the driver.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import few, settle, shuffle_partitions
+from sievelake.llm.common import Scratch, shuffle_partitions
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Words of a text whose places are held in one table of bits.
+CHUNK = 4096
+#: Bins of the word counts that rule out most pairs before alignment.
+BINS = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,164 +67,195 @@ def symbols(words: np.ndarray, size: int = 5) -> np.ndarray:
 def order_minhash(found: np.ndarray, bands: int, picks: int) -> np.ndarray:
     """A signature for each band: the hash of its ``picks`` least symbols in text order."""
     seeds = mix(np.arange(1, bands + 1, dtype=np.uint64) * MIX)
-    hashed = mix(found[:, None] ^ seeds[None, :])
+    hashed = mix(seeds[:, None] ^ found[None, :])
     k = min(picks, len(found))
-    at = np.sort(np.argpartition(hashed, k - 1, axis=0)[:k], axis=0) if k < len(found) else np.repeat(np.arange(k)[:, None], bands, 1)
+    at = np.sort(np.argpartition(hashed, k - 1, axis=1)[:, :k], axis=1) if k < len(found) else np.repeat(np.arange(k)[None, :], bands, 0)
     out = np.full(bands, k, np.uint64)
-    for row in at:
-        out = mix((out + found[row]) * MIX)
+    for place in at.T:
+        out = mix((out + found[place]) * MIX)
     return out.view(np.int64)
 
 
-def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """Aligned symbols over all symbols of both; below ``least`` it may stop at an upper bound."""
-    if len(a) > len(b):
+def edits(a: np.ndarray, b: np.ndarray, limit: int) -> int:
+    """Words to insert, delete or replace between two texts, if they are at most ``limit``; else more than ``limit``.
+
+    Only cells that ``limit`` edits can reach are looked at: a band round the diagonal, of which each
+    column is held as the bits of its differences (Myers, Hyyro) and moves down a row with the next word.
+    """
+    if len(a) < len(b):
         a, b = b, a
-    if not len(a) or len(a) < least * len(b):
-        return 0.0
-    order = np.argsort(b, kind="stable")
-    at = np.searchsorted(b[order], a)
-    at[at == len(b)] = 0
-    hit = b[order][at] == a
-    x, y = np.flatnonzero(hit), order[at[hit]]
-    # at this similarity at most so many symbols of either are unaligned, so no pair lies further off the diagonal
-    band = int(np.ceil((1 - least) / (1 + least) * (len(a) + len(b)))) + 1
-    y = y[np.abs(x - y) <= band]
-    bound = len(y) / (len(a) + len(b) - len(y))
-    if bound < least or (y[1:] > y[:-1]).all():
-        return bound
-    tails: list[int] = []
-    for v in y.tolist():
-        i = bisect_left(tails, v)
-        tails[i : i + 1] = [v]
-    return len(tails) / (len(a) + len(b) - len(tails))
+    m = len(b)
+    if len(a) - m > limit:
+        return limit + 1
+    same = a[:m] == b
+    start = m if same.all() else int(same.argmin())
+    a, b = a[start:], b[start:]
+    m = len(b)
+    if not m:
+        return len(a)
+    same = a[len(a) - m :][::-1] == b[::-1]
+    end = m if same.all() else int(same.argmin())
+    a, b = a[: len(a) - end].tolist(), b[: m - end].tolist()
+    gap = len(a) - len(b)
+    half = (limit - gap) // 2
+    width = gap + 2 * half + 1
+    mask, last = (1 << width) - 1, 1 << (half + gap)
+    held: dict[int, dict[int, int]] = {}
+
+    def places(chunk: int) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for p, w in enumerate(a[chunk * CHUNK : (chunk + 1) * CHUNK]):
+            out[w] = out.get(w, 0) | 1 << p
+        return out
+
+    # bit t of column j is row j - half + t; rows above the first add one for each column
+    up, down, score = mask & ~((1 << half) - 1), 0, gap
+    for j, w in enumerate(b):
+        low, equal = j - half, 0
+        first = max(low, 0) // CHUNK
+        for chunk in range(first, (low + width - 1) // CHUNK + 1):
+            if chunk not in held:
+                held[chunk] = places(chunk)
+                held.pop(first - 1, None)
+            bits = held[chunk].get(w)
+            if bits:
+                shift = chunk * CHUNK - low
+                equal |= bits << shift if shift >= 0 else bits >> -shift
+        either = (equal & mask) | down
+        free = (((either & up) + up) ^ up) | either
+        right, left = down | ~(free | up), free & up
+        if not free & last:
+            score += 1
+            if score > limit:
+                return score
+        free >>= 1
+        up, down = (left | ~(free | right)) & mask, free & right & mask
+    return score
+
+
+def limit_of(longer: int, least: float) -> int:
+    return int((1 - least) * longer + 1e-9)
 
 
 def signatures(texts: DataFrame, bands: int, picks: int, size: int) -> DataFrame:
-    """_sha, _node, _len, _sigs of the rows (_sha, _node, _t)."""
+    """_sha, _id, _len, _sigs of the rows (_sha, _id, _t)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 found = [symbols(np.asarray(w, np.int64), size) for w in batch["_w"]]
-                yield pd.DataFrame({"_sha": batch["_sha"], "_node": batch["_node"], "_len": [len(f) for f in found], "_sigs": [order_minhash(f, bands, picks) if len(f) else None for f in found]})
-
-    return texts.select("_sha", "_node", word_hashes(F.col("_t")).alias("_w")).mapInPandas(run, "_sha string, _node long, _len long, _sigs array<long>")
+                yield pd.DataFrame({"_sha": batch["_sha"], "_id": batch["_id"], "_len": [len(w) for w in batch["_w"]], "_sigs": [order_minhash(f, bands, picks) if len(f) else None for f in found]})
 
+    return texts.select("_sha", "_id", word_hashes(F.col("_t")).alias("_w")).mapInPandas(run, "_sha string, _id long, _len long, _sigs array<long>")
 
-def blocks_of(buckets: DataFrame, members: DataFrame, block: int, block_symbols: int) -> DataFrame:
-    """(task, node): each member of a bucket in each pair of blocks that has it. A block has about ``block`` texts and ``block_symbols`` symbols at most."""
-    n = F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.col("_all") / block_symbols)).cast("int")
-    rows = members.join(buckets, ["_band", "_sig"]).withColumn("_blocks", n).withColumn("_own", F.pmod(F.xxhash64("_node", F.lit(3)), F.col("_blocks")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
-    return rows.select(F.xxhash64("_band", "_sig", low, high).alias("_task"), "_node")
 
+def parts_of(n: str, words: str, block: int, block_words: int) -> Column:
+    return F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(words) / block_words)).cast("int")
 
-class Forest:
-    """Union by least root; pairs within a tree need no further look."""
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def first_meetings(buckets: DataFrame, members: DataFrame, heads: int) -> DataFrame:
+    """(_task, _node): each member in one block of its bucket, and about ``heads`` of a bucket in all its blocks."""
+    rows = members.join(buckets, ["_band", "_sig"])
+    own = F.pmod(F.xxhash64("_node", F.lit(3)), F.col("_parts")).cast("int")
+    head = (F.col("_parts") > 1) & (F.pmod(F.xxhash64("_node", F.lit(4)), F.ceil(F.col("_n") / heads).cast("long")) == 0)
+    blocks = F.when(head, F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(F.array(own))
+    return rows.select("_band", "_sig", "_node", F.explode(blocks).alias("_block")).select(F.xxhash64("_band", "_sig", "_block").alias("_task"), "_node")
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
 
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
+def later_meetings(wide: DataFrame, members: DataFrame, found: DataFrame, block: int, block_words: int, scratch: Scratch) -> DataFrame:
+    """(_task, _node, _class): members of the buckets ``wide`` that are of different classes so far.
 
-
-def block_links(nodes: list[int], found: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links that span each class among the texts of a task. All pairs are covered: shared symbols are counted by a product of 0/1 matrices."""
+    A class of more than a block is cut into chunks of its own, which don't meet each other; small
+    classes share chunks. Every two other chunks of a bucket meet.
+    """
+    rows = members.join(wide.select("_band", "_sig"), ["_band", "_sig"]).join(found, F.col("_node") == F.col("node"), "left")
+    rows = scratch.settle(rows.select(F.xxhash64("_band", "_sig").alias("_bucket"), "_node", "_len", F.coalesce("root", "_node").alias("_class")), "wide-buckets")
+    sizes = rows.groupBy("_bucket", "_class").agg(F.count("*").alias("_n"), F.sum("_len").alias("_words")).withColumn("_parts", parts_of("_n", "_words", block, block_words))
+    small = F.col("_parts") == 1
+    totals = sizes.groupBy("_bucket").agg(F.count("*").alias("_classes"), F.sum(F.when(small, F.col("_n"))).alias("_sn"), F.sum(F.when(small, F.col("_words"))).alias("_sw")).filter("_classes > 1")
+    totals = totals.select("_bucket", F.coalesce(parts_of("_sn", "_sw", block, block_words), F.lit(0)).alias("_shared"))
+    sizes = sizes.join(totals, "_bucket").select("_bucket", "_class", "_parts", "_shared", F.when(F.col("_parts") > 1, F.col("_class")).alias("_large"))
+    part = F.when(F.col("_large").isNotNull(), F.pmod(F.xxhash64("_node", F.lit(6)), F.col("_parts"))).otherwise(F.pmod(F.xxhash64("_class", F.lit(6)), F.col("_shared"))).cast("int")
+    rows = rows.select("_bucket", "_node", "_class").join(sizes, ["_bucket", "_class"]).select("_bucket", "_node", "_class", "_large", part.alias("_part"))
+    chunks = rows.select("_bucket", "_large", "_part").distinct().withColumn("_chunk", F.xxhash64("_bucket", "_large", "_part"))
+    other = chunks.select("_bucket", F.col("_large").alias("_other_large"), F.col("_chunk").alias("_other"))
+    apart = F.col("_large").isNull() | ~F.col("_large").eqNullSafe(F.col("_other_large"))
+    pairs = chunks.join(other, "_bucket").filter((F.col("_chunk") <= F.col("_other")) & apart)
+    task = F.xxhash64("_bucket", "_chunk", "_other").alias("_task")
+    ends = F.array_distinct(F.array("_chunk", "_other"))
+    meets = pairs.select(task, "_bucket", F.explode(ends).alias("_chunk"))
+    return rows.withColumn("_chunk", F.xxhash64("_bucket", "_large", "_part")).join(meets, ["_bucket", "_chunk"]).select("_task", "_node", "_class")
+
+
+def block_links(nodes: list[int], texts: list[np.ndarray], classes: list[int], least: float) -> list[tuple[int, int]]:
+    """Links that join the texts of a task into classes; texts of one class aren't compared. All other pairs are."""
     n = len(nodes)
-    if n < 2:
-        return []
     if n == 2:
-        return [(nodes[0], nodes[1])] if aligned(found[0], found[1], least) >= least else []
-    sizes = np.array([len(f) for f in found])
-    flat, inverse, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), sizes)
-    # symbols of one text only can't be shared; of the others, a text needs most of its own to link at all
-    shared = times[inverse] > 1
-    common = np.bincount(owner[shared], minlength=n)
-    live = np.flatnonzero(common >= least * sizes)
-    if len(live) < 2:
-        return []
-    place = np.full(n, -1)
-    place[live] = np.arange(len(live))
-    use = shared & (place[owner] >= 0)
-    _, column = np.unique(inverse[use], return_inverse=True)
-    row = place[owner[use]]
-    both = np.zeros((len(live), len(live)), np.float32)
-    step = 1 << 13
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-        i, j = np.searchsorted(column, [lo, lo + step])
-        m = np.zeros((len(live), min(step, int(column[-1]) + 1 - lo)), np.float32)
-        m[row[i:j], column[i:j] - lo] = 1
-        both += m @ m.T
-    size = sizes[live].astype(np.float32)
-    likely = both >= least * (size[:, None] + size[None, :] - both) - 1e-3
-    forest, out = Forest(len(live)), []
-    for i, j in np.argwhere(np.triu(likely, 1)).tolist():
-        if forest.root(i) != forest.root(j) and aligned(found[live[i]], found[live[j]], least) >= least:
-            forest.join(i, j)
-            out.append((nodes[live[i]], nodes[live[j]]))
+        limit = limit_of(max(map(len, texts)), least)
+        return [(nodes[0], nodes[1])] if classes[0] != classes[1] and edits(texts[0], texts[1], limit) <= limit else []
+    sizes, label, out = np.array([len(t) for t in texts]), np.unique(classes, return_inverse=True)[1], []
+    if n < 2 or not label.max():
+        return out
+    counts = np.stack([np.bincount(t % BINS, minlength=BINS) for t in texts]).astype(np.int32)
+    for i in range(n - 1):
+        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        longer = np.maximum(sizes[i], sizes[rest])
+        # an edit takes away one word of a text and adds one at most
+        gone = counts[i] - counts[rest]
+        over = np.maximum(np.maximum(gone, 0).sum(1), np.maximum(-gone, 0).sum(1))
+        for j in rest[over <= (1 - least) * longer + 1e-9].tolist():
+            if label[i] != label[j]:
+                limit = limit_of(max(sizes[i], sizes[j]), least)
+                if edits(texts[i], texts[j], limit) <= limit:
+                    out.append((nodes[i], nodes[j]))
+                    label[label == label[j]] = label[i]
     return out
 
 
-def links(tasks: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """(a, b) with a < b: links between nodes that share a task."""
-
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                # 32 bits of a symbol: two texts of a thousand symbols mistake one in a run of thousands
-                data = [(symbols(np.asarray(w, np.int64), size) >> np.uint64(32)).astype("<u4").tobytes() for w in batch["_w"]]
-                yield pd.DataFrame({"_node": batch["_node"], "_data": data, "_tasks": batch["_tasks"]})
+def links(tasks: DataFrame, named: DataFrame, nodes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(a, b) with a < b: links between nodes of different classes that share a task (_task, _node, _class). ``nodes`` (_node, _sha, _id) leads to the texts of ``named``."""
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, nodes, found, out = None, [], [], []
+        task, nodes, held, classes, out = None, [], [], [], []
 
         def done():
-            out.extend((min(a, b), max(a, b)) for a, b in block_links(nodes, found, least))
+            out.extend((min(a, b), max(a, b)) for a, b in block_links(nodes, held, classes, least))
 
         for batch in batches:
-            for t, node, data in zip(batch["_task"], batch["_node"], batch["_data"], strict=True):
+            for t, node, data, own in zip(batch["_task"], batch["_node"], batch["_data"], batch["_class"], strict=True):
                 if t != task:
                     done()
-                    task, nodes, found = t, [], []
+                    task, nodes, held, classes = t, [], [], []
                 if not nodes or nodes[-1] != node:
                     nodes.append(int(node))
-                    found.append(np.frombuffer(data, "<u4"))
+                    held.append(np.frombuffer(data, "<u4"))
+                    classes.append(int(own))
             if len(out) > 10_000:
                 yield pd.DataFrame(out, columns=["a", "b"])
                 out.clear()
         done()
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    per_node = settle(tasks.groupBy("_node").agg(F.collect_set("_task").alias("_tasks")), "candidates")
-    # only candidates' texts are shuffled
-    mine = texts.join(few(per_node.select("_node")), "_node", "left_semi")
-    candidates = mine.join(per_node, "_node").select("_node", word_hashes(F.col("_t")).alias("_w"), "_tasks")
-    rows = candidates.mapInPandas(sketch, "_node long, _data binary, _tasks array<long>").select("_node", "_data", F.explode("_tasks").alias("_task"))
-    dealt = rows.repartition(shuffle_partitions(texts.sparkSession), "_task").sortWithinPartitions("_task", "_node")
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # 32 bits of a word's hash: of texts of 20,000 different words, two in a hundred pairs mistake one word for another
+            data = [(np.asarray(w, np.int64).view(np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for w in batch["_w"]]
+            yield pd.DataFrame({"_node": batch["_node"], "_class": batch["_class"], "_data": data, "_tasks": batch["_tasks"]})
+
+    own = tasks.groupBy("_node", "_class").agg(F.collect_list("_task").alias("_tasks"))
+    own = scratch.settle(own.join(nodes, "_node"), "candidates")
+    mine = named.join(own, ["_sha", "_id"]).select("_node", "_class", word_hashes(F.col("_t")).alias("_w"), "_tasks")
+    rows = mine.mapInPandas(pack, "_node long, _class long, _data binary, _tasks array<long>").select("_node", "_class", "_data", F.explode("_tasks").alias("_task"))
+    dealt = rows.repartition(shuffle_partitions(tasks.sparkSession), "_task").sortWithinPartitions("_task", "_node")
     return dealt.mapInPandas(meet, "a long, b long").distinct()
 
 
-def classes(edges: DataFrame) -> DataFrame:
+def classes(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of all nodes with a link; the root is the least node of its class.
 
     Alternates large stars and small stars: each node's larger, then smaller neighbours are tied to
     its least one, until nothing changes, which takes a logarithmic number of rounds.
     """
-    edges = settle(edges, "links")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -234,40 +269,49 @@ def classes(edges: DataFrame) -> DataFrame:
         return tied.filter("a <> b").distinct()
 
     while True:
-        after = settle(star(star(edges, True), False), "stars")
+        after = scratch.settle(star(star(edges, True), False), "stars")
         sums = [x.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first() for x in (edges, after)]
         edges = after
         if sums[0] == sums[1]:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: int = 16, picks: int = 3, block: int = 512, block_symbols: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: int = 24, picks: int = 3, block: int = 512, block_words: int = 500_000, heads: int = 32) -> DataFrame:
     """doc_id, class_id, kept, text_sha256 of every row: classes of identical and near-duplicate texts.
 
-    Two texts are linked if at least ``similarity`` of all their word shingles align. Words are
-    parted by white space and lowered. The class id is the least doc_id of the class, whose row is
-    ``kept``. At a similarity of 0.8 a pair shares a band's sample with a chance of about 0.8 to the
-    power of ``picks``, so that 16 bands of 3 miss about one of 10^5.
+    Two candidates are linked if at most 1 - ``similarity`` of the longer one's words need to be inserted,
+    deleted or replaced to make one text of the other. Words are parted by white space and lowered. The
+    class id is the least doc_id of the class, whose row is ``kept``. Texts that share a part j of all their
+    shingles share a band's sample with a chance of about j to the power of ``picks``: with 24 bands of 3, one pair in
+    25 is missed at j = 0.5 and one in 350 at 0.6. A word replaced in 20 leaves a j of about 0.63, one in 10 about 0.42.
 
     A null text counts as empty; empty texts are identical to each other and near to nothing else.
     Texts under ``size`` words are near only if they have the same words. A null id is no member of a
-    class: its class_id is null and it is kept. Rows that repeat an id are one node, by the text that comes
-    first, and are all kept or all not. No rows in, no rows out; other columns are ignored.
+    class: its class_id is null and it is kept. Rows that repeat an id have the class of their own text
+    each. No rows in, no rows out; other columns are ignored.
     """
+    scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
     named = base.filter("_id is not null").withColumn("_sha", F.sha2(F.col("_t").cast("binary"), 256))
-    rows = settle(signatures(named.withColumn("_node", F.col("_id")), bands, picks, size), "signatures")
-    # one node for each text; copies are combined before the shuffle
-    nodes = settle(rows.groupBy("_sha").agg(F.min("_node").alias("_node")), "nodes")
-    own = rows.join(nodes.withColumnRenamed("_sha", "_own").withColumnRenamed("_node", "_n"), (F.col("_node") == F.col("_n")) & (F.col("_sha") == F.col("_own")), "left_semi").dropDuplicates(["_node"])
-    members = settle(own.select("_node", "_len", F.posexplode("_sigs").alias("_band", "_sig")), "bands")
-    buckets = members.groupBy("_band", "_sig").agg(F.count("*").alias("_n"), F.sum("_len").alias("_all"), F.bit_xor(F.xxhash64("_node", F.lit(1))).alias("_x"), F.bit_xor(F.xxhash64("_node", F.lit(2))).alias("_y")).filter("_n > 1")
+    rows = scratch.settle(signatures(named, bands, picks, size), "signatures")
+    # a node for each text, by its least id; copies are combined before the shuffle, and numbered as the table is written
+    nodes = scratch.settle(rows.groupBy("_sha").agg(F.min("_id").alias("_id")).withColumn("_node", F.monotonically_increasing_id()), "nodes")
+    own = rows.join(nodes, ["_sha", "_id"]).dropDuplicates(["_sha", "_id"])
+    members = scratch.settle(own.select("_node", "_len", F.posexplode("_sigs").alias("_band", "_sig")), "bands")
+    buckets = members.groupBy("_band", "_sig").agg(F.count("*").alias("_n"), F.sum("_len").alias("_words"), F.bit_xor(F.xxhash64("_node", F.lit(1))).alias("_x"), F.bit_xor(F.xxhash64("_node", F.lit(2))).alias("_y")).filter("_n > 1")
     # bands that gather the same members need one look
-    buckets = buckets.groupBy("_n", "_x", "_y").agg(F.min(F.struct("_band", "_sig", "_all")).alias("_b")).select("_b._band", "_b._sig", "_b._all", "_n")
-    tasks = blocks_of(buckets, members, block, block_symbols)
-    found = links(tasks, named.select(F.col("_id").alias("_node"), "_t"), size, similarity)
-    roots = classes(found)
-    of_text = nodes.join(roots, nodes["_node"] == roots["node"], "left").select("_sha", F.coalesce("root", "_node").alias("class_id"))
-    out = rows.select(F.col("_node").alias(id_col), "_sha").join(of_text, "_sha").select(id_col, "class_id", (F.col(id_col) == F.col("class_id")).alias("kept"), F.col("_sha").alias("text_sha256"))
+    buckets = buckets.groupBy("_n", "_x", "_y").agg(F.min(F.struct("_band", "_sig", "_words")).alias("_b")).select("_b._band", "_b._sig", "_b._words", "_n")
+    buckets = scratch.settle(buckets.withColumn("_parts", parts_of("_n", "_words", block, block_words)), "buckets")
+    tasks = first_meetings(buckets, members, heads).withColumn("_class", F.col("_node"))
+    found = scratch.settle(links(tasks, named, nodes, similarity, scratch), "links")
+    roots = classes(found, scratch)
+    wide = buckets.filter("_parts > 1")
+    if not wide.isEmpty():
+        later = scratch.settle(links(later_meetings(wide, members, roots, block, block_words, scratch), named, nodes, similarity, scratch), "later-links")
+        roots = classes(found.unionByName(later), scratch)
+    of_text = nodes.join(roots, F.col("_node") == F.col("node"), "left").select("_sha", "_id", F.coalesce("root", "_node").alias("_root"))
+    least = of_text.groupBy("_root").agg(F.min("_id").alias("class_id"))
+    of_text = of_text.join(least, "_root").select("_sha", "class_id")
+    out = rows.select(F.col("_id").alias(id_col), "_sha").join(of_text, "_sha").select(id_col, "class_id", (F.col(id_col) == F.col("class_id")).alias("kept"), F.col("_sha").alias("text_sha256"))
     unnamed = base.filter("_id is null").select(F.col("_id").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"), F.sha2(F.col("_t").cast("binary"), 256).alias("text_sha256"))
-    return out.unionByName(unnamed)
+    return scratch.keep(out.unionByName(unnamed), "near-duplicates")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import few, settle
+from sievelake.llm.common import settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words in a host, between dots, hyphens or digits, that label a URL as unwanted for training.
@@ -25,8 +25,8 @@ UNWANTED = ("ads", "adult", "bet", "bets", "betting", "casino", "cheap", "clickb
 FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "labels", "digits", "host_digits", "entropy", "host_entropy", "parameters", "query_chars", "hyphens", "host_hyphens", "upper", "https", "fragment", "extension", "percent", "longest_label", "suffix_rate", "site_rate", "host_rate", "first_dir_rate")
 MIN_LEAF, BINS = 20, 32
 RATES = FEATURES[-4:]
-#: Of the rates for training: a URL's own fold is left out. A table of more keys than BROADCAST_KEYS isn't sent to all executors.
-FOLDS, WEIGHT, BROADCAST_KEYS = 5, 10.0, 1_000_000
+#: Of the rates for training: a URL's own fold is left out.
+FOLDS, WEIGHT = 5, 10.0
 
 
 @dataclass(frozen=True)
@@ -217,7 +217,7 @@ class CountedRates:
         mean = F.get(F.array(*[F.lit(float(m)) for m in means]), F.col(fold) if fold else F.lit(0))
         for i, (name, key) in enumerate(zip(RATES, rate_keys(F.col("host"), F.col("path")), strict=True)):
             counts = self.table.filter(F.col("kind") == i).select(F.col("key").alias("_key"), F.array(*[f"n{k}" for k in range(FOLDS)]).alias("_n"), F.array(*[f"s{k}" for k in range(FOLDS)]).alias("_s"))
-            pages = pages.withColumn("_key", key).join(few(counts, BROADCAST_KEYS), "_key", "left")
+            pages = pages.withColumn("_key", key).join(counts, "_key", "left")
             n, s = (F.coalesce(sum((F.get(c, F.lit(k)) for k in range(FOLDS)), F.lit(0)) - (F.get(c, F.col(fold)) if fold else F.lit(0)), F.lit(0)) for c in ("_n", "_s"))
             pages = pages.withColumn(name, (s + WEIGHT * mean) / (n + WEIGHT)).drop("_key", "_n", "_s")
         return pages
