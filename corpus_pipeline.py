@@ -11,38 +11,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.llm import exactdedup, mixing, neardup, packing, registry, toxicity
-from sievelake.llm.common import few, settle
+from sievelake.llm.common import settle
 from sievelake.session import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5; learned from the labels, less the held-out ones."""
+    """Documents that score under 0.5; learned from the labels, less the held-out ones. A null or empty text scores low and stays, as do rows without id."""
     ship(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.withColumn("_toxicity", toxicity.score(model, F.col("text"))).filter("_toxicity < 0.5").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of identical texts the row with the largest id."""
+    """Of identical texts the row with the largest id; a null text counts as empty. Of rows that repeat an id and its text one stays; a null id stays only if no other row has its text."""
     carry = tuple(c for c in docs.columns if c != "doc_id")
     return exactdedup.exact_dedup(docs, keep="max", carry=carry).filter("kept").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the row with the least id."""
+    """Of each class of near copies the row with the least id. A null text counts as empty; empty texts are identical.
+
+    Rows are told apart by id and text, so of rows that repeat an id only those whose own text is a near copy go. Rows
+    without id stay.
+    """
     ship(spark)
-    gone = settle(neardup.near_duplicates(docs).filter("not kept").select("doc_id"), "near-copies")
-    return docs.join(few(gone), "doc_id", "left_anti").select(*docs.columns)
+    gone = neardup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    told = docs.withColumn("_text_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return told.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_text_sha") == F.col("_gone_sha")), "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document at most once, up to its leaf's share of four fifths of all tokens."""
+    """Each document at most once, up to its leaf's share of four fifths of all tokens. A null or empty text has no tokens and comes along where its place in the order is within the prefix; rows that repeat an id go together."""
     mixed = mixing.mix(docs, registry.mix_levels(), registry.MIX_WEIGHTS, fraction=0.8, max_epochs=1)
     return mixed.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens. A null or empty text is its end token; rows that repeat are packed each."""
     ship(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
