@@ -53,9 +53,12 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as a table that stays, in place of all others."""
         out = settle(df, name)
+        self.drop()
+        return out
+
+    def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,23 +1,26 @@
 """Incremental, reversible line dedup: exact reference-count tables behind sharded cuckoo filters.
 
-The exact table has a row for each (key, document) reference, so that a deleted document's lines
-can pass to the next holder. Its counts per key feed cuckoo filters, one per shard of the key
-space, which hold the keys with at least two documents: a line whose key a filter rejects needs no
-lookup. A filter has false positives but no false negatives, and can delete, so that it follows
-the counts both ways; the exact table has the last word.
+The exact tables have a row for each (key, document) reference, so that a deleted document's lines
+can pass to the next holder, and the count and keeper of each key. Cuckoo filters, one per shard of the key
+space, hold the keys with at least two documents: a line whose key a filter rejects needs no
+lookup. References are dealt by shard and meet their shard's filter as a row of the same partition, so no
+filter is sent to all executors. A filter has false positives but no false negatives, and can delete, so that it
+follows the counts both ways; the exact table has the last word.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import settle
+from sievelake.llm.common import Scratch, new_folder, settle, shuffle_partitions
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -142,34 +145,41 @@ def filters(table: DataFrame, shards: int) -> DataFrame:
     return table.select(shard_of(F.col("digest"), shards).alias("shard"), "digest").groupBy("shard").applyInPandas(build, "shard int, data binary")
 
 
-def probe(refs: DataFrame, found: dict[int, bytes], shards: int) -> DataFrame:
-    """The references whose key a filter may hold."""
-    known = refs.sparkSession.sparkContext.broadcast(found)
+def probe(refs: DataFrame, built: DataFrame, shards: int) -> DataFrame:
+    """The references (digest, doc) whose key the filter of its shard may hold. A partition has a shard's filter before the shard's references and reads one at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded = {k: CuckooFilter.load(v) for k, v in known.value.items()}
+        at, own = None, None
         for batch in batches:
             keep = np.zeros(len(batch), bool)
-            for shard, rows in batch.groupby("shard").indices.items():
-                if shard in loaded:
-                    keep[rows] = loaded[shard].has([bytes(x) for x in batch["digest"].to_numpy()[rows]])
-            yield batch.loc[keep, ["digest", "doc"]]
-
-    return refs.select("digest", F.col("doc").cast("long").alias("doc"), shard_of(F.col("digest"), shards).alias("shard")).mapInPandas(run, "digest binary, doc long")
-
-
-def drops(refs: DataFrame, table: DataFrame, *, shard_keys: int = 250_000, filter_mb: int = 64) -> DataFrame:
-    """(doc, digest): the references that lose their lines.
-
-    The filters go to all executors only where all of them together are under ``filter_mb``
-    (about 2.5 bytes a key, checked); beyond that, every reference meets the exact table.
+            for shard, rows in sorted(batch.groupby("shard").indices.items()):
+                if shard != at:
+                    at, own = shard, None
+                data = batch["data"].to_numpy()[rows]
+                if data[0] is not None:
+                    own, rows = CuckooFilter.load(bytes(data[0])), rows[1:]
+                if own is not None and len(rows):
+                    keep[rows] = own.has([bytes(x) for x in batch["digest"].to_numpy()[rows]])
+            yield batch.loc[keep, ["digest", "doc"]].astype({"doc": "int64"})
+
+    rows = refs.select(shard_of(F.col("digest"), shards).alias("shard"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("data"), "digest", F.col("doc").cast("long").alias("doc"))
+    heads = built.select("shard", F.lit(0).alias("kind"), "data", F.lit(None).cast("binary").alias("digest"), F.lit(0).cast("long").alias("doc"))
+    dealt = heads.unionByName(rows).repartition(shuffle_partitions(refs.sparkSession), "shard").sortWithinPartitions("shard", "kind")
+    return dealt.mapInPandas(run, "digest binary, doc long")
+
+
+def drops(refs: DataFrame, table: DataFrame, built: DataFrame | None = None, *, shards: int | None = None, shard_keys: int = 250_000, heavy: int = 512) -> DataFrame:
+    """(doc, digest): the references that lose their lines. ``built`` are the filters, if there are any yet, over ``shards``.
+
+    A shard has about ``shard_keys`` keys, and there are several for each partition. Keys with more than
+    1 / ``heavy`` of all references, of which there are fewer than ``heavy``, are told apart first, as their references would pile up in one shard.
     """
-    keys = table.count()
-    shards = max(1, -(-keys // shard_keys))
-    likely = refs
-    if keys * 5 <= filter_mb << 20:
-        likely = probe(refs, {r.shard: bytes(r.data) for r in filters(table, shards).toLocalIterator()}, shards)
-    return likely.join(table, "digest").filter(F.col("doc") > F.col("keeper")).select("doc", "digest")
+    shards = shards or max(-(-table.count() // shard_keys), 4 * shuffle_partitions(refs.sparkSession))
+    hot = table.filter(F.col("holders") * heavy > F.lit(refs.count())).select("digest", F.col("keeper").alias("_hot"))
+    told = refs.join(F.broadcast(hot), "digest", "left")
+    sure = told.filter("doc > _hot").select("doc", "digest")
+    likely = probe(told.filter("_hot is null"), filters(table, shards) if built is None else built, shards)
+    return sure.unionByName(likely.join(table, "digest").filter(F.col("doc") > F.col("keeper")).select("doc", "digest"))
 
 
 def rewrite(docs: DataFrame, dropped: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,30 +215,108 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Rows that share an id count as one document, so their lines stay; a null id holds no
     references and keeps all its lines. A document that loses all its lines keeps the empty text.
     """
+    scratch = Scratch(docs.sparkSession)
     refs = references(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, min_chars)
-    refs = settle(refs, "line-references")
-    table = settle(counts(refs), "line-counts")
-    return rewrite(docs, drops(refs, table), id_col=id_col, text_col=text_col)
+    refs = scratch.settle(refs.withColumn("doc", F.col("doc").cast("long")), "line-references")
+    table = scratch.settle(counts(refs), "line-counts")
+    return scratch.keep(rewrite(docs, drops(refs, table), id_col=id_col, text_col=text_col), "line-dedup")
 
 
+TABLES = {"refs": "shard int, digest binary, doc long", "counts": "shard int, digest binary, holders long, keeper long", "filters": "shard int, data binary"}
+
+
+@dataclass(frozen=True)
 class LineIndex:
-    """The tables of an incremental line dedup in a shared folder: documents can be inserted and deleted again.
+    """An incremental line dedup in a shared folder: documents can be inserted and deleted again.
 
-    Each change writes a new version of the references; counts and filters follow from it. Deleting
+    Its tables are the references, the holders and the keeper of each key, and a cuckoo filter of each shard. A change
+    writes new versions of the shards that it touches and leaves the others' files alone; ``versions`` has
+    the version of each. Counts change by what was added or removed, and filters by the keys that came to two holders or fell
+    below. An index doesn't change, so the one before stays as it was. Deleting
     a document gives its lines to the next smallest holder, as if it had never been inserted.
     """
 
-    def __init__(self, spark, refs: DataFrame | None = None):
-        self.spark = spark
-        self.refs = refs if refs is not None else spark.createDataFrame([], "digest binary, doc long")
+    spark: SparkSession
+    folder: str
+    shards: int
+    versions: tuple[tuple[int, str], ...] = ()
+
+    @classmethod
+    def empty(cls, spark: SparkSession, shards: int = 64) -> LineIndex:
+        """``shards`` stays for good: about the expected number of keys over 250,000."""
+        return cls(spark, new_folder(spark, "line-index"), shards)
+
+    def table(self, name: str, only: list[int] | None = None) -> DataFrame:
+        """All shards of a table, or some."""
+        of: dict[str, list[int]] = {}
+        for shard, version in self.versions:
+            if only is None or shard in only:
+                of.setdefault(version, []).append(shard)
+        out = self.spark.createDataFrame([], TABLES[name])
+        for version, own in of.items():
+            out = out.unionByName(self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{version}/{name}").filter(F.col("shard").isin(own)))
+        return out
 
     def insert(self, docs: DataFrame, **names: str) -> LineIndex:
-        new = references(docs.filter(F.col(names.get("id_col", "doc_id")).isNotNull()), **names).select("digest", F.col("doc").cast("long"))
-        return LineIndex(self.spark, settle(self.refs.unionByName(new).distinct(), "line-index"))
+        """With the lines of documents; a document that it has already gains those it lacks. Null ids are skipped."""
+        new = references(docs.filter(F.col(names.get("id_col", "doc_id")).isNotNull()), **names).select(shard_of(F.col("digest"), self.shards).alias("shard"), "digest", F.col("doc").cast("long").alias("doc")).distinct()
+        return self._changed(new, 1)
 
     def delete(self, ids: DataFrame) -> LineIndex:
+        """Without the documents of a table of ids; ids that it doesn't have change nothing."""
         gone = ids.select(F.col(ids.columns[0]).cast("long").alias("doc")).distinct()
-        return LineIndex(self.spark, settle(self.refs.join(gone, "doc", "left_anti").select("digest", "doc"), "line-index"))
+        return self._changed(self.table("refs").join(gone, "doc", "left_semi").select("shard", "digest", "doc"), -1)
+
+    def _changed(self, delta: DataFrame, sign: int) -> LineIndex:
+        scratch, version = Scratch(self.spark), uuid.uuid4().hex
+        delta = scratch.settle(delta, "line-delta")
+        # at most a number for each shard
+        touched = [r.shard for r in delta.select("shard").distinct().collect()]
+        refs, known, built = (self.table(name, touched) for name in TABLES)
+        key = ["shard", "digest"]
+        if sign > 0:
+            delta = scratch.settle(delta.join(refs, [*key, "doc"], "left_anti"), "line-news")
+            after = refs.unionByName(delta)
+        else:
+            after = refs.join(delta, [*key, "doc"], "left_anti")
+        change = delta.groupBy(*key).agg(F.count("*").alias("n"), F.min("doc").alias("least"))
+        both = known.join(change, key, "full").select(*key, F.coalesce("holders", F.lit(0)).alias("was"), (F.coalesce("holders", F.lit(0)) + sign * F.coalesce("n", F.lit(0))).alias("holders"), "keeper", "least")
+        if sign > 0:
+            both = both.withColumn("keeper", F.least("keeper", "least"))
+        else:
+            # only where the keeper went
+            orphans = both.filter("least <= keeper and holders > 0").select(*key)
+            heirs = after.join(orphans, key, "left_semi").groupBy(*key).agg(F.min("doc").alias("heir"))
+            both = both.join(heirs, key, "left").withColumn("keeper", F.coalesce("heir", "keeper"))
+        both = scratch.settle(both.select(*key, "was", "holders", "keeper"), "line-counts")
+        path = f"{self.folder}/{version}"
+        both.filter("holders > 0").select(*key, "holders", "keeper").write.parquet(f"{path}/counts")
+        after.write.parquet(f"{path}/refs")
+        crossing = both.filter("(was > 1) <> (holders > 1)").select(*key, (F.col("holders") > 1).alias("up"))
+        followed = scratch.settle(follow(built, crossing), "line-filters")
+        # filters that are full, or new, are built from their shards' keys
+        anew = filters(both.filter("holders > 1").join(followed.filter("data is null"), "shard", "left_semi"), self.shards)
+        untouched = built.join(followed, "shard", "left_anti")
+        followed.filter("data is not null").unionByName(anew).unionByName(untouched).write.parquet(f"{path}/filters")
+        scratch.drop()
+        return LineIndex(self.spark, self.folder, self.shards, tuple(sorted({**dict(self.versions), **dict.fromkeys(touched, version)}.items())))
 
     def dropped(self) -> DataFrame:
-        return drops(self.refs, settle(counts(self.refs), "line-counts"))
+        """(doc, digest): the references that lose their lines."""
+        return drops(self.table("refs").select("digest", "doc"), self.table("counts").filter("holders > 1").select("digest", "holders", "keeper"), self.table("filters"), shards=self.shards)
+
+
+def follow(built: DataFrame, crossing: DataFrame) -> DataFrame:
+    """(shard, data) of the shards of ``crossing`` (shard, digest, up): the filters with keys added and removed, null where one must be built anew."""
+
+    def run(key: tuple, changes: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(changes):
+            return pd.DataFrame({"shard": [], "data": []}).astype({"shard": "int32", "data": object})
+        data = None
+        if len(own):
+            live = CuckooFilter.load(bytes(own["data"].iloc[0]))
+            live.remove([bytes(x) for x in changes["digest"][~changes["up"]]])
+            data = live.dump() if live.add([bytes(x) for x in changes["digest"][changes["up"]]]) else None
+        return pd.DataFrame({"shard": [key[0]], "data": [data]})
+
+    return crossing.groupBy("shard").cogroup(built.groupBy("shard")).applyInPandas(run, "shard int, data binary")
