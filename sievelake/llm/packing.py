@@ -4,8 +4,9 @@ A document of n tokens costs about ``linear * n + quadratic * n * n`` to attend
 sequences are cut off long documents first; what is left of each is assigned, by descending cost, to
 the sequence of lowest cost that still has room for it. A rest that fits nowhere is cut over the
 sequences with room, so that all are full. Each partition packs its own documents in blocks of
-bounded memory, without a shuffle; what a block leaves over is carried to the next, and what the
-partition leaves over at the end goes to sequences of a power of two, which need no padding.
+bounded memory, without a shuffle; what a block leaves over is carried to the next. What partitions
+leave over at their end, less than a sequence each, meets in one of ``gather`` times fewer partitions; what is left there
+goes to sequences of a power of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -20,10 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.llm.common import settle
+
+COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 #: Where cutting a text at single spaces could change its pieces: runs of white space round a space.
 TANGLED = re.compile(r"  |\s \s|\s \Z")
 CACHE_ENTRIES = 400_000
+#: Sequences of what partitions leave over are numbered from here times 2^33, beyond those of all partitions.
+OWN_IDS = 1 << 28
 
 
 def bytes_of_unicode() -> dict[str, int]:
@@ -34,7 +40,10 @@ def bytes_of_unicode() -> dict[str, int]:
 
 
 class Encoder(dict):
-    """Token ids of texts, packed as little-endian unsigned 32-bit ids. Words' ids are kept, as words come again and again."""
+    """Token ids of texts, packed as little-endian unsigned 32-bit ids, as the vocabulary's own tokenizer gives them.
+
+    Its added tokens are single ids wherever their strings stand in a text. Words' ids are kept, as words come again and again.
+    """
 
     def __init__(self, vocabulary: str):
         import tiktoken
@@ -42,7 +51,9 @@ class Encoder(dict):
 
         model = json.loads(open(vocabulary, encoding="utf-8").read())
         byte = bytes_of_unicode()
-        special = {x["content"] for x in model.get("added_tokens", [])}
+        special = {x["content"]: x["id"] for x in model.get("added_tokens", [])}
+        self.special = {k: np.asarray([v], "<u4").tobytes() for k, v in special.items()}
+        self.added = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -58,6 +69,17 @@ class Encoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if self.added is None or not (found := self.added.search(text)):
+            return self.between(text)
+        out, at = [], 0
+        while found:
+            out += [self.between(text[at : found.start()]), self.special[found[0]]]
+            at = found.end()
+            found = self.added.search(text, at)
+        return b"".join([*out, self.between(text[at:])])
+
+    def between(self, text: str) -> bytes:
+        """Of a text without added tokens."""
         if TANGLED.search(text):
             return self.plain(text)
         first, *words = text.split(" ")
@@ -131,10 +153,17 @@ class Packer:
 
     def take(self) -> pd.DataFrame:
         rows, self.rows = self.rows, []
-        frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens"])
+        frame = pd.DataFrame(rows, columns=COLUMNS)
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         return frame
 
+    def leave(self) -> pd.DataFrame:
+        """What is left over, with its ids, for another packer."""
+        rows = [(d, s, len(ids) // 4, zlib.crc32(ids), n, None, None, None, ids) for d, s, n, ids in self.items]
+        frame = pd.DataFrame(rows, columns=[*COLUMNS, "_ids"])
+        self.items, self.tokens = [], 0
+        return frame.astype({c: "Int64" for c in ("doc_id", "sequence_id", "offset", "sequence_tokens")})
+
 
 def pack(
     docs: DataFrame,
@@ -145,6 +174,7 @@ def pack(
     length: int = 2048,
     end_id: int = 1,
     block_tokens: int = 1_000_000,
+    gather: int = 64,
     linear: float = 1.0,
     quadratic: float = 1.0 / 2048,
 ) -> DataFrame:
@@ -152,8 +182,8 @@ def pack(
 
     A document is its ids by the byte-level vocabulary at ``vocabulary``, then ``end_id``. A null
     text counts as empty (one token); a null id stays null; rows that repeat are packed each. No
-    rows in, no rows out; other columns are ignored. The partitions of ``docs`` must hold the same
-    rows in the same order when computed again, as those of a table do.
+    rows in, no rows out; other columns are ignored. The pieces are written to the shared folder as they
+    are packed, so they stay the same however often the result is read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,9 +197,32 @@ def pack(
                 if packer.tokens >= block_tokens:
                     packer.pack(last=False)
             if packer.rows:
+                yield packer.take().assign(_ids=None, _part=-1)
+        packer.pack(last=False)
+        if packer.rows:
+            yield packer.take().assign(_ids=None, _part=-1)
+        if packer.items:
+            yield packer.leave().assign(_part=TaskContext.get().partitionId())
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        packer = Packer(OWN_IDS + TaskContext.get().partitionId(), length, linear, quadratic)
+        for batch in batches:
+            for doc_id, start, n, ids in zip(batch["doc_id"], batch["start"], batch["doc_tokens"], batch["_ids"], strict=True):
+                packer.items.append((None if doc_id is None else int(doc_id), int(start), int(n), bytes(ids)))
+                packer.tokens += len(ids) // 4
+            if packer.tokens >= block_tokens:
+                packer.pack(last=False)
                 yield packer.take()
         packer.pack(last=True)
         if packer.rows:
             yield packer.take()
 
-    return docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t")).mapInPandas(run, SCHEMA)
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
+    packed = settle(rows.mapInPandas(run, f"{SCHEMA}, _ids binary, _part int"), "packed")
+    rest = packed.filter("_ids is not null")
+    groups = 1 + (rest.agg(F.max("_part")).first()[0] or 0) // gather
+    dealt = rest.withColumn("_group", F.expr(f"_part div {int(gather)}")).repartition(groups, "_group").sortWithinPartitions("_part", "doc_id", "start", "ids_crc32")
+    last = dealt.select(F.col("doc_id").cast("string"), "start", "doc_tokens", "_ids").mapInPandas(finish, SCHEMA)
+    return packed.filter("_ids is null").select(*COLUMNS).unionByName(last)

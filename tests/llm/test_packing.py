@@ -12,7 +12,6 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 def reference_ids(texts):
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return [[*e.ids, 1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -49,9 +48,21 @@ def test_whole_table(spark, sf):
     check(rows, [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
+def test_partitions_leave_few_small_sequences(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(16, "doc_id")
+    rows = packing.pack(docs, VOCABULARY).collect()
+    check(rows, [(r.doc_id, r.text) for r in docs.collect()])
+    size = defaultdict(int)
+    for r in rows:
+        size[r.sequence_id] += r.length
+    assert sum(n < 2048 for n in size.values()) <= 11
+    many = packing.pack(docs, VOCABULARY, gather=4, block_tokens=3000).collect()
+    check(many, [(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_same_ids_as_the_tokenizer():
     e = packing.Encoder(VOCABULARY)
-    texts = ["", " ", "a  b", "a \n b", "a\t \tb", "x \t", " lead", "it's we'll 12 345!", "no break space", "<|endoftext|> plain", "é 😀 ü\n\n\n z", "a\n \nb", "tab\t tail ", "  x"]
+    texts = ["", " ", "a  b", "a \n b", "a\t \tb", "x \t", " lead", "it's we'll 12 345!", "no break space", "<|endoftext|> plain", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  z ", "<|endoftext| >", "é 😀 ü\n\n\n z", "a\n \nb", "tab\t tail ", "  x"]
     for t, ids in zip(texts, reference_ids(texts), strict=True):
         assert np.frombuffer(e.ids(t), "<u4").tolist() == ids[:-1], repr(t)
 
