@@ -5,7 +5,7 @@ text, sorted externally within each partition, and neighbours with the same whol
 The sampled key is short and of bounded size, so what the driver samples doesn't grow with the
 length of texts, and a passage that opens many texts doesn't pile them up, as the hash splits them.
 A text with more than ``1 / heavy_parts`` of all rows is salted over many runs: there are at most
-``heavy_parts`` of these, so their joint table is small whatever the input.
+``heavy_parts`` of these, so their joint table is small whatever the input. That is a quarter of a partition's share.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def exact_dedup(
     text_col: str = "text",
     keep: str = "min",
     normalise: Callable[[Column], Column] = identity,
-    heavy_parts: int = 512,
+    heavy_parts: int | None = None,
     salts: int = 64,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
@@ -58,6 +58,7 @@ def exact_dedup(
     if keep not in ("min", "max"):
         raise ValueError("keep is min or max")
     spark = docs.sparkSession
+    heavy_parts = heavy_parts or max(512, 4 * shuffle_partitions(spark))
     best = F.min if keep == "min" else F.max
     order = F.col("_id").asc_nulls_last() if keep == "min" else F.col("_id").desc_nulls_last()
     plain = normalise is identity

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.llm.common import settle
+
 WORD = re.compile(r"[^\W\d_]+")
 END = "$"
 STEM = range(3, 13)
@@ -28,7 +30,8 @@ OPENING, CLOSING, STRAIGHT = "“«„‹‘", "”»“›’", '"'
 QUOTED = re.compile(r'(?:(?<=[\s([{])|^)"[^"\n]{1,200}"|“[^”\n]{1,200}”|«[^»\n]{1,200}»|„[^“\n]{1,200}“')
 #: Words that attribute what stands beside them to someone else.
 ATTRIBUTION = frozenset("said says wrote writes quoted quotes called quote alleged claimed reported sagte schrieb zitierte nannte dit écrit cité appelé dijo escribió citó llamó".split())
-CACHE_ENTRIES = 400_000
+#: Of a task: chunks and moves that are kept, and the letters of the longest chunk that is.
+CACHE_ENTRIES, CACHE_LETTERS = 400_000, 40
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,10 +66,14 @@ class Automaton:
             # where a stem and a word coincide, the stem covers the word
             if self.ends[node] is None or not term.endswith(END):
                 self.ends[node] = i
+        self._forget()
+
+    def _forget(self) -> None:
         start = self._closed({(0, 0)})
         self.states = {(start, frozenset()): 0}
         self.content = [(start, frozenset())]
         self.moves: list[dict[str, int]] = [{}]
+        self.known = 0
 
     def _closed(self, states: set[tuple[int, int]]) -> frozenset:
         """With the terms' letters that a word leaves out."""
@@ -103,10 +110,13 @@ class Automaton:
             self.content.append(key)
             self.moves.append({})
         found = self.moves[at][c] = self.states[key]
+        self.known += 1
         return found
 
     def match(self, word: str) -> list[tuple[int, int]]:
         """(term, distance) of the nearest terms."""
+        if self.known > CACHE_ENTRIES:
+            self._forget()
         at = 0
         for c in word:
             nxt = self.moves[at].get(c)
@@ -130,7 +140,9 @@ class Matcher(dict):
     def __missing__(self, chunk: str) -> tuple:
         if len(self) > CACHE_ENTRIES:
             self.clear()
-        out = self[chunk] = tuple(m for w in WORD.findall(chunk) for m in self.automaton.match(w))
+        out = tuple(m for w in WORD.findall(chunk) for m in self.automaton.match(w))
+        if len(chunk) <= CACHE_LETTERS:
+            self[chunk] = out
         return out
 
     def hits(self, text: str) -> dict[tuple[int, int], list[float]]:
@@ -245,6 +257,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     don't depend on how many of it the sample holds.
     Held-out ids (see ``held_out``) are never learned from. Labels that repeat count once, as 1 if any is.
     Null ids, labels and texts are skipped. Without a toxic label the model scores all low.
+    What the lexicon may hold is bounded too: at most 5,000 terms (``choose_terms``), stems of 3 to 12 letters (``STEM``), longer ones as
+    whole words; quotations of over 200 letters count as plain speech in learning (``QUOTED``). All texts are scored whole.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     order = F.xxhash64("_id", F.lit(11))
@@ -260,7 +274,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     ids = docs.sparkSession.createDataFrame(rows, "_id long, _y int")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).filter("_t is not null").join(F.broadcast(ids), "_id").select("_t", "_y")
 
-    texts = texts.withColumn("_half", F.pmod(F.xxhash64("_t", F.lit(13)), F.lit(2)).cast("int"))
+    # read once; at most 2 * per_class documents
+    texts = settle(texts.withColumn("_half", F.pmod(F.xxhash64("_t", F.lit(13)), F.lit(2)).cast("int")), "toxicity-sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import settle, shuffle_partitions, splitters
+from sievelake.llm.common import Scratch, shuffle_partitions, splitters
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, first_page long, last_page long, records long, bytes long, sha256 string"
@@ -63,6 +63,12 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def fs_selector(path: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(path)
+
+
 class Roller:
     """The files of one shard at a time."""
 
@@ -91,31 +97,37 @@ class Roller:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
+            from pyarrow import fs
+
+            # a task that runs again replaces its files; some stores don't move over one that is there
+            if self.fs.get_file_info(f"{self.path}/{self.name}").type != fs.FileType.NotFound:
+                self.fs.delete_file(f"{self.path}/{self.name}")
             self.fs.move(self.temporary, f"{self.path}/{self.name}")
             self.done.append((self.name, *(self.pages or [None, None]), self.count, self.size, self.sha.hexdigest()))
             self.out = None
 
 
-def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shards: int | None = None, shard_bytes: int = 64 << 20, roll_bytes: int = 32 << 20, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shards: int | None = None, shard_bytes: int = 128 << 20, roll_bytes: int = 16 << 20, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write an archive of the pages to a new folder; returns its manifest, one row per file.
 
     The payload is the html in UTF-8, a null one is empty. Of pages with equal payloads of at
     least ``least_bytes``, the one with the least id is a response and the others revisit it; others
     are responses. Rows that repeat an id and payload are alike: all responses, or all revisits. A
     page without id is never revisited; it revisits another with its payload, if one has an id. No
-    pages make no files. Other columns are ignored.
+    pages make no files. Other columns are ignored. Without ``shards``, there is one for each ``shard_bytes`` of payloads.
     """
     spark = pages.sparkSession
+    scratch = Scratch(spark)
     base = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("_url"), F.coalesce(html_col, F.lit("")).alias("_html"))
     digests = base.select("page", F.sha2(F.col("_html").cast("binary"), 256).alias("digest"), F.octet_length("_html").alias("n"))
-    sized = settle(digests, "digests")
+    sized = scratch.settle(digests, "digests")
     digests = sized.filter(F.col("n") >= least_bytes).select("page", "digest")
     # equal payloads are combined before the shuffle; only those that come again are looked up
     first = digests.groupBy("digest").agg(F.min("page").alias("refers"), F.count("*").alias("n")).filter("n > 1 and refers is not null").drop("n")
     roles = digests.join(first, "digest").filter(~F.col("page").eqNullSafe(F.col("refers"))).distinct()
-    # shards follow the bytes, so that a task's share stays bounded
-    shards = shards or max(shuffle_partitions(spark), -(-(sized.agg(F.sum("n")).first()[0] or 0) // shard_bytes))
-    cuts = splitters(base.select("page"), shards)
+    # shards follow the bytes alone, so that a task's share stays bounded and any cluster makes the same
+    shards = shards or max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // shard_bytes))
+    cuts = splitters(sized.select("page"), shards)
     # page ids are looked up among the few splitters in batches
     known = np.array(cuts, np.int64)
 
@@ -126,7 +138,8 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     rows = base.select("page", F.lit(1).alias("_kind"), "_url", "_html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers"))
     rows = rows.unionByName(roles.select("page", F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("_url"), F.lit(None).cast("string").alias("_html"), "digest", "refers"))
     rows = rows.withColumn("_shard", shard_of(F.coalesce("page", F.lit(-(2**63)))))
-    rows = rows.repartition(shards, "_shard").sortWithinPartitions("_shard", "page", "_kind", "digest", "_url", "_html")
+    # a task for each shard
+    rows = rows.repartitionById(shards, "_shard").sortWithinPartitions("_shard", "page", "_kind", "digest", "_url", "_html")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         roller, at, found = Roller(folder, roll_bytes), object(), {}
@@ -152,6 +165,11 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     store.create_dir(path, recursive=True)
     text = [F.col(c).cast("string").alias(c) for c in ("page", "refers")]
     rows.select("_shard", "_kind", "_url", "_html", "digest", *text).mapInPandas(run, MANIFEST).write.parquet(f"{folder}/_manifest")
+    scratch.drop()
+    # of tasks that were killed
+    for left in store.get_file_info(fs_selector(path)):
+        if left.base_name.startswith("_temporary-"):
+            store.delete_file(left.path)
     return manifest(spark, folder)
 
 
