@@ -62,7 +62,9 @@ URL_RULES = [
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+    """No table labels URLs: a word list labels those to learn from."""
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.filter_urls(pages, URL_RULES, labelled=urlfilter.labelled_by_words(pages)).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def license_paths(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """URL filter: host and path rules first, then gradient-boosted trees over lexical features.
 
-The trees learn from labelled URLs: the caller's, or those that telling words in hosts label. Rates by
+The trees learn from labelled URLs: the caller's, or those that the rules decide. Rates by
 suffix, site, host and first directory are counted over all of them and joined in. The trees are boosted
 on the driver over a sample of bounded size, weighted by the labels' true counts, and score in batches.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sievelake.llm.common import settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words in a host, between dots, hyphens or digits, that label a URL as unwanted for training.
+#: Words in a host, between dots, hyphens or digits, that can label a URL as unwanted where nobody has labelled any.
 UNWANTED = ("ads", "adult", "bet", "bets", "betting", "casino", "cheap", "clickbait", "escort", "free", "gambling", "loan", "payday", "pharma", "pills", "poker", "porn", "sex", "slots", "spam", "track", "tracker", "viagra", "xxx")
 FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "labels", "digits", "host_digits", "entropy", "host_entropy", "parameters", "query_chars", "hyphens", "host_hyphens", "upper", "https", "fragment", "extension", "percent", "longest_label", "suffix_rate", "site_rate", "host_rate", "first_dir_rate")
 MIN_LEAF, BINS = 20, 32
@@ -180,8 +180,12 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-score))
 
 
+def labelled_by_words(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """(url, label) where nobody has labelled any URLs: block where the host has one of UNWANTED, else allow."""
+    return urls.select(F.col(url_col).alias("url"), words_label(parts(F.col(url_col))[0]).alias("label"))
+
+
 def words_label(host: Column) -> Column:
-    """Labels of URLs that nobody has labelled: unwanted where the host has a telling word."""
     return F.when(F.rlike(host, F.lit(rf"(^|[.\d-])({'|'.join(UNWANTED)})([.\d-]|$)")), "block").otherwise("allow")
 
 
@@ -210,33 +214,42 @@ class CountedRates:
         all_ = table.filter("kind = 3").agg(*[F.coalesce(F.sum(f"{c}{k}"), F.lit(0)).alias(f"{c}{k}") for k in range(FOLDS) for c in "ns"]).first()
         return cls(table, [all_[f"n{k}"] for k in range(FOLDS)], [all_[f"s{k}"] for k in range(FOLDS)])
 
-    def join(self, pages: DataFrame, fold: str | None = None) -> DataFrame:
-        """``pages`` (host, path) with a column for each of RATES. Each row's own ``fold`` is left out, if given."""
+    def join(self, pages: DataFrame, fold: str | None = None, hide: bool = False) -> DataFrame:
+        """``pages`` (host, path) with a column for each of RATES. Each row's own ``fold`` is left out, if given; with ``hide``, of every second row (url) all URLs of its host, as if it hadn't been seen."""
         total, bad = sum(self.urls), sum(self.unwanted)
         means = [(bad - s) / (total - n) if total > n else 0.5 for n, s in zip(self.urls, self.unwanted, strict=True)] if fold else [bad / total if total else 0.5]
         mean = F.get(F.array(*[F.lit(float(m)) for m in means]), F.col(fold) if fold else F.lit(0))
-        for i, (name, key) in enumerate(zip(RATES, rate_keys(F.col("host"), F.col("path")), strict=True)):
+        for i, key in enumerate(rate_keys(F.col("host"), F.col("path"))):
             counts = self.table.filter(F.col("kind") == i).select(F.col("key").alias("_key"), F.array(*[f"n{k}" for k in range(FOLDS)]).alias("_n"), F.array(*[f"s{k}" for k in range(FOLDS)]).alias("_s"))
             pages = pages.withColumn("_key", key).join(counts, "_key", "left")
             n, s = (F.coalesce(sum((F.get(c, F.lit(k)) for k in range(FOLDS)), F.lit(0)) - (F.get(c, F.col(fold)) if fold else F.lit(0)), F.lit(0)) for c in ("_n", "_s"))
-            pages = pages.withColumn(name, (s + WEIGHT * mean) / (n + WEIGHT)).drop("_key", "_n", "_s")
-        return pages
+            pages = pages.withColumns({f"_n{i}": n, f"_s{i}": s}).drop("_key", "_n", "_s")
+        unseen = F.pmod(F.xxhash64("url", F.lit(9)), F.lit(2)) == 0 if hide else F.lit(False)
+        for i, name in enumerate(RATES):
+            # the last three labels stand for the host
+            n, s = (F.col(f"_{c}{i}") - (F.when(unseen, F.col(f"_{c}2")).otherwise(0) if i < 3 else 0) for c in "ns")
+            pages = pages.withColumn(name, (s + WEIGHT * mean) / (n + WEIGHT))
+        return pages.drop(*[f"_{c}{i}" for c in "ns" for i in range(len(RATES))])
 
 
 def train(labelled: DataFrame, sample: int = 20_000) -> tuple[BoostedTrees, CountedRates]:
     """From (url, host, path, label); a URL with both labels counts as block.
 
-    The rates are counted over all distinct URLs. The trees learn from at most ``sample`` of them, half of
+    The rates are counted over all distinct URLs. Half of the sample have their own hosts' URLs left out of them, so
+    that the trees learn what to make of a host that no label names. The trees learn from at most ``sample`` of them, half of
     each label, collected in a fixed order by hash and weighted so that each label has its true share.
     """
     known = labelled.filter(F.col("label").isin("block", "allow")).groupBy("url", "host", "path").agg(F.max((F.col("label") == "block").cast("int")).alias("y"))
     known = settle(known.withColumn("fold", F.pmod(F.xxhash64("url", F.lit(7)), F.lit(FOLDS)).cast("int")), "url-labels")
     rates = CountedRates.of(known)
-    picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("url"), "url").limit(sample // 2) for y in (1, 0)]
+    true = np.array([sum(rates.urls) - sum(rates.unwanted), sum(rates.unwanted)])
+    # by hash, so that little more than the sample is sorted; with a margin of many standard deviations
+    steps, order = 1 << 40, F.xxhash64("url")
+    most = [int(steps * min(1.0, (1.2 * (sample // 2) + 100) / max(1, int(n)))) for n in true]
+    picked = [known.filter((F.col("y") == y) & (F.pmod(order, F.lit(steps)) < most[y])).orderBy(F.pmod(order, F.lit(steps)), order, "url").limit(sample // 2) for y in (1, 0)]
     # at most ``sample`` rows
-    rows = sorted(rates.join(settle(picked[0].unionByName(picked[1]), "url-sample"), "fold").collect(), key=lambda r: (-r.y, r.url))
+    rows = sorted(rates.join(settle(picked[0].unionByName(picked[1]), "url-sample"), "fold", hide=True).collect(), key=lambda r: (-r.y, r.url))
     y = np.array([r.y for r in rows], float)
-    true = np.array([sum(rates.urls) - sum(rates.unwanted), sum(rates.unwanted)])
     share = np.array([true[v] / true.sum() * len(y) / max(1, (y == v).sum()) for v in (0, 1)]) if len(y) else np.ones(2)
     x = with_rates([r.url for r in rows], [r.host for r in rows], [r.path for r in rows], np.array([[r[c] for c in RATES] for r in rows], float))
     return BoostedTrees().fit(x, y, share[y.astype(int)]), rates
@@ -247,14 +260,14 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id",
 
     The longest fitting rule decides; a rule fits its host and all its subdomains if the path
     starts with the rule's. Otherwise the trees do: block at a score of 0.5 or more. They learn from
-    ``labelled`` (url, label: block or allow), or else from the rows as ``words_label`` labels them. Without any labelled URL all scores are 0, so the unruled are allowed. Null ids and urls
-    stay; rows that repeat are judged each.
+    ``labelled`` (url, label: block or allow), or else from the rows that a rule decides. Without any labelled URL all scores are 0, so the unruled are allowed. Null ids and urls
+    stay; rows that repeat are judged each; urls of any length are taken whole.
     """
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url")).withColumns(dict(zip(("host", "path"), parts(F.col("url")), strict=True)))
     name, verdict = ruled(rules, F.col("host"), F.col("path"))
     base = base.select("_id", "url", "host", "path", name.alias("rule"), verdict.alias("ruled"))
     if labelled is None:
-        labelled = base.withColumn("label", words_label(F.col("host")))
+        labelled = base.withColumn("label", F.col("ruled"))
     else:
         labelled = labelled.select("url", "label").withColumns(dict(zip(("host", "path"), parts(F.col("url")), strict=True)))
     trees, rates = train(labelled.filter("label is not null and url is not null"), sample)
