@@ -1,14 +1,15 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 With DataFrame functions only. A text is cut into pieces: paragraphs at line ends, and these at
-clause ends. A piece's 64-bit digest goes to one cell in each of three tables; a cell holds the
+sentence ends, as many texts are one paragraph. A piece's 64-bit digest goes to one cell in each of three tables; a cell holds the
 count, the XOR of digests and the XOR of their check sums. Subtracting two sketches cancels what both
 texts have; a cell that holds one digest gives it away, and taking it out of its other cells frees
 more, until all differing digests are out or none is alone. If some stay in, larger tables with
 other seeds are tried, until all have come out.
 
-The fingerprint that is kept has a fixed number of cells. For the likeness of two texts the tables
-are sized by their numbers of pieces, as both headers give them.
+The fingerprint that is kept is the smallest sketch, of a fixed number of cells, and tells versions apart that differ in a
+few pieces. For the likeness of any two texts the tables are sized by their numbers of pieces, as both headers give them.
+``recovered`` gives the differing digests themselves.
 
 Each document meets the next one by id in range buckets: a bucket also gets a copy of the first
 document of the next bucket, so one shuffle of the texts does. All later groupings are by bucket
@@ -27,7 +28,7 @@ from sievelake.llm.common import settle, shuffle_partitions, splitters
 TABLES = 3
 LOWEST = -(2**63)
 #: Cuts a text into pieces.
-CUTS = r"(?<=[.,;:!?|])\s+|\n+"
+CUTS = r"\s(?<=[.!?]\s)\s*|\n+"
 
 
 def pieces(text: Column) -> Column:
@@ -53,9 +54,8 @@ def place(digest: Column, table: int, seed: int, width: Column) -> Column:
     return (F.pmod(F.xxhash64(digest, F.lit(seed + table)), width) + width * table).cast("int")
 
 
-def differences(pairs: DataFrame, keys: list[str], *, factor: float, seed: int, rounds: int = 9) -> DataFrame:
-    """(keys, _d, _left) of rows (keys, _x, _y) with the digests of two texts: the number of digests that came
-    out of the subtracted sketches, and of cells that still hold some. A row whose sketches are equal gives no row.
+def sketches(pairs: DataFrame, keys: list[str], *, factor: float, seed: int) -> DataFrame:
+    """Cells (keys, _m, _cell, _c, _k, _h) of the subtracted sketches of rows (keys, _x, _y) with the digests of two texts, less the empty ones.
 
     ``pairs`` must be partitioned by the first of ``keys``; nothing here shuffles then.
     """
@@ -63,20 +63,42 @@ def differences(pairs: DataFrame, keys: list[str], *, factor: float, seed: int,
     signed = pairs.select(*keys, width.alias("_m"), F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("_x").alias("list")), F.struct(F.lit(-1).alias("sign"), F.col("_y").alias("list")))).alias("_s"))
     signed = signed.select(*keys, "_m", F.col("_s.sign").alias("_sign"), F.explode("_s.list").alias("_key"))
     cells = signed.select(*keys, "_m", "_sign", "_key", check(F.col("_key")).alias("_check"), F.explode(F.array(*[place(F.col("_key"), t, seed, F.col("_m")) for t in range(TABLES)])).alias("_cell"))
-    cells = cells.groupBy(*keys, "_m", "_cell").agg(F.sum("_sign").alias("_c"), F.bit_xor("_key").alias("_k"), F.bit_xor("_check").alias("_h")).filter("_c <> 0 or _k <> 0 or _h <> 0")
-    # cell -1 counts what has come out
+    return cells.groupBy(*keys, "_m", F.col("_cell").cast("long").alias("_cell")).agg(F.sum("_sign").alias("_c"), F.bit_xor("_key").alias("_k"), F.bit_xor("_check").alias("_h")).filter("_c <> 0 or _k <> 0 or _h <> 0")
+
+
+def peeled(cells: DataFrame, keys: list[str], *, seed: int, rounds: int, apart: bool) -> DataFrame:
+    """The cells after ``rounds`` of taking out digests that stand alone. What has come out is in cells under 0: its number in cell -1, or with ``apart`` each digest in a cell of its own with its sign."""
     for r in range(rounds):
         own = r % TABLES
         alone = (F.abs("_c") == 1) & (F.col("_cell") == place(F.col("_k"), own, seed, F.col("_m"))) & (F.col("_h") == check(F.col("_k")))
-        cell = lambda at, c, k, h: F.struct(at.cast("int").alias("_cell"), c.cast("long").alias("_c"), k.alias("_k"), h.alias("_h"))
-        out = [cell(F.lit(-1), F.lit(1), F.lit(0).cast("long"), F.lit(0).cast("long"))]
+        cell = lambda at, c, k, h: F.struct(at.cast("long").alias("_cell"), c.cast("long").alias("_c"), k.alias("_k"), h.alias("_h"))
+        none = F.lit(0).cast("long")
+        out = [cell(F.col("_k").bitwiseOR(F.lit(LOWEST)), F.col("_c"), F.col("_k"), none) if apart else cell(F.lit(-1), F.lit(1), none, none)]
         out += [cell(place(F.col("_k"), t, seed, F.col("_m")), -F.col("_c"), F.col("_k"), F.col("_h")) for t in range(TABLES) if t != own]
         moved = F.when((F.col("_cell") >= 0) & alone, F.array(*out)).otherwise(F.array(cell(F.col("_cell"), F.col("_c"), F.col("_k"), F.col("_h"))))
         cells = cells.select(*keys, "_m", F.explode(moved).alias("_e")).select(*keys, "_m", "_e.*")
         cells = cells.groupBy(*keys, "_m", "_cell").agg(F.sum("_c").alias("_c"), F.bit_xor("_k").alias("_k"), F.bit_xor("_h").alias("_h")).filter("_c <> 0 or _k <> 0 or _h <> 0")
+    return cells
+
+
+def differences(pairs: DataFrame, keys: list[str], *, factor: float, seed: int, rounds: int = 9) -> DataFrame:
+    """(keys, _d, _left): the number of digests that came out of the subtracted sketches, and of cells that still hold some. A row whose sketches are equal gives no row."""
+    cells = peeled(sketches(pairs, keys, factor=factor, seed=seed), keys, seed=seed, rounds=rounds, apart=False)
     return cells.groupBy(*keys).agg(F.sum(F.when(F.col("_cell") < 0, F.col("_c")).otherwise(0)).alias("_d"), F.count(F.when(F.col("_cell") >= 0, 1)).alias("_left"))
 
 
+def recovered(pairs: DataFrame, keys: list[str], *, factor: float = 1.0, seed: int = 1000, rounds: int = 9) -> DataFrame:
+    """(keys, digest, side, whole): the digests that only one of two texts has; side is 1 for the first's, -1 for the second's.
+
+    ``whole`` is false where some stayed in, so that these pairs should be tried with a larger factor and another seed; a
+    pair of which nothing came out then has a row without digest. Texts with the same pieces give no row.
+    """
+    cells = peeled(sketches(pairs, keys, factor=factor, seed=seed), keys, seed=seed, rounds=rounds, apart=True)
+    # the top bit is taken for the cell's sign only
+    found = cells.groupBy(*keys).agg(F.collect_list(F.when(F.col("_cell") < 0, F.struct(F.col("_k").alias("digest"), F.col("_c").cast("int").alias("side")))).alias("_out"), F.max(F.col("_cell") >= 0).alias("_stuck"))
+    return found.select(*keys, F.explode_outer("_out").alias("_o"), (~F.col("_stuck")).alias("whole")).select(*keys, "_o.digest", "_o.side", "whole")
+
+
 def up_to(cuts: Column, k: Column) -> Column:
     """How many of ``cuts`` are at most ``k``."""
     below = F.array_position(F.sort_array(F.array_append(cuts, k)), k) - 1
@@ -104,19 +126,20 @@ def in_buckets(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def with_next(base: DataFrame, parts: int) -> DataFrame:
-    """Rows (_k, _t) with _bucket, _row and the next row's _next, _next_k, _next_h, partitioned by _bucket."""
+    """Rows (_k, _t) with _bucket, _row, their digests _a and the next row's _next, _next_k, _next_h and digests _n, partitioned by _bucket."""
     dealt = in_buckets(base, parts).repartition(parts, "_bucket")
     order = Window.partitionBy("_bucket").orderBy("_copy", "_k", "_h")
     # a copy of the next bucket's first row stands behind the rows of its own, the first of all behind that
     lead = lambda c: F.lead(c).over(order).alias(f"_next{c.removeprefix('_t')}")
-    return dealt.withColumn("_h", F.xxhash64("_t")).select("_bucket", "_copy", "_k", "_h", "_t", F.row_number().over(order).alias("_row"), lead("_t"), lead("_k"), lead("_h")).filter("_copy = 0").drop("_copy")
+    told = dealt.withColumns({"_h": F.xxhash64("_t"), "_a": pieces(F.col("_t"))})
+    return told.select("_bucket", "_copy", "_k", "_h", "_t", "_a", F.row_number().over(order).alias("_row"), lead("_t"), lead("_k"), lead("_h"), F.lead("_a").over(order).alias("_n")).filter("_copy = 0").drop("_copy")
 
 
 def with_edited(rows: DataFrame) -> DataFrame:
-    """_edited and the digests _a, _e, _n of the text, the edited and the next text."""
+    """_edited and its digests _e, for rows with the text _t and the _next one."""
     half = F.floor(F.length("_t") / 2).cast("int")
     rows = rows.withColumn("_edited", F.concat(F.substr("_t", F.lit(1), F.length("_t") - half), F.substr("_next", F.lit(1), half)))
-    return rows.withColumns({"_a": pieces(F.col("_t")), "_e": pieces(F.col("_edited")), "_n": pieces(F.col("_next"))})
+    return rows.withColumn("_e", pieces(F.col("_edited")))
 
 
 KEYS = ["_bucket", "_row", "_which"]
@@ -128,7 +151,7 @@ def as_pairs(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("_bucket", "_row", *more, F.explode(F.array(pair(0, "_e"), pair(1, "_n"))).alias("_p")).select("_bucket", "_row", *more, "_p.*")
 
 
-def retry(base: DataFrame, stuck: DataFrame, parts: int, attempts: int, broadcast_rows: int = 100_000) -> DataFrame:
+def retry(base: DataFrame, stuck: DataFrame, parts: int, attempts: int) -> DataFrame:
     """(keys, _d) of stuck pairs (keys, _k, _h, _next_k, _next_h), in tables that double until every digest comes out."""
     solved, attempt = None, 0
     while not stuck.isEmpty():
@@ -136,10 +159,8 @@ def retry(base: DataFrame, stuck: DataFrame, parts: int, attempts: int, broadcas
         if attempt > attempts:
             raise RuntimeError(f"sketches don't come apart after {attempts} attempts")
         ids = stuck.select("_k", "_h").union(stuck.select("_next_k", "_next_h")).distinct()
-        # sixteen bytes a row: to all executors only if there are few
-        few = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
-        texts = settle(base.withColumn("_h", F.xxhash64("_t")).join(few, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]), "stuck-texts")
-        after = texts.select(F.col("_k").alias("_next_k"), F.col("_h").alias("_next_h"), F.col("_t").alias("_next"))
+        texts = settle(base.withColumn("_h", F.xxhash64("_t")).join(ids, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).withColumn("_a", pieces(F.col("_t"))), "stuck-texts")
+        after = texts.select(F.col("_k").alias("_next_k"), F.col("_h").alias("_next_h"), F.col("_t").alias("_next"), F.col("_a").alias("_n"))
         rows = with_edited(stuck.join(texts, ["_k", "_h"]).join(after, ["_next_k", "_next_h"]))
         pairs = as_pairs(rows.withColumnRenamed("_which", "_asked"), "_asked").filter("_which = _asked").drop("_asked")
         found = differences(settle(pairs, "stuck-digests").repartition(parts, "_bucket"), KEYS, factor=2.0**attempt, seed=1000 * (attempt + 1))

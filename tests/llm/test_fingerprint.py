@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -9,7 +10,7 @@ from sievelake.llm.fingerprint import fingerprints
 
 
 def py_pieces(text):
-    return {x for x in re.split(r"(?<=[.,;:!?|])[ \t\n\x0b\f\r]+|\n+", text) if x}
+    return {x for x in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n+", text) if x}
 
 
 def brute(docs):
@@ -50,6 +51,23 @@ def test_differences_come_out_whole(spark):
     assert {(r._d, r._left) for r in rows} == {(15, 0)} and len(rows) == 50
 
 
+def test_differing_digests_are_recovered(spark):
+    """With their signs, whichever digests both texts share; tables that are too small say so."""
+    rng = random.Random(2)
+    digests = lambda n: [rng.randrange(-(2**63), 2**63) for _ in range(n)]
+    want, rows = {}, []
+    for i in range(40):
+        both, x, y = digests(rng.randrange(60)), digests(rng.randrange(30)), digests(rng.randrange(30))
+        rows.append((0, i, both + x, y + both))
+        want[i] = {(k, 1) for k in x} | {(k, -1) for k in y}
+    pairs = spark.createDataFrame(rows, "b int, r int, _x array<long>, _y array<long>")
+    found = fingerprint.recovered(pairs, ["b", "r"], factor=2.0).collect()
+    assert all(r.whole for r in found)
+    assert {i: {(r.digest, r.side) for r in found if r.r == i} for i in want} == want
+    few = fingerprint.recovered(pairs, ["b", "r"], factor=0.0, rounds=1).collect()
+    assert any(not r.whole for r in few) and all((r.digest, r.side) in want[r.r] for r in few if r.digest is not None)
+
+
 def test_one_document_follows_itself(spark):
     docs = spark.createDataFrame([(5, "ab, cd. ef")], "doc_id long, text string")
     (r,) = fingerprints(docs).collect()
