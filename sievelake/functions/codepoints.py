@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # They must equal the published sets for results to agree.
 #: Removed outright.
 STRIPPED = (
@@ -13,13 +15,15 @@ STRIPPED = (
 )
 #: Removed even where other cleaning is off.
 FORCED = "".join(c for c in STRIPPED if c not in "\ufffe\uffff\uffef")
-#: Replaced one by one.
-TO_SPACE = "\u00a0\u2007\u202f"
-TO_HYPHEN = "\u2013\u2014\u2015"
-TO_APOSTROPHE = "\u2018\u2019\u201a\u201b\u2032"
-TO_QUOTE = "\u201c\u201d\u201e\u201f\u2033"
 ELLIPSIS = "\u2026"
-SUBSTITUTED = {**dict.fromkeys(TO_SPACE, " "), **dict.fromkeys(TO_HYPHEN, "-"), **dict.fromkeys(TO_APOSTROPHE, "'"), **dict.fromkeys(TO_QUOTE, '"'), ELLIPSIS: "..."}
+#: Replaced one by one.
+SUBSTITUTED = {
+    "\u00a0": " ", "\u2007": " ", "\u202f": " ",
+    "\u2013": "-", "\u2014": "-", "\u2015": "-",
+    "\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201b": "'", "\u2032": "'",
+    "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u201f": '"', "\u2033": '"',
+    ELLIPSIS: "...",
+}
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\u2061\u2062\u2063\u2064\ufeff"
 BIDI = "\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
 JOINERS = "\ufeff\u2060"
@@ -59,9 +63,26 @@ STRIP_NAMES = {
 # End of fixed values.
 
 
+def spans(chars: str) -> list[tuple[int, int]]:
+    """Runs of code points that follow each other, first and last."""
+    out: list[tuple[int, int]] = []
+    for c in sorted(set(map(ord, chars))):
+        if out and out[-1][1] == c - 1:
+            out[-1] = (out[-1][0], c)
+        else:
+            out.append((c, c))
+    return out
+
+
 def java_class(chars: str) -> str:
     """A character class of code points that Java, RE2 and Python's regex read alike, in ASCII."""
-    return "[" + "".join(rf"\x{{{ord(c):X}}}" for c in chars) + "]"
+    return "[" + "".join(rf"\x{{{a:X}}}" if a == b else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans(chars)) + "]"
+
+
+def narrowed(cls: str) -> str:
+    """The class for Java, which then looks at the single spans only within the whole's: most text lies outside it."""
+    points = [int(x, 16) for x in re.findall(r"\\x\{([0-9A-F]+)\}", cls)]
+    return rf"[\x{{{min(points):X}}}-\x{{{max(points):X}}}&&{cls}]"
 
 
 def span(ends: tuple[str, str]) -> str:

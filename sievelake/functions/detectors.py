@@ -16,34 +16,48 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sievelake import schemas
-from sievelake.functions.codepoints import BIDI, EM_DASH, EMOJI, FULLWIDTH, HOMOGLYPHS, JOINERS, TEMPLATE_TOKENS, VARIATION, ZERO_WIDTH, java_class, span
+from sievelake.functions.codepoints import BIDI, EM_DASH, EMOJI, FULLWIDTH, HOMOGLYPHS, JOINERS, TEMPLATE_TOKENS, VARIATION, ZERO_WIDTH, java_class, narrowed, span
 from sievelake.functions.hygiene import utf16_positions
 from sievelake.functions.vectorised import vectorised
 
 LETTER = "[A-Za-z]"
-WIDE = r"[\x{10000}-\x{10FFFF}]"
-_HOMOGLYPH, _ZERO, _JOIN, _BIDI, _FULL, _VARIATION = java_class("".join(HOMOGLYPHS)), java_class(ZERO_WIDTH), java_class(JOINERS), java_class(BIDI), span(FULLWIDTH), span(VARIATION)
-_EMOJI = f"[{java_class(EMOJI)[1:-1]}{WIDE[1:-1]}]"
-_EMOJI_RUN = f"{_EMOJI}[{_EMOJI[1:-1]}\\x{{200D}}]*"
+WIDE = r"\x{10000}-\x{10FFFF}"
+_EMOJI = f"{java_class(EMOJI)[:-1]}{WIDE}]"
+#: The characters of matches, as classes that Java and Python read alike.
+CLASSES = {
+    "homoglyph": java_class("".join(HOMOGLYPHS)),
+    "zero": java_class(ZERO_WIDTH),
+    "joiner": java_class(JOINERS),
+    "bidi": java_class(BIDI),
+    "full": span(FULLWIDTH),
+    "variation": span(VARIATION),
+    "emoji": _EMOJI,
+    "emoji_more": rf"{_EMOJI[:-1]}\x{{200D}}]",
+    "dash": java_class(EM_DASH),
+}
 _TOKENS = "|".join(regex.escape(t) for t in TEMPLATE_TOKENS)
 _THINK = r"</?[tT][hH][iI][nN][kK\x{212A}]>?"
-_DASH = rf"\x{{{ord(EM_DASH):X}}}"
 #: White space, letters and decimal digits of the basic plane: what a marker may stand between.
 _EDGE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\p{L}\p{Nd}&&[^\x{10000}-\x{10FFFF}]]"
+#: What can't be part of a match, but for brackets.
+_COMMON = r"[\x00-;=-Z\\-\x{390}]+"
 
 
 def beside_letter(one: str) -> str:
-    return f"(?<={LETTER}){one}|{one}(?={LETTER})"
+    """The rare class first, then its neighbours, so that most characters are passed over at a glance."""
+    return f"{one}(?:(?<={LETTER}{one})|(?={LETTER}))"
 
 
 @dataclass(frozen=True)
 class Detector:
-    """``java`` is the pattern for Spark; ``least`` is the least length of a match in UTF-16 units."""
+    """``form`` is the pattern, with a name for each of CLASSES; ``needs`` is the class that any match has a character of;
+    ``least`` is the least length of a match in UTF-16 units."""
 
     vendor: str
     pattern: str
     confidence: float
-    java: str
+    form: str
+    needs: str
     least: int = 1
     keep: Callable[[str, int, int], bool] | None = None
 
@@ -51,6 +65,14 @@ class Detector:
     def name(self) -> str:
         return f"{self.vendor}_{self.pattern}".lower().replace("-", "_")
 
+    @property
+    def java(self) -> str:
+        return self.form % {k: narrowed(v) for k, v in CLASSES.items()}
+
+    @property
+    def carriers(self) -> str:
+        return CLASSES.get(self.needs, self.needs)
+
     def count(self, text: Column) -> Column:
         """Matches in a text, as a Column expression."""
         if self.least > 1:
@@ -68,35 +90,43 @@ def _isolated(text: str, start: int, end: int) -> bool:
 
 
 DETECTORS = [
-    Detector("Claude", "homoglyph-substitution", 0.85, beside_letter(_HOMOGLYPH)),
-    Detector("Claude", "zero-width-sequence", 0.9, f"{_ZERO}{{2,}}"),
-    Detector("Gemini", "variation-selector", 0.8, f"{_VARIATION}+"),
-    Detector("Gemini", "synthid-token-marker", 0.6, rf"(?:(?<={_EDGE})|(?<!(?s:.))){_ZERO}(?:(?={_EDGE})|(?!(?s:.)))", keep=_isolated),
-    Detector("OpenAI", "mid-stream-joiner", 0.7, rf"(?<=(?s:.)){_JOIN}"),
-    Detector("OpenAI", "bidi-override", 0.75, f"{_BIDI}+"),
-    Detector("DeepSeek", "reasoning-block", 0.95, _THINK),
-    Detector("DeepSeek", "fullwidth-punctuation", 0.7, beside_letter(_FULL)),
-    Detector("Grok", "emoji-burst", 0.6, _EMOJI_RUN, least=3),
-    Detector("Grok", "em-dash-cluster", 0.7, f"{_DASH}{{3,}}"),
-    Detector("Mistral", "template-leak", 0.99, _TOKENS),
+    Detector("Claude", "homoglyph-substitution", 0.85, beside_letter("%(homoglyph)s"), "homoglyph"),
+    Detector("Claude", "zero-width-sequence", 0.9, "%(zero)s{2,}", "zero"),
+    Detector("Gemini", "variation-selector", 0.8, "%(variation)s+", "variation"),
+    Detector("Gemini", "synthid-token-marker", 0.6, rf"%(zero)s(?:(?<={_EDGE}%(zero)s)|(?<!(?s:.)%(zero)s))(?:(?={_EDGE})|(?!(?s:.)))", "zero", keep=_isolated),
+    Detector("OpenAI", "mid-stream-joiner", 0.7, "%(joiner)s(?<=(?s:.)%(joiner)s)", "joiner"),
+    Detector("OpenAI", "bidi-override", 0.75, "%(bidi)s+", "bidi"),
+    Detector("DeepSeek", "reasoning-block", 0.95, _THINK, "<"),
+    Detector("DeepSeek", "fullwidth-punctuation", 0.7, beside_letter("%(full)s"), "full"),
+    Detector("Grok", "emoji-burst", 0.6, "%(emoji)s%(emoji_more)s*", "emoji", least=3),
+    Detector("Grok", "em-dash-cluster", 0.7, "%(dash)s{3,}", "dash"),
+    Detector("Mistral", "template-leak", 0.99, _TOKENS, r"[<\[]"),
 ]
 VENDORS = list(dict.fromkeys(d.vendor for d in DETECTORS))
-#: No match is possible without this: a cheap filter before Python.
-CANDIDATE = rf"[^\x00-\x7F]|{_THINK}|{_TOKENS}"
+_ANY = "[" + "".join(v[1:-1] for v in CLASSES.values()) + "]"
 
 
 def _python(java: str) -> str:
     return regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: rf"\U{int(m[1], 16):08x}", java)
 
 
-_COMPILED = [(d, regex.compile(_python(_ZERO if d.keep else d.java))) for d in DETECTORS]
+def plain(form: str) -> str:
+    """A pattern for Python."""
+    return _python(form % CLASSES)
+
+
+#: No match is possible without this: a cheap filter before Python.
+CANDIDATE = f"{narrowed(_ANY)}|{_THINK}|{_TOKENS}"
+_COMPILED = [(d, regex.compile(plain("%(zero)s" if d.keep else d.form)), regex.compile(_python(d.carriers))) for d in DETECTORS]
+_PASSED = regex.compile(_python(_COMMON))
 
 
 def find(text: str, vendors: tuple[str, ...] | None = None) -> list[tuple[str, str, float, int, int]]:
     """(vendor, pattern, confidence, position, length) of all matches, by detector and position."""
     at, out = utf16_positions(text), []
-    for d, pattern in _COMPILED:
-        if vendors and d.vendor not in vendors:
+    rare = _PASSED.sub("", text)
+    for d, pattern, carrier in _COMPILED:
+        if vendors and d.vendor not in vendors or not carrier.search(rare):
             continue
         for m in pattern.finditer(text):
             start, end = at(m.start()), at(m.end())
@@ -105,11 +135,11 @@ def find(text: str, vendors: tuple[str, ...] | None = None) -> list[tuple[str, s
     return out
 
 
-_FOLD = regex.compile(_python(f"{_ZERO}|{beside_letter(_HOMOGLYPH)}"))
-_INVISIBLE = regex.compile(_python(f"{_VARIATION}|{_ZERO}"))
-_CONTROLS = regex.compile(_python(f"{_JOIN}|{_BIDI}"))
-_REASONING = regex.compile(_python(f"{_THINK}|{beside_letter(_FULL)}"))
-_BURSTS = regex.compile(_python(f"({_EMOJI})(?:{_EMOJI})*|{_DASH}+"))
+_FOLD = regex.compile(plain(f"%(zero)s|{beside_letter('%(homoglyph)s')}"))
+_INVISIBLE = regex.compile(plain("%(variation)s|%(zero)s"))
+_CONTROLS = regex.compile(plain("%(joiner)s|%(bidi)s"))
+_REASONING = regex.compile(plain(f"{_THINK}|{beside_letter('%(full)s')}"))
+_BURSTS = regex.compile(plain("(%(emoji)s)(?:%(emoji)s)*|%(dash)s+"))
 _TEMPLATE = regex.compile(_TOKENS)
 
 
@@ -155,9 +185,15 @@ def is_candidate(text: Column) -> Column:
     return F.rlike(text, F.lit(CANDIDATE))
 
 
-def counts(text: Column) -> Column:
-    """A struct with the number of matches of each detector, without Python."""
-    return F.struct(*[d.count(text).alias(d.name) for d in DETECTORS])
+def rare(text: Column) -> Column:
+    """What is left of a text without the characters that no match needs: short for most."""
+    return F.regexp_replace(text, _COMMON, "")
+
+
+def counts(text: Column, rest: Column | None = None) -> Column:
+    """A struct with the number of matches of each detector, without Python. A detector reads a text only if ``rest``, by default ``rare(text)``, has what its matches need."""
+    rest = rare(text) if rest is None else rest
+    return F.struct(*[F.when(F.rlike(rest, F.lit(narrowed(d.carriers) if "{" in d.carriers else d.carriers)), d.count(text)).when(text.isNotNull(), 0).alias(d.name) for d in DETECTORS])
 
 
 def remover(vendor: str) -> Callable[[Column], Column]:

@@ -15,11 +15,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sievelake import schemas
-from sievelake.functions.codepoints import ELLIPSIS, STRIP_NAMES, STRIPPED, SUBSTITUTED, java_class
+from sievelake.functions.codepoints import ELLIPSIS, STRIP_NAMES, STRIPPED, SUBSTITUTED, java_class, narrowed
 from sievelake.functions.vectorised import vectorised
 
-STRIP_CLASS = java_class(STRIPPED)
-SUBSTITUTE_CLASS = java_class("".join(SUBSTITUTED))
+STRIP_CLASS = narrowed(java_class(STRIPPED))
+SUBSTITUTE_CLASS = narrowed(java_class("".join(SUBSTITUTED)))
+HYGIENE_CLASS = narrowed(java_class(STRIPPED + "".join(SUBSTITUTED)))
 ONE_TO_ONE = {k: v for k, v in SUBSTITUTED.items() if k != ELLIPSIS}
 BEYOND_ASCII = r"[^\x00-\x7F]"
 BLANKS = r"[ \t]{2,}"
@@ -27,13 +28,14 @@ BLANKS = r"[ \t]{2,}"
 
 def strip_invisible(text: Column) -> Column:
     """Without the strippable code points; null stays null."""
-    return F.translate(text, STRIPPED, "")
+    return F.regexp_replace(text, STRIP_CLASS, "")
 
 
 def substitute_punctuation(text: Column) -> Column:
     """Spaces, dashes, quotes, primes and ellipses in ASCII."""
     plain = F.translate(text, "".join(ONE_TO_ONE), "".join(ONE_TO_ONE.values()))
-    return F.replace(plain, F.lit(ELLIPSIS), F.lit("..."))
+    # a look costs much less than the work, which few texts need
+    return F.when(F.rlike(text, F.lit(SUBSTITUTE_CLASS)), F.replace(plain, F.lit(ELLIPSIS), F.lit("..."))).otherwise(text)
 
 
 def tidy(text: Column) -> Column:
@@ -50,7 +52,7 @@ def count_substituted(text: Column) -> Column:
 
 
 def has_hygiene_work(text: Column) -> Column:
-    return F.rlike(text, F.lit(f"{STRIP_CLASS}|{SUBSTITUTE_CLASS}"))
+    return F.rlike(text, F.lit(HYGIENE_CLASS))
 
 
 def beyond_ascii(text: Column) -> Column:
@@ -63,10 +65,6 @@ def confidence(items: Column) -> Column:
     return F.when(items > 0, F.least(F.lit(1.0), 0.5 + items * 0.05)).otherwise(0.0)
 
 
-def rewrite_confidence(items: Column, words: Column) -> Column:
-    return F.when(words == 0, 0.0).otherwise(F.least(F.lit(1.0), items / words * 3))
-
-
 def collapse_whitespace(text: Column) -> Column:
     """Runs of blanks as one space."""
     return F.regexp_replace(text, BLANKS, " ")
@@ -77,10 +75,6 @@ def tokenize_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\p{L}[\p{L}'\-]*)"), 1)
 
 
-def utf16_length(text: Column) -> Column:
-    return F.octet_length(F.encode(text, "UTF-16BE")) / 2
-
-
 def utf16_positions(text: str):
     """A function from an index in ``text`` to UTF-16 units."""
     wide = [i for i, c in enumerate(text) if c > "\uffff"] if not text.isascii() and max(text) > "\uffff" else []

@@ -107,12 +107,17 @@ def to_rgba(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return np.concatenate([rgb, np.full((height, width, 1), 255, np.uint8) if a is None else a], 2)
 
 
-def detect_regions(image: Column, threshold: float = 0.4) -> Column:
-    """Regions of a column of Spark's image struct; null for a null or invalid image."""
+def detector(threshold: float = 0.4):
+    """A UDF of the fields data, height, width and nChannels of Spark's image struct."""
 
     @F.pandas_udf(f"array<{schemas.REGION}>")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
             yield pd.Series([None if d is None or n not in (1, 3, 4) or h <= 0 else regions(to_rgba(bytes(d), int(h), int(w), int(n)), threshold) for d, h, w, n in zip(*columns, strict=True)])
 
-    return run(image["data"], image["height"], image["width"], image["nChannels"])
+    return run
+
+
+def detect_regions(image: Column, threshold: float = 0.4) -> Column:
+    """Regions of a column of Spark's image struct; null for a null or invalid image."""
+    return detector(threshold)(image["data"], image["height"], image["width"], image["nChannels"])

@@ -43,14 +43,8 @@ TOOLS = "ChatGPT|GPT-4|GPT-4o|Claude|Claude Code|Gemini|Bard|Copilot|Anthropic|O
 CO_AUTHORS = "Claude|Copilot|ChatGPT|Gemini"
 ROBOT = "\U0001f916"
 DISCLAIMERS = (
-    r"As an AI(?: language)? model,?",
-    r"I'm sorry,? but",
-    r"I am sorry,? but",
-    r"I cannot(?: and will not)?",
-    r"I'm unable to",
-    r"Please note that I,? as an AI",
-    r"It's important to note that as an AI",
-    r"Disclaimer:\s*As an AI",
+    r"As an AI(?: language)? model,?|I'm sorry,? but|I am sorry,? but|I cannot(?: and will not)?|I'm unable to"
+    r"|Please note that I,? as an AI|It's important to note that as an AI|Disclaimer:\s*As an AI"
 )
 # End of fixed values.
 
@@ -59,9 +53,9 @@ SIGNATURE = (
     rf"(?i)(?:\n[ \t]*)*\n?(?:-{{2,}}\s*\n)?[ \t]*(?:{ROBOT}\s*)?"
     rf"(?:_?(?:{MAKERS})\s+(?:with|by|using)\s+\[?(?:{TOOLS})\b|Co-Authored-By:\s*(?:{CO_AUTHORS})|{ROBOT}\s*Generated with)"
 )
-BOILERPLATE = rf"(?im)^[ \t]*(?:{'|'.join(DISCLAIMERS)})\b.*(?:\r?\n)?"
+BOILERPLATE = rf"(?im)^[ \t]*(?:{DISCLAIMERS})\b.*(?:\r?\n)?"
 
-_P = {k: regex.compile(v) for k, v in list(globals().items()) if k.isupper() and isinstance(v, str) and k not in ("MAKERS", "TOOLS", "CO_AUTHORS", "ROBOT")}
+_P = {k: regex.compile(v) for k, v in list(globals().items()) if k.isupper() and isinstance(v, str) and k not in ("MAKERS", "TOOLS", "CO_AUTHORS", "ROBOT", "DISCLAIMERS")}
 _FENCE = regex.compile(r" {0,3}(`{3,}|~{3,})")
 _FORCED = regex.compile(python_class(FORCED))
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -270,8 +264,8 @@ def detect(text: str) -> list[tuple]:
     return report.artifacts
 
 
-def clean_markdown(text: Column, options: MarkdownOptions | None = None) -> Column:
-    """A struct (see ``schemas.MARKDOWN_CLEAN``); fields are null for a null text."""
+def cleaner(options: MarkdownOptions | None = None):
+    """A UDF of a text."""
 
     @F.pandas_udf(schemas.MARKDOWN_CLEAN)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -286,7 +280,12 @@ def clean_markdown(text: Column, options: MarkdownOptions | None = None) -> Colu
                 rows.append((cleaned, [dict(zip(names, r, strict=True)) for r in report.removed], [dict(zip(items, a, strict=True)) for a in report.artifacts], found, kept, front))
             yield pd.DataFrame(rows, columns=["cleaned", "removed", "artifacts", "code_blocks_found", "code_blocks_preserved", "frontmatter_removed"]).astype({"code_blocks_found": "Int32", "code_blocks_preserved": "Int32", "frontmatter_removed": "boolean"})
 
-    return run(text)
+    return run
+
+
+def clean_markdown(text: Column, options: MarkdownOptions | None = None) -> Column:
+    """A struct (see ``schemas.MARKDOWN_CLEAN``); fields are null for a null text."""
+    return cleaner(options)(text)
 
 
 @vectorised(f"array<{schemas.ARTIFACT}>")

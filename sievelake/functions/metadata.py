@@ -9,6 +9,7 @@ the same size, so that offsets into the media data stay right.
 from __future__ import annotations
 
 import io
+import lzma
 import re
 import struct
 import uuid
@@ -102,15 +103,17 @@ def _jpeg_entry(marker: int, body: bytes) -> tuple[Entry | None, str]:
 # ---------------------------------------------------------------- PNG, WebP
 
 PNG_SIGN = b"\x89PNG\r\n\x1a\n"
+# Names and descriptions of chunks.
 PNG_CHUNKS = {
     "eXIf": (("EXIF", "eXIf", "EXIF chunk"), "exif"),
-    "tEXt": (("XMP/Text", "tEXt", "tEXt textual metadata"), "xmp"),
-    "zTXt": (("XMP/Text", "zTXt", "zTXt textual metadata"), "xmp"),
-    "iTXt": (("XMP/Text", "iTXt", "iTXt textual metadata"), "xmp"),
+    "tEXt": (("XMP/Text", "tEXt", "tEXt textual metadata"), "text"),
+    "zTXt": (("XMP/Text", "zTXt", "zTXt textual metadata"), "text"),
+    "iTXt": (("XMP/Text", "iTXt", "iTXt textual metadata"), "text"),
     "tIME": (("PNG", "tIME", "Last-modification time"), "exif"),
     "caBX": (("C2PA", "caBX", "C2PA manifest chunk"), "never"),
     "iCCP": (("ICC", "iCCP", "ICC color profile"), "icc"),
 }
+# End of fixed values.
 
 
 def walk_png(data: bytes) -> Iterator[Piece]:
@@ -203,8 +206,7 @@ def _box_entry(data: bytes, b: Box, where: str = "") -> tuple[Entry | None, str]
 
 
 def walk_heif(data: bytes) -> Iterator[Piece]:
-    brands = [data[i : i + 4] for i in (8, *range(16, int.from_bytes(data[:4], "big"), 4))] if data[4:8] == b"ftyp" else []
-    if not brands:
+    if data[4:8] != b"ftyp":
         raise CorruptFile("no ISO media file")
     for top in boxes(data, 0, len(data)):
         if top.kind == "meta":
@@ -249,34 +251,79 @@ def _mp4_meta(data: bytes, meta: Box) -> Iterator[Piece]:
 
 # ---------------------------------------------------------------- PDF (listed only), HTML, RTF
 
+# Fields of the information dictionary.
 PDF_INFO = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate")
+# End of fixed values.
+_PDF_FIELDS = {k: re.compile(rb"/" + k.encode() + rb"\s*(?:\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]*)>)", re.S) for k in PDF_INFO}
+#: Bytes that are unpacked at a time, and how far a field may reach over their end.
+PDF_STEP, PDF_REACH = 1 << 20, 1 << 16
+
+
+def _unpacked(data: memoryview) -> Iterator[bytes]:
+    """A deflated stream piece by piece, each with the end of the one before; up to where it is damaged."""
+    unpack, at, tail = zlib.decompressobj(), 0, b""
+    try:
+        while not unpack.eof and (unpack.unconsumed_tail or at < len(data)):
+            raw = unpack.unconsumed_tail
+            if not raw:
+                raw, at = bytes(data[at : at + PDF_REACH]), at + PDF_REACH
+            out = unpack.decompress(raw, PDF_STEP)
+            if out:
+                yield tail + out
+                tail = (tail + out)[-PDF_REACH:]
+    except zlib.error:
+        return
+
+
+def _pdf_streams(data: bytes) -> Iterator[memoryview]:
+    """Deflated streams, by the dictionary that stands before each."""
+    for m in re.finditer(rb"(?<!end)stream\r?\n", data):
+        if b"/FlateDecode" in data[data.rfind(b"obj", 0, m.start()) + 3 : m.start()]:
+            yield memoryview(data)[m.end() :]
+
+
+def _pdf_value(m: re.Match) -> str:
+    if m[1] is not None:
+        raw = re.sub(rb"\\([()\\])", rb"\1", m[1])
+    else:
+        digits = re.sub(rb"\s", b"", m[2]).decode()
+        raw = bytes.fromhex(digits + "0" * (len(digits) % 2))
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
 
 
 def inspect_pdf(data: bytes) -> list[Entry]:
-    """The fields of the information dictionary that stand in plain objects, and whether there is an XMP packet."""
+    """The fields of the information dictionary, in plain objects or in deflated streams, and whether there is an XMP packet. Encrypted ones aren't read."""
     if b"%PDF-" not in data[:1024]:
         raise CorruptFile("no PDF")
-    plain = data
-    for m in re.finditer(rb"/FlateDecode.{0,200}?stream\r?\n", data, re.S):
-        try:
-            unpacked = zlib.decompressobj().decompress(data[m.end() :], 1 << 20)
-        except zlib.error:
-            continue
-        if b"/Producer" in unpacked or b"/Creator" in unpacked or b"xpacket" in unpacked:
-            plain += b"\n" + unpacked
-    out = []
-    for key in PDF_INFO:
-        m = re.search(rb"/" + key.encode() + rb"\s*(?:\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]*)>)", plain, re.S)
-        if m:
-            raw = re.sub(rb"\\([()\\])", rb"\1", m[1]) if m[1] is not None else bytes.fromhex(re.sub(rb"\s", b"", m[2]).decode())
-            value = raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
-            if value.strip():
-                out.append(("Info", key, value))
-    return out + [("XMP", "XMP", "Embedded XMP metadata packet")] * (b"<?xpacket" in plain or b"<x:xmpmeta" in plain)
+    found: dict[str, str] = {}
+    xmp = False
+
+    def look(part: bytes) -> None:
+        nonlocal xmp
+        xmp = xmp or b"<?xpacket" in part or b"<x:xmpmeta" in part
+        for key, pattern in _PDF_FIELDS.items():
+            if key not in found and (m := pattern.search(part)):
+                found[key] = _pdf_value(m)
+
+    look(data)
+    for stream in _pdf_streams(data):
+        for part in _unpacked(stream):
+            look(part)
+    return [("Info", k, found[k]) for k in PDF_INFO if found.get(k, "").strip()] + [("XMP", "XMP", "Embedded XMP metadata packet")] * xmp
 
 
+# Names that identify someone or something.
 #: Names of meta elements that identify someone or something.
-META_NAMES = frozenset("author generator copyright description keywords dcterms.creator dcterms.author dc.creator dc.publisher dc.rights dc.title dc.description article:author twitter:creator application-name revised owner".split())
+META_NAMES = frozenset([
+    "author", "generator", "copyright", "description", "keywords", "dcterms.creator", "dcterms.author", "dc.creator", "dc.publisher",
+    "dc.rights", "dc.title", "dc.description", "article:author", "twitter:creator", "application-name", "revised", "owner",
+])
+RTF_WORDS = frozenset([
+    "title", "subject", "author", "manager", "company", "category", "keywords", "comment", "doccomm", "hlinkbase",
+    "generator", "operator", "version", "edmins", "nofpages", "nofwords", "nofchars", "nofcharsws", "id",
+])
+RTF_TIMES = frozenset(["creatim", "revtbl", "printim", "buptim"])
+# End of fixed values.
 
 
 class _Html(HTMLParser):
@@ -340,8 +387,6 @@ def html_pieces(text: str) -> list[Piece]:
     return _Html(text).pieces
 
 
-RTF_WORDS = frozenset("title subject author manager company category keywords comment doccomm hlinkbase generator operator version edmins nofpages nofwords nofchars nofcharsws id".split())
-RTF_TIMES = frozenset("creatim revtbl printim buptim".split())
 _RTF = re.compile(r"\\'(?:..)?|\\([A-Za-z]+)(-?\d*)|\\.?", re.S)
 _RTF_TIME = re.compile(r"(?:[ \t\r\n]*\\(?:yr|mo|dy|hr|min|sec)(?![A-Za-z])-?\d*)*[ \t\r\n]*")
 
@@ -367,6 +412,7 @@ def rtf_pieces(text: str) -> list[Piece]:
 
 # ---------------------------------------------------------------- zipped XML: EPUB, OOXML
 
+# Properties of office files and their names here.
 CORE = "{http://schemas.openxmlformats.org/package/2006/metadata/core-properties}"
 DC, TERMS, OPF = "{http://purl.org/dc/elements/1.1/}", "{http://purl.org/dc/terms/}", "{http://www.idpf.org/2007/opf}"
 CORE_FIELDS = [
@@ -374,27 +420,38 @@ CORE_FIELDS = [
     ("LastModifiedBy", f"{CORE}lastModifiedBy"), ("Category", f"{CORE}category"), ("ContentStatus", f"{CORE}contentStatus"), ("Revision", f"{CORE}revision"),
     ("Identifier", f"{DC}identifier"), ("Language", f"{DC}language"), ("Version", f"{CORE}version"), ("Created", f"{TERMS}created"), ("Modified", f"{TERMS}modified"), ("LastPrinted", f"{CORE}lastPrinted"),
 ]
+# End of fixed values.
 COMMENT_PARTS = {
     ".pptx": [("PowerPointCommentPart", re.compile(r"ppt/comments/.*\.xml$")), ("PowerPointAuthorsPart", re.compile(r"ppt/(?:commentAuthors|authors)\.xml$"))],
     ".xlsx": [("WorksheetComments+ThreadedComments", re.compile(r"xl/(?:comments[^/]*|threadedComments/.*)\.xml$")), ("CommentAuthorsPart", re.compile(r"xl/persons/.*\.xml$"))],
     ".docx": [],
 }
+#: Word's comments and those who wrote them, which its own inspection doesn't list.
+WORD_COMMENTS = re.compile(r"word/(?:comments[^/]*|people)\.xml$")
+W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+#: An archive that unpacks to more isn't read.
+ARCHIVE_BYTES = 2 << 30
+#: Nesting beyond this would exhaust the stack.
+XML_DEPTH = 200
 
 
 def _archive(data: bytes) -> zipfile.ZipFile:
-    try:
-        return zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile as e:
-        raise CorruptFile(str(e)) from e
+    z = zipfile.ZipFile(io.BytesIO(data))
+    if sum(i.file_size for i in z.infolist()) > ARCHIVE_BYTES:
+        raise CorruptFile("archive unpacks to too much")
+    return z
 
 
 def _xml(data: bytes) -> ElementTree.Element:
     if b"<!ENTITY" in data:
         raise CorruptFile("entities in XML")
-    try:
-        return ElementTree.fromstring(data)
-    except ElementTree.ParseError as e:
-        raise CorruptFile(str(e)) from e
+    depth = 0
+    parser = ElementTree.iterparse(io.BytesIO(data), ["start", "end"])
+    for event, _ in parser:
+        depth += 1 if event == "start" else -1
+        if depth > XML_DEPTH:
+            raise CorruptFile("XML nested too deep")
+    return parser.root
 
 
 def inspect_ooxml(data: bytes, extension: str) -> list[Entry]:
@@ -430,8 +487,60 @@ def _rezip(data: bytes, change: Callable[[str, bytes], bytes | None]) -> bytes:
     return out.getvalue()
 
 
-def clean_ooxml(data: bytes, extension: str) -> bytes:
-    """Without core, extended and custom properties. Comments and tracked changes are content: they are listed and kept."""
+def _without_parts(data: bytes, gone: Callable[[str], bool]) -> bytes:
+    """Content types and relationships less those of parts that go, told by their file names."""
+
+    def one(m: re.Match) -> bytes:
+        target = re.search(rb"(?:PartName|Target)\s*=\s*[\"']([^\"']*)", m[0])
+        return b"" if target and gone(target[1].decode("utf-8", "replace")) else m[0]
+
+    return re.sub(rb"<(?:Relationship|Override)\b[^>]*?/>", one, data)
+
+
+def _serialised(root: ElementTree.Element, source: bytes) -> bytes:
+    """With the prefixes that the source gives its namespaces, as attributes may name them."""
+    for _, (prefix, uri) in ElementTree.iterparse(io.BytesIO(source), ["start-ns"]):
+        if not re.fullmatch(r"ns\d+|xml", prefix):
+            ElementTree.register_namespace(prefix, uri)
+    return ElementTree.tostring(root, xml_declaration=True, encoding="utf-8")
+
+
+def clean_word(body: bytes, o: MetadataOptions) -> bytes:
+    """A part of a Word file without marks of comments, and with tracked changes accepted: what was inserted stays, what was deleted goes, and so do the marks of who saved when."""
+    root = _xml(body)
+    drop = {f"{W}{x}" for x in ("commentRangeStart", "commentRangeEnd", "commentReference")} if o.strip_comments else set()
+    unwrap: set[str] = set()
+    if o.accept_revisions:
+        drop |= {f"{W}{x}" for x in ("del", "moveFrom", "moveFromRangeStart", "moveFromRangeEnd", "moveToRangeStart", "moveToRangeEnd", "rPrChange", "pPrChange", "sectPrChange", "tblPrChange", "trPrChange", "tcPrChange", "rsids")}
+        unwrap = {f"{W}ins", f"{W}moveTo"}
+
+    def walk(e: ElementTree.Element) -> None:
+        out: list[ElementTree.Element] = []
+        for child in e:
+            if child.tag in drop:
+                continue
+            walk(child)
+            out += list(child) if child.tag in unwrap else [child]
+        e[:] = out
+        if o.accept_revisions:
+            for k in [k for k in e.attrib if k.startswith(f"{W}rsid")]:
+                del e.attrib[k]
+
+    walk(root)
+    return _serialised(root, body)
+
+
+def clean_ooxml(data: bytes, extension: str, o: MetadataOptions) -> bytes:
+    """Without core, extended and custom properties. Comments with their authors and tracked changes go only if the options say so."""
+    patterns = [*(p for _, p in COMMENT_PARTS[extension]), *([WORD_COMMENTS] if extension == ".docx" else [])]
+
+    def gone(name: str) -> bool:
+        """By the end of a path, as relationships are relative to their part."""
+        name = name.lstrip("./")
+        if name.endswith(("docProps/app.xml", "docProps/custom.xml")):
+            return True
+        folder = {".docx": "word/", ".pptx": "ppt/", ".xlsx": "xl/"}[extension]
+        return o.strip_comments and any(p.match(name) or p.match(folder + name) for p in patterns)
 
     def change(name: str, body: bytes) -> bytes | None:
         if name == "docProps/core.xml":
@@ -439,10 +548,12 @@ def clean_ooxml(data: bytes, extension: str) -> bytes:
             for e in list(root):
                 root.remove(e)
             return ElementTree.tostring(root, xml_declaration=True, encoding="utf-8")
-        if name in ("docProps/app.xml", "docProps/custom.xml"):
+        if gone(name):
             return None
-        if name in ("_rels/.rels", "[Content_Types].xml"):
-            return re.sub(rb"<(?:Relationship|Override)\b[^>]*docProps/(?:app|custom)\.xml[^>]*/>", b"", body)
+        if name.endswith(".rels") or name == "[Content_Types].xml":
+            return _without_parts(body, gone)
+        if extension == ".docx" and (o.strip_comments or o.accept_revisions) and re.fullmatch(r"word/(?:document|settings|header\d*|footer\d*|footnotes|endnotes)\.xml", name):
+            return clean_word(body, o)
         return body
 
     return _rezip(data, change)
@@ -516,12 +627,16 @@ EXTENSIONS = tuple(sorted({*WALKS, ".pdf", *HTML, ".rtf", ".epub", *OOXML}))
 MARKDOWN, TEXT = (".md", ".markdown"), (".txt", ".text", ".log")
 
 
+#: What readers raise on bytes that aren't what the extension says: bad numbers and texts, places out of range, broken, encrypted or unknown archives, endless nesting.
+DAMAGE = (ValueError, ArithmeticError, LookupError, RuntimeError, EOFError, OSError, AssertionError, struct.error, zlib.error, lzma.LZMAError, zipfile.BadZipFile, ElementTree.ParseError)
+
+
 def _decoded(data: bytes) -> str:
     return data.decode("utf-8", "surrogateescape")
 
 
 def taken(piece: Piece, o: MetadataOptions) -> bool:
-    return {"exif": o.strip_exif, "xmp": o.strip_xmp, "iptc": o.strip_iptc, "maker": o.strip_maker_notes, "icc": not o.preserve_color_profile, "always": True}.get(piece.kind, False)
+    return {"exif": o.strip_exif, "xmp": o.strip_xmp, "iptc": o.strip_iptc, "text": o.strip_xmp or o.strip_iptc, "maker": o.strip_maker_notes, "icc": not o.preserve_color_profile, "always": True}.get(piece.kind, False)
 
 
 def _shown(piece: Piece, o: MetadataOptions) -> bool:
@@ -543,8 +658,8 @@ def inspect(data: bytes, extension: str) -> list[Entry]:
             return inspect_epub(data)
         if extension in OOXML:
             return inspect_ooxml(data, extension)
-    except (IndexError, struct.error, UnicodeError, OverflowError, KeyError, zipfile.BadZipFile) as e:
-        raise CorruptFile(str(e)) from e
+    except DAMAGE as e:
+        raise e if isinstance(e, CorruptFile) else CorruptFile(f"{type(e).__name__}: {e}") from e
     raise LookupError(f"no reader for {extension!r}")
 
 
@@ -573,9 +688,10 @@ def clean(data: bytes, extension: str, o: MetadataOptions) -> tuple[bytes, list[
         if extension == ".epub":
             return clean_epub(data), inspect_epub(data)
         if extension in OOXML:
-            return clean_ooxml(data, extension), [e for e in inspect_ooxml(data, extension) if e[0] in ("Core", "Extended", "Custom")]
-    except (IndexError, struct.error, UnicodeError, OverflowError, KeyError, zipfile.BadZipFile) as e:
-        raise CorruptFile(str(e)) from e
+            taken_ = ("Core", "Extended", "Custom", *["Comments"] * o.strip_comments, *["Revisions"] * o.accept_revisions)
+            return clean_ooxml(data, extension, o), [e for e in inspect_ooxml(data, extension) if e[0] in taken_]
+    except DAMAGE as e:
+        raise e if isinstance(e, CorruptFile) else CorruptFile(f"{type(e).__name__}: {e}") from e
     raise LookupError(f"no cleaner for {extension!r}")
 
 
@@ -608,8 +724,8 @@ def inspect_metadata(content: Column, extension: Column) -> Column:
     return _inspect(content, extension)
 
 
-def clean_metadata(content: Column, extension: Column, options: MetadataOptions | None = None) -> Column:
-    """struct (see ``schemas.FILE_CLEAN``); a file that can't be cleaned has an error and no content."""
+def cleaner(options: MetadataOptions | None = None):
+    """A UDF of content and extension."""
     o = options or MetadataOptions()
 
     @F.pandas_udf(schemas.FILE_CLEAN)
@@ -627,4 +743,9 @@ def clean_metadata(content: Column, extension: Column, options: MetadataOptions
                     rows.append((None, None, len(data), None, *_error(e)))
             yield pd.DataFrame(rows, columns=["content", "removed", "input_bytes", "output_bytes", "error_code", "error_message"]).astype({"input_bytes": "Int64", "output_bytes": "Int64"})
 
-    return run(content, extension)
+    return run
+
+
+def clean_metadata(content: Column, extension: Column, options: MetadataOptions | None = None) -> Column:
+    """struct (see ``schemas.FILE_CLEAN``); a file that can't be cleaned has an error and no content."""
+    return cleaner(options)(content, extension)

@@ -27,7 +27,7 @@ def clean_files(files: DataFrame, options: MetadataOptions | None = None) -> Dat
 def clean_all(files: DataFrame, *, text: TextOptions | None = None, markdown: MarkdownOptions | None = None, metadata: MetadataOptions | None = None) -> DataFrame:
     """(path, pipeline, status, output_path, content, removed, error_code, error_message) of every file.
 
-    A file goes to one pipeline by its extension; status is succeeded, skipped (unsupported) or failed.
+    A file goes to one pipeline by its extension; status is succeeded, skipped (unsupported) or failed. A file without content, as too large a one has none, fails.
     """
     routed = files.select("path", "content", extension_of(F.col("path")).alias("_ext"), classify(F.col("path")).alias("pipeline"))
     # each pipeline sees only its own contents; the others' go to it as null
@@ -35,8 +35,10 @@ def clean_all(files: DataFrame, *, text: TextOptions | None = None, markdown: Ma
     done = routed.withColumn("_m", clean_metadata(of("metadata"), F.col("_ext"), metadata)).withColumn("_d", clean_markdown(of("markdown").cast("string"), markdown)).withColumn("_t", clean_udf(text or TextOptions())(of("text").cast("string")))
     content = F.coalesce(F.col("_m.content"), F.col("_d.cleaned").cast("binary"), F.col("_t.cleaned").cast("binary"))
     removed = F.coalesce(F.size("_m.removed"), F.size("_d.removed"), F.size("_t.removed"))
-    status = F.when(F.col("pipeline") == "unsupported", "skipped").when(F.col("_m.error_code").isNotNull(), "failed").otherwise("succeeded")
-    return done.select("path", "pipeline", status.alias("status"), output_path(F.col("path")).alias("output_path"), content.alias("content"), F.when(status == "succeeded", removed).alias("removed"), F.col("_m.error_code").alias("error_code"), F.col("_m.error_message").alias("error_message"))
+    large = F.col("content").isNull()
+    status = F.when(F.col("pipeline") == "unsupported", "skipped").when(large | F.col("_m.error_code").isNotNull(), "failed").otherwise("succeeded")
+    code = F.when((status == "failed") & large, "PAYLOAD_TOO_LARGE").otherwise(F.col("_m.error_code"))
+    return done.select("path", "pipeline", status.alias("status"), output_path(F.col("path")).alias("output_path"), content.alias("content"), F.when(status == "succeeded", removed).alias("removed"), code.alias("error_code"), F.col("_m.error_message").alias("error_message"))
 
 
 def outcomes(cleaned: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def clean_udf(options: TextOptions):
 
 def touched(text: Column, options: TextOptions) -> Column:
     """Whether any rule of the options can change or match a text."""
-    parts = [f"(?:{detectors.CANDIDATE})" if options.vendors else hygiene.BEYOND_ASCII if options.unicode else None, hygiene.BLANKS if options.collapse_whitespace else None]
+    parts = [hygiene.BEYOND_ASCII if options.unicode else None, f"(?:{detectors.CANDIDATE})" if options.vendors else None, hygiene.BLANKS if options.collapse_whitespace else None]
     pattern = "|".join(p for p in parts if p)
     return F.rlike(text, F.lit(pattern)) if pattern else F.lit(False)
 
@@ -116,7 +116,8 @@ def signal_counts(df: DataFrame, keys: list[str], text_col: str = "text") -> Dat
     shuffled; they are turned into rows after that.
     """
     text = F.col(text_col)
-    per_text = df.filter(detectors.is_candidate(text)).select(*keys, detectors.counts(text).alias("_c"))
+    rare = df.filter(detectors.is_candidate(text)).select(*keys, text.alias("_text"), detectors.rare(text).alias("_rare"))
+    per_text = rare.select(*keys, detectors.counts(F.col("_text"), F.col("_rare")).alias("_c"))
     sums = [x for d in detectors.DETECTORS for x in (F.sum(f"_c.{d.name}").alias(f"{d.name}_n"), F.count(F.when(F.col(f"_c.{d.name}") > 0, 1)).alias(f"{d.name}_t"))]
     wide = per_text.groupBy(*keys).agg(*sums)
     rows = F.explode(F.array(*[F.struct(F.lit(d.vendor).alias("vendor"), F.lit(d.pattern).alias("pattern"), F.col(f"{d.name}_n").alias("matches"), F.col(f"{d.name}_t").alias("texts")) for d in detectors.DETECTORS]))
@@ -125,6 +126,6 @@ def signal_counts(df: DataFrame, keys: list[str], text_col: str = "text") -> Dat
 
 def codepoint_inventory(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """How often each strippable or replaceable code point occurs, by ``keys``."""
-    pattern = f"({hygiene.STRIP_CLASS}|{hygiene.SUBSTITUTE_CLASS})"
+    pattern = f"({hygiene.HYGIENE_CLASS})"
     found = df.filter(hygiene.has_hygiene_work(F.col(text_col))).select(*keys, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 1)).alias("_ch"))
     return found.groupBy(*keys, F.lpad(F.hex(F.encode("_ch", "UTF-16BE")), 4, "0").alias("codepoint")).agg(F.count("*").alias("occurrences"))

@@ -47,13 +47,15 @@ class MarkdownOptions:
 
 @dataclass(frozen=True)
 class MetadataOptions:
-    """What file cleaning takes out. Provenance manifests stay unless ``strip_c2pa`` is set, which no function here honours."""
+    """What file cleaning takes out. Provenance manifests always stay. Comments with their authors, and tracked changes, of office files are content, and stay unless asked for."""
 
     strip_exif: bool = True
     strip_xmp: bool = True
     strip_iptc: bool = True
     strip_maker_notes: bool = True
     preserve_color_profile: bool = True
+    strip_comments: bool = False
+    accept_revisions: bool = False
 
 
 @dataclass(frozen=True)

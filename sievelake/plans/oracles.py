@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sievelake.functions.codepoints import BIDI, EMOJI, FULLWIDTH, HOMOGLYPHS, JOINERS, STRIPPED, SUBSTITUTED, TEMPLATE_TOKENS, VARIATION, ZERO_WIDTH, java_class, span
+from sievelake.functions.codepoints import BIDI, EMOJI, FORCED, FULLWIDTH, HOMOGLYPHS, JOINERS, STRIPPED, SUBSTITUTED, TEMPLATE_TOKENS, VARIATION, ZERO_WIDTH, java_class, span
 from sievelake.functions.hygiene import ONE_TO_ONE
-from sievelake.functions.markdown import BOILERPLATE, MAKERS, TOOLS
+from sievelake.functions.markdown import BOILERPLATE, CO_AUTHORS, MAKERS, TOOLS
 from sievelake.plans.planted import DOCUMENTS_SQL, planted_sql, quoted
 
 STRIP, SUBST = java_class(STRIPPED), java_class("".join(SUBSTITUTED))
@@ -103,7 +103,7 @@ SELECT doc_id, line_no,
 FROM lines
 """
 
-SIGNATURE = rf"(?is)(?:\n[ \t]*)*\n?(?:-{{2,}}\s*\n)?[ \t]*(?:\x{{1F916}}\s*)?(?:_?(?:{MAKERS})\s+(?:with|by|using)\s+\[?(?:{TOOLS})\b|Co-Authored-By:\s*(?:Claude|Copilot|ChatGPT|Gemini)|\x{{1F916}}\s*Generated with).*$"
+SIGNATURE = rf"(?is)(?:\n[ \t]*)*\n?(?:-{{2,}}\s*\n)?[ \t]*(?:\x{{1F916}}\s*)?(?:_?(?:{MAKERS})\s+(?:with|by|using)\s+\[?(?:{TOOLS})\b|Co-Authored-By:\s*(?:{CO_AUTHORS})|\x{{1F916}}\s*Generated with).*$"
 BOILER = BOILERPLATE
 
 PNG = """
@@ -112,12 +112,54 @@ WITH p AS (SELECT *, p_partkey % 7 = 0 AS broken, p_partkey % 2 = 0 AS named, p_
 EXT = "list_value('.md', '.PNG', '.txt', '', '.exe', '.html', '.tar.gz', '.Docx')[p_partkey % 8 + 1]"
 
 
+FULL = "".join(chr(c) for c in range(ord(FULLWIDTH[0]), ord(FULLWIDTH[1]) + 1))
+FOLDED = "".join(chr(ord(c) - 0xFEE0) for c in FULL)
+
+
+def compatible(text: str) -> str:
+    """NFKC as far as the planted texts need it: fullwidth forms."""
+    return f"translate({text}, {quoted(FULL)}, {quoted(FOLDED)})"
+
+
+def folded(keep: str, change: str) -> str:
+    """Texts put together again from their characters: one beside an ASCII letter is changed, others are as ``keep`` says."""
+    return f"(SELECT doc_id, string_agg(CASE WHEN {keep} THEN '' WHEN {change} AND (regexp_matches(coalesce(p, ''), '^[A-Za-z]$') OR regexp_matches(coalesce(n, ''), '^[A-Za-z]$')) THEN translate(ch, {quoted(''.join(HOMOGLYPHS) + FULL)}, {quoted(''.join(HOMOGLYPHS.values()) + FOLDED)}) ELSE ch END, '' ORDER BY i) AS t FROM near GROUP BY doc_id)"
+
+
+SPLIT_LINES = r"""lines AS (SELECT doc_id, line, line_no, count(*) FILTER (WHERE fence) OVER (PARTITION BY doc_id ORDER BY line_no) AS fences, fence
+ FROM (SELECT doc_id, line, line_no, regexp_matches(line, '^ {0,3}(`{3,}|~{3,})') AS fence FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no
+  FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM planted))))"""
+#: A fence opens where an odd number of them has come; prose is what stands after an even number, but for the fence itself.
+SEGMENTS = r""", parts AS (SELECT doc_id, fences, fences % 2 = 1 OR fence AS code, line, fence FROM lines),
+grouped AS (SELECT doc_id, CASE WHEN code THEN (fences + 1) // 2 * 2 - 1 ELSE fences END AS block, code, max(line) FILTER (WHERE fence AND fences % 2 = 1) AS opening, count(*) FILTER (WHERE NOT fence) AS n FROM parts GROUP BY ALL)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1)::INT AS seg, CASE WHEN code THEN 'code' ELSE 'text' END AS kind, opening AS fence, n AS lines FROM grouped"""
+ARTIFACTS = rf"""SELECT doc_id, 'code-block-invisible' AS type, line_no AS line FROM lines WHERE fences % 2 = 1 AND NOT fence AND regexp_matches(line, {quoted(java_class(FORCED))})
+UNION ALL SELECT doc_id, 'invisible-separator', line_no FROM lines WHERE fences % 2 = 0 AND NOT fence AND length(trim(line)) >= 3 AND len(regexp_extract_all(line, '[\x{{2500}}-\x{{257F}}]')) >= greatest(3, length(trim(line)) - 2)
+UNION ALL SELECT doc_id, 'ai-signature', 0 FROM planted WHERE regexp_matches(text, {quoted(SIGNATURE)})
+UNION ALL SELECT doc_id, 'ai-boilerplate', 0 FROM (SELECT doc_id, unnest(regexp_extract_all(text, {quoted(BOILER)})) FROM planted)"""
+MEDIA = "WITH p AS (SELECT *, p_partkey % 5 AS f, p_partkey % 2 = 0 AS second, p_partkey % 3 = 0 AS third, '/m/' || p_partkey || (['.jpg', '.webp', '.mp4', '.heic', '.rtf'])[p_partkey % 5 + 1] AS path FROM part)"
+ENTRIES = [
+    ("f = 0 AND second", "'EXIF', 'APP1/Exif', 'EXIF metadata block'"), ("f = 0 AND third", "'XMP', 'APP1/XMP', 'XMP packet'"), ("f = 0", "'COM', 'Comment', p_name"),
+    ("f = 1 AND second", "'EXIF', 'EXIF', 'EXIF metadata block'"), ("f = 1 AND third", "'XMP', 'XMP ', 'XMP packet'"), ("f = 2 AND second", "'USER_DATA', 'udta', 'user-data box'"),
+    ("f = 3 AND second", "'EXIF', 'Exif', 'EXIF box'"), ("f = 3 AND third", "'XMP', 'uuid/XMP', 'XMP packet in UUID box'"), ("f = 4", "'RTF/info', 'author', p_name"),
+]
+
+
 def oracle_sql() -> dict[str, str]:
     tokens = " + ".join(count(t.replace("[", r"\[").replace("]", r"\]"), "text") for t in TEMPLATE_TOKENS)
     return {
         "hygiene_strip": with_documents(f"SELECT doc_id, {strip()} AS cleaned, {count(STRIP)} AS stripped FROM planted"),
         "hygiene_substitute": with_documents(f"SELECT doc_id, {substitute()} AS cleaned, {count(SUBST)} AS substituted FROM planted"),
         "hygiene_confidence": with_documents(f", n AS (SELECT doc_id, text, {count(STRIP)} + {count(SUBST)} AS items FROM planted) SELECT doc_id, items, CASE WHEN items > 0 THEN least(1.0::DOUBLE, 0.5::DOUBLE + items * 0.05::DOUBLE) ELSE 0.0::DOUBLE END AS confidence, md5({substitute(strip())}) AS cleaned_md5 FROM n"),
+        "hygiene_nfkc": with_documents(f"SELECT doc_id, md5({compatible(substitute(strip()))}) AS normalised_md5 FROM planted"),
+        "clean_text": f"WITH {DOCUMENTS_SQL.replace('planted AS', 'raw AS', 1)}, planted AS (SELECT doc_id, lang, source, {compatible(substitute(strip()))} AS text FROM raw), {CHARS}, found AS ({FOUND}), folded AS {folded('false', matches(HG))}, marks AS (SELECT doc_id, count(*) AS n, count(DISTINCT vendor) AS vendors, max(confidence) AS c FROM found GROUP BY doc_id), done AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, {quoted(VS)}, '', 'g'), {quoted(THINK[1:])}, '', 'g'), '({EM}){EM}*', '\\1', 'g'), {quoted(TOKENS[1:])}, '', 'g') AS t FROM folded), items AS (SELECT r.doc_id, {count(STRIP, 'r.text')} + {count(SUBST, 'r.text')} + (p.text <> {substitute(strip('r.text'))})::INT AS n FROM raw r JOIN planted p USING (doc_id)) SELECT doc_id, md5(regexp_replace(t, '[ \\t]{{2,}}', ' ', 'g')) AS cleaned_md5, items.n + coalesce(vendors, 0) + regexp_matches(t, '[ \\t]{{2,}}')::INT AS removed, coalesce(marks.n, 0) AS detections, greatest(coalesce(c, 0.0::DOUBLE), CASE WHEN items.n > 0 THEN least(1.0::DOUBLE, 0.5::DOUBLE + items.n * 0.05::DOUBLE) ELSE 0.0::DOUBLE END) AS confidence FROM done JOIN items USING (doc_id) LEFT JOIN marks USING (doc_id)",
+        "remove_markup": with_documents(f", {CHARS}, claude AS {folded(matches(ZW), matches(HG))}, deep AS {folded('false', matches(FW))} SELECT doc_id, md5(claude.t) AS claude_md5, md5(regexp_replace(deep.t, {quoted(THINK[1:])}, '', 'g')) AS deepseek_md5, md5(regexp_replace(regexp_replace(text, '({EM}){EM}*', '\\1', 'g'), '\\x{{2014}}+', chr(8212), 'g')) AS grok_md5, md5(regexp_replace(text, {quoted(TOKENS[1:])}, '', 'g')) AS mistral_md5 FROM planted JOIN claude USING (doc_id) JOIN deep USING (doc_id)"),
+        "markdown_segments": with_documents(f", {SPLIT_LINES}{SEGMENTS}"),
+        "markdown_detect": with_documents(f", {SPLIT_LINES} {ARTIFACTS}"),
+        "media_inspect": f"{MEDIA} " + " UNION ALL ".join(f"SELECT path, {entry}, NULL FROM p WHERE {where}" if i else f"SELECT path, {entry.split(', ')[0]} AS container, {entry.split(', ')[1]} AS key, {entry.split(', ')[2]} AS value, NULL AS error_code FROM p WHERE {where}" for i, (where, entry) in enumerate(ENTRIES)),
+        "media_clean": f"{MEDIA} SELECT path, CASE f WHEN 0 THEN 1 + second::INT + third::INT WHEN 2 THEN second::INT WHEN 4 THEN 1 ELSE second::INT + third::INT END AS removed, CASE f WHEN 0 THEN 4 + strlen(p_name) + 11 * second::INT + 34 * third::INT WHEN 1 THEN 12 * (second::INT + third::INT) WHEN 4 THEN 8 + strlen(p_name) ELSE 0 END AS bytes_less, NULL AS error_code FROM p",
+        "image_regions": "SELECT p_partkey, p_partkey % 7 AS x, p_partkey % 5 AS y, p_partkey % 11 + 2 AS width, p_partkey % 13 + 2 AS height, 1.0::DOUBLE AS confidence FROM part WHERE (p_partkey % 11 + 2) * (p_partkey % 13 + 2) >= 16",
+        "signal_bursts": with_documents(f", {CHARS}, found AS ({FOUND}), events AS (SELECT source, doc_id * 60 AS t, count(*) AS n FROM found JOIN planted USING (doc_id) GROUP BY ALL), cut AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY source ORDER BY t) < 1830 THEN 0 ELSE 1 END AS new FROM events), ses AS (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY t) AS s FROM cut) SELECT source, min(t) AS session_start, max(t) + 1830 AS session_end, sum(n)::BIGINT AS matches FROM ses GROUP BY source, s"),
         "hygiene_log": with_documents(f", {CHARS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS item, CASE WHEN {matches(STRIP)} THEN 'unicode-strip' ELSE 'unicode-substitute' END AS type, i - 1 AS position, 1 AS length FROM odd WHERE {matches(STRIP)} OR {matches(SUBST)}"),
         "codepoint_inventory": with_documents(f", c AS (SELECT lang, unnest(regexp_extract_all(text, {quoted(f'{STRIP}|{SUBST}')})) AS ch FROM planted) SELECT lang, upper(printf('%04x', ord(ch))) AS codepoint, count(*) AS occurrences FROM c GROUP BY lang, ch"),
         "collapse_whitespace": with_documents(r"SELECT doc_id, md5(regexp_replace(text, '[ \t]{2,}', ' ', 'g')) AS cleaned_md5 FROM planted"),
@@ -131,7 +173,7 @@ def oracle_sql() -> dict[str, str]:
         "png_inspect": PNG + "SELECT '/i/' || p_partkey || '.png' AS path, 'XMP/Text' AS container, 'tEXt' AS key, 'tEXt textual metadata' AS value, NULL AS error_code FROM p WHERE named AND NOT broken UNION ALL SELECT '/i/' || p_partkey || '.png', 'C2PA', 'caBX', 'C2PA manifest chunk', NULL FROM p WHERE signed AND NOT broken UNION ALL SELECT '/i/' || p_partkey || '.png', NULL, NULL, NULL, 'METADATA_STRIP_FAILED' FROM p WHERE broken",
         "png_clean": PNG + "SELECT '/i/' || p_partkey || '.png' AS path, '/i/' || p_partkey || '.cleaned.png' AS output_path, CASE WHEN NOT broken THEN named::INT END AS removed, CASE WHEN NOT broken THEN CASE WHEN named THEN 19 + strlen(p_name) ELSE 0 END END AS bytes_less, CASE WHEN broken THEN 'METADATA_STRIP_FAILED' END AS error_code FROM p",
         "classify_files": f"WITH f AS (SELECT {EXT} AS ext, '/in.d/' || p_partkey || {EXT} AS path FROM part) SELECT path, CASE WHEN ext = '.md' THEN 'markdown' WHEN ext IN ('.PNG', '.html', '.Docx') THEN 'metadata' WHEN ext IN ('.txt', '') THEN 'text' ELSE 'unsupported' END AS pipeline, ext IN ('.PNG', '.html', '.Docx') AS supported, regexp_replace(path, '(\\.[^./]+)$', '') || '.cleaned' || regexp_extract(path, '(\\.[^./]+)$', 1) AS output_path FROM f",
-        "batch_outcomes": f"WITH f AS (SELECT {EXT} AS ext FROM part) SELECT CASE WHEN ext = '.md' THEN 'markdown' WHEN ext IN ('.PNG', '.html', '.Docx') THEN 'metadata' WHEN ext IN ('.txt', '') THEN 'text' ELSE 'unsupported' END AS pipeline, CASE WHEN ext IN ('.PNG', '.Docx') THEN 'failed' WHEN ext IN ('.exe', '.tar.gz') THEN 'skipped' ELSE 'succeeded' END AS status, count(*) AS files FROM f GROUP BY ALL",
+        "batch_outcomes": f"WITH f AS (SELECT {EXT} AS ext, p_partkey FROM part) SELECT CASE WHEN ext = '.md' THEN 'markdown' WHEN ext IN ('.PNG', '.html', '.Docx') THEN 'metadata' WHEN ext IN ('.txt', '') THEN 'text' ELSE 'unsupported' END AS pipeline, CASE WHEN ext = '.Docx' OR ext = '.PNG' AND p_partkey % 16 <> 1 THEN 'failed' WHEN ext IN ('.exe', '.tar.gz') THEN 'skipped' ELSE 'succeeded' END AS status, count(*) AS files FROM f GROUP BY ALL",
         "signals_by_label": with_documents(f"SELECT quality, toxic, count(*) AS documents, sum(CASE WHEN {count(STRIP)} > 0 THEN 1 ELSE 0 END)::BIGINT AS with_hidden FROM planted JOIN labels USING (doc_id) GROUP BY quality, toxic"),
         "top_sources": with_documents(f"SELECT source, count(*) AS documents, sum({count(STRIP)})::BIGINT AS invisible, round(sum({count(STRIP)})::DOUBLE / count(*), 6) AS rate FROM planted GROUP BY source ORDER BY rate DESC, source LIMIT 5"),
         "conversation_tokens": f"WITH t AS (SELECT conv_id, turn, role, {planted_sql('(conv_id + turn)', 'text')} AS text FROM conversations), c AS (SELECT conv_id, turn, role, {tokens} AS tokens FROM t) SELECT conv_id, turn, role, tokens, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c",

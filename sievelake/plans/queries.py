@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions import detectors, hygiene, markdown
-from sievelake.functions.metadata import PNG_SIGN
+from sievelake.functions.images import detect_regions
+from sievelake.functions.metadata import PNG_SIGN, XMP_UUID
 from sievelake.operators import files, text
 from sievelake.options import MarkdownOptions, TextOptions
 from sievelake.plans.planted import planted, planted_documents
+from sievelake.session import new_folder
 from sievelake.sources.files import as_json, classify, is_supported, output_path
-from sievelake.streaming.signals import read_stream, signal_rates
+from sievelake.streaming.signals import bursts, read_stream, signal_rates
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,15 +121,61 @@ def html_metadata(spark, sf_dir):
     return files.inspect_files(pages).groupBy("container", "key", "value").agg(F.count("*").alias("files"))
 
 
-def png_files(spark, sf_dir) -> DataFrame:
-    """A file for each part: a header, a text chunk with its name for every second, a manifest for every fifth, an end."""
-    chunk = lambda kind, body: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(body)), 8, "0")), F.lit(kind.encode()), body, F.lit(b"\0\0\0\0"))
+def png_chunk(kind: str, body):
+    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(body)), 8, "0")), F.lit(kind.encode()), body, F.lit(b"\0\0\0\0"))
+
+
+def png_content():
+    """A header, a text chunk with its name for every second, a manifest for every fifth, an end."""
     none = F.lit(b"")
     body = F.concat(F.lit(b"Author\0"), F.col("p_name").cast("binary"))
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    content = F.concat(F.lit(PNG_SIGN), chunk("IHDR", F.lit(bytes(13))), F.when(F.col("p_partkey") % 2 == 0, chunk("tEXt", body)).otherwise(none), F.when(F.col("p_partkey") % 5 == 0, chunk("caBX", F.lit(b"jumb"))).otherwise(none), chunk("IEND", none))
-    broken = F.when(F.col("p_partkey") % 7 == 0, F.substring(content, 1, 30)).otherwise(content)
-    return parts.select("p_partkey", F.concat(F.lit("/i/"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("path"), broken.alias("content"), F.lit(".png").alias("extension"))
+    return F.concat(F.lit(PNG_SIGN), png_chunk("IHDR", F.lit(bytes(13))), F.when(F.col("p_partkey") % 2 == 0, png_chunk("tEXt", body)).otherwise(none), F.when(F.col("p_partkey") % 5 == 0, png_chunk("caBX", F.lit(b"jumb"))).otherwise(none), png_chunk("IEND", none))
+
+
+def png_files(spark, sf_dir) -> DataFrame:
+    """A file for each part, every seventh cut short."""
+    broken = F.when(F.col("p_partkey") % 7 == 0, F.substring(png_content(), 1, 30)).otherwise(png_content())
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(F.lit("/i/"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("path"), broken.alias("content"), F.lit(".png").alias("extension"))
+
+
+def media_files(spark, sf_dir) -> DataFrame:
+    """A file for each part, of five formats in turn: every second part has EXIF or user data, every third an XMP packet; JPEG comments and RTF authors are the part's name."""
+    k, name, none = F.col("p_partkey"), F.col("p_name").cast("binary"), F.lit(b"")
+    where = lambda n, x: F.when(k % n == 0, x).otherwise(none)
+    size = lambda n, digits: F.unhex(F.lpad(F.hex(n), digits, "0"))
+    segment = lambda marker, body: F.concat(F.lit(bytes([0xFF, marker])), size(F.octet_length(body) + 2, 4), body)
+    riff = lambda kind, body: F.concat(F.lit(kind), size(F.octet_length(body), 2), F.lit(bytes(3)), body)
+    box = lambda kind, *body: F.concat(size(F.octet_length(F.concat(none, *body)) + 8, 8), F.lit(kind), *body)
+    jpeg = F.concat(F.lit(b"\xff\xd8"), where(2, segment(0xE1, F.lit(b"Exif\0\0x"))), where(3, segment(0xE1, F.lit(b"http://ns.adobe.com/xap/1.0/\0x"))), segment(0xFE, name), segment(0xDA, F.lit(bytes(6))), F.lit(b"scan\xff\xd9"))
+    webp = F.concat(F.lit(b"RIFF\0\0\0\0WEBP"), riff(b"VP8 ", F.lit(b"data")), where(2, riff(b"EXIF", F.lit(b"abcd"))), where(3, riff(b"XMP ", F.lit(b"abcd"))))
+    mp4 = F.concat(box(b"ftyp", F.lit(b"isom")), box(b"moov", box(b"mvhd", F.lit(b"x")), where(2, box(b"udta", name))), box(b"mdat", F.lit(b"film")))
+    heif = F.concat(box(b"ftyp", F.lit(b"heic\0\0\0\0mif1heic")), box(b"meta", F.lit(bytes(4)), box(b"hdlr", F.lit(bytes(20))), where(2, box(b"Exif", name)), where(3, box(b"uuid", F.lit(XMP_UUID + b"x")))), box(b"mdat", F.lit(b"image")))
+    rtf = F.concat(F.lit(rb"{\rtf1{\info{\author "), name, F.lit(b"}}text}"))
+    formats = [(".jpg", jpeg), (".webp", webp), (".mp4", mp4), (".heic", heif), (".rtf", rtf)]
+    pick = lambda values: F.element_at(F.array(*values), (k % len(formats) + 1).cast("int"))
+    ext = pick([F.lit(e) for e, _ in formats])
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("/m/"), k.cast("string"), ext).alias("path"), pick([c for _, c in formats]).alias("content"), ext.alias("extension"))
+
+
+def media_inspect(spark, sf_dir):
+    return files.inspect_files(media_files(spark, sf_dir)).select("path", "container", "key", "value", "error_code")
+
+
+def media_clean(spark, sf_dir):
+    out = files.clean_files(media_files(spark, sf_dir))
+    return out.select("path", F.size("cleaned.removed").alias("removed"), (F.col("cleaned.input_bytes") - F.col("cleaned.output_bytes")).alias("bytes_less"), "cleaned.error_code")
+
+
+def image_regions(spark, sf_dir):
+    """A grey picture of 24 by 24 for each part, with a half-transparent box by its key."""
+    n, k = 24, F.col("p_partkey")
+    x, y, w, h = (k % 7).cast("int"), (k % 5).cast("int"), (k % 11 + 2).cast("int"), (k % 13 + 2).cast("int")
+    pixels = lambda colour, times: F.repeat(F.lit(colour), times)
+    row, cut = pixels("808080FF", F.lit(n)), F.concat(pixels("808080FF", x), pixels("8080805A", w), pixels("808080FF", n - x - w))
+    data = F.unhex(F.concat(F.repeat(row, y), F.repeat(cut, h), F.repeat(row, n - y - h)))
+    image = F.struct(data.alias("data"), F.lit(n).alias("height"), F.lit(n).alias("width"), F.lit(4).alias("nChannels"))
+    found = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.explode(detect_regions(image)).alias("r"))
+    return found.select("p_partkey", "r.*")
 
 
 def png_inspect(spark, sf_dir):
@@ -141,9 +188,11 @@ def png_clean(spark, sf_dir):
 
 
 def mixed_files(spark, sf_dir) -> DataFrame:
-    ext = F.element_at(F.array(*[F.lit(x) for x in (".md", ".PNG", ".txt", "", ".exe", ".html", ".tar.gz", ".Docx")]), (F.col("p_partkey") % 8 + 1).cast("int"))
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return parts.select(F.concat(F.lit("/in.d/"), F.col("p_partkey").cast("string"), ext).alias("path"), F.concat(F.lit("# "), F.col("p_name"), F.lit("\n")).cast("binary").alias("content"))
+    """Markdown, text, pages and files that no reader takes; of the pictures every second is one, and no office file is."""
+    k = F.col("p_partkey")
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".md", ".PNG", ".txt", "", ".exe", ".html", ".tar.gz", ".Docx")]), (k % 8 + 1).cast("int"))
+    text = F.concat(F.lit("# "), F.col("p_name"), F.lit("\n")).cast("binary")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("/in.d/"), k.cast("string"), ext).alias("path"), F.when(k % 16 == 1, png_content()).otherwise(text).alias("content"))
 
 
 def classify_files(spark, sf_dir):
@@ -178,8 +227,17 @@ def conversation_tokens(spark, sf_dir):
 
 
 def signal_rollup(spark, sf_dir):
+    """Texts are read once, by language and source; the levels above add up sums."""
     t = F.col("text")
-    return documents(spark, sf_dir).rollup("lang", "source").agg(F.count("*").alias("documents"), F.sum(hygiene.count_invisible(t)).alias("invisible"), F.sum(hygiene.count_substituted(t)).alias("substituted"))
+    per = documents(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum(hygiene.count_invisible(t)).alias("i"), F.sum(hygiene.count_substituted(t)).alias("s"))
+    return per.rollup("lang", "source").agg(F.sum("n").alias("documents"), F.sum("i").alias("invisible"), F.sum("s").alias("substituted"))
+
+
+def signal_bursts(spark, sf_dir):
+    """Sessions of matches by source, with a minute of event time between documents; a gap of half an hour ends one."""
+    texts = documents(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.col("doc_id") * 60))
+    found = bursts(texts, "at", ["source"], gap="1830 seconds")
+    return found.select("source", F.col("session.start").cast("long").alias("session_start"), F.col("session.end").cast("long").alias("session_end"), "matches")
 
 
 def json_rows(spark, sf_dir):
@@ -191,17 +249,21 @@ def stream_rates(spark, sf_dir):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     # a pattern, as a stream's path that isn't one must be a folder
     stream = read_stream(spark, f"{sf_dir}/documents.parque[t]", schema).select(F.timestamp_seconds(F.col("doc_id") * 60).alias("at"), planted(F.col("doc_id"), F.col("text")).alias("text"))
-    name = f"rates_{uuid.uuid4().hex}"
-    q = signal_rates(stream, "at", window="2 hours").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("window.start").cast("long").alias("window_start"), "vendor", "pattern", "matches")
+    folder = new_folder(spark, "stream-rates")
+
+    def keep(rates: DataFrame, batch: int) -> None:
+        rates.write.mode("overwrite").parquet(f"{folder}/rates")
+
+    query = signal_rates(stream, "at", window="2 hours").writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/rates").select(F.col("window.start").cast("long").alias("window_start"), "vendor", "pattern", "matches")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         hygiene_strip, hygiene_substitute, hygiene_confidence, hygiene_nfkc, hygiene_log, codepoint_inventory, collapse_whitespace, word_tokens,
         signal_counts, detect_text, clean_text, remove_controls, remove_markup, markdown_lines, markdown_blocks, markdown_clean, markdown_strip_all,
-        markdown_detect, markdown_segments, html_metadata, png_inspect, png_clean, classify_files, batch_outcomes, signals_by_label, top_sources,
-        conversation_tokens, signal_rollup, json_rows, stream_rates,
+        markdown_detect, markdown_segments, html_metadata, png_inspect, png_clean, media_inspect, media_clean, image_regions, classify_files, batch_outcomes, signals_by_label, top_sources,
+        conversation_tokens, signal_rollup, signal_bursts, json_rows, stream_rates,
     ]
     return {f.__name__: f for f in found}

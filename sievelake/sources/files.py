@@ -8,24 +8,35 @@ from pyspark.sql import functions as F
 from sievelake.functions.metadata import EXTENSIONS, MARKDOWN, TEXT, extension_of
 
 
+#: The longest value that a column can hold.
+MAX_BYTES = (1 << 31) - 1
+
+
 def read_texts(spark: SparkSession, path: str, *, recursive: bool = False) -> DataFrame:
     """(path, text): each file is one text."""
     df = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def list_files(spark: SparkSession, path: str, *, recursive: bool = False, suffix: str = ".cleaned", supported_only: bool = True, max_bytes: int | None = None) -> DataFrame:
+def list_files(spark: SparkSession, path: str, *, recursive: bool = False, suffix: str = ".cleaned", supported_only: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(path, length, content, extension) of files, less those whose path has the suffix of cleaned ones.
 
-    ``max_bytes`` is checked against the listing before a file is read, so that a huge file can't fill an executor.
+    Files are chosen by the listing before any is read. One of more than ``max_bytes`` (at most 2 GiB less a byte, what a value
+    can hold) has null content, so that it can't fill an executor or fail the job; ``clean_all`` gives it an error.
     """
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    df = df.select("path", "length", "content", extension_of(F.col("path")).alias("extension"))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    if supported_only:
+        # others' contents aren't read
+        read = read.option("pathGlobFilter", f"*{{{','.join(''.join(f'[{c}{c.upper()}]' if c.isalpha() else c for c in e) for e in EXTENSIONS)}}}")
+    df = read.load(path).withColumn("extension", extension_of(F.col("path")))
     if suffix:
         df = df.filter(~F.contains("path", F.lit(suffix)))
     if supported_only:
         df = df.filter(is_supported(F.col("path")))
-    return df.filter(F.col("length") <= max_bytes) if max_bytes else df
+    fits = F.col("length") <= min(max_bytes, MAX_BYTES)
+    # the source reads the content of files that pass a filter on length only
+    large = df.filter(~fits).select("path", "length", F.lit(None).cast("binary").alias("content"), "extension")
+    return df.filter(fits).select("path", "length", "content", "extension").unionByName(large)
 
 
 def is_supported(path: Column) -> Column:

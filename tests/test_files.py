@@ -12,7 +12,7 @@ from sievelake.functions.metadata import CorruptFile, clean, inspect
 from sievelake.operators import files
 from sievelake.operators.images import detect_images, read_images
 from sievelake.options import MetadataOptions, load_config
-from sievelake.sources.files import classify, list_files, output_path
+from sievelake.sources.files import classify, list_files, output_path, read_texts, write_texts
 
 O = MetadataOptions()  # noqa: E741
 
@@ -126,6 +126,91 @@ def test_pdf():
         clean(data, ".pdf", O)
 
 
+def test_pdf_streams_are_read_whole():
+    """Fields far into a large stream, behind a long dictionary, over the end of a step, and in what a damaged stream still gives."""
+    pad = b"x" * 3_000_000
+    stream = lambda body, more=b"": b"5 0 obj<<" + more + b"/Filter/FlateDecode>>stream\n" + zlib.compress(body) + b"\nendstream endobj\n"
+    assert inspect(b"%PDF-1.4\n" + stream(pad + b"/Author (Ann)", b"/X (" + b"y" * 5000 + b")"), ".pdf") == [("Info", "Author", "Ann")]
+    assert inspect(b"%PDF-1.4\n" + stream(pad[: (1 << 20) - 8] + b"/Author (Ann)"), ".pdf") == [("Info", "Author", "Ann")]
+    assert inspect(b"%PDF-1.4\n" + stream(b"/Author (Ann)" + np.random.default_rng(0).bytes(200_000))[:-90_000], ".pdf") == [("Info", "Author", "Ann")]
+    assert inspect(b"%PDF-1.4\n1 0 obj<</Title <414>>>", ".pdf") == [("Info", "Title", "A@")]
+
+
+@pytest.mark.parametrize("ext,data", [(f[0], f[1]) for f in FILES] + [(".pdf", b"%PDF-1.4\n1 0 obj<</Author (A)/Title <feff0041>>>endobj 2 0 obj<</Filter/FlateDecode>>stream\n" + zlib.compress(b"/Creator (x)") + b"\nendstream")])
+def test_damaged_bytes_give_rows(ext, data):
+    """Whatever the bytes, a reader and a cleaner end well or say that the file is damaged."""
+    rng = np.random.default_rng(len(data))
+    for _ in range(150):
+        bad = bytearray(data)
+        for at in rng.integers(0, len(bad), rng.integers(1, 12)):
+            bad[at] = rng.integers(256)
+        bad = bytes(bad[: rng.integers(len(bad))] if rng.random() < 0.3 else bad)
+        for run in (inspect, lambda d, e: clean(d, e, MetadataOptions(strip_comments=True, accept_revisions=True))):
+            try:
+                run(bad, ext)
+            except (CorruptFile, LookupError):
+                pass
+
+
+def test_encrypted_and_endless_archives_are_damaged():
+    data = bytearray(docx())
+    for at in (data.find(b"PK\x03\x04") + 6, data.find(b"PK\x01\x02") + 8):
+        data[at] |= 1
+    z = zipfile.ZipFile(io.BytesIO(bytes(data)))
+    with pytest.raises(RuntimeError):
+        z.read(z.namelist()[0])
+    with pytest.raises(CorruptFile):
+        clean(bytes(data), ".docx", O)
+    deep = "<a>" * 100_000 + "</a>" * 100_000
+    with pytest.raises(CorruptFile):
+        clean(package({"[Content_Types].xml": "<Types/>", "word/document.xml": deep}), ".docx", MetadataOptions(accept_revisions=True))
+
+
+WORDS = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:w14="urn:x"><w:body><w:p w:rsidR="00A1" w14:id="7"><w:commentRangeStart w:id="0"/><w:ins w:author="Ann"><w:r><w:t>new</w:t></w:r></w:ins><w:del w:author="Ann"><w:r><w:delText>old</w:delText></w:r></w:del><w:moveTo><w:r><w:t>moved</w:t></w:r></w:moveTo><w:moveFrom><w:r><w:t>gone</w:t></w:r></w:moveFrom><w:r><w:t>kept</w:t></w:r><w:commentRangeEnd w:id="0"/></w:p></w:body></w:document>'
+
+
+def test_comments_and_revisions_go_if_asked():
+    rels = '<Relationships><Relationship Id="1" Target="comments.xml"/><Relationship Id="2" Target="styles.xml"/><Relationship Id="3" Target="people.xml"/></Relationships>'
+    data = package({"[Content_Types].xml": '<Types><Override PartName="/word/comments.xml" ContentType="x"/><Override PartName="/word/styles.xml" ContentType="x"/></Types>', "word/document.xml": WORDS, "word/comments.xml": "<c/>", "word/people.xml": "<p>Ann</p>", "word/styles.xml": "<s/>", "word/_rels/document.xml.rels": rels})
+    parts = lambda d: {n: zipfile.ZipFile(io.BytesIO(d)).read(n).decode() for n in zipfile.ZipFile(io.BytesIO(d)).namelist()}
+    assert parts(clean(data, ".docx", O)[0])["word/document.xml"] == WORDS
+    out = parts(clean(data, ".docx", MetadataOptions(strip_comments=True))[0])
+    assert not {"word/comments.xml", "word/people.xml"} & set(out) and "comment" not in out["word/document.xml"] and "old" in out["word/document.xml"]
+    assert "comments" not in out["[Content_Types].xml"] + out["word/_rels/document.xml.rels"] and "styles.xml" in out["word/_rels/document.xml.rels"]
+    out, gone = clean(data, ".docx", MetadataOptions(accept_revisions=True))
+    body = parts(out)["word/document.xml"]
+    assert [x in body for x in ("new", "moved", "kept", "old", "gone", "Ann", "rsid", "w14:id")] == [True] * 3 + [False] * 4 + [True]
+    assert [e[0] for e in gone] == ["Revisions"] and inspect(out, ".docx") == []
+    sheet = package({"[Content_Types].xml": "<Types/>", "xl/comments1.xml": "<c/>", "xl/threadedComments/t.xml": "<c/>", "xl/persons/p.xml": "<p/>", "xl/worksheets/s.xml": "<s/>", "xl/worksheets/_rels/s.xml.rels": '<R><Relationship Target="../comments1.xml"/></R>'})
+    out, gone = clean(sheet, ".xlsx", MetadataOptions(strip_comments=True))
+    assert set(parts(out)) == {"[Content_Types].xml", "xl/worksheets/s.xml", "xl/worksheets/_rels/s.xml.rels"} and "comments1" not in parts(out)["xl/worksheets/_rels/s.xml.rels"] and len(gone) == 2
+    slides = package({"[Content_Types].xml": "<Types/>", "ppt/comments/c.xml": "<c/>", "ppt/commentAuthors.xml": "<c/>", "ppt/slides/s.xml": "<s/>"})
+    assert set(parts(clean(slides, ".pptx", MetadataOptions(strip_comments=True))[0])) == {"[Content_Types].xml", "ppt/slides/s.xml"}
+
+
+@pytest.mark.parametrize("xmp,iptc,stays", [(True, True, False), (False, True, False), (True, False, False), (False, False, True)])
+def test_png_texts_stay_only_if_neither_is_asked(xmp, iptc, stays):
+    out, _ = clean(png(chunk(b"tEXt", b"Author\0A")), ".png", MetadataOptions(strip_xmp=xmp, strip_iptc=iptc))
+    assert (b"Author" in out) == stays
+
+
+def test_listing_reads_no_more_than_fits(spark, tmp_path):
+    for name, body in {"a.PNG": png(), "b.jpeg": b"x" * 5000, "c.exe": b"z" * 9000}.items():
+        (tmp_path / name).write_bytes(body)
+    rows = {r.path.rpartition("/")[2]: r for r in list_files(spark, str(tmp_path), max_bytes=1000).collect()}
+    assert {k: r.content is None for k, r in rows.items()} == {"a.PNG": False, "b.jpeg": True} and rows["b.jpeg"].length == 5000
+    done = {r.path.rpartition("/")[2]: (r.status, r.error_code) for r in files.clean_all(list_files(spark, str(tmp_path), max_bytes=1000, supported_only=False)).collect()}
+    assert done == {"a.PNG": ("succeeded", None), "b.jpeg": ("failed", "PAYLOAD_TOO_LARGE"), "c.exe": ("skipped", None)}
+
+
+def test_texts_in_and_out(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("two\nlines")
+    texts = read_texts(spark, str(tmp_path))
+    assert [r.text for r in texts.collect()] == ["two\nlines"]
+    write_texts(texts.select(F.lit("one line").alias("text")), str(tmp_path / "out"))
+    assert [r.text.strip() for r in read_texts(spark, str(tmp_path / "out")).collect()] == ["one line"]
+
+
 def test_batch(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name, body in {"a.png": png(chunk(b"tEXt", b"k\0v")), "b.md": b"# h", "c": b"x\xe2\x80\x8by", "d.exe": b"z", "e.jpg": b"bad", "f.cleaned.png": b"", "sub/g.txt": b"t"}.items():
