@@ -37,7 +37,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ship(spark)
     gone = neardup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
     told = docs.withColumn("_text_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    return told.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_text_sha") == F.col("_gone_sha")), "left_anti").select(*docs.columns)
+    # the same plan at every size: texts are shuffled once, whether or not few of them go
+    return told.join(gone.hint("merge"), (F.col("doc_id") == F.col("_gone")) & (F.col("_text_sha") == F.col("_gone_sha")), "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
