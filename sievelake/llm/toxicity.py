@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.llm.common import settle
+from sievelake.llm.neardup import order_minhash, symbols, word_hashes
 
 WORD = re.compile(r"[^\W\d_]+")
 END = "$"
@@ -241,21 +242,60 @@ def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0,
     x = np.column_stack([np.ones(len(x)), x])
     w = np.ones(len(x)) if weights is None else weights
     b = prior.astype(float).copy()
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + strength * np.eye(3), x.T @ (w * (y - p)) - strength * (b - prior))
-        b += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + strength / 2 * ((b - prior) ** 2).sum())
+
+    for _ in range(100):
+        p = (1 + np.tanh(x @ b / 2)) / 2
+        slope = x.T @ (w * (p - y)) + strength * (b - prior)
+        step = -np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + strength * np.eye(3), slope)
+        # whole steps overshoot where texts are far from the cut
+        size, now = 1.0, loss(b)
+        while loss(b + size * step) > now + 1e-4 * size * float(slope @ step) and size > 1e-9:
+            size /= 2
+        b += size * step
+        if np.abs(size * step).max() < 1e-6:
             break
     return b
 
 
+def one_of_each_family(texts: DataFrame, bands: int = 24, picks: int = 3) -> list[tuple[int, int]]:
+    """(_key, _y) of one text of each family of (near) copies, by class: texts that share a band's sample of shingles.
+
+    For a table of bounded size, of which a row of ``bands`` numbers for each text goes to the driver.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                found = [symbols(np.asarray(w, np.int64)) for w in batch["_w"]]
+                yield pd.DataFrame({"_key": batch["_key"], "_y": batch["_y"], "_sigs": [order_minhash(f, bands, picks) if len(f) else [] for f in found]})
+
+    rows = sorted(texts.select("_key", "_y", word_hashes(F.col("_t")).alias("_w")).mapInPandas(run, "_key long, _y int, _sigs array<long>").collect(), key=lambda r: (r._y, r._key))
+    up, first = list(range(len(rows))), {}
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, r in enumerate(rows):
+        for mark in [("", r._key), *enumerate(r._sigs)]:
+            a, b = root(first.setdefault((r._y, *mark), i)), root(i)
+            up[max(a, b)] = min(a, b)
+    return [(r._key, r._y) for i, r in enumerate(rows) if root(i) == i]
+
+
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000) -> Model:
     """Learn from at most ``per_class`` labelled documents of each class, in a fixed order by hash.
 
     The coefficients are fitted with each class weighted by its count over all learnable labels, so that they
     don't depend on how many of it the sample holds.
     Held-out ids (see ``held_out``) are never learned from. Labels that repeat count once, as 1 if any is.
+    Copies and near copies of a text in a class count as one.
     Null ids, labels and texts are skipped. Without a toxic label the model scores all low.
     What the lexicon may hold is bounded too: at most 5,000 terms (``choose_terms``), stems of 3 to 12 letters (``STEM``), longer ones as
     whole words; quotations of over 200 letters count as plain speech in learning (``QUOTED``). All texts are scored whole.
@@ -268,14 +308,18 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if not any(y for _, y in rows):
         return Model()
     # one row for each class
-    counted, taken = {r._y: r["count"] for r in known.filter("_y in (0, 1)").groupBy("_y").count().collect()}, Counter(y for _, y in rows)
-    share = np.array([counted.get(v, 0) / max(1, taken[v]) for v in (0, 1)])
+    counted = {r._y: r["count"] for r in known.filter("_y in (0, 1)").groupBy("_y").count().collect()}
     # a sample of the labels, of bounded size
     ids = docs.sparkSession.createDataFrame(rows, "_id long, _y int")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).filter("_t is not null").join(F.broadcast(ids), "_id").select("_t", "_y")
 
     # read once; at most 2 * per_class documents
-    texts = settle(texts.withColumn("_half", F.pmod(F.xxhash64("_t", F.lit(13)), F.lit(2)).cast("int")), "toxicity-sample")
+    texts = settle(texts.withColumn("_half", F.pmod(F.xxhash64("_t", F.lit(13)), F.lit(2)).cast("int")).withColumn("_key", F.xxhash64("_t")), "toxicity-sample")
+    # copies teach once: the words of a text that many toxic documents copy would all seem toxic
+    kept = one_of_each_family(texts)
+    texts = texts.dropDuplicates(["_key", "_y"]).join(F.broadcast(docs.sparkSession.createDataFrame(kept, "_key long, _y int")), ["_key", "_y"])
+    taken = Counter(y for _, y in kept)
+    share = np.array([counted.get(v, 0) / max(1, taken[v]) for v in (0, 1)])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
