@@ -24,8 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of identical texts the row with the largest id; a null text counts as empty. Of rows that repeat an id and its text one stays; a null id stays only if no other row has its text."""
-    carry = tuple(c for c in docs.columns if c != "doc_id")
-    return exactdedup.exact_dedup(docs, keep="max", carry=carry).filter("kept").select(*docs.columns)
+    # other columns may have the names of the operator's own
+    others = {f"_own_{i}": c for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    told = exactdedup.exact_dedup(docs.select("doc_id", "text", *[F.col(c).alias(k) for k, c in others.items()]), keep="max", carry=("text", *others))
+    return told.filter("kept").select("doc_id", "text", *[F.col(k).alias(c) for k, c in others.items()]).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
