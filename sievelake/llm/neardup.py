@@ -212,8 +212,26 @@ def block_links(nodes: list[int], texts: list[np.ndarray], classes: list[int], l
     return out
 
 
-def links(tasks: DataFrame, named: DataFrame, nodes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """(a, b) with a < b: links between nodes of different classes that share a task (_task, _node, _class). ``nodes`` (_node, _sha, _id) leads to the texts of ``named``."""
+def gathered(tasks: DataFrame) -> DataFrame:
+    """_node, _class and the _tasks of each node."""
+    return tasks.groupBy("_node", "_class").agg(F.collect_list("_task").alias("_tasks"))
+
+
+def candidates(own: DataFrame, named: DataFrame) -> DataFrame:
+    """_node, _class, _tasks and the words' hashes _data of the rows (_node, _class, _tasks, _sha, _id) of ``own``, with the texts of ``named``."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # 32 bits of a word's hash: of texts of 20,000 different words, two in a hundred pairs mistake one word for another
+            data = [(np.asarray(w, np.int64).view(np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for w in batch["_w"]]
+            yield pd.DataFrame({"_node": batch["_node"], "_class": batch["_class"], "_data": data, "_tasks": batch["_tasks"]})
+
+    mine = named.join(own, ["_sha", "_id"]).select("_node", "_class", word_hashes(F.col("_t")).alias("_w"), "_tasks")
+    return mine.mapInPandas(pack, "_node long, _class long, _data binary, _tasks array<long>")
+
+
+def links(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b) with a < b: links between the rows (_node, _class, _data, _tasks) of different classes that share a task."""
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, nodes, held, classes, out = None, [], [], [], []
@@ -236,17 +254,8 @@ def links(tasks: DataFrame, named: DataFrame, nodes: DataFrame, least: float, sc
         done()
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            # 32 bits of a word's hash: of texts of 20,000 different words, two in a hundred pairs mistake one word for another
-            data = [(np.asarray(w, np.int64).view(np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for w in batch["_w"]]
-            yield pd.DataFrame({"_node": batch["_node"], "_class": batch["_class"], "_data": data, "_tasks": batch["_tasks"]})
-
-    own = tasks.groupBy("_node", "_class").agg(F.collect_list("_task").alias("_tasks"))
-    own = scratch.settle(own.join(nodes, "_node"), "candidates")
-    mine = named.join(own, ["_sha", "_id"]).select("_node", "_class", word_hashes(F.col("_t")).alias("_w"), "_tasks")
-    rows = mine.mapInPandas(pack, "_node long, _class long, _data binary, _tasks array<long>").select("_node", "_class", "_data", F.explode("_tasks").alias("_task"))
-    dealt = rows.repartition(shuffle_partitions(tasks.sparkSession), "_task").sortWithinPartitions("_task", "_node")
+    rows = rows.select("_node", "_class", "_data", F.explode("_tasks").alias("_task"))
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "_task").sortWithinPartitions("_task", "_node")
     return dealt.mapInPandas(meet, "a long, b long").distinct()
 
 
@@ -303,11 +312,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = buckets.groupBy("_n", "_x", "_y").agg(F.min(F.struct("_band", "_sig", "_words")).alias("_b")).select("_b._band", "_b._sig", "_b._words", "_n")
     buckets = scratch.settle(buckets.withColumn("_parts", parts_of("_n", "_words", block, block_words)), "buckets")
     tasks = first_meetings(buckets, members, heads).withColumn("_class", F.col("_node"))
-    found = scratch.settle(links(tasks, named, nodes, similarity, scratch), "links")
+    # texts are shuffled once: later meetings take the words of candidates from this table
+    words = scratch.settle(candidates(scratch.settle(gathered(tasks).join(nodes, "_node"), "tasks"), named), "candidates")
+    found = scratch.settle(links(words, similarity), "links")
     roots = classes(found, scratch)
     wide = buckets.filter("_parts > 1")
     if not wide.isEmpty():
-        later = scratch.settle(links(later_meetings(wide, members, roots, block, block_words, scratch), named, nodes, similarity, scratch), "later-links")
+        own = scratch.settle(gathered(later_meetings(wide, members, roots, block, block_words, scratch)), "later-tasks")
+        later = scratch.settle(links(words.select("_node", "_data").join(own, "_node"), similarity), "later-links")
         roots = classes(found.unionByName(later), scratch)
     of_text = nodes.join(roots, F.col("_node") == F.col("node"), "left").select("_sha", "_id", F.coalesce("root", "_node").alias("_root"))
     least = of_text.groupBy("_root").agg(F.min("_id").alias("class_id"))
