@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelake.session import new_folder
@@ -57,3 +57,22 @@ def splitters(ids: DataFrame, parts: int, each: int = 64) -> list[int]:
     every = max(1, ids.count() // (each * parts))
     picked = sorted({r.id for r in ids.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(every)) == 0).collect()})
     return sorted({picked[i * len(picked) // parts] for i in range(1, parts)}) if picked else []
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], scratch: Scratch) -> DataFrame:
+    """``rows`` with ``pos``, the place of each in its group from 0, and ``n``, the group's number of rows.
+
+    Rows are range-partitioned and sorted by group and order, and written; each partition's rows of a group are counted, and
+    the counts before them added. So a group may be any part of all rows. Ties follow in any order.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(shuffle_partitions(spark), *group, *order).sortWithinPartitions(*group, *order)
+    # the number holds the partition in its upper and the place in its lower 33 bits
+    dealt = scratch.settle(dealt.withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_at", 33)
+    counts = dealt.groupBy(*group, part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    family = Window.partitionBy(*group)
+    before = family.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(*group, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(family).alias("n"))
+    out = dealt.withColumn("_part", part).join(scratch.settle(firsts, "places"), [*group, "_part"])
+    return out.withColumn("pos", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_part", "_first", "_before")

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import exactdedup, fingerprint, licenses, linededup, mixing, neardup, packing, toxicity, urlfilter, warc
-from sievelake.llm.common import new_folder
+from sievelake.llm import divergence, exactdedup, fingerprint, licenses, linededup, merkle, mixing, neardup, packing, toxicity, urlfilter, warc
+from sievelake.llm.common import Scratch, new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,8 +91,21 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    marked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.when(marked, F.translate("text", merkle.UPPER, merkle.LOWER))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), tampered=lowered, scratch=scratch)
+    return scratch.keep(rows.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified"), "merkle")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    return scratch.keep(divergence.audit(table(spark, sf_dir, "documents"), scratch=scratch), "divergence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprint, op2_mixing, op3_warc, op4_toxicity, op5_packing, op6_line_dedup, op7_url_filter, op8_licenses, op8_licenses_every_term, op9_exact_dedup, op10_near_dedup]
+    found = [op1_fingerprint, op2_mixing, op3_warc, op4_toxicity, op5_packing, op6_line_dedup, op7_url_filter, op8_licenses, op8_licenses_every_term, op9_exact_dedup, op10_near_dedup, op11_merkle, op12_divergence]
     return {f.__name__: f for f in found}
 
 
@@ -214,5 +227,67 @@ FROM found LEFT JOIN near USING (dir)
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, coalesce('+' || lang, '') AS g,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS other
+  FROM d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+level AS (
+  SELECT 0 AS k, g, pos, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT k + 1, g, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM level WHERE n > 1 GROUP BY k, g, pos // 8),
+tops AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM level WHERE n = 1),
+upper AS (
+  SELECT 0 AS k, pos, n, subroot AS h FROM tops
+  UNION ALL
+  SELECT k + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY k, pos // 8),
+runs AS (SELECT k, g, pos // 8 AS up, list(h ORDER BY pos) AS hs FROM level WHERE n > 1 GROUP BY ALL),
+uruns AS (SELECT k, pos // 8 AS up, list(h ORDER BY pos) AS hs FROM upper WHERE n > 1 GROUP BY ALL),
+walk AS (
+  SELECT doc_id, g, leaf, 0 AS phase, 0 AS k, pos, n, other AS f, '' AS proof FROM placed
+  UNION ALL
+  SELECT w.doc_id, w.g, w.leaf,
+    CASE WHEN w.n > 1 THEN w.phase ELSE 1 END, CASE WHEN w.n > 1 THEN w.k + 1 ELSE 0 END, CASE WHEN w.n > 1 THEN w.pos // 8 ELSE t.pos END, CASE WHEN w.n > 1 THEN (w.n + 7) // 8 ELSE t.n END,
+    CASE WHEN w.n > 1 THEN sha256(array_to_string(coalesce(r.hs, u.hs)[:w.pos % 8], '') || w.f || array_to_string(coalesce(r.hs, u.hs)[w.pos % 8 + 2:], '')) ELSE w.f END,
+    CASE WHEN w.n > 1 THEN w.proof || array_to_string(coalesce(r.hs, u.hs)[:w.pos % 8], '') || array_to_string(coalesce(r.hs, u.hs)[w.pos % 8 + 2:], '') ELSE w.proof END
+  FROM walk w JOIN tops t USING (g)
+  LEFT JOIN runs r ON w.phase = 0 AND w.n > 1 AND r.k = w.k AND r.g = w.g AND r.up = w.pos // 8
+  LEFT JOIN uruns u ON w.phase = 1 AND w.n > 1 AND u.k = w.k AND u.up = w.pos // 8
+  WHERE w.phase = 0 OR w.n > 1)
+SELECT doc_id, leaf, subroot, (SELECT h FROM upper WHERE n = 1) AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = (SELECT h FROM upper WHERE n = 1) AS verified
+FROM walk JOIN tops USING (g) WHERE phase = 1 AND walk.n = 1
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS c FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(c)::HUGEINT AS n FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+tot AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM cnt GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(cnt.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(cnt.c, 0) + 2)) // (coalesce(tot.n, 0) + 2 * v.v) AS p,
+   1 + (1000000000::HUGEINT * (k.c + 2)) // (v.n + 2 * v.v) AS q
+   FROM grp g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN tot ON tot.lang = g.lang AND tot.source = g.source
+   LEFT JOIN cnt ON cnt.lang = g.lang AND cnt.source = g.source AND cnt.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+   LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+own AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT FROM own
+QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op3_warc": op3_sql(), "op6_line_dedup": OP6_SQL, "op8_licenses": op8_sql(), "op9_exact_dedup": OP9_SQL}
+    return {"op11_merkle": OP11_SQL, "op12_divergence": OP12_SQL, "op2_mixing": OP2_SQL, "op3_warc": op3_sql(), "op6_line_dedup": OP6_SQL, "op8_licenses": op8_sql(), "op9_exact_dedup": OP9_SQL}
