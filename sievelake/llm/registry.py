@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import divergence, exactdedup, fingerprint, licenses, linededup, merkle, mixing, neardup, packing, toxicity, urlfilter, warc
+from sievelake.llm import divergence, exactdedup, fingerprint, licenses, linededup, merkle, mixing, neardup, packing, personal, toxicity, urlfilter, warc
 from sievelake.llm.common import Scratch, new_folder
 
 
@@ -104,8 +104,16 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch.keep(divergence.audit(table(spark, sf_dir, "documents"), scratch=scratch), "divergence")
 
 
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    found = personal.find_personal(table(spark, sf_dir, "documents"), scratch=scratch)
+    counts = [personal.number("base", kind).alias(f"n_{kind}") for kind in personal.KINDS]
+    base = F.sha2(personal.joined(F.col("base")).cast("binary"), 256)
+    return scratch.keep(found.select("doc_id", *counts, base.alias("base_sha256"), personal.joined(F.concat("base", "added")).alias("spans")), "personal")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprint, op2_mixing, op3_warc, op4_toxicity, op5_packing, op6_line_dedup, op7_url_filter, op8_licenses, op8_licenses_every_term, op9_exact_dedup, op10_near_dedup, op11_merkle, op12_divergence]
+    found = [op1_fingerprint, op2_mixing, op3_warc, op4_toxicity, op5_packing, op6_line_dedup, op7_url_filter, op8_licenses, op8_licenses_every_term, op9_exact_dedup, op10_near_dedup, op11_merkle, op12_divergence, op13_personal]
     return {f.__name__: f for f in found}
 
 
