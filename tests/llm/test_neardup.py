@@ -98,6 +98,26 @@ def test_planted_copies(spark):
     assert found >= 0.95 and n > 60
 
 
+@pytest.mark.parametrize("length", [60, 200, 600])
+def test_recall_by_similarity(spark, length):
+    """Pairs of their own, with scattered replacements, so that no third text can stand in for a missed link."""
+    rng = random.Random(length)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    docs, of = [], {}
+    for least in (0.80, 0.85, 0.90, 0.95):
+        for _ in range(150):
+            a = [word() for _ in range(length)]
+            b = list(a)
+            for at in rng.sample(range(length), round((1 - least) * length)):
+                b[at] = word()
+            of[len(docs)] = least
+            docs += [(len(docs), " ".join(a)), (len(docs) + 1, " ".join(b))]
+    got = classes_of(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    found = {k: sum(got[i] == got[i + 1] for i, v in of.items() if v == k) / 150 for k in (0.80, 0.85, 0.90, 0.95)}
+    assert found[0.80] >= 0.9 and found[0.85] >= 0.97 and found[0.90] == found[0.95] == 1.0, found
+    assert all(got[i] in (i, i - i % 2) for i in got)
+
+
 @pytest.mark.parametrize("limits", [{"block": 2}, {"block": 3, "heads": 1}, {"block_words": 300}])
 def test_blocks_lose_no_link(spark, limits):
     docs = planted(6)
