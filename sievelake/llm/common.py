@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelake.session import new_folder
@@ -43,6 +43,11 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def readable(text: Column) -> Column:
+    """A text that Python can read: null is empty, and bytes that aren't UTF-8 become replacement characters."""
+    return F.make_valid_utf8(F.coalesce(text, F.lit("")))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

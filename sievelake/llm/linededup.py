@@ -24,7 +24,6 @@ from sievelake.llm.common import Scratch, new_folder, settle, shuffle_partitions
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LOWERED = str.maketrans(UPPER, LOWER)
 SLOTS = 4
 
 
@@ -37,8 +36,9 @@ def digest_of(key: Column) -> Column:
     return F.substring(F.unhex(F.sha2(key.cast("binary"), 256)), 1, 16)
 
 
-def py_digest(line: str) -> bytes | None:
-    return hashlib.sha256(line.strip(BLANKS).translate(LOWERED).encode("utf-8", "surrogatepass")).digest()[:16]
+def py_digest(line: bytes) -> bytes:
+    # lower() changes ASCII letters only
+    return hashlib.sha256(line.strip(BLANKS.encode()).lower()).digest()[:16]
 
 
 class CuckooFilter:
@@ -185,7 +185,8 @@ def drops(refs: DataFrame, table: DataFrame, built: DataFrame | None = None, *,
 def rewrite(docs: DataFrame, dropped: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text of every document."""
     per_doc = dropped.groupBy("doc").agg(F.collect_list("digest").alias("_lost")).withColumnRenamed("doc", "_doc")
-    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
+    # bytes, as a text may hold some that aren't UTF-8; they stay
+    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -193,17 +194,17 @@ def rewrite(docs: DataFrame, dropped: DataFrame, *, id_col: str = "doc_id", text
             for text, lost in zip(batch["_t"], batch["_lost"], strict=True):
                 if lost is None or not len(lost):
                     texts.append(text)
-                    n.append(text.count("\n") + 1)
+                    n.append(text.count(b"\n") + 1)
                     gone.append(0)
                     continue
-                lines, lost = text.split("\n"), {bytes(x) for x in lost}
+                lines, lost = text.split(b"\n"), {bytes(x) for x in lost}
                 kept = [x for x in lines if py_digest(x) not in lost]
-                texts.append("\n".join(kept))
+                texts.append(b"\n".join(kept))
                 n.append(len(lines))
                 gone.append(len(lines) - len(kept))
             yield pd.DataFrame({"doc_id": batch["_id"], "n_lines": n, "n_dropped": gone, "kept_text": texts})
 
-    return base.join(per_doc, F.col("_id") == F.col("_doc"), "left").select(F.col("_id").cast("string"), "_t", "_lost").mapInPandas(run, "doc_id string, n_lines long, n_dropped long, kept_text string").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return base.join(per_doc, F.col("_id") == F.col("_doc"), "left").select(F.col("_id").cast("string"), "_t", "_lost").mapInPandas(run, "doc_id string, n_lines long, n_dropped long, kept_text binary").withColumns({"doc_id": F.col("doc_id").cast("long"), "kept_text": F.col("kept_text").cast("string")})
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import settle
+from sievelake.llm.common import Scratch
 
 LEVELS = ("_m_domain", "_m_lang", "_m_source")
 #: Leaves up to which their table goes to all executors (a few hundred bytes each); beyond, it is joined.
@@ -66,7 +66,7 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], fraction: flo
     return fill(low, [domain, lang], source, "_b2").select(*LEVELS, "_tokens", "_share")
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], *, fraction: float = 0.6, max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], *, fraction: float = 0.6, max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once for each epoch that takes them, with columns mix_domain,
     mix_lang, mix_source, mix_tokens and mix_epoch added.
 
@@ -74,11 +74,16 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     whole weights by level and name, 1 for others; a weight of 0 takes nothing. The budget is ``fraction``
     of all tokens; rounding down loses less than a token for each node. A null text has no tokens and
     comes along where its place in the order is within the prefix. Rows that repeat an id go together.
-    No rows in, no rows out.
+    No rows in, no rows out. ``tokens`` gives the tokens of a row, by default a quarter of its code points; null is none. A column of the caller's that has
+    the name of an added one gives way to it; all others may have any name. The result reads tables of ``scratch``; the caller drops them.
     """
-    spark = docs.sparkSession
+    scratch = scratch or Scratch(docs.sparkSession)
+    settle = scratch.settle
     named = {c: F.coalesce(levels[k].cast("string"), F.lit("unknown")) for c, k in zip(LEVELS, ("domain", "lang", "source"), strict=True)}
-    tagged = docs.withColumns({**named, "_m_tokens": tokens_of(F.col(text_col))})
+    own = {f"_own_{i}": c for i, c in enumerate(docs.columns)}
+    size = tokens_of(F.col(text_col)) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")
+    tagged = docs.select(*[F.col(c).alias(k) for k, c in own.items()], *[v.alias(k) for k, v in named.items()], size.alias("_m_tokens"))
+    id_col = next(k for k, c in own.items() if c == id_col)
     narrow = settle(tagged.select(F.col(id_col).alias("_m_id"), *LEVELS, "_m_tokens"), "mix-tokens")
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("_m_tokens").alias("_tokens"))
     shares = settle(budgets(settle(leaves, "mix-leaves"), weights, fraction, max_epochs), "mix-shares")
@@ -102,8 +107,9 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     bucket, end = F.substring(key, 1, 3), F.col("_m_end")
     last = end.isNull() | (bucket < end) | ((bucket == end) & F.coalesce(F.struct(key.alias("_m_key"), F.col(id_col).alias("_m_id")) <= F.col("_m_cut"), F.lit(False)))
     times = F.col("_m_passes") + last.cast("int")
-    out = chosen.withColumn("_m_times", times).filter("_m_times > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_m_times") - 1)))
-    return out.select(*docs.columns, *[F.col(c).alias(f"mix_{c[3:]}") for c in LEVELS], F.col("_m_tokens").alias("mix_tokens"), "mix_epoch")
+    out = chosen.withColumn("_m_times", times).filter("_m_times > 0").withColumn("_m_epoch", F.explode(F.sequence(F.lit(0), F.col("_m_times") - 1)))
+    added = {f"mix_{c[3:]}": c for c in (*LEVELS, "_m_tokens", "_m_epoch")}
+    return out.select(*[F.col(k).alias(c) for k, c in own.items() if c not in added], *[F.col(c).alias(k) for k, c in added.items()])
 
 
 def domain_of(source: Column) -> Column:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import settle
+from sievelake.llm.common import readable, settle
 
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
@@ -181,7 +181,7 @@ def pack(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens.
 
     A document is its ids by the byte-level vocabulary at ``vocabulary``, then ``end_id``. A null
-    text counts as empty (one token); a null id stays null; rows that repeat are packed each. No
+    text counts as empty (one token); bytes that aren't UTF-8 count as replacement characters; a null id stays null; rows that repeat are packed each. No
     rows in, no rows out; other columns are ignored. The pieces are written to the shared folder as they
     are packed, so they stay the same however often the result is read.
     """
@@ -219,7 +219,7 @@ def pack(
         if packer.rows:
             yield packer.take()
 
-    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), readable(F.col(text_col)).alias("_t"))
     packed = settle(rows.mapInPandas(run, f"{SCHEMA}, _ids binary, _part int"), "packed")
     rest = packed.filter("_ids is not null")
     groups = 1 + (rest.agg(F.max("_part")).first()[0] or 0) // gather

@@ -29,8 +29,10 @@ def mix_levels() -> dict:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS)
-    return mixed.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_lang").alias("lang"), F.col("mix_source").alias("source"), F.col("mix_tokens").alias("tokens"), F.col("mix_epoch").alias("epoch"))
+    scratch = Scratch(spark)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, scratch=scratch)
+    mixed = mixed.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_lang").alias("lang"), F.col("mix_source").alias("source"), F.col("mix_tokens").alias("tokens"), F.col("mix_epoch").alias("epoch"))
+    return scratch.keep(mixed, "mix")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +64,8 @@ URL_RULES = [
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No table labels URLs: a word list labels those to learn from."""
-    pages = table(spark, sf_dir, "pages")
-    return urlfilter.filter_urls(pages, URL_RULES, labelled=urlfilter.labelled_by_words(pages)).select("page_id", "host", "path", "rule", "verdict", "score")
+    """The trees learn from the rows that a rule decides."""
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def license_paths(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import settle
+from sievelake.llm.common import Scratch, readable
 from sievelake.llm.neardup import order_minhash, symbols, word_hashes
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -311,10 +311,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     counted = {r._y: r["count"] for r in known.filter("_y in (0, 1)").groupBy("_y").count().collect()}
     # a sample of the labels, of bounded size
     ids = docs.sparkSession.createDataFrame(rows, "_id long, _y int")
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).filter("_t is not null").join(F.broadcast(ids), "_id").select("_t", "_y")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.make_valid_utf8(F.col(text_col)).alias("_t")).filter("_t is not null").join(F.broadcast(ids), "_id").select("_t", "_y")
 
     # read once; at most 2 * per_class documents
-    texts = settle(texts.withColumn("_half", F.pmod(F.xxhash64("_t", F.lit(13)), F.lit(2)).cast("int")).withColumn("_key", F.xxhash64("_t")), "toxicity-sample")
+    scratch = Scratch(docs.sparkSession)
+    texts = scratch.settle(texts.withColumn("_half", F.pmod(F.xxhash64("_t", F.lit(13)), F.lit(2)).cast("int")).withColumn("_key", F.xxhash64("_t")), "sample")
     # copies teach once: the words of a text that many toxic documents copy would all seem toxic
     kept = one_of_each_family(texts)
     texts = texts.dropDuplicates(["_key", "_y"]).join(F.broadcast(docs.sparkSession.createDataFrame(kept, "_key long, _y int")), ["_key", "_y"])
@@ -347,6 +348,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     # at most 2 * per_class rows with a few matches each
     found = list(texts.mapInPandas(match, "y int, half int, " + ", ".join(f"{k} array<double>" for k in uses)).toLocalIterator())
     hits = {k: [{(int(h[0]), int(h[1])): list(h[2:]) for h in zip(*[iter(r[k])] * 4, strict=True)} for r in found] for k in uses}
+    scratch.drop()
     y, half = np.array([r.y for r in found], int), np.array([r.half for r in found], int)
     models = {k: Model(lexicons[k], weigh(lexicons[k], [h for h, side in zip(hits[k], half, strict=True) if u[side]], y[u[half] == 1])) for k, u in uses.items()}
     # the coefficients come from texts that the lexicon hasn't seen
@@ -374,7 +376,7 @@ def weigh(terms: list[str], hits: list[dict[tuple[int, int], list[float]]], y: n
 
 
 def score(model: Model, text: Column) -> Column:
-    """The toxicity of a text, 0 to 1; a null text scores like an empty one."""
+    """The toxicity of a text, 0 to 1; a null text scores like an empty one; bytes that aren't UTF-8 count as replacement characters."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -383,7 +385,7 @@ def score(model: Model, text: Column) -> Column:
         for batch in batches:
             yield pd.Series([model.score(h) if (h := matcher.hits(t)) else clean for t in batch])
 
-    return run(F.coalesce(text, F.lit("")))
+    return run(readable(text))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000) -> DataFrame:

@@ -239,6 +239,7 @@ def train(labelled: DataFrame, sample: int = 20_000) -> tuple[BoostedTrees, Coun
     that the trees learn what to make of a host that no label names. The trees learn from at most ``sample`` of them, half of
     each label, collected in a fixed order by hash and weighted so that each label has its true share.
     """
+    labelled = labelled.withColumns({c: F.make_valid_utf8(F.col(c)) for c in ("url", "host", "path")})
     known = labelled.filter(F.col("label").isin("block", "allow")).groupBy("url", "host", "path").agg(F.max((F.col("label") == "block").cast("int")).alias("y"))
     known = settle(known.withColumn("fold", F.pmod(F.xxhash64("url", F.lit(7)), F.lit(FOLDS)).cast("int")), "url-labels")
     rates = CountedRates.of(known)
@@ -261,7 +262,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id",
     The longest fitting rule decides; a rule fits its host and all its subdomains if the path
     starts with the rule's. Otherwise the trees do: block at a score of 0.5 or more. They learn from
     ``labelled`` (url, label: block or allow), or else from the rows that a rule decides. Without any labelled URL all scores are 0, so the unruled are allowed. Null ids and urls
-    stay; rows that repeat are judged each; urls of any length are taken whole.
+    stay; rows that repeat are judged each; urls of any length are taken whole; bytes that aren't UTF-8 count as replacement characters in features and stay as they are in the result.
     """
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url")).withColumns(dict(zip(("host", "path"), parts(F.col("url")), strict=True)))
     name, verdict = ruled(rules, F.col("host"), F.col("path"))
@@ -275,9 +276,11 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = with_rates(*(batch[c].where(batch[c].notna(), None).tolist() for c in ("url", "host", "path")), batch[list(RATES)].to_numpy(float))
-            yield batch.drop(columns=list(RATES)).assign(score=trees.predict(x) if known else 0.0)
-
-    rated = rates.join(base.withColumn("_id", F.col("_id").cast("string")))
-    scored = rated.mapInPandas(run, "_id string, url string, host string, path string, rule string, ruled string, score double")
-    return scored.select(F.col("_id").cast("long").alias(id_col), "url", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
+            x = with_rates(*(batch[c].where(batch[c].notna(), None).tolist() for c in ("u", "h", "p")), batch[list(RATES)].to_numpy(float))
+            yield batch.drop(columns=["u", "h", "p", *RATES]).assign(score=trees.predict(x) if known else 0.0)
+
+    names = ("url", "host", "path")
+    # what passes through goes as bytes, which needn't be UTF-8; features are of what Python can read
+    rated = rates.join(base.withColumn("_id", F.col("_id").cast("string"))).withColumns({k: F.make_valid_utf8(F.col(c)) for k, c in zip("uhp", names, strict=True)}).withColumns({c: F.col(c).cast("binary") for c in names})
+    scored = rated.mapInPandas(run, "_id string, url binary, host binary, path binary, rule string, ruled string, score double")
+    return scored.select(F.col("_id").cast("long").alias(id_col), *[F.col(c).cast("string").alias(c) for c in names], "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")

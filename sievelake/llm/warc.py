@@ -107,19 +107,43 @@ class Roller:
             self.out = None
 
 
+def place_among(cuts: list[int]):
+    """How many of ``cuts`` are at most a page id, looked up in batches."""
+    known = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def place(page: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(known, page.to_numpy(np.int64), side="right").astype(np.int32))
+
+    return place
+
+
+def even_cuts(sized: DataFrame, shards: int) -> list[int]:
+    """At most ``shards - 1`` page ids that part the rows (page, n) into shards of like bytes ``n``: of many splitters those at which a shard is full are taken."""
+    fine = splitters(sized.select("page"), 16 * shards)
+    # a row for each splitter
+    sums = dict(sized.filter("page is not null").groupBy(place_among(fine)(F.col("page")).alias("k")).agg(F.sum("n").alias("n")).collect())
+    total, upto, out = sum(sums.values()), 0, []
+    for k, cut in enumerate(fine):
+        upto += sums.get(k, 0)
+        if total and upto * shards >= (len(out) + 1) * total and len(out) < shards - 1:
+            out.append(cut)
+    return out
+
+
 def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shards: int | None = None, shard_bytes: int = 128 << 20, roll_bytes: int = 16 << 20, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write an archive of the pages to a new folder; returns its manifest, one row per file.
 
-    The payload is the html in UTF-8, a null one is empty. Of pages with equal payloads of at
+    The payload is the html's bytes, a null one is empty. Of pages with equal payloads of at
     least ``least_bytes``, the one with the least id is a response and the others revisit it; others
     are responses. Rows that repeat an id and payload are alike: all responses, or all revisits. A
-    page without id is never revisited; it revisits another with its payload, if one has an id. No
+    page without id is never revisited; it revisits another with its payload, if one has an id. Such pages are in shards by payload. No
     pages make no files. Other columns are ignored. Without ``shards``, there is one for each ``shard_bytes`` of payloads.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark)
-    base = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("_url"), F.coalesce(html_col, F.lit("")).alias("_html"))
-    digests = base.select("page", F.sha2(F.col("_html").cast("binary"), 256).alias("digest"), F.octet_length("_html").alias("n"))
+    base = pages.select(F.col(id_col).cast("long").alias("page"), F.make_valid_utf8(F.col(url_col)).alias("_url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("_html"))
+    digests = base.select("page", F.sha2("_html", 256).alias("digest"), F.octet_length("_html").alias("n"))
     sized = scratch.settle(digests, "digests")
     digests = sized.filter(F.col("n") >= least_bytes).select("page", "digest")
     # equal payloads are combined before the shuffle; only those that come again are looked up
@@ -127,17 +151,12 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     roles = digests.join(first, "digest").filter(~F.col("page").eqNullSafe(F.col("refers"))).distinct()
     # shards follow the bytes alone, so that a task's share stays bounded and any cluster makes the same
     shards = shards or max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // shard_bytes))
-    cuts = splitters(sized.select("page"), shards)
-    # page ids are looked up among the few splitters in batches
-    known = np.array(cuts, np.int64)
-
-    @F.pandas_udf("int")
-    def shard_of(page: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(known, page.to_numpy(np.int64), side="right").astype(np.int32))
-
+    cuts = even_cuts(sized, shards)
     rows = base.select("page", F.lit(1).alias("_kind"), "_url", "_html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers"))
-    rows = rows.unionByName(roles.select("page", F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("_url"), F.lit(None).cast("string").alias("_html"), "digest", "refers"))
-    rows = rows.withColumn("_shard", shard_of(F.coalesce("page", F.lit(-(2**63)))))
+    rows = rows.unionByName(roles.select("page", F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("_url"), F.lit(None).cast("binary").alias("_html"), "digest", "refers"))
+    # pages without id have no place in the order: those with a payload in common share a shard
+    unnamed = F.pmod(F.xxhash64(F.coalesce("digest", F.sha2("_html", 256))), F.lit(shards)).cast("int")
+    rows = rows.withColumn("_shard", F.when(F.col("page").isNull(), unnamed).otherwise(place_among(cuts)(F.coalesce("page", F.lit(0)))))
     # a task for each shard
     rows = rows.repartitionById(shards, "_shard").sortWithinPartitions("_shard", "page", "_kind", "digest", "_url", "_html")
 
@@ -151,7 +170,7 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
                 if not kind:
                     found[digest] = int(refers)
                     continue
-                payload = html.encode("utf-8", "surrogatepass")
+                payload = bytes(html)
                 to = found.get(hashlib.sha256(payload).hexdigest()) if found else None
                 roller.add(int(shard), page, render(page, url, payload, to, date))
             if roller.done:

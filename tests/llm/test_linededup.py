@@ -5,7 +5,9 @@ from collections import defaultdict
 import pytest
 
 from sievelake.llm import linededup
-from sievelake.llm.linededup import BLANKS, LOWERED, CuckooFilter, LineIndex, dedup_lines
+from sievelake.llm.linededup import BLANKS, CuckooFilter, LineIndex, dedup_lines
+
+LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def brute(docs):

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sievelake.llm import registry
 from tests.llm.test_neardup import brute as near_classes
@@ -57,3 +59,19 @@ def test_odd_rows_and_empty_tables(spark, sf, odd, none):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, none, sf)
         assert out.collect() == [] and (name == "packing" or out.columns == none.columns)
+
+
+def test_columns_with_the_stages_own_names(spark, sf, odd):
+    """Names that the stages use inside, and those that operators add, come back with the caller's values."""
+    names = ["_toxicity", "_text_sha", "_gone", "_gone_sha", "_m_tokens", "_own_0", "_stage_5", "mix_epoch", "mix_tokens", "kept", "keep_id", "class_id", "_id", "_t", "_h", "_salt"]
+    clash = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"own {c}").alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, sf)
+        assert out.columns == clash.columns
+        rows = out.select(*names).distinct().collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in names), name
+    assert stage_count(corpus_pipeline.STAGES[-1][1](spark, clash, sf)) == stage_count(corpus_pipeline.STAGES[-1][1](spark, odd, sf))
+
+
+def stage_count(df):
+    return df.agg(F.sum("length")).first()[0]
