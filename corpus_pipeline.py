@@ -11,23 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.llm import exactdedup, mixing, neardup, packing, registry, toxicity
-from sievelake.llm.common import settle
+from sievelake.llm.common import Scratch
 from sievelake.session import ship
 
+NEEDED = ("doc_id", "text", "lang", "source")
+
+
+def apart(docs: DataFrame, needed: tuple[str, ...] = NEEDED) -> tuple[DataFrame, list]:
+    """``docs`` with all columns but the needed ones under names that no operator has, and what gives them their own again."""
+    names = {c: c if c in needed else f"_stage_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(c).alias(k) for c, k in names.items()]), [F.col(k).alias(c) for c, k in names.items()]
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5; learned from the labels, less the held-out ones. A null or empty text scores low and stays, as do rows without id."""
     ship(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.withColumn("_toxicity", toxicity.score(model, F.col("text"))).filter("_toxicity < 0.5").select(*docs.columns)
+    return docs.filter(toxicity.score(model, F.col("text")) < 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of identical texts the row with the largest id; a null text counts as empty. Of rows that repeat an id and its text one stays; a null id stays only if no other row has its text."""
-    # other columns may have the names of the operator's own
-    others = {f"_own_{i}": c for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    told = exactdedup.exact_dedup(docs.select("doc_id", "text", *[F.col(c).alias(k) for k, c in others.items()]), keep="max", carry=("text", *others))
-    return told.filter("kept").select("doc_id", "text", *[F.col(k).alias(c) for k, c in others.items()]).select(*docs.columns)
+    docs, back = apart(docs)
+    told = exactdedup.exact_dedup(docs, keep="max", carry=tuple(c for c in docs.columns if c != "doc_id"))
+    return told.filter("kept").select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,16 +44,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     without id stay.
     """
     ship(spark)
+    docs, back = apart(docs)
     gone = neardup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
     told = docs.withColumn("_text_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     # the same plan at every size: texts are shuffled once, whether or not few of them go
-    return told.join(gone.hint("merge"), (F.col("doc_id") == F.col("_gone")) & (F.col("_text_sha") == F.col("_gone_sha")), "left_anti").select(*docs.columns)
+    return told.join(gone.hint("merge"), (F.col("doc_id") == F.col("_gone")) & (F.col("_text_sha") == F.col("_gone_sha")), "left_anti").select(*back)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document at most once, up to its leaf's share of four fifths of all tokens. A null or empty text has no tokens and comes along where its place in the order is within the prefix; rows that repeat an id go together."""
+    docs, back = apart(docs)
     mixed = mixing.mix(docs, registry.mix_levels(), registry.MIX_WEIGHTS, fraction=0.8, max_epochs=1)
-    return mixed.select(*docs.columns)
+    return mixed.select(*back)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +71,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        scratch = Scratch(spark)
+        docs = scratch.settle(stage(spark, docs, sf_dir), name)
+        if before:
+            before.drop()
+        before = scratch
+    # packing has written its pieces when it returns but for those that it makes of them
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    before.drop()
+    return packed
