@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 With DataFrame functions only. A text is cut into pieces: paragraphs at line ends, and these at
-sentence ends, as many texts are one paragraph. A piece's 64-bit digest goes to one cell in each of three tables; a cell holds the
+sentence ends, as many texts are one paragraph. A piece's 64-bit digest, which tells its predecessor and how often both came before, goes to one cell in each of three tables; a cell holds the
 count, the XOR of digests and the XOR of their check sums. Subtracting two sketches cancels what both
 texts have; a cell that holds one digest gives it away, and taking it out of its other cells frees
 more, until all differing digests are out or none is alone. If some stay in, larger tables with
@@ -29,11 +29,29 @@ TABLES = 3
 LOWEST = -(2**63)
 #: Cuts a text into pieces.
 CUTS = r"\s(?<=[.!?]\s)\s*|\n+"
+BLOCK = 256
+
+
+def scanned(values: Column, step) -> Column:
+    """Each of ``values`` (longs) as ``step`` makes it of it, the value before and how many equal ones stand directly before; in one pass."""
+    none, blocks = F.from_json(F.lit("[]"), "array<bigint>"), F.from_json(F.lit("[]"), "array<array<bigint>>")
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), none.alias("block"), blocks.alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        run = F.when(acc["last"].eqNullSafe(x), acc["run"] + 1).otherwise(0)
+        block = F.array_append(acc["block"], step(x, acc["last"], run))
+        # an array is copied when it gets one more
+        full = F.size(acc["block"]) >= BLOCK - 1
+        return F.struct(x.alias("last"), run.alias("run"), F.when(full, none).otherwise(block).alias("block"), F.when(full, F.array_append(acc["out"], block)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(values, start, add, lambda acc: F.flatten(F.array_append(acc["out"], acc["block"])))
 
 
 def pieces(text: Column) -> Column:
-    """Distinct digests of a text's pieces."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, CUTS, -1), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    """Digests of a text's pieces, all different: each is told by the piece before it too, so that order counts, and the k-th of equal ones is another than the first."""
+    cut = F.transform(F.filter(F.split(text, CUTS, -1), lambda x: x != ""), lambda x: F.xxhash64(x))
+    after = scanned(cut, lambda x, last, run: F.xxhash64(x, last))
+    return scanned(F.sort_array(after), lambda x, last, run: F.when(run == 0, x).otherwise(F.xxhash64(x, run)))
 
 
 def check(digest: Column) -> Column:
@@ -176,7 +194,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     The edited text has the last half of the code points (rounded down) replaced by as many from the
     start of the next document by id, or all it has; the last document is followed by the first. Likeness is the share
-    of both texts' distinct pieces that the other has too, 1 for two texts without pieces. A null text
+    of both texts' pieces, each with the one before it, that the other has too, 1 for two texts without pieces. A null text
     is empty. Null ids come before all others. Rows that share an id follow each other by hash of the
     text; a single row follows itself. No rows in, no rows out; other columns are ignored.
     """

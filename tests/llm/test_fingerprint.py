@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,14 @@ from sievelake.llm.fingerprint import fingerprints
 
 
 def py_pieces(text):
-    return {x for x in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n+", text) if x}
+    """Pieces with the ones before them, the k-th of equal ones apart."""
+    cut = [x for x in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n+", text) if x]
+    times = Counter()
+    out = set()
+    for pair in zip([None, *cut], cut, strict=False):
+        out.add((*pair, times[pair]))
+        times[pair] += 1
+    return out
 
 
 def brute(docs):
@@ -74,6 +82,19 @@ def test_one_document_follows_itself(spark):
     assert r.edited_sha256 == hashlib.sha256(b"ab, cab, c").hexdigest() and r.near_next == 1.0
 
 
+def test_order_and_repeats_count(spark):
+    texts = ["A line.\nB line.", "B line.\nA line.\nA line.\nA line.", "A line.\nB line.\nB line.", "B line.\nA line."]
+    rows = fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len({r.fingerprint for r in rows}) == 4 and all(r.near_next < 1 for r in rows)
+
+
+def test_many_equal_pieces(spark):
+    """Texts of very many short lines take time in proportion."""
+    docs = spark.createDataFrame([(0, "x\n" * 6_000), (1, "x\ny\n" * 3_000)], "doc_id long, text string")
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: (r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in fingerprints(docs).collect()} == want
+
+
 def test_odd_rows(odd, none):
     rows = fingerprints(odd).collect()
     assert len(rows) == odd.count()
