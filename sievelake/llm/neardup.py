@@ -7,9 +7,9 @@ order; documents with an equal sample are candidates, and those whose order diff
 
 Identical texts are one node. Two candidates are linked if their words align with few enough edits:
 a banded Levenshtein alignment, whose columns are machine words of differences. Buckets of
-candidates are met in two passes. First those of a few bands, in blocks of bounded size, each with some members of the whole
+candidates are met in passes. First those of a few bands, in blocks of bounded size, each with some members of the whole
 bucket as heads, so that a large group of copies links up at a cost in proportion to its size. Then, in
-buckets of several blocks and those of all other bands, members that aren't in one class yet meet, so that no pair of
+buckets of several blocks and those of all other bands, in two rounds, members that aren't in one class yet meet, so that no pair of
 candidates is left out; most copies are one class by then, and their words aren't sent again. Links join into classes
 by contraction in tables, never on the driver.
 """
@@ -30,8 +30,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 4096
 #: Shingles of a text under which it has half as many bands again: how many of few are left by edits varies more.
 FEW = 128
-#: Bins of the word counts that rule out most pairs before alignment.
-BINS = 256
+#: Most bins of the word counts that rule out most pairs before alignment.
+BINS = 8192
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -194,6 +194,24 @@ def later_meetings(rest: DataFrame, members: DataFrame, found: DataFrame, block:
     return rows.withColumn("_chunk", F.xxhash64("_bucket", "_large", "_part")).join(meets, ["_bucket", "_chunk"]).select("_task", "_node", "_class")
 
 
+def shared_words(texts: list[np.ndarray]) -> np.ndarray:
+    """For each two texts a number of words that both have, occurrences counted: as many as that or fewer.
+
+    Words go to bins; the lesser count of two texts' bins is how many of the levels 1, 2, ... both reach, which is a
+    product of matrices for each level.
+    """
+    bins = min(BINS, 1 << int(np.ceil(np.log2(4 * max(1, max(map(len, texts)))))))
+    with np.errstate(over="ignore"):
+        # the k-th occurrence of a word is another symbol than the first, so that few bins hold many
+        counts = np.stack([np.bincount((symbols(t, 1) % np.uint64(bins)).astype(np.int64), minlength=bins) for t in texts])
+    out, level = np.zeros((len(texts), len(texts)), np.float32), 1
+    while (columns := (counts >= level).any(0)).any():
+        reached = (counts[:, columns] >= level).astype(np.float32)
+        out += reached @ reached.T
+        counts, level = counts[:, columns], level + 1
+    return out
+
+
 def block_links(nodes: list[int], texts: list[np.ndarray], classes: list[int], least: float) -> list[tuple[int, int]]:
     """Links that join the texts of a task into classes; texts of one class aren't compared. All other pairs are."""
     n = len(nodes)
@@ -203,14 +221,10 @@ def block_links(nodes: list[int], texts: list[np.ndarray], classes: list[int], l
     sizes, label, out = np.array([len(t) for t in texts]), np.unique(classes, return_inverse=True)[1], []
     if n < 2 or not label.max():
         return out
-    counts = np.stack([np.bincount(t % BINS, minlength=BINS) for t in texts]).astype(np.int32)
+    # an edit takes away one word of a text and adds one at most
+    alike = shared_words(texts) >= least * np.maximum(sizes[:, None], sizes[None, :]) - 1e-6
     for i in range(n - 1):
-        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-        longer = np.maximum(sizes[i], sizes[rest])
-        # an edit takes away one word of a text and adds one at most
-        gone = counts[i] - counts[rest]
-        over = np.maximum(np.maximum(gone, 0).sum(1), np.maximum(-gone, 0).sum(1))
-        for j in rest[over <= (1 - least) * longer + 1e-9].tolist():
+        for j in (i + 1 + np.flatnonzero(alike[i, i + 1 :] & (label[i + 1 :] != label[i]))).tolist():
             if label[i] != label[j]:
                 limit = limit_of(max(sizes[i], sizes[j]), least)
                 if edits(texts[i], texts[j], limit) <= limit:
@@ -310,7 +324,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     class id is the least doc_id of the class, whose row is ``kept``. Texts that share a part j of all their
     shingles share a band's sample with a chance of about j to the power of ``picks``. Edits that lie scattered leave the least: of texts
     at a similarity of 0.8, 0.85 or 0.9 they leave a j of 0.20, 0.29 or 0.42, of which 72 bands of 2 find about 93, 99.7 and all but one in a million
-    of 100 pairs. The buckets of ``first`` bands meet first.
+    of 100 pairs. The buckets of ``first`` bands meet first, then those of twice as many, then all others.
 
     A null text counts as empty; empty texts are identical to each other and near to nothing else.
     Texts under ``size`` words are near only if they have the same words. A null id is no member of a
@@ -325,7 +339,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = scratch.settle(rows.groupBy("_sha").agg(F.min("_id").alias("_id")).withColumn("_node", F.monotonically_increasing_id()), "nodes")
     own = rows.join(nodes, ["_sha", "_id"]).dropDuplicates(["_sha", "_id"])
     own = scratch.settle(own.select("_node", "_len", "_sigs"), "samples")
-    members = own.select("_node", "_len", F.posexplode("_sigs").alias("_band", "_sig")).select("_sig", "_node", "_len", (F.col("_band") < first).alias("_early"))
+    members = own.select("_node", "_len", F.posexplode("_sigs").alias("_band", "_sig")).select("_sig", "_node", "_len", F.when(F.col("_band") < first, 0).when(F.col("_band") < 3 * first, 1).otherwise(2).alias("_round"))
     # most samples are one text's only; they go before anything else is asked of them
     shared = members.groupBy("_sig").agg(F.count("*").alias("_n")).filter("_n > 1").select("_sig")
     members = scratch.settle(members.join(shared, "_sig"), "shared")
@@ -336,7 +350,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         own = own.groupBy("_n", "_x", "_y").agg(F.min(F.struct("_sig", "_words")).alias("_b")).select("_b._sig", "_b._words", "_n")
         return own.withColumn("_parts", parts_of("_n", "_words", block, block_words))
 
-    early = members.filter("_early")
+    early = members.filter("_round = 0")
     buckets = scratch.settle(told(early), "buckets")
     tasks = gathered(first_meetings(buckets, early, heads).withColumn("_class", F.col("_node")))
     # texts are shuffled once: later meetings take the words of candidates from this table
@@ -344,11 +358,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     words = scratch.settle(candidates(scratch.settle(asked, "tasks"), named), "candidates")
     found = scratch.settle(links(words, similarity), "links")
     roots = classes(found, scratch)
-    rest = buckets.filter("_parts > 1").select("_sig").unionByName(told(members.filter("not _early")).select("_sig"))
-    own = scratch.settle(gathered(later_meetings(rest, members, roots, block, block_words, scratch)), "later-tasks")
-    if not own.isEmpty():
-        later = scratch.settle(links(words.select("_node", "_data").join(own, "_node"), similarity), "later-links")
-        roots = classes(found.unionByName(later), scratch)
+    for k in (1, 2):
+        # what one round ties, the next needn't look at
+        rest = told(members.filter(f"_round = {k}")).select("_sig")
+        rest = rest.unionByName(buckets.filter("_parts > 1").select("_sig")) if k == 1 else rest
+        own = scratch.settle(gathered(later_meetings(rest, members, roots, block, block_words, scratch)), "later-tasks")
+        if not own.isEmpty():
+            found = found.unionByName(scratch.settle(links(words.select("_node", "_data").join(own, "_node"), similarity), "later-links"))
+            roots = classes(found, scratch)
     of_text = nodes.join(roots, F.col("_node") == F.col("node"), "left").select("_sha", "_id", F.coalesce("root", "_node").alias("_root"))
     least = of_text.groupBy("_root").agg(F.min("_id").alias("class_id"))
     of_text = of_text.join(least, "_root").select("_sha", "class_id")

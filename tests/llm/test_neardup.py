@@ -118,6 +118,15 @@ def test_recall_by_similarity(spark, length):
     assert all(got[i] in (i, i - i % 2) for i in got)
 
 
+def test_shared_words_bound_what_texts_have_in_common():
+    rng = random.Random(4)
+    texts = [np.array([rng.randrange(30) for _ in range(rng.randrange(1, 80))]) for _ in range(25)]
+    bound = neardup.shared_words(texts)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert bound[i, j] >= (Counter(a.tolist()) & Counter(b.tolist())).total() and bound[i, j] <= min(len(a), len(b))
+
+
 @pytest.mark.parametrize("limits", [{"block": 2}, {"block": 3, "heads": 1}, {"block_words": 300}])
 def test_blocks_lose_no_link(spark, limits):
     docs = planted(6)
