@@ -1,7 +1,8 @@
 """Heuristic detectors of hidden or machine-made marks, and the clean-up of corpus junk.
 
 A detector is a pattern over a text, so that its count is a Column expression; matches with
-positions come from Python. The registry is open: add a ``Detector`` to extend it.
+positions come from Python. Detectors are in a ``Registry``, which is a value: one with more detectors can be given
+to every operator and goes to the executors with it.
 """
 
 from __future__ import annotations
@@ -10,9 +11,12 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from functools import lru_cache
+
+import ahocorasick
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake import schemas
@@ -50,16 +54,24 @@ def beside_letter(one: str) -> str:
 
 @dataclass(frozen=True)
 class Detector:
-    """``form`` is the pattern, with a name for each of CLASSES; ``needs`` is the class that any match has a character of;
-    ``least`` is the least length of a match in UTF-16 units."""
+    """``form`` is the pattern, with a name for each of CLASSES, in a syntax that Java and Python share; ``needs`` is the class that any match has a character of, if
+    there is one; ``least`` is the least length of a match in UTF-16 units. Any match contains ``literal``, if given: then texts without it cost next to nothing."""
 
     vendor: str
     pattern: str
     confidence: float
     form: str
-    needs: str
+    needs: str | None = None
     least: int = 1
     keep: Callable[[str, int, int], bool] | None = None
+    literal: str | None = None
+
+    @classmethod
+    def of_literal(cls, vendor: str, pattern: str, confidence: float, literal: str) -> Detector:
+        """Finds a text as it is."""
+        if not literal:
+            raise ValueError("an empty text is found everywhere")
+        return cls(vendor, pattern, confidence, regex.escape(literal, special_only=True).replace("%", "%%"), literal=literal)
 
     @property
     def name(self) -> str:
@@ -78,7 +90,8 @@ class Detector:
         if self.least > 1:
             found = F.regexp_extract_all(text, F.lit(f"({self.java})"), 1)
             return F.size(F.filter(found, lambda m: F.octet_length(F.encode(m, "UTF-16BE")) >= 2 * self.least))
-        return F.regexp_count(text, F.lit(self.java))
+        found = F.regexp_count(text, F.lit(self.java))
+        return found if self.literal is None else F.when(F.contains(text, F.lit(self.literal)), found).otherwise(0)
 
 
 def _is_edge(c: str) -> bool:
@@ -102,7 +115,6 @@ DETECTORS = [
     Detector("Grok", "em-dash-cluster", 0.7, "%(dash)s{3,}", "dash"),
     Detector("Mistral", "template-leak", 0.99, _TOKENS, r"[<\[]"),
 ]
-VENDORS = list(dict.fromkeys(d.vendor for d in DETECTORS))
 _ANY = "[" + "".join(v[1:-1] for v in CLASSES.values()) + "]"
 
 
@@ -115,18 +127,84 @@ def plain(form: str) -> str:
     return _python(form % CLASSES)
 
 
-#: No match is possible without this: a cheap filter before Python.
+#: No match of the detectors above is possible without this: a cheap filter before Python.
 CANDIDATE = f"{narrowed(_ANY)}|{_THINK}|{_TOKENS}"
-_COMPILED = [(d, regex.compile(plain("%(zero)s" if d.keep else d.form)), regex.compile(_python(d.carriers))) for d in DETECTORS]
 _PASSED = regex.compile(_python(_COMMON))
 
 
-def find(text: str, vendors: tuple[str, ...] | None = None) -> list[tuple[str, str, float, int, int]]:
+@dataclass(frozen=True)
+class Registry:
+    """Detectors in their order, and a remover for vendors that have one. ``few`` detectors of the caller's are expressions in counts and filters; more are looked for in
+    Python, where one pass over a text finds the literals of all."""
+
+    detectors: tuple[Detector, ...]
+    removers: tuple[tuple[str, Callable[[str], str]], ...] = ()
+    few: int = 64
+
+    def with_detectors(self, *more: Detector, removers: dict[str, Callable[[str], str]] | None = None) -> Registry:
+        """With more detectors, after the ones there are, and removers that replace others of their vendor."""
+        names = [d.name for d in (*self.detectors, *more)]
+        if len(set(names)) < len(names):
+            raise ValueError("two detectors of one vendor have the same pattern name")
+        return Registry((*self.detectors, *more), tuple((dict(self.removers) | (removers or {})).items()), self.few)
+
+    def with_table(self, patterns: DataFrame, most: int = 100_000) -> Registry:
+        """With a detector for each row (vendor, pattern, confidence, literal) of a table of at most ``most`` rows, in the order of their names."""
+        rows = patterns.select("vendor", "pattern", F.col("confidence").cast("double"), "literal").filter("literal <> ''").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} patterns")
+        return self.with_detectors(*[Detector.of_literal(*r) for r in sorted(rows)])
+
+    @property
+    def vendors(self) -> list[str]:
+        return list(dict.fromkeys(d.vendor for d in self.detectors))
+
+    @property
+    def added(self) -> list[Detector]:
+        return [d for d in self.detectors if d not in _BUILT_IN]
+
+    @property
+    def wide(self) -> bool:
+        return len(self.added) > self.few
+
+    def candidate(self, text: Column) -> Column:
+        """Whether any match is possible, as far as an expression can tell."""
+        if self.wide:
+            return text.isNotNull()
+        out = F.rlike(text, F.lit(CANDIDATE))
+        for d in self.added:
+            out = out | (F.contains(text, F.lit(d.literal)) if d.literal else F.rlike(text, F.lit(d.carriers if d.needs else d.java)))
+        return out
+
+    def remove(self, vendor: str, text: str) -> str:
+        run = dict(self.removers).get(vendor)
+        return run(text) if run else text
+
+
+@lru_cache(8)
+def _compiled(registry: Registry) -> tuple[list[tuple], ahocorasick.Automaton | None]:
+    """Detectors with their compiled patterns, and the automaton of their literals."""
+    known = [(d, regex.compile(plain("%(zero)s" if d.keep is _isolated else d.form)), d.needs and regex.compile(_python(d.carriers))) for d in registry.detectors]
+    automaton = ahocorasick.Automaton()
+    by_literal: dict[str, list[int]] = {}
+    for i, (d, *_) in enumerate(known):
+        if d.literal:
+            by_literal.setdefault(d.literal, []).append(i)
+    for literal, places in by_literal.items():
+        automaton.add_word(literal, places)
+    if by_literal:
+        automaton.make_automaton()
+    return known, automaton if by_literal else None
+
+
+def find(text: str, vendors: tuple[str, ...] | None = None, registry: Registry | None = None) -> list[tuple[str, str, float, int, int]]:
     """(vendor, pattern, confidence, position, length) of all matches, by detector and position."""
+    known, automaton = _compiled(registry or REGISTRY)
     at, out = utf16_positions(text), []
     rare = _PASSED.sub("", text)
-    for d, pattern, carrier in _COMPILED:
-        if vendors and d.vendor not in vendors or not carrier.search(rare):
+    held = {i for _, places in automaton.iter(text) for i in places} if automaton else set()
+    for i, (d, pattern, carrier) in enumerate(known):
+        if vendors and d.vendor not in vendors or (i not in held if d.literal else carrier and not carrier.search(rare if d in _BUILT_IN else text)):
             continue
         for m in pattern.finditer(text):
             start, end = at(m.start()), at(m.end())
@@ -167,22 +245,30 @@ REMOVERS: dict[str, Callable[[str], str]] = {
     "Grok": lambda t: _BURSTS.sub(lambda m: m[1] or EM_DASH, t),
     "Mistral": _drop_tokens,
 }
+_BUILT_IN = frozenset(DETECTORS)
+#: What operators use unless they are given another.
+REGISTRY = Registry(tuple(DETECTORS), tuple(REMOVERS.items()))
 
 
-@vectorised(f"array<{schemas.MATCH}>")
-def _detect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    names = ("vendor", "pattern", "confidence", "position", "length")
-    for s in batches:
-        yield s.map(lambda t: None if t is None else [dict(zip(names, m, strict=True)) for m in find(t)])
+def detector(registry: Registry | None = None):
+    """A UDF of a text; the registry goes with it."""
+
+    @F.pandas_udf(f"array<{schemas.MATCH}>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names = ("vendor", "pattern", "confidence", "position", "length")
+        for s in batches:
+            yield s.map(lambda t: None if t is None else [dict(zip(names, m, strict=True)) for m in find(t, registry=registry)])
 
+    return run
 
-def detect(text: Column) -> Column:
-    """All matches of a text with positions; null for a null text."""
-    return _detect(text)
 
+def detect(text: Column, registry: Registry | None = None) -> Column:
+    """All matches of a text with positions; null for a null text. Bytes that aren't UTF-8 count as replacement characters."""
+    return detector(registry)(F.make_valid_utf8(text))
 
-def is_candidate(text: Column) -> Column:
-    return F.rlike(text, F.lit(CANDIDATE))
+
+def is_candidate(text: Column, registry: Registry | None = None) -> Column:
+    return (registry or REGISTRY).candidate(text)
 
 
 def rare(text: Column) -> Column:
@@ -190,10 +276,16 @@ def rare(text: Column) -> Column:
     return F.regexp_replace(text, _COMMON, "")
 
 
-def counts(text: Column, rest: Column | None = None) -> Column:
+def counts(text: Column, rest: Column | None = None, registry: Registry | None = None) -> Column:
     """A struct with the number of matches of each detector, without Python. A detector reads a text only if ``rest``, by default ``rare(text)``, has what its matches need."""
     rest = rare(text) if rest is None else rest
-    return F.struct(*[F.when(F.rlike(rest, F.lit(narrowed(d.carriers) if "{" in d.carriers else d.carriers)), d.count(text)).when(text.isNotNull(), 0).alias(d.name) for d in DETECTORS])
+
+    def of(d: Detector) -> Column:
+        if d not in _BUILT_IN:
+            return d.count(text)
+        return F.when(F.rlike(rest, F.lit(narrowed(d.carriers) if "{" in d.carriers else d.carriers)), d.count(text)).when(text.isNotNull(), 0)
+
+    return F.struct(*[of(d).alias(d.name) for d in (registry or REGISTRY).detectors])
 
 
 def remover(vendor: str) -> Callable[[Column], Column]:
@@ -205,4 +297,4 @@ def remover(vendor: str) -> Callable[[Column], Column]:
         for s in batches:
             yield s.map(lambda t: t if t is None else run(t))
 
-    return udf
+    return lambda text: udf(F.make_valid_utf8(text))

@@ -26,6 +26,30 @@ BEYOND_ASCII = r"[^\x00-\x7F]"
 BLANKS = r"[ \t]{2,}"
 
 
+def _settled(c: str) -> bool:
+    """Whether compatibility normalisation leaves a character alone whatever stands beside it."""
+    return c not in _SECONDS and not unicodedata.combining(c) and unicodedata.is_normalized("NFKC", c) and not 0x1160 <= ord(c) <= 0x11FF and not 0xD800 <= ord(c) <= 0xDFFF and unicodedata.category(c) != "Cn"
+
+
+#: Characters that a composition can end in.
+_SECONDS = {chr(int(p[1], 16)) for c in range(0x20000) if len(p := unicodedata.decomposition(chr(c)).split()) == 2 and not p[0].startswith("<")}
+
+
+def _quick_class(least: int = 32) -> str:
+    """All characters that aren't in a run of at least ``least`` which normalisation leaves alone: a text without any is normalised already."""
+    safe, start = [], None
+    for c in range(0x10000):
+        if _settled(chr(c)) and c != 0xFFFD:
+            start = c if start is None else start
+        elif start is not None:
+            safe, start = safe + [(start, c - 1)] * (c - start >= least), None
+    return "[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in safe) + "]"
+
+
+#: A text without such a character is in compatibility form. Code points beyond the basic plane and replacement characters are counted in.
+QUICK_CLASS = _quick_class()
+
+
 def strip_invisible(text: Column) -> Column:
     """Without the strippable code points; null stays null."""
     return F.regexp_replace(text, STRIP_CLASS, "")
@@ -60,6 +84,11 @@ def beyond_ascii(text: Column) -> Column:
     return F.rlike(text, F.lit(BEYOND_ASCII))
 
 
+def may_change(text: Column) -> Column:
+    """Whether compatibility normalisation may change a text. Only such texts need Python."""
+    return F.rlike(text, F.lit(QUICK_CLASS))
+
+
 def confidence(items: Column) -> Column:
     """0 if nothing was removed, else half and a twentieth for each item, 1 at most."""
     return F.when(items > 0, F.least(F.lit(1.0), 0.5 + items * 0.05)).otherwise(0.0)
@@ -101,7 +130,7 @@ def clean(text: str) -> tuple[str, list[tuple], float]:
     return normal, log, min(1.0, 0.5 + 0.05 * len(log)) if log else 0.0
 
 
-@vectorised("string")
+@vectorised("string", texts=True)
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
@@ -111,7 +140,7 @@ def nfkc(text: Column) -> Column:
     return _nfkc(text)
 
 
-@vectorised(schemas.HYGIENE)
+@vectorised(schemas.HYGIENE, texts=True)
 def _hygiene(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:
         rows = [(None, None, None) if t is None else clean(t) for t in s]

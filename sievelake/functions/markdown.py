@@ -285,17 +285,17 @@ def cleaner(options: MarkdownOptions | None = None):
 
 def clean_markdown(text: Column, options: MarkdownOptions | None = None) -> Column:
     """A struct (see ``schemas.MARKDOWN_CLEAN``); fields are null for a null text."""
-    return cleaner(options)(text)
+    return cleaner(options)(F.make_valid_utf8(text))
 
 
-@vectorised(f"array<{schemas.ARTIFACT}>")
+@vectorised(f"array<{schemas.ARTIFACT}>", texts=True)
 def detect_markdown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     names = ("type", "description", "line", "column")
     for s in batches:
         yield s.map(lambda t: None if t is None else [dict(zip(names, a, strict=True)) for a in detect(t)])
 
 
-@vectorised(f"array<{schemas.SEGMENT}>")
+@vectorised(f"array<{schemas.SEGMENT}>", texts=True)
 def markdown_segments(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Prose and code blocks of a text."""
     for s in batches:

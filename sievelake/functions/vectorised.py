@@ -8,10 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def vectorised(returns: str) -> Callable:
+def vectorised(returns: str, texts: bool = False) -> Callable:
+    """``texts``: columns are texts, whose bytes that aren't UTF-8 become replacement characters."""
+
     def wrap(f: Callable) -> Callable[..., Column]:
         def call(*columns: Column) -> Column:
-            return call.udf()(*columns)
+            return call.udf()(*map(F.make_valid_utf8, columns) if texts else columns)
 
         call.udf = lambda: F.pandas_udf(f, returns)
         call.__doc__ = f.__doc__

@@ -32,7 +32,7 @@ def clean_all(files: DataFrame, *, text: TextOptions | None = None, markdown: Ma
     routed = files.select("path", "content", extension_of(F.col("path")).alias("_ext"), classify(F.col("path")).alias("pipeline"))
     # each pipeline sees only its own contents; the others' go to it as null
     of = lambda kind: F.when(F.col("pipeline") == kind, F.col("content"))
-    done = routed.withColumn("_m", clean_metadata(of("metadata"), F.col("_ext"), metadata)).withColumn("_d", clean_markdown(of("markdown").cast("string"), markdown)).withColumn("_t", clean_udf(text or TextOptions())(of("text").cast("string")))
+    done = routed.withColumn("_m", clean_metadata(of("metadata"), F.col("_ext"), metadata)).withColumn("_d", clean_markdown(F.make_valid_utf8(of("markdown").cast("string")), markdown)).withColumn("_t", clean_udf(text or TextOptions())(F.make_valid_utf8(of("text").cast("string"))))
     content = F.coalesce(F.col("_m.content"), F.col("_d.cleaned").cast("binary"), F.col("_t.cleaned").cast("binary"))
     removed = F.coalesce(F.size("_m.removed"), F.size("_d.removed"), F.size("_t.removed"))
     large = F.col("content").isNull()

@@ -174,6 +174,16 @@ def oracle_sql() -> dict[str, str]:
         "png_clean": PNG + "SELECT '/i/' || p_partkey || '.png' AS path, '/i/' || p_partkey || '.cleaned.png' AS output_path, CASE WHEN NOT broken THEN named::INT END AS removed, CASE WHEN NOT broken THEN CASE WHEN named THEN 19 + strlen(p_name) ELSE 0 END END AS bytes_less, CASE WHEN broken THEN 'METADATA_STRIP_FAILED' END AS error_code FROM p",
         "classify_files": f"WITH f AS (SELECT {EXT} AS ext, '/in.d/' || p_partkey || {EXT} AS path FROM part) SELECT path, CASE WHEN ext = '.md' THEN 'markdown' WHEN ext IN ('.PNG', '.html', '.Docx') THEN 'metadata' WHEN ext IN ('.txt', '') THEN 'text' ELSE 'unsupported' END AS pipeline, ext IN ('.PNG', '.html', '.Docx') AS supported, regexp_replace(path, '(\\.[^./]+)$', '') || '.cleaned' || regexp_extract(path, '(\\.[^./]+)$', 1) AS output_path FROM f",
         "batch_outcomes": f"WITH f AS (SELECT {EXT} AS ext, p_partkey FROM part) SELECT CASE WHEN ext = '.md' THEN 'markdown' WHEN ext IN ('.PNG', '.html', '.Docx') THEN 'metadata' WHEN ext IN ('.txt', '') THEN 'text' ELSE 'unsupported' END AS pipeline, CASE WHEN ext = '.Docx' OR ext = '.PNG' AND p_partkey % 16 <> 1 THEN 'failed' WHEN ext IN ('.exe', '.tar.gz') THEN 'skipped' ELSE 'succeeded' END AS status, count(*) AS files FROM f GROUP BY ALL",
+        "written_files": rf"""WITH f AS (SELECT {EXT} AS ext, p_partkey AS k, p_name FROM part),
+ chunk AS (SELECT *, unhex('89504E470D0A1A0A0000000D49484452' || repeat('00', 17)) || CASE WHEN k % 5 = 0 THEN unhex('00000004636142586A756D6200000000') ELSE ''::BLOB END || unhex('0000000049454E4400000000') AS png FROM f)
+ SELECT k || CASE WHEN ext = '.tar.gz' THEN '.tar' ELSE '' END || '.cleaned' || ext AS name, octet_length(body) AS length, md5(body) AS content_md5
+ FROM (SELECT k, ext, CASE ext WHEN '.md' THEN encode(p_name || chr(10)) WHEN '.PNG' THEN png ELSE encode('# ' || p_name || chr(10)) END AS body FROM chunk WHERE ext IN ('.md', '.txt', '', '.html') OR ext = '.PNG' AND k % 16 = 1)""",
+        "custom_signals": """WITH items AS (SELECT item_id::VARCHAR AS pattern, array_to_string(string_split(text, ' ')[:8], ' ') AS lit FROM benchmark),
+ found AS (SELECT lang, pattern, (length(d.text) - length(replace(d.text, lit, ''))) // length(lit) AS n FROM documents d JOIN items ON contains(d.text, lit))
+ SELECT lang, 'benchmark' AS vendor, pattern, sum(n)::BIGINT AS matches, count(*) AS texts FROM found GROUP BY lang, pattern""",
+        "custom_matches": with_documents(r"""SELECT doc_id, 'heading' AS pattern, 0.5::DOUBLE AS confidence, strpos(text, '# Head') - 1 AS position, 6 AS length FROM planted WHERE contains(text, '# Head')
+ UNION ALL SELECT doc_id, 'rule', 0.4::DOUBLE, list_sum(list_transform(pieces[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(runs[:i - 1], lambda x: length(x))), 0), length(runs[i])
+ FROM (SELECT doc_id, string_split_regex(text, '\*{3,}') AS pieces, regexp_extract_all(text, '\*{3,}') AS runs, unnest(range(1, len(regexp_extract_all(text, '\*{3,}')) + 1)) AS i FROM planted)"""),
         "signals_by_label": with_documents(f"SELECT quality, toxic, count(*) AS documents, sum(CASE WHEN {count(STRIP)} > 0 THEN 1 ELSE 0 END)::BIGINT AS with_hidden FROM planted JOIN labels USING (doc_id) GROUP BY quality, toxic"),
         "top_sources": with_documents(f"SELECT source, count(*) AS documents, sum({count(STRIP)})::BIGINT AS invisible, round(sum({count(STRIP)})::DOUBLE / count(*), 6) AS rate FROM planted GROUP BY source ORDER BY rate DESC, source LIMIT 5"),
         "conversation_tokens": f"WITH t AS (SELECT conv_id, turn, role, {planted_sql('(conv_id + turn)', 'text')} AS text FROM conversations), c AS (SELECT conv_id, turn, role, {tokens} AS tokens FROM t) SELECT conv_id, turn, role, tokens, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c",

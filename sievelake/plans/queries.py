@@ -14,6 +14,7 @@ from sievelake.operators import files, text
 from sievelake.options import MarkdownOptions, TextOptions
 from sievelake.plans.planted import planted, planted_documents
 from sievelake.session import new_folder
+from sievelake.sources.sink import write_files
 from sievelake.sources.files import as_json, classify, is_supported, output_path
 from sievelake.streaming.signals import bursts, read_stream, signal_rates
 
@@ -204,6 +205,27 @@ def batch_outcomes(spark, sf_dir):
     return files.outcomes(files.clean_all(mixed_files(spark, sf_dir)))
 
 
+def written_files(spark, sf_dir):
+    """A mixed batch, cleaned, written as files and read again."""
+    folder = new_folder(spark, "cleaned-files")
+    write_files(files.clean_all(mixed_files(spark, sf_dir)), folder, base="/in.d")
+    found = spark.read.format("binaryFile").load(folder)
+    return found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length", F.md5("content").alias("content_md5"))
+
+
+def custom_signals(spark, sf_dir):
+    """Passages of the benchmark as detectors of the caller's: where its items have got into documents."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.lit("benchmark").alias("vendor"), F.col("item_id").cast("string").alias("pattern"), F.lit(1.0).alias("confidence"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("literal"))
+    registry = detectors.Registry(()).with_table(items)
+    return text.signal_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["lang"], registry=registry)
+
+
+def custom_matches(spark, sf_dir):
+    """Two detectors of the caller's beside the others: their matches in planted texts."""
+    registry = detectors.REGISTRY.with_detectors(detectors.Detector.of_literal("Editor", "heading", 0.5, "# Head"), detectors.Detector("Editor", "rule", 0.4, r"\*{3,}"))
+    return text.detect_text(documents(spark, sf_dir), registry=registry).filter("vendor = 'Editor'").select("doc_id", "pattern", "confidence", "position", "length")
+
+
 def signals_by_label(spark, sf_dir):
     t = F.col("text")
     hit = documents(spark, sf_dir).select("doc_id", "source", (hygiene.count_invisible(t) > 0).alias("hidden"))
@@ -263,7 +285,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         hygiene_strip, hygiene_substitute, hygiene_confidence, hygiene_nfkc, hygiene_log, codepoint_inventory, collapse_whitespace, word_tokens,
         signal_counts, detect_text, clean_text, remove_controls, remove_markup, markdown_lines, markdown_blocks, markdown_clean, markdown_strip_all,
-        markdown_detect, markdown_segments, html_metadata, png_inspect, png_clean, media_inspect, media_clean, image_regions, classify_files, batch_outcomes, signals_by_label, top_sources,
+        markdown_detect, markdown_segments, html_metadata, png_inspect, png_clean, media_inspect, media_clean, image_regions, classify_files, batch_outcomes, written_files, custom_signals, custom_matches, signals_by_label, top_sources,
         conversation_tokens, signal_rollup, signal_bursts, json_rows, stream_rates,
     ]
     return {f.__name__: f for f in found}

@@ -12,7 +12,7 @@ from sievelake.options import TextOptions
 FUNCTIONS = {
     "hygiene": hygiene._hygiene.udf,
     "nfkc": hygiene._nfkc.udf,
-    "detect_text": detectors._detect.udf,
+    "detect_text": detectors.detector,
     "clean_text": lambda: clean_udf(TextOptions()),
     "clean_markdown": markdown.cleaner,
     "detect_markdown": markdown.detect_markdown.udf,

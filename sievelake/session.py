@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: The folder of each local application that has none set.
+_FOLDERS: dict[str, str] = {}
 
 
 def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -55,8 +57,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='sievelake-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _FOLDERS[app] = _FOLDERS.get(app) or f"file://{tempfile.mkdtemp(prefix='sievelake-')}"
     return found.rstrip("/")
 
 

@@ -2,9 +2,11 @@ import io
 import struct
 import zipfile
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sievelake.functions import images, metadata
@@ -12,6 +14,7 @@ from sievelake.functions.metadata import CorruptFile, clean, inspect
 from sievelake.operators import files
 from sievelake.operators.images import detect_images, read_images
 from sievelake.options import MetadataOptions, load_config
+from sievelake.sources import sink
 from sievelake.sources.files import classify, list_files, output_path, read_texts, write_texts
 
 O = MetadataOptions()  # noqa: E741
@@ -261,3 +264,62 @@ def test_config(tmp_path):
     assert not c.text.vendors and c.image.threshold == 0.7 and c.markdown.strip_links
     p.write_text("text: [")
     assert load_config(str(p)).text.vendors
+
+
+def cleaned_rows(spark, rows):
+    return spark.createDataFrame([(p, s, None if c is None else bytearray(c)) for p, s, c in rows], "output_path string, status string, content binary")
+
+
+def test_files_are_written_under_their_names(spark, tmp_path):
+    rows = [("file:/in/a/x.cleaned.txt", "succeeded", b"one"), ("/in/b/x.cleaned.txt", "succeeded", b""), ("/in/c.cleaned.bin", "failed", None), ("/other/d.cleaned", "succeeded", bytes(range(256)) * 5000), ("/in/e.cleaned", "skipped", None)]
+    folder = f"file://{tmp_path}/out"
+    for _ in range(2):
+        sink.write_files(cleaned_rows(spark, rows).repartition(3), folder, base="/in")
+        found = {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+        assert found == {"a/x.cleaned.txt": b"one", "b/x.cleaned.txt": b"", "other/d.cleaned": bytes(range(256)) * 5000}
+    assert not list((tmp_path / "out").glob("_temporary*"))
+    sink.write_files(cleaned_rows(spark, []), f"file://{tmp_path}/none")
+    assert not list(tmp_path.glob("none/*"))
+
+
+@pytest.mark.parametrize("names", [("/in/a", "/in/a"), ("/in/a", "file:/in/a"), ("/in/../b", "/in/c"), ("/", "/in/c")])
+def test_names_that_cannot_be_written(spark, tmp_path, names):
+    with pytest.raises(ValueError, match="one name|leave the folder"):
+        sink.write_files(cleaned_rows(spark, [(n, "succeeded", b"x") for n in names]), f"file://{tmp_path}/out")
+    assert not (tmp_path / "out").exists()
+
+
+def test_a_task_that_is_killed_leaves_no_second_copy(tmp_path):
+    """Its attempt's folder doesn't count; the one that ran to its end does."""
+    row = lambda n, c: Row(name=n, content=c)
+
+    def killed():
+        yield row("a/x", b"half")
+        raise RuntimeError("killed")
+
+    writer = sink.FileWriter(f"file://{tmp_path}/out", "job")
+    with pytest.raises(RuntimeError):
+        writer.write(killed())
+    lost = writer.write(iter([row("a/x", b"whole"), row("a/y", b"y")]))  # a copy that ran beside the one that counts
+    done = [writer.write(iter([row("a/x", b"whole"), row("a/y", b"y")])), writer.write(iter([]))]
+    assert lost.folder != done[0].folder and not (tmp_path / "out" / "a").exists()
+    writer.commit(done)
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()) == ["out/a/x", "out/a/y"]
+    writer.write(iter([row("b", b"1")]))
+    writer.abort(done)
+    assert not (tmp_path / "out" / "b").exists() and not list(tmp_path.glob("out/_temporary*"))
+
+
+def test_a_failing_job_writes_nothing(spark, tmp_path):
+    bad = F.udf(lambda i: 1 // (i - 7) and bytearray(b"x"), "binary")
+    rows = spark.range(20).repartition(4).select(F.concat(F.lit("/in/"), F.col("id").cast("string")).alias("output_path"), bad("id").alias("content"))
+    with pytest.raises(Exception, match="ZeroDivision|division"):
+        sink.write_files(rows, f"file://{tmp_path}/out")
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+
+
+def test_one_bad_file_fails_no_batch(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"caf\xe9 \xe2\x80\x8bx")
+    (tmp_path / "b.md").write_bytes(b"# caf\xe9\n")
+    rows = {Path(r.path).name: r for r in files.clean_all(list_files(spark, str(tmp_path), supported_only=False)).collect()}
+    assert {n: (r.status, bytes(r.content)) for n, r in rows.items()} == {"a.txt": ("succeeded", "caf\ufffd x".encode()), "b.md": ("succeeded", "caf\ufffd\n".encode())}

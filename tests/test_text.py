@@ -1,9 +1,12 @@
+import re
+import unicodedata
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sievelake.functions import detectors, hygiene
+from sievelake.functions import detectors, hygiene, markdown
 from sievelake.functions.codepoints import HOMOGLYPHS, STRIPPED, SUBSTITUTED
 from sievelake.operators import text
 from sievelake.options import TextOptions
@@ -107,3 +110,61 @@ def test_code_keeps_all_but_invisible(spark):
     from sievelake.functions.markdown import code_invisible
 
     assert spark.createDataFrame([("c\u200bo\ufffed\u2014e",)], "t string").select(code_invisible(F.col("t"))).first()[0] == "co\ufffed\u2014e"
+
+
+ODD_SCHEMA = "text string, _cleaned string, _m string, match string, vendor string, clean_text string, id long"
+
+
+def test_callers_columns_stay(spark):
+    df = spark.createDataFrame([("a\u200b\u200cb", "1", "2", "3", "4", "5", 6)], ODD_SCHEMA)
+    (r,) = text.clean_text(df).collect()
+    assert (r._cleaned, r._m, r.match, r.vendor, r.id, r.clean_text) == ("1", "2", "3", "4", 6, "ab")
+    found = text.detect_text(df)
+    assert found.columns == ["_cleaned", "_m", "clean_text", "id", "match", "vendor", "pattern", "confidence", "position", "length"]
+    r = found.filter("pattern = 'zero-width-sequence'").first()
+    assert (r._cleaned, r._m, r.vendor, r.position, r.length) == ("1", "2", "Claude", 1, 2)
+
+
+def test_bytes_that_are_no_utf8(spark):
+    raw = [b"plain", b"caf\xe9 [INST]", b"\xff\xe2\x80\x8b\xe2\x80\x8bx", b"# h\xc3\n"]
+    df = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(raw)], "id long, raw binary").selectExpr("id", "cast(raw as string) as text")
+    out = {r.id: r.clean_text for r in text.clean_text(df).collect()}
+    assert out[0] == "plain" and out[1] == "caf\ufffd " and out[2] == "\ufffdx"
+    assert {(r.id, r.pattern, r.position) for r in text.detect_text(df).collect()} >= {(1, "template-leak", 5), (2, "zero-width-sequence", 1)}
+    rows = df.select(markdown.clean_markdown(F.col("text")).alias("m"), markdown.detect_markdown(F.col("text")), markdown.markdown_segments(F.col("text"))).collect()
+    assert len(rows) == 4
+    assert text.normalise(df).count() == text.removal_log(df).join(df, "id", "right").select("id").distinct().count() == 4
+
+
+@given(st.text(st.characters(exclude_categories=("Cs",)), max_size=40))
+def test_quick_check_lets_no_change_pass(t):
+    if not re.search(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: rf"\u{int(m[1], 16):04x}", hygiene.QUICK_CLASS), t):
+        assert unicodedata.normalize("NFKC", t) == t
+
+
+def test_quick_check_leaves_common_letters_in_the_engine():
+    quick = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: rf"\u{int(m[1], 16):04x}", hygiene.QUICK_CLASS))
+    assert not quick.search("Ça où à l'été, größer, señor, Привет, 漢字") and all(quick.search(c) for c in ("\uff21", "\ufb01", "e\u0301", "\u00bd", "\u1161", "\U0001d400", "\u00a0", "\u2026"))
+
+
+def test_registry_goes_to_executors(spark):
+    """Detectors and removers of the caller's are found by all operators; a table of thousands costs one pass."""
+    mine = detectors.REGISTRY.with_detectors(detectors.Detector("Mine", "shout", 0.3, "!{3,}"), detectors.Detector.of_literal("Mine", "note", 0.2, "50% [x]"), removers={"Mine": lambda t: t.replace("!!!", "!")})
+    df = spark.createDataFrame([(0, "so!!! 50% [x] \U0001f600 50% [x]"), (1, "no <s>"), (2, None), (3, "")], "id long, text string")
+    want = {(0, "Mine", "shout", 2, 3), (0, "Mine", "note", 6, 7), (0, "Mine", "note", 17, 7), (1, "Mistral", "template-leak", 3, 3)}
+    assert {(r.id, r.vendor, r.pattern, r.position, r.length) for r in text.detect_text(df, registry=mine).collect()} == want
+    assert {(r.vendor, r.pattern, r.matches, r.texts) for r in text.signal_counts(df, [], registry=mine).collect()} == {("Mine", "shout", 1, 1), ("Mine", "note", 2, 1), ("Mistral", "template-leak", 1, 1)}
+    out = {r.id: r for r in text.clean_text(df, registry=mine).collect()}
+    assert out[0].clean_text.startswith("so! 50%") and {d.vendor for d in out[0].clean_detections} == {"Mine"} and out[2].clean_text is None
+    # many of them, as a table
+    many = spark.range(3000).selectExpr("'T' as vendor", "concat('p', id) as pattern", "0.5 as confidence", "concat('word', id, ';') as literal")
+    wide = detectors.REGISTRY.with_table(many)
+    texts = spark.createDataFrame([(i, f"xword{i};word{i + 1}; word{i}; [INST]") for i in range(0, 2000, 100)], "id long, text string")
+    found = {(r.id, r.pattern, r.position) for r in text.detect_text(texts, registry=wide).filter("vendor = 'T'").collect()}
+    assert found == {x for i in range(0, 2000, 100) for x in ((i, f"p{i}", 1), (i, f"p{i + 1}", 1 + len(f"word{i};")), (i, f"p{i}", 2 + len(f"word{i};word{i + 1};")))}
+    counted = {(r.pattern, r.matches, r.texts) for r in text.signal_counts(texts, [], registry=wide).collect()}
+    assert counted == {("template-leak", 20, 20)} | {x for i in range(0, 2000, 100) for x in ((f"p{i}", 2, 1), (f"p{i + 1}", 1, 1))}
+    with pytest.raises(ValueError, match="same pattern"):
+        mine.with_detectors(detectors.Detector("Mine", "shout", 0.1, "x"))
+    with pytest.raises(ValueError, match="more than"):
+        detectors.REGISTRY.with_table(many, most=10)
