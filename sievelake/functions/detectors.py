@@ -1,7 +1,6 @@
 """Heuristic detectors of hidden or machine-made marks, and the clean-up of corpus junk.
 
-A detector is a pattern over a text, so that its count is a Column expression; matches with
-positions come from Python. Detectors are in a ``Registry``, which is a value: one with more detectors can be given
+A detector is a pattern over a text, so that its matches, their places and their number are Column expressions. Detectors are in a ``Registry``, which is a value: one with more detectors can be given
 to every operator and goes to the executors with it.
 """
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from sievelake import schemas
 from sievelake.functions.codepoints import BIDI, EM_DASH, EMOJI, FULLWIDTH, HOMOGLYPHS, JOINERS, TEMPLATE_TOKENS, VARIATION, ZERO_WIDTH, java_class, narrowed, span
 from sievelake.functions.hygiene import utf16_positions
-from sievelake.functions.vectorised import vectorised
+from sievelake.functions.spans import located
 
 LETTER = "[A-Za-z]"
 WIDE = r"\x{10000}-\x{10FFFF}"
@@ -94,6 +93,14 @@ class Detector:
         return found if self.literal is None else F.when(F.contains(text, F.lit(self.literal)), found).otherwise(0)
 
 
+    def matches(self, text: Column) -> Column:
+        """All matches of a text with positions, as a Column expression."""
+        spans = located(text, self.java)
+        if self.least > 1:
+            spans = F.filter(spans, lambda m: m["length"] >= self.least)
+        return F.transform(spans, lambda m: F.struct(F.lit(self.vendor).alias("vendor"), F.lit(self.pattern).alias("pattern"), F.lit(float(self.confidence)).alias("confidence"), m["position"].alias("position"), m["length"].alias("length")))
+
+
 def _is_edge(c: str) -> bool:
     return c <= "\uffff" and (c.isspace() and c not in "\x1c\x1d\x1e\x1f" or unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd"))
 
@@ -251,7 +258,7 @@ REGISTRY = Registry(tuple(DETECTORS), tuple(REMOVERS.items()))
 
 
 def detector(registry: Registry | None = None):
-    """A UDF of a text; the registry goes with it."""
+    """A UDF of a text; the registry goes with it. In SQL, and where there are very many detectors."""
 
     @F.pandas_udf(f"array<{schemas.MATCH}>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -262,9 +269,23 @@ def detector(registry: Registry | None = None):
     return run
 
 
-def detect(text: Column, registry: Registry | None = None) -> Column:
-    """All matches of a text with positions; null for a null text. Bytes that aren't UTF-8 count as replacement characters."""
-    return detector(registry)(F.make_valid_utf8(text))
+def needed(d: Detector, text: Column, rest: Column) -> Column:
+    """Whether a detector needs to read a text, of which ``rest`` is what ``rare`` leaves."""
+    if d not in _BUILT_IN:
+        return F.contains(text, F.lit(d.literal)) if d.literal else F.rlike(text, F.lit(d.carriers if d.needs else d.java))
+    return F.rlike(rest, F.lit(narrowed(d.carriers) if "{" in d.carriers else d.carriers))
+
+
+def detect(text: Column, registry: Registry | None = None, rest: Column | None = None) -> Column:
+    """All matches of a text with positions, by detector and position; null for a null text. Without Python, unless the registry is wide: ``rest`` is ``rare(text)``
+    where that is at hand. Bytes that aren't UTF-8 count as replacement characters."""
+    registry, text = registry or REGISTRY, F.make_valid_utf8(text)
+    if registry.wide:
+        return detector(registry)(text)
+    rest = rare(text) if rest is None else rest
+    none = F.from_json(F.lit("[]"), f"array<{schemas.MATCH}>")
+    # arrays of one detector's matches each, most of them empty
+    return F.when(text.isNotNull(), F.concat(*[F.when(needed(d, text, rest), d.matches(text)).otherwise(none) for d in registry.detectors]))
 
 
 def is_candidate(text: Column, registry: Registry | None = None) -> Column:
@@ -283,7 +304,7 @@ def counts(text: Column, rest: Column | None = None, registry: Registry | None =
     def of(d: Detector) -> Column:
         if d not in _BUILT_IN:
             return d.count(text)
-        return F.when(F.rlike(rest, F.lit(narrowed(d.carriers) if "{" in d.carriers else d.carriers)), d.count(text)).when(text.isNotNull(), 0)
+        return F.when(needed(d, text, rest), d.count(text)).when(text.isNotNull(), 0)
 
     return F.struct(*[of(d).alias(d.name) for d in (registry or REGISTRY).detectors])
 

@@ -128,7 +128,9 @@ def removal_log(df: DataFrame, text_col: str = "text") -> DataFrame:
 def detect_text(df: DataFrame, text_col: str = "text", registry: detectors.Registry | None = None) -> DataFrame:
     """One row per match on the raw text, with ``df``'s other columns; those that have the name of an added one give way. Texts without a candidate are filtered at the scan."""
     keep, own = others(df, text_col, ("match", *_MATCH)), fresh(df, "_m")
-    found = df.filter(detectors.is_candidate(F.col(text_col), registry)).withColumn(own, detectors.detect(F.col(text_col), registry))
+    rest, valid = fresh(df, "_rare"), fresh(df, "_valid")
+    found = df.filter(detectors.is_candidate(F.col(text_col), registry)).withColumn(valid, F.make_valid_utf8(F.col(text_col))).withColumn(rest, detectors.rare(F.col(valid)))
+    found = found.withColumn(own, detectors.detect(F.col(valid), registry, F.col(rest)))
     return found.select(*keep, F.posexplode(own).alias("match", own)).select(*keep, "match", *[F.col(own)[k].alias(k) for k in _MATCH])
 
 

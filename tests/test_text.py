@@ -1,3 +1,4 @@
+import random
 import re
 import unicodedata
 
@@ -168,3 +169,19 @@ def test_registry_goes_to_executors(spark):
         mine.with_detectors(detectors.Detector("Mine", "shout", 0.1, "x"))
     with pytest.raises(ValueError, match="more than"):
         detectors.REGISTRY.with_table(many, most=10)
+
+
+def test_places_without_python(spark):
+    """The expressions give the rows that Python gives, in UTF-16 units, on texts of all marks; no Python node is in the plan."""
+    rng = random.Random(6)
+    alphabet = list("ab Z.<[\n" + "\u200b\u2060\ufeff\u202a\ufe0f\u0430\uff0c\u26a1\u2014\U0001f600\u00e9\u0416\u200d")
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) + rng.choice(["", "<think>", "</s>[INST]", "\u2014\u2014\u2014", "\u26a1\u200d\u26a1x"]) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate([*texts, None, "", "\u2014\u2014\u2014 " * 1000])), "id long, text string")
+    found = text.detect_text(df)
+    assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
+    want = {i: detectors.find(t) for i, t in enumerate(texts)}
+    got = {}
+    for r in found.filter("id < 300").orderBy("id", "match").collect():
+        got.setdefault(r.id, []).append((r.vendor, r.pattern, r.confidence, r.position, r.length))
+    assert got == {i: m for i, m in want.items() if m} and len(got) > 200
+    assert found.filter("id = 302").count() == 1000
