@@ -1,7 +1,7 @@
 """Markdown clean-up that leaves fenced code alone, and its findings.
 
-Fences carry state from line to line, so whole documents are cleaned in Python batches; single line
-rules are also Column expressions (see ``line_rules``).
+Fences carry state from line to line: a fold over a text's lines tells what each line is (``line_roles``), so that findings are a Column
+expression. Whole documents are cleaned in Python batches; single line rules are also expressions (see ``line_rules``).
 """
 
 from __future__ import annotations
@@ -289,7 +289,7 @@ def clean_markdown(text: Column, options: MarkdownOptions | None = None) -> Colu
 
 
 @vectorised(f"array<{schemas.ARTIFACT}>", texts=True)
-def detect_markdown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _detect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     names = ("type", "description", "line", "column")
     for s in batches:
         yield s.map(lambda t: None if t is None else [dict(zip(names, a, strict=True)) for a in detect(t)])
@@ -331,12 +331,63 @@ def without_boilerplate(text: Column) -> Column:
     return F.regexp_replace(text, f"(?dU){BOILERPLATE}", "")
 
 
+_BOX = rf"\x{{{ord(BOX[0]):X}}}-\x{{{ord(BOX[1]):X}}}"
+
+
 def separator_line(line: Column) -> Column:
     bare = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
     box = F.regexp_count(bare, F.lit(rf"[\x{{{ord(BOX[0]):X}}}-\x{{{ord(BOX[1]):X}}}]"))
     return (F.length(bare) >= 3) & (box >= 3) & (box >= F.length(bare) - 2)
 
 
+#: What a line is: prose, a fence that opens, code, a fence that closes.
+PROSE, OPENS, CODE, CLOSES = "pock"
+FENCE = r"^ {0,3}(`{3,}|~{3,})"
+_BLANK = "[" + "".join(rf"\x{{{ord(c):X}}}" for c in _SPACES) + "]"
+
+
+def line_roles(lines: Column) -> Column:
+    """A letter for each line: a fold whose state is the mark of the fence that is open."""
+    start = F.struct(F.lit("").alias("mark"), F.lit("").alias("block"), F.from_json(F.lit("[]"), "array<string>").alias("out"))
+
+    def add(acc: Column, line: Column) -> Column:
+        opening = F.regexp_extract(line, FENCE, 1)
+        # as many of the same marks or more, and nothing else
+        closing = F.regexp_extract(line, rf"^ {{0,3}}(`+|~+){_BLANK}*$", 1)
+        closes = (F.length(closing) >= F.length(acc["mark"])) & (F.left(closing, F.lit(1)) == F.left(acc["mark"], F.lit(1)))
+        outside = acc["mark"] == ""
+        role = F.when(outside, F.when(opening == "", PROSE).otherwise(OPENS)).when(closes, CLOSES).otherwise(CODE)
+        mark = F.when(outside, opening).when(closes, "").otherwise(acc["mark"])
+        block, full = F.concat(acc["block"], role), F.length(acc["block"]) >= 1023
+        return F.struct(mark.alias("mark"), F.when(full, "").otherwise(block).alias("block"), F.when(full, F.array_append(acc["out"], block)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(lines, start, add, lambda acc: F.array_join(F.array_append(acc["out"], acc["block"]), ""))
+
+
+def told_lines(text: Column) -> Column:
+    """array<struct<line, role>> of a text with unified newlines; texts without a fence need no fold."""
+    lines = F.split(text, "\n", -1)
+    roles = F.when(F.rlike(text, F.lit(f"(?m){FENCE}")), line_roles(lines)).otherwise(F.repeat(F.lit(PROSE), F.size(lines)))
+    return F.arrays_zip(lines.alias("line"), F.split(roles, "").alias("role"))
+
+
+def detect_markdown(text: Column) -> Column:
+    """Artifacts (type, description, line, column) of a text, null for a null one; signatures and disclaimers have line 0. Without Python. Bytes that aren't UTF-8 count as replacement characters."""
+    text = newlines(F.make_valid_utf8(text))
+    found = lambda kind, what, line=0: F.struct(F.lit(kind).alias("type"), F.lit(what).alias("description"), (F.lit(line) if isinstance(line, int) else line).cast("int").alias("line"), F.lit(0).alias("column"))
+    none = F.from_json(F.lit("[]"), f"array<{schemas.ARTIFACT}>")
+
+    def of_line(x: Column, i: Column) -> Column:
+        hidden = (x["role"] == CODE) & F.rlike(x["line"], F.lit(java_class(FORCED)))
+        drawn = (x["role"] == PROSE) & separator_line(x["line"])
+        return F.when(hidden, found("code-block-invisible", "Invisible character in code", i + 1)).when(drawn, found("invisible-separator", "Box-drawing line", i + 1))
+
+    by_line = F.when(F.rlike(text, F.lit(rf"{java_class(FORCED)}|[{_BOX}]")), F.array_compact(F.transform(told_lines(text), of_line))).otherwise(none)
+    signed = F.when(F.rlike(text, F.lit(java(SIGNATURE))), F.array(found("ai-signature", "Signature of an AI tool"))).otherwise(none)
+    disclaimed = F.array_repeat(found("ai-boilerplate", "Disclaimer of an AI tool"), F.regexp_count(text, F.lit(f"(?dU){BOILERPLATE}")))
+    return F.when(text.isNotNull(), F.concat(by_line, signed, disclaimed))
+
+
 def code_invisible(line: Column) -> Column:
     return F.regexp_replace(line, java_class(FORCED), "")
 

@@ -15,7 +15,7 @@ FUNCTIONS = {
     "detect_text": detectors.detector,
     "clean_text": lambda: clean_udf(TextOptions()),
     "clean_markdown": markdown.cleaner,
-    "detect_markdown": markdown.detect_markdown.udf,
+    "detect_markdown": markdown._detect.udf,
     "markdown_segments": markdown.markdown_segments.udf,
     "inspect_metadata": metadata._inspect.udf,
     "clean_metadata": metadata.cleaner,

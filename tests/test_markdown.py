@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from sievelake.functions import markdown
@@ -56,3 +58,16 @@ def test_columns(spark):
     df = spark.createDataFrame([("# a",), (None,)], "t string")
     rows = df.select(markdown.clean_markdown(markdown.F.col("t")).alias("m"), markdown.detect_markdown(markdown.F.col("t")).alias("d"), markdown.markdown_segments(markdown.F.col("t")).alias("s")).collect()
     assert rows[0].m.cleaned == "a\n" and rows[1].m.cleaned is None and rows[1].d is None and len(rows[0].s) == 1
+
+
+def test_findings_without_python(spark):
+    """The fold over lines gives what the segmenter gives, whatever opens, closes or doesn't close fences."""
+    rng = random.Random(9)
+    lines = ["```", "````", "~~~", "   ```py", "    ```", "``` x", "```\t ", "~~~~ ", "te​xt", "a­b", "────", " │x││ ", "plain", "", "As an AI language model, I say.", "I cannot do", "Generated with Claude", "---", "`~`", "─── "]
+    texts = [rng.choice(["\n", "\r\n", "\r"]).join(rng.choice(lines) for _ in range(rng.randrange(14))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate([*texts, None, "", "x​\n```\ny​\n" * 3000])), "id long, text string")
+    found = df.select("id", markdown.detect_markdown(markdown.F.col("text")).alias("a"))
+    assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
+    got = {r.id: r.a if r.a is None else [tuple(x) for x in r.a] for r in found.collect()}
+    assert got == dict(enumerate([*map(markdown.detect, texts), None, [], markdown.detect("x​\n```\ny​\n" * 3000)]))
+    assert sum(map(bool, got.values())) > 200
