@@ -11,6 +11,7 @@ from sievelake.functions import detectors, hygiene, markdown
 from sievelake.functions.images import detect_regions
 from sievelake.functions.metadata import PNG_SIGN, XMP_UUID
 from sievelake.operators import files, text
+from sievelake.operators.temporal import asof_join, interval_join
 from sievelake.options import MarkdownOptions, TextOptions
 from sievelake.plans.planted import planted, planted_documents
 from sievelake.session import new_folder
@@ -226,6 +227,23 @@ def custom_matches(spark, sf_dir):
     return text.detect_text(documents(spark, sf_dir), registry=registry).filter("vendor = 'Editor'").select("doc_id", "pattern", "confidence", "position", "length")
 
 
+def events_of(spark, sf_dir, kind: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("event_type") == kind)
+
+
+def last_click(spark, sf_dir):
+    """Each purchase with the last click of its user before it."""
+    found = asof_join(events_of(spark, sf_dir, "purchase").select("event_id", "user_id", "ts"), events_of(spark, sf_dir, "click"), ["user_id"], "ts", "ts", ["event_id", "value"], bucket=6 * 3_600_000_000)
+    return found.select("event_id", "user_id", F.col("asof_event_id").alias("click_id"), F.col("asof_value").alias("click_value"))
+
+
+def purchases_after_errors(spark, sf_dir):
+    """Purchases of a user within twelve hours of an error, with each such error."""
+    errors = events_of(spark, sf_dir, "error").select("user_id", F.col("event_id").alias("error_id"), F.col("ts").alias("since"), (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("until"))
+    found = interval_join(events_of(spark, sf_dir, "purchase"), errors, ["user_id"], "ts", "since", "until", bucket=600_000_000)
+    return found.select(F.col("point.event_id").alias("event_id"), F.col("interval.error_id").alias("error_id"))
+
+
 def signals_by_label(spark, sf_dir):
     t = F.col("text")
     hit = documents(spark, sf_dir).select("doc_id", "source", (hygiene.count_invisible(t) > 0).alias("hidden"))
@@ -285,7 +303,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         hygiene_strip, hygiene_substitute, hygiene_confidence, hygiene_nfkc, hygiene_log, codepoint_inventory, collapse_whitespace, word_tokens,
         signal_counts, detect_text, clean_text, remove_controls, remove_markup, markdown_lines, markdown_blocks, markdown_clean, markdown_strip_all,
-        markdown_detect, markdown_segments, html_metadata, png_inspect, png_clean, media_inspect, media_clean, image_regions, classify_files, batch_outcomes, written_files, custom_signals, custom_matches, signals_by_label, top_sources,
+        markdown_detect, markdown_segments, html_metadata, png_inspect, png_clean, media_inspect, media_clean, image_regions, classify_files, batch_outcomes, written_files, custom_signals, custom_matches, last_click, purchases_after_errors, signals_by_label, top_sources,
         conversation_tokens, signal_rollup, signal_bursts, json_rows, stream_rates,
     ]
     return {f.__name__: f for f in found}
