@@ -186,6 +186,8 @@ def oracle_sql() -> dict[str, str]:
  FROM (SELECT doc_id, string_split_regex(text, '\*{3,}') AS pieces, regexp_extract_all(text, '\*{3,}') AS runs, unnest(range(1, len(regexp_extract_all(text, '\*{3,}')) + 1)) AS i FROM planted)"""),
         "last_click": "WITH c AS (SELECT user_id, ts, max(struct_pack(e := event_id, v := value)) AS s FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT p.event_id, p.user_id, s.e AS click_id, s.v AS click_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts >= c.ts",
         "purchases_after_errors": "SELECT p.event_id, e.event_id AS error_id FROM events p JOIN events e ON p.user_id = e.user_id AND p.event_type = 'purchase' AND e.event_type = 'error' AND e.ts <= p.ts AND p.ts < e.ts + INTERVAL 12 HOUR",
+        "turn_tokens": "WITH t AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) SELECT conv_id, turn AS started, next AS ended, '[INST]' AS token FROM t WHERE turn % 2 = 0 AND next % 2 = 1",
+        "lateral_matches": with_documents(f", {CHARS}, found AS ({FOUND}) SELECT lang, vendor, pattern, count(*) AS matches, count(DISTINCT doc_id) AS texts FROM found JOIN planted USING (doc_id) GROUP BY ALL"),
         "signals_by_label": with_documents(f"SELECT quality, toxic, count(*) AS documents, sum(CASE WHEN {count(STRIP)} > 0 THEN 1 ELSE 0 END)::BIGINT AS with_hidden FROM planted JOIN labels USING (doc_id) GROUP BY quality, toxic"),
         "top_sources": with_documents(f"SELECT source, count(*) AS documents, sum({count(STRIP)})::BIGINT AS invisible, round(sum({count(STRIP)})::DOUBLE / count(*), 6) AS rate FROM planted GROUP BY source ORDER BY rate DESC, source LIMIT 5"),
         "conversation_tokens": f"WITH t AS (SELECT conv_id, turn, role, {planted_sql('(conv_id + turn)', 'text')} AS text FROM conversations), c AS (SELECT conv_id, turn, role, {tokens} AS tokens FROM t) SELECT conv_id, turn, role, tokens, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c",

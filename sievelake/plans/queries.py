@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievelake.functions import detectors, hygiene, markdown
+from sievelake.functions import detectors, hygiene, markdown, tables
 from sievelake.functions.images import detect_regions
 from sievelake.functions.metadata import PNG_SIGN, XMP_UUID
 from sievelake.operators import files, text
@@ -244,6 +244,22 @@ def purchases_after_errors(spark, sf_dir):
     return found.select(F.col("point.event_id").alias("event_id"), F.col("interval.error_id").alias("error_id"))
 
 
+def turn_tokens(spark, sf_dir):
+    """Template tokens that are cut by turns, by the table function in SQL; every even turn ends in half a token and every odd one starts with the rest."""
+    tables.register(spark)
+    even = F.col("turn") % 2 == 0
+    text = F.concat(F.when(even, "").otherwise("ST] "), F.coalesce("text", F.lit("")), F.when(even, " [IN").otherwise(""))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", text.alias("text"))
+    return spark.sql("SELECT conv_id, started, ended, token FROM turn_tokens(TABLE({turns}), 'conv_id', 'turn', 'text') WHERE cut", turns=turns)
+
+
+def lateral_matches(spark, sf_dir):
+    """Matches by language and pattern, with the table function beside each row in SQL."""
+    tables.register(spark)
+    sql = "SELECT lang, vendor, pattern, count(*) AS matches, count(DISTINCT doc_id) AS texts FROM {docs} AS d, LATERAL text_matches(d.text) GROUP BY ALL"
+    return spark.sql(sql, docs=documents(spark, sf_dir))
+
+
 def signals_by_label(spark, sf_dir):
     t = F.col("text")
     hit = documents(spark, sf_dir).select("doc_id", "source", (hygiene.count_invisible(t) > 0).alias("hidden"))
@@ -303,7 +319,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         hygiene_strip, hygiene_substitute, hygiene_confidence, hygiene_nfkc, hygiene_log, codepoint_inventory, collapse_whitespace, word_tokens,
         signal_counts, detect_text, clean_text, remove_controls, remove_markup, markdown_lines, markdown_blocks, markdown_clean, markdown_strip_all,
-        markdown_detect, markdown_segments, html_metadata, png_inspect, png_clean, media_inspect, media_clean, image_regions, classify_files, batch_outcomes, written_files, custom_signals, custom_matches, last_click, purchases_after_errors, signals_by_label, top_sources,
+        markdown_detect, markdown_segments, html_metadata, png_inspect, png_clean, media_inspect, media_clean, image_regions, classify_files, batch_outcomes, written_files, custom_signals, custom_matches, last_click, purchases_after_errors, turn_tokens, lateral_matches, signals_by_label, top_sources,
         conversation_tokens, signal_rollup, signal_bursts, json_rows, stream_rates,
     ]
     return {f.__name__: f for f in found}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from sievelake.functions import detectors, hygiene, images, markdown, metadata
+from sievelake.functions import detectors, hygiene, images, markdown, metadata, tables
 from sievelake.operators.text import clean_udf
 from sievelake.options import TextOptions
 
@@ -54,4 +54,4 @@ def register(spark: SparkSession) -> list[str]:
         if name == "substitute_punctuation":
             body = body.format(*map(_literal, ("".join(hygiene.ONE_TO_ONE), "".join(hygiene.ONE_TO_ONE.values()), hygiene.ELLIPSIS)))
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
-    return [*FUNCTIONS, *EXPRESSIONS]
+    return [*FUNCTIONS, *EXPRESSIONS, *tables.register(spark)]
