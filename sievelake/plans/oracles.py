@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sievelake.functions.codepoints import BIDI, EMOJI, FORCED, FULLWIDTH, HOMOGLYPHS, JOINERS, STRIPPED, SUBSTITUTED, TEMPLATE_TOKENS, VARIATION, ZERO_WIDTH, java_class, span
 from sievelake.functions.hygiene import ONE_TO_ONE
-from sievelake.functions.markdown import BOILERPLATE, CO_AUTHORS, MAKERS, TOOLS
+from sievelake.functions.markdown import BLOCKQUOTE, BOILERPLATE, CO_AUTHORS, EMPTY_ITEM, FRONTMATTER, HEADING, HTML_COMMENT, IMAGE, INLINE_CODE, LINK, LINK_COMMENT, MAKERS, RULE, TABLE_ROW, TABLE_RULE, TAG, TASK, TOOLS
 from sievelake.plans.planted import DOCUMENTS_SQL, planted_sql, quoted
 
 STRIP, SUBST = java_class(STRIPPED), java_class("".join(SUBSTITUTED))
@@ -145,6 +145,63 @@ ENTRIES = [
 ]
 
 
+# without back references and looks behind
+OTHER_BULLET, PLAIN_MENTION = r"^(\s*)[*+][ \t]+", r"(^|\s)[@#][A-Za-z0-9_]+"
+PLAIN_EMPHASIS = r"\*\*(.+?)\*\*|__(.+?)__|\*(.+?)\*|_(.+?)_"
+
+
+def markdown_sql(every: bool) -> str:
+    """The whole clean-up, with all options or the default ones: each rule is a step over the lines of prose, which counts what it removes."""
+    tidy = compatible(substitute(strip("b")))
+    sep = "length(trim(l)) >= 3 AND len(regexp_extract_all(l, '[\\x{2500}-\\x{257F}]')) >= greatest(3, length(trim(l)) - 2)"
+    forced = java_class(FORCED)
+    steps = []
+    def step(name, src, expr, items="0"):
+        steps.append(f"{name} AS (SELECT * REPLACE ({expr} AS l, it + {items} AS it) FROM {src})")
+    src="kept"
+    def rule(name, expr, items="0"):
+        nonlocal src
+        step(name, src, expr, items); src=name
+    rule("r1", f"regexp_replace(l, {quoted(IMAGE)}, '', 'g')", count(IMAGE, 'l'))
+    if every: rule("r2", f"regexp_replace(l, {quoted(LINK)}, '\\1', 'g')")
+    rule("r3", f"regexp_replace(l, {quoted(TAG)}, '', 'g')", count(TAG, 'l'))
+    if every:
+        rule("r4", f"CASE WHEN regexp_matches(l, {quoted(TASK)}) THEN CASE WHEN trim(regexp_replace(l, {quoted(TASK)}, '')) = '' THEN NULL ELSE regexp_extract(l, {quoted(TASK)}, 1) || '- ' || trim(regexp_replace(l, {quoted(TASK)}, '')) END ELSE l END", f"regexp_matches(l, {quoted(TASK)})::INT")
+    rule("r5", f"regexp_replace(l, {quoted(HEADING)}, '\\2')", f"coalesce(regexp_matches(l, {quoted(HEADING)})::INT, 0)")
+    if every:
+        rule("r6", f"regexp_replace(l, {quoted(BLOCKQUOTE)}, '')", f"coalesce(regexp_matches(l, {quoted(BLOCKQUOTE)})::INT, 0)")
+        rule("r7", f"CASE WHEN regexp_matches(l, {quoted(TABLE_ROW)}) THEN CASE WHEN regexp_matches(l, {quoted(TABLE_RULE)}) THEN NULL ELSE array_to_string(list_transform(string_split(trim(trim(l), '|'), '|'), lambda c: trim(c)), '  ') END ELSE l END", f"coalesce((regexp_matches(l, {quoted(TABLE_ROW)}) AND NOT regexp_matches(l, {quoted(TABLE_RULE)}))::INT, 0)")
+    rule("r8", f"regexp_replace(l, {quoted(OTHER_BULLET)}, '\\1- ')")
+    if every:
+        rule("r9", f"regexp_replace(l, {quoted(PLAIN_EMPHASIS)}, '\\1\\2\\3\\4', 'g')")
+        rule("r10", f"regexp_replace(l, {quoted(INLINE_CODE)}, '\\1', 'g')")
+    rule("r11", f"regexp_replace(l, {quoted(PLAIN_MENTION)}, '\\1', 'g')", f"coalesce({count(PLAIN_MENTION, 'l')}, 0)")
+    rule("r12", f"CASE WHEN regexp_matches(l, {quoted(EMPTY_ITEM)}) THEN NULL ELSE l END", f"coalesce(regexp_matches(l, {quoted(EMPTY_ITEM)})::INT, 0)")
+    rule("r13", "rtrim(l, ' ' || chr(9) || chr(11) || chr(12) || chr(160))")
+    code_keep = "NOT fence" if every else "TRUE"
+    return f"""WITH {DOCUMENTS_SQL.replace('planted AS', 'raw AS', 1)},
+uni AS (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM raw),
+planted AS (SELECT doc_id, regexp_replace(text, {quoted(FRONTMATTER)}, '') AS text FROM uni), fronts AS (SELECT doc_id, regexp_matches(text, {quoted(FRONTMATTER)}) AS front FROM uni),
+{SPLIT_LINES},
+roles AS (SELECT doc_id, line_no, line, fence, fences % 2 = 1 OR fence AS code, CASE WHEN fences % 2 = 1 OR fence THEN (fences + 1) // 2 * 2 - 1 ELSE fences END AS block FROM lines),
+codes AS (SELECT doc_id, block, line_no AS p, 0 AS p2, CASE WHEN fence THEN line ELSE regexp_replace(line, {quoted(forced)}, '', 'g') END AS l, (NOT fence AND regexp_matches(line, {quoted(forced)}))::INT AS it, (NOT fence AND regexp_matches(line, {quoted(forced)}))::INT AS art FROM roles WHERE code AND ({code_keep} OR NOT fence)),
+blocks AS (SELECT doc_id, block, min(line_no) AS p, string_agg(line, chr(10) ORDER BY line_no) AS t FROM roles WHERE NOT code GROUP BY ALL),
+uncommented AS (SELECT *, regexp_replace(t, {quoted(HTML_COMMENT)}, '', 'g') AS b, {count(HTML_COMMENT, 't')} AS comments FROM blocks),
+tidied AS (SELECT *, {tidy} AS c, {count(STRIP,'b')} + {count(SUBST,'b')} + ({tidy} <> {substitute(strip('b'))})::INT AS hyg FROM uncommented),
+prose AS (SELECT doc_id, block, p, generate_subscripts(string_split(c, chr(10)), 1) AS p2, unnest(string_split(c, chr(10))) AS l, 0 AS it, 0 AS art FROM tidied),
+marked AS (SELECT * REPLACE (({sep})::INT AS art), CASE WHEN {sep} OR regexp_matches(l, {quoted(RULE)}) OR regexp_matches(l, {quoted(LINK_COMMENT)}) THEN 1 ELSE 0 END AS gone FROM prose),
+kept AS (SELECT * FROM marked WHERE gone = 0),
+{', '.join(steps)},
+lines_left AS (SELECT doc_id, p, p2, l, it, art FROM codes UNION ALL SELECT doc_id, p, p2, l, it, art FROM {src} UNION ALL SELECT doc_id, p, p2, NULL, gone, art FROM marked WHERE gone = 1),
+joined AS (SELECT doc_id, coalesce(string_agg(l || chr(10), '' ORDER BY p, p2) FILTER (WHERE l IS NOT NULL), '') AS t, sum(it)::BIGINT AS it, sum(art)::BIGINT AS art FROM lines_left GROUP BY doc_id),
+items AS (SELECT doc_id, sum(comments + hyg)::BIGINT AS n FROM tidied GROUP BY doc_id),
+signed AS (SELECT *, regexp_matches(t, {quoted(SIGNATURE)})::INT AS sg, CASE WHEN regexp_matches(t, {quoted(SIGNATURE)}) THEN rtrim(regexp_replace(t, {quoted(SIGNATURE)}, ''), ' ' || chr(9) || chr(10)) || chr(10) ELSE t END AS s FROM joined),
+done AS (SELECT *, {count(BOILER,'s')} AS bp, trim(regexp_replace(regexp_replace(s, {quoted(BOILER)}, '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)) || chr(10) AS cleaned FROM signed),
+counts AS (SELECT doc_id, count(DISTINCT block) FILTER (WHERE code)::INT AS blocks FROM roles GROUP BY doc_id)
+SELECT doc_id, md5(cleaned) AS cleaned_md5, {'' if every else 'it + coalesce(items.n, 0) + front::INT + sg + bp AS removed, art + front::INT + sg + bp AS artifacts, '}blocks AS code_blocks_found, {'0' if every else 'blocks'} AS code_blocks_preserved{'' if every else ', front AS frontmatter_removed'}
+FROM done JOIN fronts USING (doc_id) JOIN counts USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     tokens = " + ".join(count(t.replace("[", r"\[").replace("]", r"\]"), "text") for t in TEMPLATE_TOKENS)
     return {
@@ -154,6 +211,8 @@ def oracle_sql() -> dict[str, str]:
         "hygiene_nfkc": with_documents(f"SELECT doc_id, md5({compatible(substitute(strip()))}) AS normalised_md5 FROM planted"),
         "clean_text": f"WITH {DOCUMENTS_SQL.replace('planted AS', 'raw AS', 1)}, planted AS (SELECT doc_id, lang, source, {compatible(substitute(strip()))} AS text FROM raw), {CHARS}, found AS ({FOUND}), folded AS {folded('false', matches(HG))}, marks AS (SELECT doc_id, count(*) AS n, count(DISTINCT vendor) AS vendors, max(confidence) AS c FROM found GROUP BY doc_id), done AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, {quoted(VS)}, '', 'g'), {quoted(THINK[1:])}, '', 'g'), '({EM}){EM}*', '\\1', 'g'), {quoted(TOKENS[1:])}, '', 'g') AS t FROM folded), items AS (SELECT r.doc_id, {count(STRIP, 'r.text')} + {count(SUBST, 'r.text')} + (p.text <> {substitute(strip('r.text'))})::INT AS n FROM raw r JOIN planted p USING (doc_id)) SELECT doc_id, md5(regexp_replace(t, '[ \\t]{{2,}}', ' ', 'g')) AS cleaned_md5, items.n + coalesce(vendors, 0) + regexp_matches(t, '[ \\t]{{2,}}')::INT AS removed, coalesce(marks.n, 0) AS detections, greatest(coalesce(c, 0.0::DOUBLE), CASE WHEN items.n > 0 THEN least(1.0::DOUBLE, 0.5::DOUBLE + items.n * 0.05::DOUBLE) ELSE 0.0::DOUBLE END) AS confidence FROM done JOIN items USING (doc_id) LEFT JOIN marks USING (doc_id)",
         "remove_markup": with_documents(f", {CHARS}, claude AS {folded(matches(ZW), matches(HG))}, deep AS {folded('false', matches(FW))} SELECT doc_id, md5(claude.t) AS claude_md5, md5(regexp_replace(deep.t, {quoted(THINK[1:])}, '', 'g')) AS deepseek_md5, md5(regexp_replace(regexp_replace(text, '({EM}){EM}*', '\\1', 'g'), '\\x{{2014}}+', chr(8212), 'g')) AS grok_md5, md5(regexp_replace(text, {quoted(TOKENS[1:])}, '', 'g')) AS mistral_md5 FROM planted JOIN claude USING (doc_id) JOIN deep USING (doc_id)"),
+        "markdown_clean": markdown_sql(every=False),
+        "markdown_strip_all": markdown_sql(every=True),
         "markdown_segments": with_documents(f", {SPLIT_LINES}{SEGMENTS}"),
         "markdown_detect": with_documents(f", {SPLIT_LINES} {ARTIFACTS}"),
         "media_inspect": f"{MEDIA} " + " UNION ALL ".join(f"SELECT path, {entry}, NULL FROM p WHERE {where}" if i else f"SELECT path, {entry.split(', ')[0]} AS container, {entry.split(', ')[1]} AS key, {entry.split(', ')[2]} AS value, NULL AS error_code FROM p WHERE {where}" for i, (where, entry) in enumerate(ENTRIES)),
