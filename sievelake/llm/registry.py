@@ -201,7 +201,10 @@ FROM documents
 """
 
 
-def op8_sql() -> str:
+def op8_sql(every_term: bool = False) -> str:
+    """``every_term``: terms beyond the templates weigh by their documents too."""
+    known = "" if every_term else "WHERE w IN (SELECT w FROM tw)"
+    weight, count = ("ln((n + 1)::DOUBLE / (coalesce(df, 0) + 1)) + 1", "LEFT JOIN df USING (w)") if every_term else ("coalesce(idf, ln((n + 1)::DOUBLE) + 1)", "LEFT JOIN idfs USING (w)")
     templates = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
     names = ", ".join(f"'{n}'" for n in licenses.FILE_NAMES)
     return rf"""
@@ -211,7 +214,7 @@ files AS (SELECT doc_id, text, CASE WHEN doc_id % 1000 = 0 THEN top || '/LICENSE
 tpl(k, name, t) AS (VALUES {templates}),
 tw AS (SELECT k, name, w, count(*) AS tf FROM (SELECT k, name, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS w FROM tpl) GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM files),
-df AS (SELECT w, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM files) WHERE w IN (SELECT w FROM tw) GROUP BY w),
+df AS (SELECT w, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM files) {known} GROUP BY w),
 model AS (SELECT tw.*, ln((n + 1)::DOUBLE / (coalesce(df, 0) + 1)) + 1 AS idf FROM tw LEFT JOIN df USING (w), n),
 weights AS (SELECT *, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY k)) AS weight FROM model),
 idfs AS (SELECT DISTINCT w, idf FROM model),
@@ -219,7 +222,7 @@ units AS (SELECT DISTINCT doc_id, u FROM (
    SELECT doc_id, unnest(string_split(text, chr(10))) AS u, path FROM files) WHERE regexp_matches(lower(u), '{licenses.WORDS}')
    UNION SELECT doc_id, text FROM files WHERE regexp_extract(path, '[^/]*$') IN ({names})),
 uw AS (SELECT doc_id, u, w, count(*) AS c FROM (SELECT doc_id, u, unnest(regexp_extract_all(lower(u), '[a-z0-9]+')) AS w FROM units) GROUP BY ALL),
-ux AS (SELECT doc_id, u, w, c * coalesce(idf, ln((n + 1)::DOUBLE) + 1) AS x FROM uw LEFT JOIN idfs USING (w), n),
+ux AS (SELECT doc_id, u, w, c * ({weight}) AS x FROM uw {count}, n),
 lens AS (SELECT doc_id, u, sqrt(sum(x ** 2)) AS len FROM ux GROUP BY ALL),
 dots AS (SELECT doc_id, u, k, name, sum(x * weight) AS dot FROM ux JOIN weights USING (w) GROUP BY ALL),
 scores AS (SELECT doc_id, name, round(dot / len, 6) AS score FROM dots JOIN lens USING (doc_id, u)),
@@ -299,4 +302,4 @@ QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_merkle": OP11_SQL, "op12_divergence": OP12_SQL, "op2_mixing": OP2_SQL, "op3_warc": op3_sql(), "op6_line_dedup": OP6_SQL, "op8_licenses": op8_sql(), "op9_exact_dedup": OP9_SQL}
+    return {"op11_merkle": OP11_SQL, "op12_divergence": OP12_SQL, "op2_mixing": OP2_SQL, "op3_warc": op3_sql(), "op6_line_dedup": OP6_SQL, "op8_licenses": op8_sql(), "op8_licenses_every_term": op8_sql(every_term=True), "op9_exact_dedup": OP9_SQL}

@@ -1,7 +1,9 @@
+import re
+
 import numpy as np
 import pytest
 
-from sievelake.llm import urlfilter
+from sievelake.llm import registry, urlfilter
 from sievelake.llm.registry import URL_RULES
 from sievelake.llm.urlfilter import BoostedTrees, Rule, filter_urls
 
@@ -128,3 +130,30 @@ def test_rates_are_those_of_all_urls(spark):
         for r in counted.join(known, None if fold is None else "fold").collect():
             if fold is None or r.fold == fold:
                 assert np.allclose([r[c] for c in urlfilter.RATES], want.of(r.host, r.path))
+
+
+def test_query_against_brute_force(spark):
+    """Host, path, rule and a rule's verdict, over a whole table and odd URLs."""
+    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+    def judge(url):
+        rest = (url or "").partition("://")[2]
+        rest = re.split("[?#]", rest)[0]
+        host = rest.split("/")[0]
+        path = rest[len(host) :]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, *(max(fits)[1:] if fits else (None, None)))
+
+    folder = "/root/testdata/sf0.01"
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    rows = registry.op7_url_filter(spark, folder).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        host, path, rule, verdict = judge(urls[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict in ("allow", "block") and (verdict is None or r.verdict == verdict)
+    odd = [None, "", "http://", "x", "a://COM/", "a://www.EXAMPLE.com/en/x?y#z", "a://example.com/en", "a://xexample.com/en/", "a://net/es/", "a://b.net/es?/", "a://é.net/fr/x", "a://x.com#/", "a://a://net/fr/"]
+    df = spark.createDataFrame(list(enumerate(odd)), "page_id long, url string")
+    for r in urlfilter.filter_urls(df, registry.URL_RULES).collect():
+        host, path, rule, verdict = judge(odd[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict)
