@@ -86,7 +86,7 @@ def _jpeg_entry(marker: int, body: bytes) -> tuple[Entry | None, str]:
             return ("EXIF", "APP1/Exif", "EXIF metadata block"), "exif"
         if sign.startswith("http://ns.adobe.com/xap") or "xmpmeta" in sign:
             return ("XMP", "APP1/XMP", "XMP packet"), "xmp"
-        return ("APP1", "APP1", sign), "exif"
+        return ("APP1", "APP1", sign), "app1"
     if marker == 0xED:
         return ("IPTC", "APP13/Photoshop", "IPTC/Photoshop resource block"), "iptc"
     if marker == 0xEB:
@@ -253,6 +253,8 @@ def _mp4_meta(data: bytes, meta: Box) -> Iterator[Piece]:
 
 # Fields of the information dictionary.
 PDF_INFO = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate")
+#: Where the name that is told isn't the file's.
+PDF_NAMES = {"ModDate": "ModifiedDate"}
 # End of fixed values.
 _PDF_FIELDS = {k: re.compile(rb"/" + k.encode() + rb"\s*(?:\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]*)>)", re.S) for k in PDF_INFO}
 #: Bytes that are unpacked at a time, and how far a field may reach over their end.
@@ -298,18 +300,19 @@ def inspect_pdf(data: bytes) -> list[Entry]:
     found: dict[str, str] = {}
     xmp = False
 
-    def look(part: bytes) -> None:
+    def look(part: bytes, whole: bytes) -> None:
         nonlocal xmp
-        xmp = xmp or b"<?xpacket" in part or b"<x:xmpmeta" in part
+        xmp = xmp or b"<?xpacket" in whole or b"<x:xmpmeta" in whole
         for key, pattern in _PDF_FIELDS.items():
             if key not in found and (m := pattern.search(part)):
                 found[key] = _pdf_value(m)
 
-    look(data)
+    # what stands in a plain stream is a page's text or a packet, not the dictionary
+    look(re.sub(rb"(?<!end)stream\r?\n.*?endstream", b"", data, flags=re.S), data)
     for stream in _pdf_streams(data):
         for part in _unpacked(stream):
-            look(part)
-    return [("Info", k, found[k]) for k in PDF_INFO if found.get(k, "").strip()] + [("XMP", "XMP", "Embedded XMP metadata packet")] * xmp
+            look(part, part)
+    return [("Info", PDF_NAMES.get(k, k), found[k]) for k in PDF_INFO if found.get(k, "").strip()] + [("XMP", "XMP", "Embedded XMP metadata packet")] * xmp
 
 
 # Names that identify someone or something.
@@ -636,7 +639,7 @@ def _decoded(data: bytes) -> str:
 
 
 def taken(piece: Piece, o: MetadataOptions) -> bool:
-    return {"exif": o.strip_exif, "xmp": o.strip_xmp, "iptc": o.strip_iptc, "text": o.strip_xmp or o.strip_iptc, "maker": o.strip_maker_notes, "icc": not o.preserve_color_profile, "always": True}.get(piece.kind, False)
+    return {"exif": o.strip_exif, "app1": o.strip_exif or o.strip_xmp, "xmp": o.strip_xmp, "iptc": o.strip_iptc, "text": o.strip_xmp or o.strip_iptc, "maker": o.strip_maker_notes, "icc": not o.preserve_color_profile, "always": True}.get(piece.kind, False)
 
 
 def _shown(piece: Piece, o: MetadataOptions) -> bool:

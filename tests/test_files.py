@@ -129,6 +129,11 @@ def test_pdf():
         clean(data, ".pdf", O)
 
 
+def test_pdf_text_is_no_field():
+    page = b"%PDF-1.4\n1 0 obj<</ModDate (D:2024)>>endobj 2 0 obj<</Length 30>>stream\nsee /Author (Mallory)\nendstream\n3 0 obj<</Type/Metadata>>stream\n<?xpacket?>\nendstream"
+    assert inspect(page, ".pdf") == [("Info", "ModifiedDate", "D:2024"), ("XMP", "XMP", "Embedded XMP metadata packet")]
+
+
 def test_pdf_streams_are_read_whole():
     """Fields far into a large stream, behind a long dictionary, over the end of a step, and in what a damaged stream still gives."""
     pad = b"x" * 3_000_000
