@@ -184,6 +184,8 @@ def later_meetings(rest: DataFrame, members: DataFrame, found: DataFrame, block:
     sizes = sizes.join(totals, "_bucket").select("_bucket", "_class", "_parts", "_shared", F.when(F.col("_parts") > 1, F.col("_class")).alias("_large"))
     part = F.when(F.col("_large").isNotNull(), F.pmod(F.xxhash64("_node", F.lit(6)), F.col("_parts"))).otherwise(F.pmod(F.xxhash64("_class", F.lit(6)), F.col("_shared"))).cast("int")
     rows = rows.select("_bucket", "_node", "_class").join(sizes, ["_bucket", "_class"]).select("_bucket", "_node", "_class", "_large", part.alias("_part"))
+    # read twice below
+    rows = scratch.settle(rows, "dealt-buckets")
     chunks = rows.select("_bucket", "_large", "_part").distinct().withColumn("_chunk", F.xxhash64("_bucket", "_large", "_part"))
     other = chunks.select("_bucket", F.col("_large").alias("_other_large"), F.col("_chunk").alias("_other"))
     apart = F.col("_large").isNull() | ~F.col("_large").eqNullSafe(F.col("_other_large"))
@@ -212,6 +214,40 @@ def shared_words(texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+class Leaders:
+    """Tells texts apart by the triangle inequality: a text that is far from one member of a class is far from those close to that one.
+
+    Of a class with several texts in a task the first is the leader; edits to it are counted once for each text that asks.
+    """
+
+    def __init__(self, texts: list[np.ndarray], label: np.ndarray, least: float, few: int = 8):
+        self.texts, self.least, self.known = texts, least, {}
+        numbers, first, counts = np.unique(label, return_index=True, return_counts=True)
+        leader = {int(k): int(i) for k, i, n in zip(numbers, first, counts, strict=True) if n >= few}
+        self.leader = [leader.get(int(k)) for k in label]
+
+    def distance(self, i: int, leader: int) -> int:
+        """The edits between a text and a leader, or a number that is no more than these where they are over twice the limit."""
+        if (i, leader) not in self.known:
+            most = 2 * limit_of(max(len(self.texts[i]), len(self.texts[leader])), self.least)
+            self.known[i, leader] = min(most + 1, edits(self.texts[i], self.texts[leader], most)) if i != leader else 0
+        return self.known[i, leader]
+
+    def close(self, i: int) -> int | None:
+        """The edits between a text and its own leader, if that is known for sure."""
+        leader = self.leader[i]
+        found = self.distance(i, leader)
+        return found if found <= 2 * limit_of(max(len(self.texts[i]), len(self.texts[leader])), self.least) else None
+
+    def apart(self, i: int, j: int, limit: int) -> bool:
+        """Whether more than ``limit`` edits are sure without comparing the two."""
+        a, b = self.leader[i], self.leader[j]
+        near = [None if k is None else self.close(x) for x, k in ((i, a), (j, b))]
+        if None not in near and self.distance(a, b) - near[0] - near[1] > limit:
+            return True
+        return near[1] is not None and j != b and self.distance(i, b) - near[1] > limit or near[0] is not None and i != a and self.distance(j, a) - near[0] > limit
+
+
 def block_links(nodes: list[int], texts: list[np.ndarray], classes: list[int], least: float) -> list[tuple[int, int]]:
     """Links that join the texts of a task into classes; texts of one class aren't compared. All other pairs are."""
     n = len(nodes)
@@ -221,13 +257,14 @@ def block_links(nodes: list[int], texts: list[np.ndarray], classes: list[int], l
     sizes, label, out = np.array([len(t) for t in texts]), np.unique(classes, return_inverse=True)[1], []
     if n < 2 or not label.max():
         return out
+    leaders = Leaders(texts, label, least)
     # an edit takes away one word of a text and adds one at most
     alike = shared_words(texts) >= least * np.maximum(sizes[:, None], sizes[None, :]) - 1e-6
     for i in range(n - 1):
         for j in (i + 1 + np.flatnonzero(alike[i, i + 1 :] & (label[i + 1 :] != label[i]))).tolist():
             if label[i] != label[j]:
                 limit = limit_of(max(sizes[i], sizes[j]), least)
-                if edits(texts[i], texts[j], limit) <= limit:
+                if not leaders.apart(i, j, limit) and edits(texts[i], texts[j], limit) <= limit:
                     out.append((nodes[i], nodes[j]))
                     label[label == label[j]] = label[i]
     return out

@@ -127,6 +127,38 @@ def test_shared_words_bound_what_texts_have_in_common():
             assert bound[i, j] >= (Counter(a.tolist()) & Counter(b.tolist())).total() and bound[i, j] <= min(len(a), len(b))
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_leaders_rule_out_no_link(seed, monkeypatch):
+    """Classes with many members beside texts that are near, just beyond and far: the same classes come out as by all pairs."""
+    rng = random.Random(seed)
+    texts, classes = [], []
+    base = [rng.randrange(10**6) for _ in range(100)]
+    for k, (copies, edits) in enumerate([(20, 3), (15, rng.choice([6, 24])), (6, 15), (10, 30), (5, 90)]):
+        own = list(base)
+        for at in rng.sample(range(100), min(99, edits)):
+            own[at] = rng.randrange(10**6)
+        for c in range(copies):
+            w = list(own)
+            for _ in range(rng.randrange(8)):
+                w[rng.randrange(100)] = rng.randrange(10**6)
+            texts.append(np.array(w))
+            classes.append(k if k < 2 else 100 * k + c)
+    order = rng.sample(range(len(texts)), len(texts))
+    texts, classes = [texts[i] for i in order], [classes[i] for i in order]
+
+    def joined(found):
+        up = list(range(len(texts)))
+        root = lambda i: i if up[i] == i else root(up[i])
+        ties = [*found, *((classes.index(c), i) for i, c in enumerate(classes))]
+        for a, b in ties:
+            up[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(i) for i in range(len(texts))]
+
+    got = neardup.block_links(list(range(len(texts))), texts, classes, 0.8)
+    monkeypatch.setattr(neardup.Leaders, "apart", lambda *a: False)
+    assert joined(got) == joined(neardup.block_links(list(range(len(texts))), texts, classes, 0.8))
+
+
 @pytest.mark.parametrize("limits", [{"block": 2}, {"block": 3, "heads": 1}, {"block_words": 300}])
 def test_blocks_lose_no_link(spark, limits):
     docs = planted(6)
