@@ -331,7 +331,7 @@ def classes(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of all nodes with a link; the root is the least node of its class.
 
     Alternates large stars and small stars: each node's larger, then smaller neighbours are tied to
-    its least one, until nothing changes, which takes a logarithmic number of rounds.
+    its least one, until each is tied to its root, which takes a logarithmic number of rounds.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -343,13 +343,17 @@ def classes(edges: DataFrame, scratch: Scratch) -> DataFrame:
             tied = tied.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         else:
             tied = tied.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        return tied.filter("a <> b").distinct()
+        # of an edge comes one row at most, and the small star has each once
+        return tied.filter("a <> b") if large else tied.filter("a <> b").distinct()
+
+    def told(e: DataFrame) -> bool:
+        """Whether each node has one other that it is tied to, which is tied to none itself."""
+        ends = e.select(F.col("b").alias("u"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(e.select(F.col("a").alias("u"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        return ends.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or down = 1 and up = 1").count() == 0
 
     while True:
-        after = scratch.settle(star(star(edges, True), False), "stars")
-        sums = [x.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first() for x in (edges, after)]
-        edges = after
-        if sums[0] == sums[1]:
+        edges = scratch.settle(star(star(edges, True), False), "stars")
+        if told(edges):
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
@@ -393,16 +397,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # texts are shuffled once: later meetings take the words of candidates from this table
     asked = members.select("_node").distinct().join(tasks, "_node", "left").join(nodes, "_node").withColumn("_class", F.col("_node"))
     words = scratch.settle(candidates(scratch.settle(asked, "tasks"), named), "candidates")
-    found = scratch.settle(links(words, similarity), "links")
-    roots = classes(found, scratch)
+    roots = classes(scratch.settle(links(words, similarity), "links"), scratch)
     for k in (1, 2):
         # what one round ties, the next needn't look at
         rest = told(members.filter(f"_round = {k}")).select("_sig")
         rest = rest.unionByName(buckets.filter("_parts > 1").select("_sig")) if k == 1 else rest
         own = scratch.settle(gathered(later_meetings(rest, members, roots, block, block_words, scratch)), "later-tasks")
         if not own.isEmpty():
-            found = found.unionByName(scratch.settle(links(words.select("_node", "_data").join(own, "_node"), similarity), "later-links"))
-            roots = classes(found, scratch)
+            found = scratch.settle(links(words.select("_node", "_data").join(own, "_node"), similarity), "later-links")
+            # a class so far is its members' ties to its root
+            roots = classes(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found), scratch)
     of_text = nodes.join(roots, F.col("_node") == F.col("node"), "left").select("_sha", "_id", F.coalesce("root", "_node").alias("_root"))
     least = of_text.groupBy("_root").agg(F.min("_id").alias("class_id"))
     of_text = of_text.join(least, "_root").select("_sha", "class_id")
