@@ -252,5 +252,7 @@ def oracle_sql() -> dict[str, str]:
         "conversation_tokens": f"WITH t AS (SELECT conv_id, turn, role, {planted_sql('(conv_id + turn)', 'text')} AS text FROM conversations), c AS (SELECT conv_id, turn, role, {tokens} AS tokens FROM t) SELECT conv_id, turn, role, tokens, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c",
         "signal_rollup": with_documents(f"SELECT lang, source, count(*) AS documents, sum({count(STRIP)})::BIGINT AS invisible, sum({count(SUBST)})::BIGINT AS substituted FROM planted GROUP BY ROLLUP (lang, source)"),
         "json_rows": with_documents(f"SELECT to_json(struct_pack(doc_id := doc_id, lang := lang, invisible := {count(STRIP)}))::VARCHAR AS value FROM planted"),
+        "event_budgets": """WITH n AS (SELECT user_id, epoch_us(ts) // 86400000000 * 86400 AS window_start, event_id, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 86400000000 ORDER BY ts, event_id) AS place FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL)
+ SELECT user_id, window_start, event_id, place, 0::BIGINT AS rejected FROM n WHERE place <= 3 UNION ALL SELECT user_id, window_start, NULL, NULL, count(*) FROM n WHERE place > 3 GROUP BY ALL""",
         "stream_rates": with_documents(f", {CHARS}, found AS ({FOUND}) SELECT (doc_id * 60) // 7200 * 7200 AS window_start, vendor, pattern, count(*) AS matches FROM found GROUP BY ALL"),
     }

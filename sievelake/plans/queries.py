@@ -17,6 +17,7 @@ from sievelake.plans.planted import planted, planted_documents
 from sievelake.session import new_folder
 from sievelake.sources.sink import write_files
 from sievelake.sources.files import as_json, classify, is_supported, output_path
+from sievelake.streaming.budgets import budgets
 from sievelake.streaming.signals import bursts, read_stream, signal_rates
 
 
@@ -315,11 +316,21 @@ def stream_rates(spark, sf_dir):
     return spark.read.parquet(f"{folder}/rates").select(F.col("window.start").cast("long").alias("window_start"), "vendor", "pattern", "matches")
 
 
+def event_budgets(spark, sf_dir):
+    """Each user's first three events of a day, and how many came after them, over events read as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts").schema
+    stream = read_stream(spark, f"{sf_dir}/events.parque[t]", schema)
+    folder = new_folder(spark, "event-budgets")
+    found = budgets(stream, ["user_id"], "ts", "event_id", permits=3, window_seconds=86_400)
+    found.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         hygiene_strip, hygiene_substitute, hygiene_confidence, hygiene_nfkc, hygiene_log, codepoint_inventory, collapse_whitespace, word_tokens,
         signal_counts, detect_text, clean_text, remove_controls, remove_markup, markdown_lines, markdown_blocks, markdown_clean, markdown_strip_all,
         markdown_detect, markdown_segments, html_metadata, png_inspect, png_clean, media_inspect, media_clean, image_regions, classify_files, batch_outcomes, written_files, custom_signals, custom_matches, last_click, purchases_after_errors, turn_tokens, lateral_matches, signals_by_label, top_sources,
-        conversation_tokens, signal_rollup, signal_bursts, json_rows, stream_rates,
+        conversation_tokens, signal_rollup, signal_bursts, json_rows, stream_rates, event_budgets,
     ]
     return {f.__name__: f for f in found}

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sievelake.operators.text import detect_text
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, *, fmt: str = "parquet", max_files: int = 64) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: str | StructType, *, fmt: str = "parquet", max_files: int = 64) -> DataFrame:
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(path)
 
 
