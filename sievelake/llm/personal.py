@@ -6,7 +6,7 @@ Boosted trees over a span's format and context decide on them. They learn from t
 known to be personal data; spans that fail their kind's check, that are dates, or that lie on a base span of another kind are known
 not to be. Format features are taken from a canonical spelling, so that what is learnt of base spans carries over to others. Every known span
 is counted by its features; at most ``sample`` of these rows go to the driver, where the trees grow. Thresholds
-for each kind are the lowest that keep precision on documents that the trees haven't seen. The trees score as an expression.
+for each kind are the lowest that keep precision on all known spans of the documents that the trees haven't seen. The trees score as an expression.
 
 Texts are read once; what follows moves spans only.
 """
@@ -67,6 +67,8 @@ FEATURES = ("kind", "valid", "chars", "digits", "letters", "groups", "longest",
 FOUND = "array<struct<start:int,end:int,m:string,before:string,after:string>>"
 CONTEXT = 40
 BLOCK = 256
+#: Of a log odds, in which spans are counted for the thresholds.
+CELLS = 1024
 #: A threshold that no score reaches.
 NEVER = 1e300
 
@@ -212,25 +214,30 @@ def thresholds(scores: np.ndarray, y: np.ndarray, kinds: np.ndarray, weights: np
     return out
 
 
-def fit(spans: DataFrame, *, sample: int, precision: float) -> Model:
-    """From spans (held, x): every known one counts; the trees get at most ``sample`` rows of equal features, chosen by hash.
+def cells(held: DataFrame, score: Column) -> DataFrame:
+    """(kind, y, cell, n): all spans of ``held`` (y, n, FEATURES) counted by kind, what is known of them, and their log odds to the nearest 1/CELLS; so many rows at most as there are cells."""
+    return held.groupBy("kind", "y", (F.floor(score * CELLS + 0.5) / CELLS).alias("cell")).agg(F.sum("n").alias("n"))
 
-    A quarter of the documents, by hash, is kept for the thresholds.
+
+def fit(spans: DataFrame, *, sample: int, precision: float, scratch: Scratch) -> Model:
+    """From spans (held, x): the trees get at most ``sample`` rows of equal features, chosen by hash, with their counts.
+
+    A quarter of the documents, by hash, is kept for the thresholds. For these every known span is scored and counts.
     """
     counts = spans.filter("x.known >= 0").groupBy("held", F.col("x.known").alias("y"), *[F.col(f"x.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"))
-    rows = counts.orderBy(F.xxhash64("y", *FEATURES), "held", "y", *FEATURES).limit(sample).collect()
+    counts = scratch.settle(counts, "counts")
+    rows = counts.filter("not held").orderBy(F.xxhash64("y", *FEATURES), "y", *FEATURES).limit(sample).collect()
     rows = sorted(rows, key=lambda r: tuple(r))
-    x, y = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r.y for r in rows], float)
-    n, held = np.array([r.n for r in rows], float), np.array([r.held for r in rows], bool)
+    x, y, n = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r.y for r in rows], float), np.array([r.n for r in rows], float)
     trees = BoostedTrees(trees=40, depth=3)
-    if (y[~held] == 1).any():
+    if (y == 1).any():
         # copies of a span tell little more than one
-        trees.fit(x[~held], y[~held], 1 + np.log(n[~held]))
+        trees.fit(x, y, 1 + np.log(n))
     if not trees.grown:
         return Model(trees, [NEVER] * len(KINDS))
-    p = trees.predict(x)
-    scores = np.log(p) - np.log1p(-p)
-    return Model(trees, thresholds(scores[held], y[held], x[held, 0], n[held], precision))
+    held = counts.filter("held").select("y", "n", F.struct(*FEATURES).alias("x"), "kind")
+    told = cells(held, F.expr(Model(trees, []).score_sql("x"))).collect()
+    return Model(trees, thresholds(*(np.array([r[c] for r in told], float) for c in ("cell", "y", "kind", "n")), precision))
 
 
 def joined(spans: Column) -> Column:
@@ -257,7 +264,7 @@ def find_personal(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # rows are numbered as they are written, so that the number is the same wherever it is read
     found = scratch.settle(rows.select(F.monotonically_increasing_id().alias("row"), "id", held.alias("held"), base.alias("base"), wide.alias("wide")), "found")
     spans = scratch.settle(told(found), "spans")
-    model = fit(spans, sample=sample, precision=precision)
+    model = fit(spans, sample=sample, precision=precision, scratch=scratch)
     # what is known not to be personal data stays out, whatever its score
     open_ = spans.filter("not x.base and x.known <> 0").select("row", F.col("x"), F.expr(model.score_sql("x")).alias("score")).filter(model.chosen_sql("x", "score"))
     one = F.struct(F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.kind").alias("kind"), "score")

@@ -121,3 +121,14 @@ def test_thresholds_keep_precision():
     kinds = np.zeros(5)
     assert personal.thresholds(scores, y, kinds, n, 0.9) == [1.5] + [personal.NEVER] * 3
     assert personal.thresholds(scores, y, kinds, n, 0.7)[0] == 0.0
+
+
+def test_every_held_span_counts_for_the_thresholds(spark, monkeypatch):
+    """However few rows the trees get."""
+    docs = spark.range(800).selectExpr("id as doc_id", "concat(repeat('word ', int(id % 3)), 'a', repeat('b', int(id % 40)), '@', repeat('c', int(id % 37)), 'x.com and 900.1.2.', id % 200) as text")
+    seen = []
+    monkeypatch.setattr(personal, "thresholds", lambda scores, y, kinds, weights, precision, real=personal.thresholds: seen.append((kinds, y, weights)) or real(scores, y, kinds, weights, precision))
+    personal.find_personal(docs, sample=60).collect()
+    held = docs.filter("pmod(xxhash64(text, 13), 4) = 0").count()
+    [(kinds, y, weights)] = seen
+    assert weights[(kinds == 0) & (y == 1)].sum() == weights[(kinds == 1) & (y == 0)].sum() == held > 60
