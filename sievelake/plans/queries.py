@@ -124,6 +124,11 @@ def html_metadata(spark, sf_dir):
     return files.inspect_files(pages).groupBy("container", "key", "value").agg(F.count("*").alias("files"))
 
 
+def parts(spark, sf_dir) -> DataFrame:
+    """Dealt to tasks: the table is a few bytes for each part, so that a scan's task would make and clean the files of very many."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 def png_chunk(kind: str, body):
     return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(body)), 8, "0")), F.lit(kind.encode()), body, F.lit(b"\0\0\0\0"))
 
@@ -138,7 +143,7 @@ def png_content():
 def png_files(spark, sf_dir) -> DataFrame:
     """A file for each part, every seventh cut short."""
     broken = F.when(F.col("p_partkey") % 7 == 0, F.substring(png_content(), 1, 30)).otherwise(png_content())
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(F.lit("/i/"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("path"), broken.alias("content"), F.lit(".png").alias("extension"))
+    return parts(spark, sf_dir).select("p_partkey", F.concat(F.lit("/i/"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("path"), broken.alias("content"), F.lit(".png").alias("extension"))
 
 
 def media_files(spark, sf_dir) -> DataFrame:
@@ -157,7 +162,7 @@ def media_files(spark, sf_dir) -> DataFrame:
     formats = [(".jpg", jpeg), (".webp", webp), (".mp4", mp4), (".heic", heif), (".rtf", rtf)]
     pick = lambda values: F.element_at(F.array(*values), (k % len(formats) + 1).cast("int"))
     ext = pick([F.lit(e) for e, _ in formats])
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("/m/"), k.cast("string"), ext).alias("path"), pick([c for _, c in formats]).alias("content"), ext.alias("extension"))
+    return parts(spark, sf_dir).select(F.concat(F.lit("/m/"), k.cast("string"), ext).alias("path"), pick([c for _, c in formats]).alias("content"), ext.alias("extension"))
 
 
 def media_inspect(spark, sf_dir):
@@ -177,7 +182,7 @@ def image_regions(spark, sf_dir):
     row, cut = pixels("808080FF", F.lit(n)), F.concat(pixels("808080FF", x), pixels("8080805A", w), pixels("808080FF", n - x - w))
     data = F.unhex(F.concat(F.repeat(row, y), F.repeat(cut, h), F.repeat(row, n - y - h)))
     image = F.struct(data.alias("data"), F.lit(n).alias("height"), F.lit(n).alias("width"), F.lit(4).alias("nChannels"))
-    found = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.explode(detect_regions(image)).alias("r"))
+    found = parts(spark, sf_dir).select("p_partkey", F.explode(detect_regions(image)).alias("r"))
     return found.select("p_partkey", "r.*")
 
 
@@ -195,7 +200,7 @@ def mixed_files(spark, sf_dir) -> DataFrame:
     k = F.col("p_partkey")
     ext = F.element_at(F.array(*[F.lit(x) for x in (".md", ".PNG", ".txt", "", ".exe", ".html", ".tar.gz", ".Docx")]), (k % 8 + 1).cast("int"))
     text = F.concat(F.lit("# "), F.col("p_name"), F.lit("\n")).cast("binary")
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("/in.d/"), k.cast("string"), ext).alias("path"), F.when(k % 16 == 1, png_content()).otherwise(text).alias("content"))
+    return parts(spark, sf_dir).select(F.concat(F.lit("/in.d/"), k.cast("string"), ext).alias("path"), F.when(k % 16 == 1, png_content()).otherwise(text).alias("content"))
 
 
 def classify_files(spark, sf_dir):

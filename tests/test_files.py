@@ -249,6 +249,18 @@ def picture(alpha=255):
     return x
 
 
+def test_pictures_of_one_size_are_looked_at_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    alpha = np.kron(rng.choice([90, 255], (60, 4, 5, 1)), np.ones((1, 5, 4, 1), int)).astype(np.uint8)
+    stack = np.concatenate([rng.integers(0, 255, (60, 20, 20, 3), np.uint8), alpha], 3)
+    calls = []
+    monkeypatch.setattr(images, "components", lambda found, real=images.components: calls.append(1) or real(found))
+    got = images.found_in([(x.tobytes(), x.shape) for x in stack], 0.4)
+    assert len(calls) == 1 and got == [images.regions(images.to_rgba(x)) for x in stack] and sum(map(len, got)) > 60
+    with pytest.raises(ValueError):
+        images.found_in([(b"123", (1, 1, 4))], 0.4)
+
+
 def test_regions(spark, tmp_path):
     assert images.regions(picture(90), 0.3) == [{"x": 10, "y": 10, "width": 20, "height": 20, "confidence": 1.0}]
     assert images.regions(picture(), 0.3) == [] == images.regions(picture(90), 0)
