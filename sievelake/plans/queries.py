@@ -216,7 +216,8 @@ def written_files(spark, sf_dir):
     """A mixed batch, cleaned, written as files and read again."""
     folder = new_folder(spark, "cleaned-files")
     write_files(files.clean_all(mixed_files(spark, sf_dir)), folder, base="/in.d")
-    found = spark.read.format("binaryFile").load(folder)
+    # a scan's task has 32 small files at most, which are as many tasks as files before long
+    found = spark.read.format("binaryFile").load(folder).coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length", F.md5("content").alias("content_md5"))
 
 

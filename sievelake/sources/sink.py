@@ -1,24 +1,28 @@
 """A sink that writes each row as a file of its own, for cleaned files.
 
-A task writes its files under temporary names in a folder of its attempt. The driver moves the files of the attempts that count
-to their names once all tasks are done, so that a task that runs again leaves no second copy, and a job that fails
-leaves nothing.
+A task writes its files under temporary names in a folder of its attempt. Once all tasks are done, the files of the attempts that count
+are moved to their names, by tasks of a second job (``write_files``) or by the driver, so that a task that runs again leaves no second copy, and a job that
+fails leaves nothing.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import BinaryType, StructType
 
 FORMAT = "sievelake_files"
 SCHEMA = "name string, content binary"
+#: In the temporary folder, the folders of the attempts that count.
+ATTEMPTS = "_attempts.json"
 
 
 def store_of(uri: str):
@@ -36,6 +40,31 @@ def join_path(folder: str, name: str) -> str:
     return "/".join([folder, *parts])
 
 
+def move(attempt: str, folder: str) -> int:
+    """Move the files of an attempt to their names in ``folder``; once more, it moves those that are left."""
+    from pyarrow import fs
+
+    (store, own), (_, root) = store_of(attempt), store_of(folder)
+    # a task without rows makes no folder
+    if store.get_file_info(own).type == fs.FileType.NotFound:
+        return 0
+    moves = [(f.path, f"{root}/{f.path[len(own) + 1 :]}") for f in store.get_file_info(fs.FileSelector(own, recursive=True)) if f.type == fs.FileType.File]
+    for above in {to.rpartition("/")[0] for _, to in moves}:
+        store.create_dir(above, recursive=True)
+
+    def run(ends: tuple[str, str]) -> None:
+        try:
+            store.move(*ends)
+        except FileNotFoundError:
+            # a copy of the task has moved it
+            if store.get_file_info(ends[1]).type != fs.FileType.File:
+                raise
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(run, moves))
+    return len(moves)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """The folder of an attempt; its files are listed there, not here."""
@@ -44,8 +73,9 @@ class Written(WriterCommitMessage):
 
 
 class FileWriter(DataSourceWriter):
-    def __init__(self, folder: str, job: str):
-        self.folder, self.job = folder, job
+    def __init__(self, folder: str, job: str, later: bool = False):
+        """``later``: the attempts that count are only listed."""
+        self.folder, self.job, self.later = folder, job, later
 
     @property
     def temporary(self) -> str:
@@ -66,20 +96,15 @@ class FileWriter(DataSourceWriter):
         return Written(attempt)
 
     def commit(self, messages: list) -> None:
-        from pyarrow import fs
-
-        store, root = store_of(self.folder)
-        with ThreadPoolExecutor(16) as pool:
-            for m in messages:
-                # a task without rows makes no folder
-                _, own = store_of(m.folder) if m else (None, None)
-                if own is None or store.get_file_info(own).type == fs.FileType.NotFound:
-                    continue
-                found = [f.path for f in store.get_file_info(fs.FileSelector(own, recursive=True)) if f.type == fs.FileType.File]
-                moves = [(f, f"{root}/{f[len(own) + 1 :]}") for f in found]
-                for above in {to.rpartition("/")[0] for _, to in moves}:
-                    store.create_dir(above, recursive=True)
-                list(pool.map(lambda ends: store.move(*ends), moves))
+        attempts = [m.folder for m in messages if m]
+        if self.later:
+            store, path = store_of(self.temporary)
+            store.create_dir(path, recursive=True)
+            with store.open_output_stream(f"{path}/{ATTEMPTS}", compression=None) as out:
+                out.write(json.dumps(attempts).encode())
+            return
+        for attempt in attempts:
+            move(attempt, self.folder)
         self._clear()
 
     def abort(self, messages: list) -> None:
@@ -104,7 +129,7 @@ class FileSink(DataSource):
             raise ValueError(f"{FORMAT} takes {SCHEMA}")
         if "path" not in self.options:
             raise ValueError(f"{FORMAT} needs a path")
-        return FileWriter(self.options["path"], uuid.uuid4().hex)
+        return FileWriter(self.options["path"], self.options.get("job") or uuid.uuid4().hex, "job" in self.options)
 
 
 def relative(path: Column, base: str | None) -> Column:
@@ -134,5 +159,28 @@ def write_files(cleaned: DataFrame, folder: str, *, base: str | None = None) ->
     twice = names.groupBy("name").count().filter("count > 1").select("name").limit(5).collect()
     if twice:
         raise ValueError(f"several files of one name: {[r.name for r in twice]}")
-    cleaned.sparkSession.dataSource.register(FileSink)
-    rows.write.format(FORMAT).option("path", folder).mode("append").save()
+    spark = cleaned.sparkSession
+    spark.dataSource.register(FileSink)
+    writer = FileWriter(folder, uuid.uuid4().hex)
+    rows.write.format(FORMAT).option("path", folder).option("job", writer.job).mode("append").save()
+    try:
+        move_all(spark, writer)
+    finally:
+        writer._clear()
+
+
+def move_all(spark: SparkSession, writer: FileWriter) -> None:
+    """Move the files of the listed attempts, a task for each."""
+    store, path = store_of(writer.temporary)
+    with store.open_input_stream(f"{path}/{ATTEMPTS}", compression=None) as f:
+        attempts = json.loads(f.read())
+    folder = writer.folder
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"moved": [move(a, folder) for a in b["attempt"]]})
+
+    if attempts:
+        # as many rows as the write had tasks
+        listed = spark.createDataFrame([(i, a) for i, a in enumerate(attempts)], "n long, attempt string")
+        listed.repartitionByRange(len(attempts), "n").mapInPandas(run, "moved long").agg(F.sum("moved")).collect()

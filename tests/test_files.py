@@ -327,6 +327,19 @@ def test_a_task_that_is_killed_leaves_no_second_copy(tmp_path):
     assert not (tmp_path / "out" / "b").exists() and not list(tmp_path.glob("out/_temporary*"))
 
 
+def test_tasks_move_the_files_and_may_run_again(spark, tmp_path, monkeypatch):
+    moved = []
+    monkeypatch.setattr(sink, "move", lambda *ends, real=sink.move: moved.append(ends) or real(*ends))
+    folder = f"file://{tmp_path}/out"
+    sink.write_files(cleaned_rows(spark, [(f"/in/a/{i}", "succeeded", b"x") for i in range(40)]).repartition(4), folder, base="/in")
+    # none by the driver
+    assert not moved and len(list((tmp_path / "out" / "a").iterdir())) == 40 and not list(tmp_path.glob("out/_temporary*"))
+    writer = sink.FileWriter(folder, "job")
+    done = writer.write(iter([Row(name="b/x", content=b"1"), Row(name="b/y", content=b"2")]))
+    assert [sink.move(done.folder, folder) for _ in range(2)] == [2, 0]
+    assert sorted(p.name for p in (tmp_path / "out" / "b").iterdir()) == ["x", "y"]
+
+
 def test_a_failing_job_writes_nothing(spark, tmp_path):
     bad = F.udf(lambda i: 1 // (i - 7) and bytearray(b"x"), "binary")
     rows = spark.range(20).repartition(4).select(F.concat(F.lit("/in/"), F.col("id").cast("string")).alias("output_path"), bad("id").alias("content"))
