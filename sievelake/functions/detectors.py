@@ -22,6 +22,7 @@ from sievelake import schemas
 from sievelake.functions.codepoints import BIDI, EM_DASH, EMOJI, FULLWIDTH, HOMOGLYPHS, JOINERS, TEMPLATE_TOKENS, VARIATION, ZERO_WIDTH, java_class, narrowed, span
 from sievelake.functions.hygiene import utf16_positions
 from sievelake.functions.spans import located
+from sievelake.functions.vectorised import in_slices
 
 LETTER = "[A-Za-z]"
 WIDE = r"\x{10000}-\x{10FFFF}"
@@ -261,6 +262,7 @@ def detector(registry: Registry | None = None):
     """A UDF of a text; the registry goes with it. In SQL, and where there are very many detectors."""
 
     @F.pandas_udf(f"array<{schemas.MATCH}>")
+    @in_slices
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         names = ("vendor", "pattern", "confidence", "position", "length")
         for s in batches:
@@ -311,11 +313,17 @@ def counts(text: Column, rest: Column | None = None, registry: Registry | None =
 
 def remover(vendor: str) -> Callable[[Column], Column]:
     """A Column function that normalises what a vendor's detectors mark."""
-    run = REMOVERS[vendor]
+    return lambda text: removers(vendor)(text)[vendor]
 
-    @F.pandas_udf("string")
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def removers(*vendors: str) -> Callable[[Column], Column]:
+    """A Column function that gives a struct with a text for each vendor, as ``remover`` does; a text goes to Python once for all of them. Fields are null for a null text."""
+    runs = [(v, REMOVERS[v]) for v in vendors]
+
+    @F.pandas_udf(", ".join(f"`{v}` string" for v in vendors))
+    @in_slices
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield s.map(lambda t: t if t is None else run(t))
+            yield pd.DataFrame({v: s.map(lambda t, run=run: t if t is None else run(t)) for v, run in runs})
 
     return lambda text: udf(F.make_valid_utf8(text))

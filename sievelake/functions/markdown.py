@@ -18,7 +18,7 @@ from sievelake import schemas
 from sievelake.functions import hygiene
 from sievelake.functions.codepoints import BOX, FORCED, java_class, python_class
 from sievelake.options import MarkdownOptions
-from sievelake.functions.vectorised import vectorised
+from sievelake.functions.vectorised import in_slices, vectorised
 
 # Patterns of markdown syntax and of machine-made notices.
 FRONTMATTER = r"\A---\r?\n(?s:.*?)\r?\n---[ \t]*\r?\n?"
@@ -268,6 +268,7 @@ def cleaner(options: MarkdownOptions | None = None):
     """A UDF of a text."""
 
     @F.pandas_udf(schemas.MARKDOWN_CLEAN)
+    @in_slices
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names, items = ("type", "position", "length", "description"), ("type", "description", "line", "column")
         for s in batches:

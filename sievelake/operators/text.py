@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sievelake import schemas
 from sievelake.functions import detectors, hygiene
+from sievelake.functions.vectorised import in_slices
 from sievelake.options import TextOptions
 
 _BLANKS = regex.compile(hygiene.BLANKS)
@@ -64,6 +65,7 @@ def others(df: DataFrame, text_col: str, added: tuple[str, ...]) -> list[str]:
 
 def clean_udf(options: TextOptions, registry: detectors.Registry | None = None):
     @F.pandas_udf(schemas.TEXT_CLEAN)
+    @in_slices
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             rows = []

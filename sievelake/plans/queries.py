@@ -79,13 +79,14 @@ def clean_text(spark, sf_dir):
 
 def remove_controls(spark, sf_dir):
     """The removers that SQL can follow: OpenAI's, Gemini's, and clusters of dashes."""
-    t = F.col("text")
-    return documents(spark, sf_dir).select("doc_id", F.md5(detectors.remover("OpenAI")(t).cast("binary")).alias("controls_md5"), F.md5(detectors.remover("Gemini")(t).cast("binary")).alias("selectors_md5"))
+    r = detectors.removers("OpenAI", "Gemini")(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(r["OpenAI"].cast("binary")).alias("controls_md5"), F.md5(r["Gemini"].cast("binary")).alias("selectors_md5"))
 
 
 def remove_markup(spark, sf_dir):
-    t = F.col("text")
-    return documents(spark, sf_dir).select("doc_id", *[F.md5(detectors.remover(v)(t).cast("binary")).alias(f"{v.lower()}_md5") for v in ("Claude", "DeepSeek", "Grok", "Mistral")])
+    vendors = ("Claude", "DeepSeek", "Grok", "Mistral")
+    r = detectors.removers(*vendors)(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", *[F.md5(r[v].cast("binary")).alias(f"{v.lower()}_md5") for v in vendors])
 
 
 def markdown_lines(spark, sf_dir):

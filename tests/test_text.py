@@ -185,3 +185,27 @@ def test_places_without_python(spark):
         got.setdefault(r.id, []).append((r.vendor, r.pattern, r.confidence, r.position, r.length))
     assert got == {i: m for i, m in want.items() if m} and len(got) > 200
     assert found.filter("id = 302").count() == 1000
+
+
+def test_results_leave_python_in_slices(spark):
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from sievelake.functions.vectorised import SLICE, in_slices
+
+    seen = []
+
+    def lengths(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            seen.append(len(a))
+            yield a.str.len() + b
+
+    n = 3 * SLICE + 1
+    batches = [(pd.Series(["ab"] * n), pd.Series(range(n))), (pd.Series(["c"]), pd.Series([0]))]
+    assert pd.concat(in_slices(lengths)(iter(batches))).tolist() == [2 + i for i in range(n)] + [1] and seen == [SLICE] * 3 + [1, 1]
+    docs = spark.range(n).repartition(1).select(F.col("id"), F.concat(F.lit("aа​ "), F.col("id").cast("string")).alias("text"))
+    rows = docs.select("id", detectors.removers("Claude", "Gemini")(F.col("text")).alias("r"), detectors.remover("Claude")(F.col("text")).alias("one"), detectors.remover("Gemini")(F.when(F.col("id") > 5, F.col("text"))).alias("some")).collect()
+    assert all(r.r["Claude"] == r.one == f"aa {r.id}" and r.r["Gemini"] == f"aа {r.id}" and r.some == (r.r["Gemini"] if r.id > 5 else None) for r in rows)
+    plan = docs.select(*[detectors.removers("Claude", "Grok")(F.col("text"))[v] for v in ("Claude", "Grok")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
