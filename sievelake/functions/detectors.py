@@ -163,6 +163,10 @@ class Registry:
             raise ValueError(f"more than {most} patterns")
         return self.with_detectors(*[Detector.of_literal(*r) for r in sorted(rows)])
 
+    def only(self, *vendors: str) -> Registry:
+        """With the detectors and removers of some vendors: the others' read nothing."""
+        return Registry(tuple(d for d in self.detectors if d.vendor in vendors), tuple((v, r) for v, r in self.removers if v in vendors), self.few)
+
     @property
     def vendors(self) -> list[str]:
         return list(dict.fromkeys(d.vendor for d in self.detectors))
@@ -179,7 +183,7 @@ class Registry:
         """Whether any match is possible, as far as an expression can tell."""
         if self.wide:
             return text.isNotNull()
-        out = F.rlike(text, F.lit(CANDIDATE))
+        out = F.rlike(text, F.lit(CANDIDATE)) if len(self.added) < len(self.detectors) else F.lit(False)
         for d in self.added:
             out = out | (F.contains(text, F.lit(d.literal)) if d.literal else F.rlike(text, F.lit(d.carriers if d.needs else d.java)))
         return out

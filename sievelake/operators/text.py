@@ -133,7 +133,8 @@ def detect_text(df: DataFrame, text_col: str = "text", registry: detectors.Regis
     rest, valid = fresh(df, "_rare"), fresh(df, "_valid")
     found = df.filter(detectors.is_candidate(F.col(text_col), registry)).withColumn(valid, F.make_valid_utf8(F.col(text_col))).withColumn(rest, detectors.rare(F.col(valid)))
     found = found.withColumn(own, detectors.detect(F.col(valid), registry, F.col(rest)))
-    return found.select(*keep, F.posexplode(own).alias("match", own)).select(*keep, "match", *[F.col(own)[k].alias(k) for k in _MATCH])
+    # from an inner one the optimiser takes a filter on the number of matches, and finds them all once more for it
+    return found.select(*keep, F.posexplode_outer(own).alias("match", own)).filter("match is not null").select(*keep, "match", *[F.col(own)[k].alias(k) for k in _MATCH])
 
 
 def signal_counts(df: DataFrame, keys: list[str], text_col: str = "text", registry: detectors.Registry | None = None) -> DataFrame:

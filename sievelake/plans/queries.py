@@ -232,7 +232,7 @@ def custom_signals(spark, sf_dir):
 def custom_matches(spark, sf_dir):
     """Two detectors of the caller's beside the others: their matches in planted texts."""
     registry = detectors.REGISTRY.with_detectors(detectors.Detector.of_literal("Editor", "heading", 0.5, "# Head"), detectors.Detector("Editor", "rule", 0.4, r"\*{3,}"))
-    return text.detect_text(documents(spark, sf_dir), registry=registry).filter("vendor = 'Editor'").select("doc_id", "pattern", "confidence", "position", "length")
+    return text.detect_text(documents(spark, sf_dir), registry=registry.only("Editor")).select("doc_id", "pattern", "confidence", "position", "length")
 
 
 def events_of(spark, sf_dir, kind: str) -> DataFrame:

@@ -209,3 +209,18 @@ def test_results_leave_python_in_slices(spark):
     assert all(r.r["Claude"] == r.one == f"aa {r.id}" and r.r["Gemini"] == f"aа {r.id}" and r.some == (r.r["Gemini"] if r.id > 5 else None) for r in rows)
     plan = docs.select(*[detectors.removers("Claude", "Grok")(F.col("text"))[v] for v in ("Claude", "Grok")])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_other_vendors_read_nothing(spark):
+    registry = detectors.REGISTRY.with_detectors(detectors.Detector.of_literal("Editor", "heading", 0.5, "# Head"), detectors.Detector("Editor", "rule", 0.4, r"\*{3,}"))
+    docs = spark.createDataFrame([(1, "# Head ​​ ****"), (2, "a​​b"), (3, None), (4, "x *** y # Head # Head")], "id long, text string")
+    whole = text.detect_text(docs, registry=registry).filter("vendor = 'Editor'").drop("match")
+    own = text.detect_text(docs, registry=registry.only("Editor")).drop("match")
+    assert sorted(map(str, own.collect())) == sorted(map(str, whole.collect())) and own.count() == 5
+    assert "Mistral" not in own._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matches_are_found_once_for_each_text(spark):
+    found = text.detect_text(spark.createDataFrame([(1, "a​​b"), (2, "plain"), (3, None)], "id long, text string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("bidi-override") == 1
+    assert [r.id for r in found.collect()] == [1]
