@@ -10,7 +10,9 @@ a banded Levenshtein alignment, whose columns are machine words of differences.
 candidates are met in passes. First those of a few bands, in blocks of bounded size, each with some members of the whole
 bucket as heads, so that a large group of copies links up at a cost in proportion to its size. Then, in
 buckets of several blocks and those of all other bands, in two rounds, members that aren't in one class yet meet, so that no pair of
-candidates is left out; most copies are one class by then, and their words aren't sent again. Links join into classes
+candidates is left out; most copies are one class by then, and their words aren't sent again. In buckets of several blocks only
+texts of like lengths meet, and in those of many only texts with one of their rarest words in common: an exact filter, as texts
+with few edits between them have most words in common. Links join into classes
 by contraction in tables, never on the driver.
 """
 
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm.common import Scratch, shuffle_partitions
@@ -169,31 +171,106 @@ def first_meetings(buckets: DataFrame, members: DataFrame, heads: int) -> DataFr
     return rows.select("_sig", "_node", F.explode(blocks).alias("_block")).select(F.xxhash64("_sig", "_block").alias("_task"), "_node")
 
 
-def later_meetings(rest: DataFrame, members: DataFrame, found: DataFrame, block: int, block_words: int, scratch: Scratch) -> DataFrame:
-    """(_task, _node, _class): members of the buckets ``rest`` that are of different classes so far.
+def meetings(rows: DataFrame, least: float, block: int, block_words: int, scratch: Scratch, most: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(_task, _node, _class) in which each two members of a group of (_group, _node, _len, _class) meet that are of different classes and of lengths that a link may join.
 
     A class of more than a block is cut into chunks of its own, which don't meet each other; small
-    classes share chunks. Every two other chunks of a bucket meet.
+    classes share chunks. Chunks go by length, and every two others of a group meet whose lengths are near enough. Groups where a
+    chunk may meet more than ``most`` others, of their greatest _len, are left out and come second, as (_group).
     """
-    rows = members.join(rest.select("_sig"), "_sig").join(found, F.col("_node") == F.col("node"), "left")
-    rows = scratch.settle(rows.select(F.col("_sig").alias("_bucket"), "_node", "_len", F.coalesce("root", "_node").alias("_class")), "other-buckets")
-    sizes = rows.groupBy("_bucket", "_class").agg(F.count("*").alias("_n"), F.sum("_len").alias("_words")).withColumn("_parts", parts_of("_n", "_words", block, block_words))
-    small = F.col("_parts") == 1
-    totals = sizes.groupBy("_bucket").agg(F.count("*").alias("_classes"), F.sum(F.when(small, F.col("_n"))).alias("_sn"), F.sum(F.when(small, F.col("_words"))).alias("_sw")).filter("_classes > 1")
-    totals = totals.select("_bucket", F.coalesce(parts_of("_sn", "_sw", block, block_words), F.lit(0)).alias("_shared"))
-    sizes = sizes.join(totals, "_bucket").select("_bucket", "_class", "_parts", "_shared", F.when(F.col("_parts") > 1, F.col("_class")).alias("_large"))
-    part = F.when(F.col("_large").isNotNull(), F.pmod(F.xxhash64("_node", F.lit(6)), F.col("_parts"))).otherwise(F.pmod(F.xxhash64("_class", F.lit(6)), F.col("_shared"))).cast("int")
-    rows = rows.select("_bucket", "_node", "_class").join(sizes, ["_bucket", "_class"]).select("_bucket", "_node", "_class", "_large", part.alias("_part"))
+    # a quarter of the least ratio of lengths, and a little for what the logarithm is off
+    step = F.floor(4 * F.log(F.greatest("_len", F.lit(1))) / float(np.log(1.001 / least))).alias("_step")
+    sizes = rows.groupBy("_group", "_class").agg(F.count("*").alias("_n"), F.sum("_len").alias("_words")).withColumn("_parts", parts_of("_n", "_words", block, block_words))
+    several = sizes.groupBy("_group").agg(F.count("*").alias("_classes")).filter("_classes > 1").select("_group")
+    sizes = sizes.join(several, "_group").select("_group", "_class", F.when(F.col("_parts") > 1, F.col("_class")).alias("_large"))
     # read twice below
-    rows = scratch.settle(rows, "dealt-buckets")
-    chunks = rows.select("_bucket", "_large", "_part").distinct().withColumn("_chunk", F.xxhash64("_bucket", "_large", "_part"))
-    other = chunks.select("_bucket", F.col("_large").alias("_other_large"), F.col("_chunk").alias("_other"))
+    rows = scratch.settle(rows.select("_group", "_node", "_class", "_len", step).join(sizes, ["_group", "_class"]), "grouped")
+    blocks = F.greatest(F.count("*") / block, F.sum("_len") / block_words)
+    steps = rows.groupBy("_group", "_large", "_step").agg(blocks.alias("_blocks"), F.max("_len").alias("_longest"))
+    # a few steps of each group or class, not its members
+    before = Window.partitionBy("_group", "_large").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = scratch.settle(steps.withColumn("_before", F.coalesce(F.sum("_blocks").over(before), F.lit(0.0))), "steps")
+    left = None
+    if most is not None:
+        around = Window.partitionBy("_group").orderBy("_step").rangeBetween(-4, 4)
+        near = steps.groupBy("_group", "_step").agg(F.sum("_blocks").alias("_blocks"), F.max("_longest").alias("_longest")).withColumn("_near", F.sum("_blocks").over(around))
+        left = near.groupBy("_group").agg(F.max("_near").alias("_near"), F.max("_longest").alias("_longest")).filter(F.col("_near") > most).select("_group")
+        left = scratch.settle(left, "left")
+        steps = steps.join(left, "_group", "left_anti")
+    share = F.pmod(F.xxhash64("_node", F.lit(6)), F.lit(1 << 20)) / (1 << 20)
+    own = steps.select(F.col("_group").alias("_g"), F.col("_large").alias("_l"), F.col("_step").alias("_s"), "_before", "_blocks")
+    rows = rows.join(own, (F.col("_group") == F.col("_g")) & F.col("_large").eqNullSafe(F.col("_l")) & (F.col("_step") == F.col("_s")))
+    rows = rows.select("_group", "_node", "_class", "_large", "_step", F.xxhash64("_group", "_large", F.floor(F.col("_before") + share * F.col("_blocks"))).alias("_chunk"))
+    rows = scratch.settle(rows, "dealt-groups")
+    chunks = rows.groupBy("_group", "_large", "_chunk").agg(F.min("_step").alias("_from"), F.max("_step").alias("_to"))
+    other = chunks.select("_group", F.col("_large").alias("_other_large"), F.col("_chunk").alias("_other"), F.col("_from").alias("_other_from"), F.col("_to").alias("_other_to"))
     apart = F.col("_large").isNull() | ~F.col("_large").eqNullSafe(F.col("_other_large"))
-    pairs = chunks.join(other, "_bucket").filter((F.col("_chunk") <= F.col("_other")) & apart)
-    task = F.xxhash64("_bucket", "_chunk", "_other").alias("_task")
+    near = (F.col("_from") <= F.col("_other_to") + 4) & (F.col("_other_from") <= F.col("_to") + 4)
+    pairs = chunks.join(other, "_group").filter((F.col("_chunk") <= F.col("_other")) & apart & near)
+    task = F.xxhash64("_group", "_chunk", "_other").alias("_task")
     ends = F.array_distinct(F.array("_chunk", "_other"))
-    meets = pairs.select(task, "_bucket", F.explode(ends).alias("_chunk"))
-    return rows.withColumn("_chunk", F.xxhash64("_bucket", "_large", "_part")).join(meets, ["_bucket", "_chunk"]).select("_task", "_node", "_class")
+    meets = pairs.select(task, "_group", F.explode(ends).alias("_chunk"))
+    return rows.join(meets, ["_group", "_chunk"]).select("_task", "_node", "_class"), left
+
+
+def later_meetings(rest: DataFrame, members: DataFrame, found: DataFrame, words: DataFrame, least: float, block: int, block_words: int, scratch: Scratch) -> DataFrame:
+    """(_node, _class, _tasks, _with): members of the buckets ``rest`` that are of different classes so far.
+
+    Where texts of a bucket would be met by many chunks they meet by rare words instead (see ``word_tasks``), so that a text's meetings
+    have a bound that doesn't grow with the bucket. Of those, _with has the buckets, one of which two texts must share.
+    """
+    rows = members.join(rest.select("_sig"), "_sig").join(found, F.col("_node") == F.col("node"), "left")
+    rows = scratch.settle(rows.select(F.col("_sig").alias("_group"), "_node", "_len", F.coalesce("root", "_node").alias("_class")), "other-buckets")
+    # a text has as many rare words as a link may have edits, and one more; few of them are another class's
+    tasks, wide = meetings(rows, least, block, block_words, scratch, most=F.greatest(F.lit(3.0), (1 - least) * F.col("_longest") / 4))
+    out = gathered(tasks).withColumn("_with", F.lit(None).cast("array<long>"))
+    if wide.isEmpty():
+        return out
+    nodes = rows.join(wide, "_group").groupBy("_node", "_class").agg(F.collect_set("_group").alias("_with"))
+    nodes = scratch.settle(words.select("_node", "_data").join(nodes, "_node"), "wide-nodes")
+    by_word = gathered(word_tasks(nodes, least, block, block_words, scratch))
+    return out.unionByName(by_word.join(nodes.select("_node", "_with"), "_node"))
+
+
+def word_tasks(nodes: DataFrame, least: float, block: int, block_words: int, scratch: Scratch, sample: int = 20_000, listed: int = 4096) -> DataFrame:
+    """(_task, _node, _class) in which each two nodes of (_node, _class, _data) that may be linked meet.
+
+    Two texts that a link may join have all words in common but as many as it may have edits. So of the words of each in one order
+    for all, occurrences counted, the first ones, one more than such edits, have one in common. Any order will do; the most frequent words come last, so that few texts share
+    one of their first. Those are told from a sample, which bears on the time only.
+    """
+
+    def occurring(data: bytes) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return symbols(unpacked(data), 1).view(np.int64)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found, n = np.unique(np.concatenate([np.empty(0, np.int64), *map(occurring, batch["_data"])]), return_counts=True)
+            yield pd.DataFrame({"_group": found, "_n": n})
+
+    every = max(1, nodes.count() // sample)
+    some = nodes.filter(F.pmod(F.xxhash64("_node", F.lit(8)), F.lit(every)) == 0).select("_data")
+    top = some.mapInPandas(count, "_group long, _n long").groupBy("_group").agg(F.sum("_n").alias("_n")).filter("_n > 1").orderBy(F.desc("_n"), "_group").limit(listed).collect()
+    frequent = np.array(sorted(r["_group"] for r in top), np.int64)
+    counts = np.array([r["_n"] for r in sorted(top, key=lambda r: r["_group"])], np.int64)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for node, own, data in zip(batch["_node"], batch["_class"], batch["_data"], strict=True):
+                found = occurring(data)
+                often = np.zeros(len(found), np.int64)
+                if len(frequent):
+                    at = np.searchsorted(frequent, found).clip(max=len(frequent) - 1)
+                    often = np.where(frequent[at] == found, counts[at], 0)
+                picked = found[np.lexsort((found, often))[: limit_of(len(found), least) + 1]]
+                yield pd.DataFrame({"_group": picked, "_node": node, "_class": own, "_len": len(found)})
+
+    rows = scratch.settle(nodes.mapInPandas(first, "_group long, _node long, _class long, _len long"), "rare-words")
+    groups = rows.groupBy("_group").agg(F.count("*").alias("_n"), F.min("_class").alias("_a"), F.max("_class").alias("_b"), F.bit_xor(F.xxhash64("_node", F.lit(1))).alias("_x"), F.bit_xor(F.xxhash64("_node", F.lit(2))).alias("_y")).filter("_a < _b")
+    # of words with the same texts one is enough
+    groups = groups.groupBy("_n", "_x", "_y").agg(F.min("_group").alias("_group")).select("_group")
+    return meetings(scratch.settle(rows.join(groups, "_group"), "shared-words"), least, block, block_words, scratch)[0]
 
 
 def shared_words(texts: list[np.ndarray]) -> np.ndarray:
@@ -248,10 +325,18 @@ class Leaders:
         return near[1] is not None and j != b and self.distance(i, b) - near[1] > limit or near[0] is not None and i != a and self.distance(j, a) - near[0] > limit
 
 
-def block_links(nodes: list[int], texts: list[np.ndarray], classes: list[int], least: float) -> list[tuple[int, int]]:
-    """Links that join the texts of a task into classes; texts of one class aren't compared. All other pairs are."""
+def sharing(sets: list[np.ndarray]) -> np.ndarray:
+    """Which two of the sets have a member in common."""
+    members, at = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros((len(sets), len(members)), np.float32)
+    held[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), at] = 1
+    return held @ held.T > 0
+
+
+def block_links(nodes: list[int], texts: list[np.ndarray], classes: list[int], least: float, buckets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links that join the texts of a task into classes; texts of one class aren't compared. All other pairs are, or those that share one of their ``buckets``."""
     n = len(nodes)
-    if n == 2:
+    if n == 2 and (buckets is None or sharing(buckets)[0, 1]):
         limit = limit_of(max(map(len, texts)), least)
         return [(nodes[0], nodes[1])] if classes[0] != classes[1] and edits(texts[0], texts[1], limit) <= limit else []
     sizes, label, out = np.array([len(t) for t in texts]), np.unique(classes, return_inverse=True)[1], []
@@ -260,6 +345,8 @@ def block_links(nodes: list[int], texts: list[np.ndarray], classes: list[int], l
     leaders = Leaders(texts, label, least)
     # an edit takes away one word of a text and adds one at most
     alike = shared_words(texts) >= least * np.maximum(sizes[:, None], sizes[None, :]) - 1e-6
+    if buckets is not None:
+        alike &= sharing(buckets)
     for i in range(n - 1):
         for j in (i + 1 + np.flatnonzero(alike[i, i + 1 :] & (label[i + 1 :] != label[i]))).tolist():
             if label[i] != label[j]:
@@ -299,30 +386,33 @@ def candidates(own: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def links(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b) with a < b: links between the rows (_node, _class, _data, _tasks) of different classes that share a task."""
+    """(a, b) with a < b: links between the rows (_node, _class, _data, _tasks, _with) of different classes that share a task, and one of _with if that isn't null."""
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, nodes, held, classes, out = None, [], [], [], []
+        task, nodes, held, classes, buckets, out = None, [], [], [], [], []
 
         def done():
-            out.extend((min(a, b), max(a, b)) for a, b in block_links(nodes, held, classes, least))
+            # of a task's rows all have buckets or none
+            sets = buckets if buckets and buckets[0] is not None else None
+            out.extend((min(a, b), max(a, b)) for a, b in block_links(nodes, held, classes, least, sets))
 
         for batch in batches:
-            for t, node, data, own in zip(batch["_task"], batch["_node"], batch["_data"], batch["_class"], strict=True):
+            for t, node, data, own, among in zip(batch["_task"], batch["_node"], batch["_data"], batch["_class"], batch["_with"], strict=True):
                 if t != task:
                     done()
-                    task, nodes, held, classes = t, [], [], []
+                    task, nodes, held, classes, buckets = t, [], [], [], []
                 if not nodes or nodes[-1] != node:
                     nodes.append(int(node))
                     held.append(unpacked(data))
                     classes.append(int(own))
+                    buckets.append(among)
             if len(out) > 10_000:
                 yield pd.DataFrame(out, columns=["a", "b"])
                 out.clear()
         done()
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    rows = rows.select("_node", "_class", "_data", F.explode("_tasks").alias("_task"))
+    rows = rows.select("_node", "_class", "_data", "_with", F.explode("_tasks").alias("_task"))
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "_task").sortWithinPartitions("_task", "_node")
     return dealt.mapInPandas(meet, "a long, b long").distinct()
 
@@ -397,12 +487,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # texts are shuffled once: later meetings take the words of candidates from this table
     asked = members.select("_node").distinct().join(tasks, "_node", "left").join(nodes, "_node").withColumn("_class", F.col("_node"))
     words = scratch.settle(candidates(scratch.settle(asked, "tasks"), named), "candidates")
-    roots = classes(scratch.settle(links(words, similarity), "links"), scratch)
+    roots = classes(scratch.settle(links(words.withColumn("_with", F.lit(None).cast("array<long>")), similarity), "links"), scratch)
     for k in (1, 2):
         # what one round ties, the next needn't look at
         rest = told(members.filter(f"_round = {k}")).select("_sig")
         rest = rest.unionByName(buckets.filter("_parts > 1").select("_sig")) if k == 1 else rest
-        own = scratch.settle(gathered(later_meetings(rest, members, roots, block, block_words, scratch)), "later-tasks")
+        own = scratch.settle(later_meetings(rest, members, roots, words, similarity, block, block_words, scratch), "later-tasks")
         if not own.isEmpty():
             found = scratch.settle(links(words.select("_node", "_data").join(own, "_node"), similarity), "later-links")
             # a class so far is its members' ties to its root

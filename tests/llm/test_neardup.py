@@ -228,3 +228,53 @@ def test_odd_rows(odd, none):
         of[r.class_id].add(r.doc_id)
     assert of[0] == {0, 1, 2} and of[3] == {3, 4} and of[7] >= {7, 8} and of[None] == {None}
     assert near_duplicates(none).collect() == []
+
+
+def unlike(n, seed=5):
+    """Texts that share a passage and a common line's words but little else, one in ten with a near copy beyond the passage."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    common, docs = [word() for _ in range(12)], []
+    passage = [word() for _ in range(30)]
+    for i in range(n):
+        w = passage + [rng.choice(common) if rng.random() < 0.3 else word() for _ in range(30)]
+        docs.append(" ".join(w))
+        if i % 10 == 0:
+            for at in rng.sample(range(30, 60), 6):
+                w[at] = word()
+            docs.append(" ".join(w))
+    return list(enumerate(docs))
+
+
+def test_meetings_of_a_large_bucket_grow_as_its_members(spark, monkeypatch):
+    """All share a passage's buckets: four times as many texts of one length make about four times as many rows, not sixteen."""
+    made, real = [], neardup.links
+
+    def links(rows, least):
+        made.append(rows.selectExpr("sum(size(_tasks))").first()[0])
+        return real(rows, least)
+
+    monkeypatch.setattr(neardup, "links", links)
+    sums = []
+    for n in (100, 400):
+        docs = unlike(n)
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        rows = classes_of(near_duplicates(df, block=8, heads=2).collect())
+        sums.append(sum(made[1:]))
+        made.clear()
+        assert rows == brute(docs) if n == 100 else recall(rows, docs)[0] == 1.0
+    assert sums[1] <= 6 * sums[0], sums
+
+
+def test_lengths_part_a_large_bucket(spark):
+    """Pairs at the least ratio of lengths are met, whichever step each falls in."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage, docs = [word() for _ in range(40)], []
+    for length in range(60, 140, 2):
+        w = passage + [word() for _ in range(length - 40)]
+        docs += [" ".join(w), " ".join(w[: -int(0.2 * length)])]
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = classes_of(near_duplicates(df).collect())
+    assert classes_of(near_duplicates(df, block=4, heads=1).collect()) == want and recall(want, docs)[0] == 1.0
