@@ -224,3 +224,11 @@ def test_matches_are_found_once_for_each_text(spark):
     found = text.detect_text(spark.createDataFrame([(1, "a​​b"), (2, "plain"), (3, None)], "id long, text string"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("bidi-override") == 1
     assert [r.id for r in found.collect()] == [1]
+
+
+def test_narrowed_class_is_the_quick_one(spark):
+    """Each character of the basic plane but surrogates, and some beyond; most text needs no look at all spans."""
+    chars = [(chr(c),) for c in [*range(0xD800), *range(0xE000, 0x10000), *range(0x1F600, 0x1F650)]]
+    points = spark.createDataFrame(chars, "c string")
+    assert points.filter(F.rlike("c", F.lit(hygiene.QUICK_CLASS)) != hygiene.may_change(F.col("c"))).count() == 0
+    assert hygiene.QUICK_NARROWED.startswith(r"[[^\x{0}-\x{9F}\x{BF}-\x{131}]&&") and points.filter(hygiene.may_change(F.col("c"))).count() > 5000
