@@ -6,6 +6,7 @@ Python, and only for rows with a character outside ASCII: see ``operators.text``
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sievelake import schemas
-from sievelake.functions.codepoints import ELLIPSIS, STRIP_NAMES, STRIPPED, SUBSTITUTED, java_class, narrowed
+from sievelake.functions.codepoints import ELLIPSIS, STRIP_NAMES, STRIPPED, SUBSTITUTED, java_class, narrowed, python_class
 from sievelake.functions.vectorised import vectorised
 
 STRIP_CLASS = narrowed(java_class(STRIPPED))
@@ -24,6 +25,7 @@ HYGIENE_CLASS = narrowed(java_class(STRIPPED + "".join(SUBSTITUTED)))
 ONE_TO_ONE = {k: v for k, v in SUBSTITUTED.items() if k != ELLIPSIS}
 BEYOND_ASCII = r"[^\x00-\x7F]"
 BLANKS = r"[ \t]{2,}"
+_WORK = re.compile(python_class("".join(STRIP_NAMES) + "".join(SUBSTITUTED)))
 
 
 def _settled(c: str) -> bool:
@@ -116,16 +118,17 @@ def clean(text: str) -> tuple[str, list[tuple], float]:
     """Cleaned text, removal log and confidence of one text."""
     if text.isascii():
         return text, [], 0.0
-    at, out, log = utf16_positions(text), [], []
-    for i, c in enumerate(text):
+    at, out, log, last = utf16_positions(text), [], [], 0
+    for m in _WORK.finditer(text):
+        i, c = m.start(), m[0]
+        out.append(text[last:i])
+        last = i + 1
         if c in STRIP_NAMES:
             log.append(("unicode-strip", at(i), 1, STRIP_NAMES[c]))
-        elif c in SUBSTITUTED:
+        else:
             out.append(SUBSTITUTED[c])
             log.append(("unicode-substitute", at(i), 1, f"U+{ord(c):04X} to {SUBSTITUTED[c]!r}"))
-        else:
-            out.append(c)
-    tidied = "".join(out)
+    tidied = "".join([*out, text[last:]])
     normal = unicodedata.normalize("NFKC", tidied)
     if normal != tidied:
         log.append(("nfkc-normalization", 0, 0, "NFKC normalization"))

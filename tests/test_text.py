@@ -232,3 +232,17 @@ def test_narrowed_class_is_the_quick_one(spark):
     points = spark.createDataFrame(chars, "c string")
     assert points.filter(F.rlike("c", F.lit(hygiene.QUICK_CLASS)) != hygiene.may_change(F.col("c"))).count() == 0
     assert hygiene.QUICK_NARROWED.startswith(r"[[^\x{0}-\x{9F}\x{BF}-\x{131}]&&") and points.filter(hygiene.may_change(F.col("c"))).count() > 5000
+
+
+def test_cleaning_a_long_text_looks_at_odd_characters_only(monkeypatch):
+    """Names are asked for the characters that go or are replaced, not for each of the text."""
+    asked = []
+
+    class Names(dict):
+        def __contains__(self, c):
+            asked.append(c)
+            return super().__contains__(c)
+
+    monkeypatch.setattr(hygiene, "STRIP_NAMES", Names(hygiene.STRIP_NAMES))
+    cleaned, log, _ = hygiene.clean("​" + "é" * 5000 + "\U0001f600—" + "é" * 5000 + "​")
+    assert cleaned == "é" * 5000 + "\U0001f600-" + "é" * 5000 and [x[1] for x in log] == [0, 5003, 10004] and len(asked) == 3
