@@ -118,17 +118,23 @@ def edits(a: np.ndarray, b: np.ndarray, limit: int) -> int:
 
     # bit t of column j is row j - half + t; rows above the first add one for each column
     up, down, score = mask & ~((1 << half) - 1), 0, gap
+    # most texts have one table, which needs no choice of tables for each word
+    only = places(0) if len(a) <= CHUNK else None
     for j, w in enumerate(b):
         low, equal = j - half, 0
-        first = max(low, 0) // CHUNK
-        for chunk in range(first, (low + width - 1) // CHUNK + 1):
-            if chunk not in held:
-                held[chunk] = places(chunk)
-                held.pop(first - 1, None)
-            bits = held[chunk].get(w)
-            if bits:
-                shift = chunk * CHUNK - low
-                equal |= bits << shift if shift >= 0 else bits >> -shift
+        if only is not None:
+            if w in only:
+                equal = only[w] >> low if low > 0 else only[w] << -low
+        else:
+            first = max(low, 0) // CHUNK
+            for chunk in range(first, (low + width - 1) // CHUNK + 1):
+                if chunk not in held:
+                    held[chunk] = places(chunk)
+                    held.pop(first - 1, None)
+                bits = held[chunk].get(w)
+                if bits:
+                    shift = chunk * CHUNK - low
+                    equal |= bits << shift if shift >= 0 else bits >> -shift
         either = (equal & mask) | down
         free = (((either & up) + up) ^ up) | either
         right, left = down | ~(free | up), free & up
@@ -357,6 +363,21 @@ def block_links(nodes: list[int], texts: list[np.ndarray], classes: list[int], l
     return out
 
 
+def ties(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Each member of a class that the pairs make, but for its least, with that one before it."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        above[max(a, b)] = min(a, b)
+    return [(top(x), x) for x in above if top(x) != x]
+
+
 def gathered(tasks: DataFrame) -> DataFrame:
     """_node, _class and the _tasks of each node."""
     return tasks.groupBy("_node", "_class").agg(F.collect_list("_task").alias("_tasks"))
@@ -386,7 +407,10 @@ def candidates(own: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def links(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b) with a < b: links between the rows (_node, _class, _data, _tasks, _with) of different classes that share a task, and one of _with if that isn't null."""
+    """(a, b) with a < b: ties of classes that links join, between the rows (_node, _class, _data, _tasks, _with) that share a task, and one of _with if that isn't null.
+
+    A task ties all classes that it joins to the least of these. A tie may come from several tasks.
+    """
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, nodes, held, classes, buckets, out = None, [], [], [], [], []
@@ -394,7 +418,8 @@ def links(rows: DataFrame, least: float) -> DataFrame:
         def done():
             # of a task's rows all have buckets or none
             sets = buckets if buckets and buckets[0] is not None else None
-            out.extend((min(a, b), max(a, b)) for a, b in block_links(nodes, held, classes, least, sets))
+            of = dict(zip(nodes, classes, strict=True))
+            out.extend(ties([(of[a], of[b]) for a, b in block_links(nodes, held, classes, least, sets)]))
 
         for batch in batches:
             for t, node, data, own, among in zip(batch["_task"], batch["_node"], batch["_data"], batch["_class"], batch["_with"], strict=True):
@@ -414,14 +439,15 @@ def links(rows: DataFrame, least: float) -> DataFrame:
 
     rows = rows.select("_node", "_class", "_data", "_with", F.explode("_tasks").alias("_task"))
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "_task").sortWithinPartitions("_task", "_node")
-    return dealt.mapInPandas(meet, "a long, b long").distinct()
+    return dealt.mapInPandas(meet, "a long, b long")
 
 
 def classes(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of all nodes with a link; the root is the least node of its class.
 
-    Alternates large stars and small stars: each node's larger, then smaller neighbours are tied to
-    its least one, until each is tied to its root, which takes a logarithmic number of rounds.
+    Alternates small stars and large stars: each node's smaller, then larger neighbours are tied to
+    its least one, until each is tied to its root, which takes a logarithmic number of rounds. Small stars come first, as
+    stars that have members in common then are one after a round. Edges may repeat.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -433,8 +459,8 @@ def classes(edges: DataFrame, scratch: Scratch) -> DataFrame:
             tied = tied.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         else:
             tied = tied.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        # of an edge comes one row at most, and the small star has each once
-        return tied.filter("a <> b") if large else tied.filter("a <> b").distinct()
+        # what comes twice goes once, after both stars
+        return tied.filter("a <> b").distinct() if large else tied.filter("a <> b")
 
     def told(e: DataFrame) -> bool:
         """Whether each node has one other that it is tied to, which is tied to none itself."""
@@ -442,7 +468,7 @@ def classes(edges: DataFrame, scratch: Scratch) -> DataFrame:
         return ends.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or down = 1 and up = 1").count() == 0
 
     while True:
-        edges = scratch.settle(star(star(edges, True), False), "stars")
+        edges = scratch.settle(star(star(edges, False), True), "stars")
         if told(edges):
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
@@ -495,6 +521,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         own = scratch.settle(later_meetings(rest, members, roots, words, similarity, block, block_words, scratch), "later-tasks")
         if not own.isEmpty():
             found = scratch.settle(links(words.select("_node", "_data").join(own, "_node"), similarity), "later-links")
+            if found.isEmpty():
+                continue
             # a class so far is its members' ties to its root
             roots = classes(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found), scratch)
     of_text = nodes.join(roots, F.col("_node") == F.col("node"), "left").select("_sha", "_id", F.coalesce("root", "_node").alias("_root"))

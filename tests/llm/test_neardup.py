@@ -220,6 +220,25 @@ def test_long_chain_is_one_class(spark):
     assert found == {i: 0 for i in range(1, 71)} | {101: 100}
 
 
+def test_stars_with_members_in_common_are_one_class_after_a_round(spark):
+    """As the blocks of a bucket make them: each ties its own members and all heads to its least."""
+    blocks = [[k, *range(100, 104), *range(1000 + 10 * k, 1010 + 10 * k)] for k in range(1, 9)]
+    edges = spark.createDataFrame([(b[0], x) for b in blocks for x in b[1:]], "a long, b long")
+    settled = []
+
+    class Counting(Scratch):
+        def settle(self, df, name):
+            settled.append(name)
+            return super().settle(df, name)
+
+    found = {r.node: r.root for r in neardup.classes(edges, Counting(spark)).collect()}
+    assert found == {x: 1 for b in blocks for x in b if x != 1} and settled == ["stars"]
+
+
+def test_a_task_ties_what_it_joins_to_the_least():
+    assert sorted(neardup.ties([(5, 7), (9, 7), (2, 3), (9, 1), (7, 5)])) == [(1, 5), (1, 7), (1, 9), (2, 3)]
+
+
 def test_odd_rows(odd, none):
     rows = near_duplicates(odd).collect()
     assert len(rows) == odd.count()
