@@ -15,8 +15,8 @@ from sievelake.operators.temporal import asof_join, interval_join
 from sievelake.options import MarkdownOptions, TextOptions
 from sievelake.plans.planted import planted, planted_documents
 from sievelake.session import new_folder
-from sievelake.sources.sink import write_files
-from sievelake.sources.files import as_json, classify, is_supported, output_path
+from sievelake.sources.sink import LISTING, write_files
+from sievelake.sources.files import as_json, classify, is_supported, output_path, read_files
 from sievelake.streaming.budgets import budgets
 from sievelake.streaming.signals import bursts, read_stream, signal_rates
 
@@ -217,11 +217,10 @@ def batch_outcomes(spark, sf_dir):
 
 def written_files(spark, sf_dir):
     """A mixed batch, cleaned, written as files and read again."""
-    folder = new_folder(spark, "cleaned-files")
-    write_files(files.clean_all(mixed_files(spark, sf_dir)), folder, base="/in.d")
-    # a scan's task has 32 small files at most, which are as many tasks as files before long
-    found = spark.read.format("binaryFile").load(folder).coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length", F.md5("content").alias("content_md5"))
+    folder, listing = new_folder(spark, "cleaned-files"), new_folder(spark, "cleaned-names")
+    write_files(files.clean_all(mixed_files(spark, sf_dir)), folder, base="/in.d", listing=listing)
+    found = read_files(spark.read.schema(LISTING).parquet(listing), folder)
+    return found.select(F.regexp_extract("name", "([^/]*)$", 1).alias("name"), "length", F.md5("content").alias("content_md5"))
 
 
 def custom_signals(spark, sf_dir):

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.functions.metadata import EXTENSIONS, MARKDOWN, TEXT, extension_of
+from sievelake.sources.sink import join_path, store_of
 
 
 #: The longest value that a column can hold.
 MAX_BYTES = (1 << 31) - 1
+#: Files of ``read_files`` leave a task once they are so many or so many bytes.
+SLICE_FILES, SLICE_BYTES = 1024, 1 << 24
 
 
 def read_texts(spark: SparkSession, path: str, *, recursive: bool = False) -> DataFrame:
@@ -39,6 +45,34 @@ def list_files(spark: SparkSession, path: str, *, recursive: bool = False, suffi
     return df.filter(fits).select("path", "length", "content", "extension").unionByName(large)
 
 
+def read_files(listed: DataFrame, folder: str) -> DataFrame:
+    """(name, length, content) of files in ``folder`` by a table of their names, as ``write_files`` makes one.
+
+    Unlike a file source, which holds the whole listing in the driver, tasks open the files that their rows name. A file that is gone fails the job.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = store_of(folder)
+        for b in batches:
+            names, contents, held = [], [], 0
+            for name in b["name"]:
+                with store.open_input_stream(join_path(root, name), compression=None) as f:
+                    content = f.read()
+                # a slice holds one large file at most
+                if names and (len(names) == SLICE_FILES or held + len(content) > SLICE_BYTES):
+                    yield pd.DataFrame({"name": names, "length": [len(c) for c in contents], "content": contents})
+                    names, contents, held = [], [], 0
+                names.append(name)
+                contents.append(content)
+                held += len(content)
+            if names:
+                yield pd.DataFrame({"name": names, "length": [len(c) for c in contents], "content": contents})
+
+    # names are small, so they are dealt before the files are read
+    tasks = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.select("name").repartition(tasks, "name").mapInPandas(run, "name string, length long, content binary")
+
+
 def is_supported(path: Column) -> Column:
     """Whether a metadata reader handles the file."""
     return extension_of(path).isin(*EXTENSIONS)

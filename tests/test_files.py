@@ -14,8 +14,9 @@ from sievelake.functions.metadata import CorruptFile, clean, inspect
 from sievelake.operators import files
 from sievelake.operators.images import detect_images, read_images
 from sievelake.options import MetadataOptions, load_config
+from sievelake.plans.queries import queries
 from sievelake.sources import sink
-from sievelake.sources.files import classify, list_files, output_path, read_texts, write_texts
+from sievelake.sources.files import classify, list_files, output_path, read_files, read_texts, write_texts
 
 O = MetadataOptions()  # noqa: E741
 
@@ -340,6 +341,39 @@ def test_tasks_move_the_files_and_may_run_again(spark, tmp_path, monkeypatch):
     assert sorted(p.name for p in (tmp_path / "out" / "b").iterdir()) == ["x", "y"]
 
 
+def test_written_files_are_listed_by_tasks_and_read_by_name(spark, tmp_path):
+    folder, listing = f"file://{tmp_path}/out", f"file://{tmp_path}/names"
+    rows = [(f"/in/a/{i}", "succeeded", b"x" * i) for i in range(40)] + [("/in/\u00fc \n%20", "succeeded", b""), ("/in/big", "succeeded", bytes(1 << 24)), ("/in/none", "failed", None)]
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "older").write_bytes(b"not written now")
+    sink.write_files(cleaned_rows(spark, rows).repartition(4), folder, base="/in", listing=listing)
+    listed = spark.read.schema(sink.LISTING).parquet(listing)
+    want = {p.removeprefix("/in/"): c for p, _, c in rows if c is not None}
+    assert sorted((r.name, r.length) for r in listed.collect()) == sorted((n, len(c)) for n, c in want.items())
+    assert sorted((r.name, r.length, bytes(r.content)) for r in read_files(listed, folder).collect()) == sorted((n, len(c), c) for n, c in want.items())
+    sink.write_files(cleaned_rows(spark, []), folder, listing=listing + "-2")
+    assert read_files(spark.read.schema(sink.LISTING).parquet(listing + "-2"), folder).count() == 0
+    assert not list(tmp_path.glob("out/_temporary*"))
+
+
+def test_a_task_that_moves_again_lists_the_same(tmp_path, monkeypatch):
+    monkeypatch.setattr(sink, "MOVED_AT_ONCE", 2)
+    folder = f"file://{tmp_path}/out"
+    done = sink.FileWriter(folder, "job").write(iter([Row(name=f"b/{i}", content=b"x" * i) for i in range(5)]))
+    # one that ends before its last files
+    assert next(sink.move_listed(done.folder, folder)) == [("b/0", 0), ("b/1", 1)]
+    for _ in range(2):
+        assert [f for some in sink.move_listed(done.folder, folder) for f in some] == [(f"b/{i}", i) for i in range(5)]
+        assert sorted(p.name for p in (tmp_path / "out" / "b").iterdir()) == list("01234")
+    # without rows, no list
+    assert list(sink.move_listed(sink.FileWriter(folder, "job").write(iter([])).folder, folder)) == []
+
+
+def test_the_driver_lists_no_written_files(spark, sf):
+    found = queries()["written_files"](spark, sf)
+    assert found.count() > 50 and len(found.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_a_failing_job_writes_nothing(spark, tmp_path):
     bad = F.udf(lambda i: 1 // (i - 7) and bytearray(b"x"), "binary")
     rows = spark.range(20).repartition(4).select(F.concat(F.lit("/in/"), F.col("id").cast("string")).alias("output_path"), bad("id").alias("content"))
